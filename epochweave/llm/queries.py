@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.ngram_join import ngram_jaccard_join
+from epochweave.llm.quality import classify_quality
 from epochweave.llm.shared import table
 
 
@@ -12,6 +15,33 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_quality_classifier, op8_line_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": """
+        with lines as (
+            select doc_id, coalesce(source, '') as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at
+            from documents where text is not null
+        ), bad as (
+            select trim(line) as words, min(struct_pack(doc_id := doc_id, at := at)) as first
+            from lines where length(trim(line)) >= 20 group by 1 having count(distinct site) >= 8
+        ), marked as (
+            select l.*, b.words is not null and not (b.first.doc_id = l.doc_id and b.first.at = l.at) as gone
+            from lines l left join bad b on trim(l.line) = b.words
+        )
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+            md5(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as text_md5
+        from marked group by doc_id
+        union all
+        select doc_id, 0, 0, null from documents where text is null
+    """,
+}
