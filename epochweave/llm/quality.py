@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochweave.llm.shared import id_and_text
-from epochweave.llm.words import Words, shingle_hashes
+from epochweave.llm.words import Words, shingle_hashes, slices
 
 CUT = 0.3
 SPECIAL = "\n .,;:!?'\"-_|/\\()[]{}<>=+*#$%&@~^`"
@@ -70,6 +70,11 @@ def features(column: pa.Array) -> np.ndarray:
     return np.concatenate([x, np.sqrt(x[:, :-13]), np.minimum(x[:, :-13], 0.02) * 50], axis=1)
 
 
+def pieces(column: pa.Array) -> list[pa.Array]:
+    """The column in parts of bounded size."""
+    return [b.column(0) for b in slices([pa.RecordBatch.from_arrays([column], ["text"])], 0)] or [column]
+
+
 @dataclass
 class Ranking:
     """centre and scale of the features, their weights, and the logistic curve's slope and the strength at CUT."""
@@ -128,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Ranking:
 
     @F.arrow_udf("binary")
     def packed(text: pa.Array) -> pa.Array:
-        return pa.array([x.astype(np.float32).tobytes() for x in features(text)], pa.binary())
+        return pa.array([x.astype(np.float32).tobytes() for part in pieces(text) for x in features(part)], pa.binary())
 
     rows = known.select("quality", packed("text").alias("x")).toArrow()
     width = features(pa.array([""])).shape[1]
@@ -141,7 +146,7 @@ def quality_score(model: Ranking, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(text)), pa.float64())
+        return pa.concat_arrays([pa.array(model.score(features(part)), pa.float64()) for part in pieces(text)])
 
     return score(text)
 

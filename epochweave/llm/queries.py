@@ -29,17 +29,17 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_quality_classifie
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": """
         with lines as (
-            select doc_id, coalesce(source, '') as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at
+            select doc_id, coalesce(source, '') as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
             from documents where text is not null
         ), bad as (
-            select trim(line) as words, min(struct_pack(doc_id := doc_id, at := at)) as first
+            select trim(line) as words, min(struct_pack(doc_id := doc_id, pos := pos)) as first
             from lines where length(trim(line)) >= 20 group by 1 having count(distinct site) >= 8
         ), marked as (
-            select l.*, b.words is not null and not (b.first.doc_id = l.doc_id and b.first.at = l.at) as gone
+            select l.*, b.words is not null and not (b.first.doc_id = l.doc_id and b.first.pos = l.pos) as gone
             from lines l left join bad b on trim(l.line) = b.words
         )
         select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
-            md5(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as text_md5
+            md5(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as text_md5
         from marked group by doc_id
         union all
         select doc_id, 0, 0, null from documents where text is null
