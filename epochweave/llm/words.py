@@ -52,6 +52,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - first
 
 
+def slices(batches, column: int = 1, most: int = 1 << 21):
+    """The batches in pieces of about `most` bytes of a text column, or one row, so that what is made of them stays small."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def classes(separators: str) -> np.ndarray:
     """For each byte whether it belongs to a word. separators: "space" (space, tab to return) or "punctuation" (all ASCII but letters and digits)."""
     byte = np.arange(256)
