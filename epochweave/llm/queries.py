@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochweave.llm.chat import format_chats, read_chats
+from epochweave.llm.decontaminate import contaminated_passages
 from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.ngram_join import ngram_jaccard_join
 from epochweave.llm.quality import classify_quality
@@ -34,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), VOCABULARY, END_OF_DOCUMENT)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(write_warc(table(spark, sf_dir, "pages"), min_bytes=0), with_data=False))
 
@@ -45,7 +50,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(written(format_chats(chats, VOCABULARY), "windows"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_quality_classifier, op5_token_counts, op7_warc, op8_line_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op10_chat_formatting)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
