@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochweave.llm.chat import format_chats, read_chats
+from epochweave.llm.cover_tree import embedding_near_dedup
 from epochweave.llm.decontaminate import contaminated_passages
 from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.ngram_join import ngram_jaccard_join
@@ -22,6 +23,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=3, percent=90)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,9 +55,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(written(format_chats(chats, VOCABULARY), "windows"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_embedding_near_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op10_chat_formatting)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+        with recursive v as (
+            select vec_id, cast(embedding as double[]) as e from embeddings
+        ), good as (
+            select vec_id, e from v
+            where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(e, lambda x: abs(x))) > 0
+        ), pairs as (
+            select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach as (
+            select a as node, b as other from pairs union select r.node, p.b from reach r join pairs p on r.other = p.a
+        )
+        select vec_id, (select count(*) from pairs where a = vec_id) as n_links,
+            least(vec_id, coalesce((select min(other) from reach where node = vec_id), vec_id)) as component_id,
+            vec_id = least(vec_id, coalesce((select min(other) from reach where node = vec_id), vec_id)) as kept
+        from v
+    """,
     "op7_warc": """
         with p as (
             select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex,
