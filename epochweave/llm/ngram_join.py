@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochweave.llm.components import Forest, connected_components
-from epochweave.llm.shared import discard, id_and_text, written
-from epochweave.llm.words import mix, shingle_sets, signature, signed
+from epochweave.llm.shared import discard, grouped, id_and_text, written
+from epochweave.llm.words import mix, shingle_sets, signature, signed, slices
 
 BLOCK = 1 << 19
 
@@ -69,7 +69,7 @@ def keys(s: np.ndarray, band: int, percent: int) -> np.ndarray:
 
 def _summaries(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(1), n_words)
             signs = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in signs], pa.int64()), pa.array([x[1] for x in signs], pa.int64())], ["doc_id", "n_shingles", "sign1", "sign2"])
@@ -81,7 +81,7 @@ def _entries(n_words: int, percent: int):
     edges = np.array(bands(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, most=1 << 23):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_keys, owners = [], []
             for doc, s in zip(ids.tolist(), shingle_sets(batch.column(1), n_words), strict=True):
@@ -158,25 +158,6 @@ def product(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: i
     return out
 
 
-def grouped(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[object, pa.Table]]:
-    """Runs of rows with equal values in a column, over the borders of batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        value = batch.column(column).to_numpy(zero_copy_only=False)
-        cut = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if held and value[a] != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            last = value[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
 def _products(n_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
