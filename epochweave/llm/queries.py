@@ -10,7 +10,9 @@ from epochweave.llm.cover_tree import embedding_near_dedup
 from epochweave.llm.decontaminate import contaminated_passages
 from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.ngram_join import ngram_jaccard_join
+from epochweave.llm.packing import best_fit_packing
 from epochweave.llm.quality import classify_quality
+from epochweave.llm.secrets import secret_scan
 from epochweave.llm.shared import table, written
 from epochweave.llm.token_counts import document_token_counts
 from epochweave.llm.warc import page_records, read_warc, write_warc
@@ -23,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=3, percent=90)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -48,6 +54,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(write_warc(table(spark, sf_dir, "pages"), min_bytes=0), with_data=False))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -55,7 +65,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(written(format_chats(chats, VOCABULARY), "windows"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_embedding_near_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op9_secret_scan, op10_chat_formatting)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_near_dedup": """
