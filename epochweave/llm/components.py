@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from epochweave.llm.shared import discard, written
 
 PAIR = "a long, b long"
+#: Edges that one task joins in memory.
+AT_ONCE = 400_000
 
 
 class Forest:
@@ -38,25 +40,37 @@ class Forest:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's edges as stars around the smallest id of each of its components: never more rows than came in."""
+    """A task's edges, AT_ONCE at most at a time, as stars around the smallest id of each component: never more rows than came in."""
+
+    def stars() -> pa.RecordBatch:
+        high = list(forest.up)
+        return pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array([forest.root(x) for x in high], pa.int64())], ["a", "b"])
+
+    forest = Forest()
     for batch in batches:
-        forest = Forest()
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-        high = list(forest.up)
-        yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array([forest.root(x) for x in high], pa.int64())], ["a", "b"])
+            if len(forest.up) >= AT_ONCE:
+                yield stars()
+                forest = Forest()
+    yield stars()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Columns node and component (the smallest id reachable), for each id that has an edge to another.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join by id, so that a hub's edges are combined
-    before they are shuffled and Spark can split a hub's share of the join. Each round is written to the shared folder.
+    before they are shuffled and Spark can split a hub's share of the join. Each round is written to the shared folder. Tasks join what
+    edges they hold beforehand; once all that are left number AT_ONCE or fewer, one task ends the work.
     Edges with a null end or equal ends are left out.
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b and a is not null and b is not null")
     now = written(pairs.mapInArrow(_stars, PAIR).distinct(), "edges")
     for _ in range(rounds):
+        if now.count() <= AT_ONCE:
+            last = written(now.coalesce(1).mapInArrow(_stars, PAIR), "edges")
+            discard(now)
+            return last.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(last.select("b", "b").distinct())
         ends = now.select(F.col("a").alias("v"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionAll(now.select("b", F.lit(0), F.lit(1)))
         open_ends = ends.groupBy("v").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or (above = 1 and below = 1)")
         if not open_ends.take(1):
@@ -67,7 +81,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.select("b", "m").where("b <> m").unionAll(least)
-        following = written(small.toDF("a", "b").distinct(), "edges")
+        following = written(small.toDF("a", "b").mapInArrow(_stars, PAIR).distinct(), "edges")
         discard(now)
         now = following
     raise RuntimeError(f"components haven't settled after {rounds} rounds")
