@@ -1,6 +1,8 @@
-"""Registry of the queries over the planner, storage and text operators, each with SQL that gives the same rows."""
+"""All queries over the planner, storage and text operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from epochweave import plan_queries, storage_queries, text_queries  # noqa: F401  they register themselves
+from epochweave.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
