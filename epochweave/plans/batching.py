@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochweave.plans.keys import key, ranked
 from epochweave.plans.partition import Grid
-from epochweave.plans.shuffle import permutation
+from epochweave.plans.shuffle import permutation, permutations
 
 METHODS = ("random", "stratified", "per_stream", "device_per_stream")
 
@@ -36,14 +36,19 @@ def gathered(cells: DataFrame, units: DataFrame, drawn: DataFrame, n: int, canon
 
 def stream_orders(samples: DataFrame, streams: list[tuple[int, int, int]], grid: dict, shuffle: str | None, seed: int, epoch: int, block_size: int) -> DataFrame:
     """The traversal of each stream by itself: samples are big_id, sample_id, unit_begin, stream_id within streams (id, first big id, n)."""
-    out = None
-    for stream, first, n in streams:  # one plan for each stream of a mixture, all of one job
-        own = samples.where(F.col("stream_id") == stream).withColumn("big_id", F.col("big_id") - first).withColumn("unit_begin", F.col("unit_begin") - first)
-        units = own.groupBy("unit_begin").agg(F.count("*").alias("size"))
-        cells = Grid(**(grid | {"n": n})).cells(samples.sparkSession)
-        rows = gathered(cells, units, own, n, grid["canonical"], shuffle, seed, epoch, block_size).withColumn("stream_id", F.lit(stream))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    cells = None
+    for stream, _, n in streams:  # computed cells, a branch for each stream of a mixture
+        own = Grid(**(grid | {"n": n})).cells(samples.sparkSession).withColumn("stream_id", F.lit(stream))
+        cells = own if cells is None else cells.unionByName(own)
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for s in streams for x in (s[0], s[k])]), F.col("stream_id").cast("int")).cast("long")
+    drawn = samples.select(F.col("stream_id").cast("int").alias("stream_id"), (F.col("big_id") - of(1)).alias("big_id"), (F.col("unit_begin") - of(1)).alias("unit_begin"), "sample_id")
+    if shuffle:
+        units = drawn.groupBy("stream_id", "unit_begin").agg(F.count("*").alias("size")).select(F.col("stream_id").alias("g"), of(2).alias("n"), "unit_begin", "size")
+        order = permutations(units, grid["canonical"], shuffle, seed, epoch, block_size).select(F.col("g").alias("stream_id"), "pos", "big_id")
+        drawn = order.join(drawn, ["stream_id", "big_id"])
+    else:
+        drawn = drawn.withColumn("pos", F.col("big_id"))
+    return cells.join(drawn.select("stream_id", "pos", "sample_id"), ["stream_id", "pos"], "left")
 
 
 def stratified(orders: DataFrame, parts: list[int]) -> DataFrame:
@@ -57,7 +62,7 @@ def stratified(orders: DataFrame, parts: list[int]) -> DataFrame:
 
 def per_stream(orders: DataFrame, global_batch: int, seed: int, epoch: int) -> DataFrame:
     """Rows batch, stream_id, slot, sample_id: each global batch is one stream's; incomplete ones are dropped; streams take turns by hash."""
-    rows = orders.withColumn("_own", F.floor(F.col("order") / global_batch)).withColumn("slot", F.col("order") % global_batch)
+    rows = orders.drop("batch").withColumn("_own", F.floor(F.col("order") / global_batch)).withColumn("slot", F.col("order") % global_batch)
     full = rows.groupBy("stream_id", "_own").agg(F.min("pos").alias("_p"), F.count("*").alias("_n")).where(f"_p >= 0 and _n = {global_batch}").select("stream_id", "_own")
     # which stream is next goes by hash; which of its batches that is goes by its own order
     turns = ranked(full.withColumn("_key", key("turn", "stream_id", "_own", seed=seed, epoch=epoch)), [], "_key", "batch")

@@ -77,6 +77,7 @@ class Planner:
             self.canonical = (64 if self.shuffle in ("py1s", "py2s") else 1) * self.world.nodes
         if self.block_size is None:
             self.block_size = max(4_000_000 // self.canonical, 1 << 18)
+        self.samples, self.kept = self.samples.persist(), {}
         self.shards = self.samples.groupBy("stream_id", "shard_id").agg(F.count("*").alias("n"))
         sizes = self.samples.groupBy("stream_id").agg(F.count("*").alias("n")).orderBy("stream_id").collect()  # a row for each stream
         self.sizes = [r.n for r in sizes]
@@ -84,10 +85,19 @@ class Planner:
         self.n = sum(self.choose)
 
     def drawn(self, epoch: int) -> DataFrame:
-        """Columns big_id, unit_begin, sample_id, stream_id, shard_id."""
+        """Columns big_id, unit_begin, sample_id, stream_id, shard_id. Kept, since a plan reads it several times; lost parts are made again."""
         own = 0 if self.sampling == "fixed" else epoch
+        if own in self.kept:
+            return self.kept[own]
         choose = F.element_at(F.array(*[F.lit(c).cast("long") for c in self.choose]), (F.col("stream_id") + 1).cast("int"))
-        return resample(self.samples, draw_per_shard(self.shards, choose, self.granularity, self.seed, own), self.seed, own)
+        self.kept[own] = resample(self.samples, draw_per_shard(self.shards, choose, self.granularity, self.seed, own), self.seed, own).persist()
+        return self.kept[own]
+
+    def release(self) -> None:
+        """Give up what is kept."""
+        for df in (self.samples, *self.kept.values()):
+            df.unpersist()
+        self.kept = {}
 
     def grid(self, drop: int = 0) -> dict:
         return {"n": self.n, "canonical": self.canonical, "nodes": self.world.nodes, "ranks": self.world.ranks_per_node, "workers": self.world.workers_per_rank, "batch_size": self.batch_size, "drop": drop}

@@ -15,65 +15,66 @@ from epochweave.plans.keys import key, ranked, uniform
 ALGORITHMS = ("naive", "py1s", "py2s", "py1br", "py1e")
 
 
-def node_edge(n: int, canonical: int, node: Column) -> Column:
-    return F.floor(F.lit(n).cast("long") * node / canonical).cast("long")
+def _edge(canonical: int, node: Column | str) -> Column:
+    """Where a canonical node's share of its group's n rows begins."""
+    return F.floor(F.col("n") * (F.col(node) if isinstance(node, str) else node) / canonical).cast("long")
 
 
-def spans(units: DataFrame, n: int, canonical: int, seed: int = 0) -> DataFrame:
-    """Rows span, node, begin (in the seed's order of units), size, first (drawn row): units in hashed order, cut where nodes end."""
-    order = ranked(units.withColumn("_key", key("unit", "unit_begin", seed=seed)), [], "_key", "_rank")
-    run = Window.partitionBy(F.lit(0)).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard drawn, not for each sample
+def _grouped_spans(units: DataFrame, canonical: int, seed: int) -> DataFrame:
+    order = ranked(units.withColumn("_key", key("unit", "unit_begin", seed=seed)), ["g", "n"], "_key", "_rank")
+    run = Window.partitionBy("g").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard drawn, not for each sample
     order = order.withColumn("begin", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    node_of = lambda p: F.floor(((p + 1) * canonical - 1) / n)
+    node_of = lambda p: F.floor(((p + 1) * canonical - 1) / F.col("n"))
     cut = order.withColumn("node", F.explode(F.sequence(node_of(F.col("begin")), node_of(F.col("begin") + F.col("size") - 1))))
-    lo, hi = F.greatest("begin", node_edge(n, canonical, F.col("node"))), F.least(F.col("begin") + F.col("size"), node_edge(n, canonical, F.col("node") + 1))
-    return cut.select("unit_begin", "node", lo.alias("begin"), (hi - lo).alias("size"), (F.col("unit_begin") + lo - F.col("begin")).alias("first")).where("size > 0")
+    lo, hi = F.greatest("begin", _edge(canonical, "node")), F.least(F.col("begin") + F.col("size"), _edge(canonical, F.col("node") + 1))
+    return cut.select("g", "n", "unit_begin", "node", lo.alias("begin"), (hi - lo).alias("size"), (F.col("unit_begin") + lo - F.col("begin")).alias("first")).where("size > 0")
 
 
-def _span_order(parts: DataFrame, n: int, canonical: int, seed: int, epoch: int) -> DataFrame:
-    """Spans in the epoch's order within their node: column at is where each then begins."""
-    run = Window.partitionBy("node").orderBy(key("span", "begin", seed=seed, epoch=epoch)).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("at", node_edge(n, canonical, F.col("node")) + F.coalesce(F.sum("size").over(run), F.lit(0)))
+def spans(units: DataFrame, n: int, canonical: int, seed: int = 0) -> DataFrame:
+    """Rows unit_begin, node, begin (in the seed's order of units), size, first (drawn row): units in hashed order, cut where nodes end."""
+    return _grouped_spans(_one_group(units, n), canonical, seed).drop("g", "n")
 
 
-def _rows(parts: DataFrame) -> DataFrame:
-    return parts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("_i")).withColumn("big_id", F.col("first") + F.col("_i"))
+def _one_group(units: DataFrame, n: int) -> DataFrame:
+    return units.select(F.lit(0).alias("g"), F.lit(n).cast("long").alias("n"), "unit_begin", "size")
 
 
 def permutation(units: DataFrame, n: int, canonical: int, algorithm: str = "py1e", seed: int = 0, epoch: int = 0, block_size: int = 1 << 18) -> DataFrame:
     """Columns pos, node, big_id."""
-    if algorithm not in ALGORITHMS:
-        raise KeyError(f"no shuffle algorithm {algorithm!r}")
     if not 1 <= canonical <= n:
         raise ValueError("each canonical node must have a row")
-    node_of = F.floor(((F.col("pos") + 1) * canonical - 1) / n)
+    return permutations(_one_group(units, n), canonical, algorithm, seed, epoch, block_size).drop("g")
+
+
+def permutations(units: DataFrame, canonical: int, algorithm: str = "py1e", seed: int = 0, epoch: int = 0, block_size: int = 1 << 18) -> DataFrame:
+    """Columns g, pos, node, big_id: each group g of units (g, n, unit_begin, size) shuffled by itself, all in one pass."""
+    if algorithm not in ALGORITHMS:
+        raise KeyError(f"no shuffle algorithm {algorithm!r}")
+    inner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("_i")
     if algorithm == "naive":
-        rows = units.sparkSession.range(n).select(F.col("id").alias("big_id")).withColumn("_key", key("naive", "big_id", seed=seed, epoch=epoch))
-        return ranked(rows, [], "_key", "pos").select("pos", node_of.alias("node"), "big_id")
-    parts = spans(units, n, canonical, seed)
+        rows = units.select("g", "n", "unit_begin", inner).select("g", "n", (F.col("unit_begin") + F.col("_i")).alias("big_id"))
+        rows = ranked(rows.withColumn("_key", key("naive", "big_id", seed=seed, epoch=epoch)), ["g"], "_key", "pos")
+        return rows.select("g", "pos", F.floor(((F.col("pos") + 1) * canonical - 1) / F.col("n")).alias("node"), "big_id")
+    run = Window.partitionBy("g", "node").orderBy(key("span", "begin", seed=seed, epoch=epoch)).rowsBetween(Window.unboundedPreceding, -1)
+    parts = _grouped_spans(units, canonical, seed).withColumn("at", _edge(canonical, "node") + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    rows = parts.select("*", inner).withColumn("big_id", F.col("first") + F.col("_i"))
     if algorithm == "py2s":  # rows of a unit are mixed before it is cut, the same way in every epoch
-        first = units.select("unit_begin", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("_i"))
-        first = first.withColumn("big_id", F.col("unit_begin") + F.col("_i")).withColumn("_i", F.row_number().over(Window.partitionBy("unit_begin").orderBy(key("inner", "big_id", seed=seed))) - 1)
-        mixed = first.select((F.col("unit_begin") + F.col("_i")).alias("place"), F.col("big_id").alias("mixed"))
-        rows = _rows(_span_order(parts, n, canonical, seed, epoch)).join(mixed, F.col("big_id") == F.col("place")).withColumn("big_id", F.col("mixed"))
-    else:
-        rows = _rows(_span_order(parts, n, canonical, seed, epoch))
+        first = units.select("g", "unit_begin", inner).withColumn("big_id", F.col("unit_begin") + F.col("_i"))
+        mixed = F.row_number().over(Window.partitionBy("g", "unit_begin").orderBy(key("inner", "big_id", seed=seed))) - 1
+        rows = rows.join(first.select("g", (F.col("unit_begin") + mixed).alias("place"), F.col("big_id").alias("mixed")).withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("big_id") == F.col("place"))).withColumn("big_id", F.col("mixed"))
+    by_row = key("row", "big_id", seed=seed, epoch=epoch)
+    in_span = F.row_number().over(Window.partitionBy("g", "at").orderBy(by_row)) - 1
     if algorithm in ("py1s", "py2s"):
-        inside = Window.partitionBy("at").orderBy(key("row", "big_id", seed=seed, epoch=epoch))
-        return rows.select((F.col("at") + F.row_number().over(inside) - 1).alias("pos"), "node", "big_id")
-    low, high = node_edge(n, canonical, F.col("node")), node_edge(n, canonical, F.col("node") + 1)
-    rows = rows.withColumn("_at", F.col("at") + F.col("_i"))
+        return rows.select("g", (F.col("at") + in_span).alias("pos"), "node", "big_id")
+    low, high = _edge(canonical, "node"), _edge(canonical, F.col("node") + 1)
     if algorithm == "py1br":  # staggered blocks that don't overlap and cover the node
         stagger = F.floor(uniform(key("stagger", "node", seed=seed, epoch=epoch)) * (0.75 * block_size))
-        block = F.floor((F.col("_at") - low + stagger) / block_size)
-        rows = rows.withColumn("_block", block)
-        begin = F.min("_at").over(Window.partitionBy("node", "_block"))
-        inside = Window.partitionBy("node", "_block").orderBy(key("row", "big_id", seed=seed, epoch=epoch))
-        return rows.withColumn("_begin", begin).select((F.col("_begin") + F.row_number().over(inside) - 1).alias("pos"), "node", "big_id")
+        rows = rows.withColumn("_at", F.col("at") + F.col("_i")).withColumn("_block", F.floor((F.col("_at") - low + stagger) / block_size))
+        block = Window.partitionBy("g", "node", "_block")
+        return rows.withColumn("_begin", F.min("_at").over(block)).select("g", (F.col("_begin") + F.row_number().over(block.orderBy(by_row)) - 1).alias("pos"), "node", "big_id")
     # py1e: each row moves by up to half a block within its node, as far as its span leaves room
     half = F.greatest(F.lit(0.0), (F.lit(float(block_size)) - F.col("size")) / 2)
     lo, hi = F.greatest(low - F.col("at"), -half), F.least(high - F.col("at") - F.col("size"), half)
-    mixed = F.row_number().over(Window.partitionBy("at").orderBy(key("row", "big_id", seed=seed, epoch=epoch))) - 1
-    shifted = rows.withColumn("_at", F.col("at") + mixed).withColumn("_to", F.col("_at") + lo + (hi - lo) * uniform(key("shift", "big_id", seed=seed, epoch=epoch)))
+    shifted = rows.withColumn("_at", F.col("at") + in_span).withColumn("_to", F.col("_at") + lo + (hi - lo) * uniform(key("shift", "big_id", seed=seed, epoch=epoch)))
     bucket = F.floor((F.col("_to") - low) / F.lit(max(block_size, 1)))
-    return ranked(shifted, ["node"], "_to", "_r", ["big_id"], bucket).select((node_edge(n, canonical, F.col("node")) + F.col("_r")).alias("pos"), "node", "big_id")
+    return ranked(shifted, ["g", "node"], "_to", "_r", ["big_id"], bucket).select("g", (_edge(canonical, "node") + F.col("_r")).alias("pos"), "node", "big_id")
