@@ -1,0 +1,57 @@
+"""Queries that write a table in one of the formats and read it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from epochweave.places import shared_folder
+from epochweave.plan_queries import _planner
+from epochweave.registry import query, table
+from epochweave.sources.lines import read_json_lines, read_separated, write_json_lines, write_separated
+from epochweave.sources.shards import read_shards, write_shards
+
+
+@query("w2_shards_round_trip", "select doc_id, text, lang, n_chars from documents")
+def w2(spark, sf_dir):
+    folder = shared_folder(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), folder, size_limit="256kb", compression="zstd:3", hashes="sha1,xxh64")
+    return read_shards(spark, folder, validate="sha1").select("doc_id", "text", "lang", "n_chars")
+
+
+@query("r1_arrays_round_trip", "select vec_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 6) as total from embeddings")
+def r1(spark, sf_dir):
+    folder = shared_folder(spark, "arrays")
+    write_shards(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), folder)
+    return read_shards(spark, folder).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@query("r7_shard_pruning", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) where i = 123")
+def r7(spark, sf_dir):
+    folder = shared_folder(spark, "pruned")
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), folder, size_limit="64kb")
+    return read_shards(spark, folder).where("sample_id = 123").select("doc_id")
+
+
+@query("r3_json_lines", "select page_id, url, html from pages")
+def r3(spark, sf_dir):
+    folder = shared_folder(spark, "json")
+    columns = {"page_id": "int", "url": "str", "html": "str"}
+    write_json_lines(table(spark, sf_dir, "pages").select(*columns), folder, columns)
+    return read_json_lines(spark, folder, columns)
+
+
+@query("r4_separated_lines", "select c_custkey, c_name, c_acctbal from customer")
+def r4(spark, sf_dir):
+    folder = shared_folder(spark, "xsv")
+    columns = {"c_custkey": "int", "c_name": "str", "c_acctbal": "float"}
+    write_separated(table(spark, sf_dir, "customer").select(*columns), folder, "\t", columns)
+    return read_separated(spark, folder, "\t", columns)
+
+
+@query("z1_simulate")
+def z1(spark, sf_dir):
+    from epochweave.operators.simulate import simulate
+
+    p = _planner(spark, sf_dir, shuffle="py1s")
+    plan = p.epoch(1).where("sample_id >= 0").join(p.samples.select("sample_id", "shard_id"), "sample_id")
+    return simulate(plan.select("node", "batch", "shard_id").distinct().withColumn("size", F.lit(50_000).cast("long")), 0.5, 200_000.0, 300_000)

@@ -1,0 +1,273 @@
+"""Queries over text, web pages, conversations and events: conversions, scalar functions, lookups and row generators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from epochweave.functions import text as X
+from epochweave.functions import units as U
+from epochweave.plan_sql import hexkey
+from epochweave.plans.keys import key
+from epochweave.registry import query, table
+
+
+@query("p1_validate_and_rename", "select doc_id, text, json_extract_string(meta, '$.set_name') as set_name from (select doc_id, text, '{\"set_name\":\"' || source || '\"}' as meta from documents)")
+def p1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("text", F.struct(F.col("source").alias("set_name")).alias("meta"))).alias("line"))
+    keys = F.array_sort(F.json_object_keys("line"))
+    row = F.from_json("line", "text string, meta struct<set_name:string>")
+    row = F.when(keys == F.array(F.lit("meta"), F.lit("text")), row).otherwise(F.raise_error("a line has other keys"))
+    return docs.select("doc_id", row.alias("r")).select("doc_id", "r.text", F.col("r.meta.set_name").alias("set_name"))
+
+
+@query("p2_stripped_lines", "select doc_id, trim(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where trim(line) <> ''")
+def p2(spark, sf_dir):
+    return X.stripped_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line")
+
+
+@query("p3_null_defaults", "select doc_id, coalesce(quality, 0) as quality, coalesce(lang, '') as lang from documents left join labels using (doc_id)")
+def p3(spark, sf_dir):
+    out = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+@query("p4_drop_known_bad", "select doc_id, source from documents where doc_id not in (3, 77, 402, 811)")
+def p4(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(~F.col("doc_id").isin(3, 77, 402, 811)).select("doc_id", "source")
+
+
+@query("p5_drop_failed", "select page_id, url from pages where html is not null and length(html) > 1000")
+def p5(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(F.col("html").isNotNull() & (F.length("html") > 1000)).select("page_id", "url")
+
+
+@query("p6_rows_to_many_sinks", "select w as sink, doc_id from documents, (select unnest(['the', 'que', 'der', 'tion']) as w) where contains(text, w)")
+def p6(spark, sf_dir):
+    words = F.filter(F.array(*map(F.lit, ["the", "que", "der", "tion"])), lambda w: F.contains("text", w))
+    return table(spark, sf_dir, "documents").select(F.explode(words).alias("sink"), "doc_id")
+
+
+@query("p7_content_path", "select doc_id, printf('%03d/%03d.mp4', doc_id // 1000, doc_id % 1000) as content_path from documents")
+def p7(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.format_string("%03d/%03d.mp4", F.floor(F.col("doc_id") / 1000), F.col("doc_id") % 1000).alias("content_path"))
+
+
+@query("p9_only_labelled", "select doc_id, lang from documents semi join labels using (doc_id)")
+def p9(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("j4_grouped_annotations", "select o_orderkey as image_id, o_totalprice as size, list(struct_pack(line := l_linenumber, part := l_partkey) order by l_linenumber, l_partkey) as annotations from orders join lineitem on o_orderkey = l_orderkey group by all")
+def j4(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")))).alias("annotations"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_totalprice").alias("size"))
+    return orders.join(lines, F.col("image_id") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+_WORDS = "words as (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents)"
+
+
+@query("j6_token_ids", f"with {_WORDS}, v as (select word, row_number() over (order by count(*) desc, word) - 1 as id from words where word <> '' group by word order by 2 limit 500) select doc_id, count(v.id) as known, sum(coalesce(v.id, 0)) as total from words left join v using (word) where word <> '' group by doc_id")
+def j6(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(500)  # a vocabulary of fixed size
+    ids = vocabulary.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word")) - 1).select("word", "id")
+    return words.join(F.broadcast(ids), "word", "left").groupBy("doc_id").agg(F.count("id").alias("known"), F.sum(F.coalesce("id", F.lit(0)).cast("long")).alias("total"))
+
+
+@query("l1_head", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 25")
+def l1(spark, sf_dir):
+    from epochweave.operators.lookup import first_rows
+
+    return first_rows(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 25)
+
+
+@query("l4_largest_remainders", "with s as (select lang, count(*) as n from documents group by lang), q as (select *, n * 64 // sum(n) over () as part, n * 64 % sum(n) over () as rest from s) select lang, part + (case when row_number() over (order by rest desc, lang desc) <= 64 - sum(part) over () then 1 else 0 end) as part from q")
+def l4(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))  # a row for each stream
+    every = Window.partitionBy(F.lit(0))
+    s = s.withColumn("total", F.sum("n").over(every)).withColumn("part", F.floor(F.col("n") * 64 / F.col("total"))).withColumn("rest", F.col("n") * 64 % F.col("total"))
+    first = F.row_number().over(every.orderBy(F.desc("rest"), F.desc("lang")))
+    return s.select("lang", (F.col("part") + (first <= 64 - F.sum("part").over(every)).cast("long")).alias("part"))
+
+
+@query("l5_oldest_shard", "select l_suppkey % 16 as node, arg_min(l_orderkey, struct_pack(t := l_shipdate, k := l_orderkey)) as evicted from lineitem group by 1")
+def l5(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 16).alias("node")).agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("evicted"))
+
+
+@query("u2_distinct_urls", "select regexp_extract(url, '^https?://[^/]+') as host, count(distinct url) as urls from pages group by 1")
+def u2(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("url").dropDuplicates().groupBy(F.regexp_extract("url", "^https?://[^/]+", 0).alias("host")).agg(F.count("*").alias("urls"))
+
+
+# Scalar functions
+
+_SIZES = "case s when 0 then n || 'kb' when 1 then (n / 4.0) || 'mb' when 2 then n || 'b' else cast(n as varchar) end"
+
+
+def _made(spark, sf_dir):
+    n = F.col("o_orderkey") % 1000 + 1
+    s = F.col("o_orderkey") % 4
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), s.alias("s"))
+
+
+@query("f1_bytes_to_int", "select o_orderkey, cast(case o_orderkey % 4 when 0 then (o_orderkey % 1000 + 1) * 1024 when 1 then floor((o_orderkey % 1000 + 1) / 4.0 * 1048576) else o_orderkey % 1000 + 1 end as bigint) as bytes from orders")
+def f1(spark, sf_dir):
+    text = F.when(F.col("s") == 0, F.concat("n", F.lit("kb"))).when(F.col("s") == 1, F.concat((F.col("n") / 4).cast("string"), F.lit("MB"))).when(F.col("s") == 2, F.concat("n", F.lit("b"))).otherwise(F.col("n").cast("string"))
+    return _made(spark, sf_dir).select("o_orderkey", U.bytes_column(text).alias("bytes"))
+
+
+@query("f2_count_to_int", "select o_orderkey, cast((o_orderkey % 1000 + 1) * case o_orderkey % 4 when 0 then 1000 when 1 then 1000000 when 2 then 1000000000 else 1 end as bigint) as n from orders")
+def f2(spark, sf_dir):
+    return _made(spark, sf_dir).select("o_orderkey", U.count_column(F.concat("n", F.element_at(F.array(*map(F.lit, ["k", "m", "B", ""])), (F.col("s") + 1).cast("int")))).alias("n"))
+
+
+@query("f3_list_argument", "select p_partkey, case when p_partkey % 3 = 0 then 0 else 1 + p_partkey % 3 end as items from part")
+def f3(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(U.list_column(F.when(k == 0, "").otherwise(F.array_join(F.array_repeat(F.lit("x"), (k + 1).cast("int")), ",")))).cast("long").alias("items"))
+
+
+@query("f4_duration", "select o_orderkey, o_orderkey % 3 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 59 as seconds from orders")
+def f4(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", U.duration_column(F.concat(F.lit("PT"), F.when(k % 3 > 0, F.concat((k % 3).cast("string"), F.lit("H"))).otherwise(""), (k % 60).cast("string"), F.lit("M"), (k % 59).cast("string"), F.lit("S"))).alias("seconds"))
+
+
+@query("f5_training_time", "select o_orderkey, cast(o_orderkey % 100 as double) as value, ['ep', 'ba', 'sp', 'tok'][o_orderkey % 4 + 1] as unit from orders")
+def f5(spark, sf_dir):
+    k = F.col("o_orderkey")
+    unit = F.element_at(F.array(*map(F.lit, ["ep", "ba", "sp", "tok"])), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", U.time_column(F.concat((k % 100).cast("string"), unit)).alias("t")).select("o_orderkey", "t.value", "t.unit")
+
+
+@query("f6_bytes_and_time", "select doc_id, n_chars / 250.0 as seconds, cast(floor(n_chars / 250.0 * 100) as bigint) as bytes from documents")
+def f6(spark, sf_dir):
+    seconds = F.col("n_chars") / F.lit(250.0)
+    return table(spark, sf_dir, "documents").select("doc_id", seconds.alias("seconds"), F.floor(seconds * 100).alias("bytes"))
+
+
+@query("f7_character_classes", "select doc_id, length(regexp_replace(text, '[^\\x20\\x09\\x0a\\x0d]', '', 'g')) as blanks, length(regexp_replace(text, '[^!-/:-@\\[-`{-~]', '', 'g')) as marks from documents where lang = 'en'")
+def f7(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_count("text", F.lit(r"[\t\n\r\p{Zs}]")).cast("long").alias("blanks"), F.regexp_count("text", F.lit(X.PUNCTUATION)).cast("long").alias("marks"))
+
+
+@query("f8_clean_text", "select doc_id, md5(regexp_replace(text, '[\\x09\\x0a\\x0d]', ' ', 'g')) as cleaned from documents where lang = 'en'")
+def f8(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(X.apart(X.clean(F.col("text")))).alias("cleaned"))
+
+
+@query("f9_strip_accents", "select doc_id, md5(strip_accents(text)) as plain from documents")
+def f9(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.without_accents("text")).alias("plain"))
+
+
+_TOKENS = "list_filter(string_split_regex(regexp_replace(lower(regexp_replace(text, '[\\x09\\x0a\\x0d]', ' ', 'g')), '([!-/:-@\\[-`{-~])', ' \\1 ', 'g'), ' +'), lambda t: t <> '')"
+
+
+@query("f11_basic_tokens", f"select doc_id, len(t) as n, md5(array_to_string(t, '|')) as tokens from (select doc_id, {_TOKENS} as t from documents where lang = 'en')")
+def f11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.basic_tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("tokens"))
+
+
+@query("f12_wordpieces")
+def f12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.basic_tokens(F.col("text"), accents=False).alias("t"))
+    vocabulary = {p + c for c in "abcdefghijklmnopqrstuvwxyz.,!" for p in ("", "##")} | {"the", "tion", "##tion", "th", "##th", "er", "##er", "##in", "in", "on", "##on"}
+    return docs.select("doc_id", X.wordpieces(F.col("t"), vocabulary).alias("p")).select("doc_id", F.size("p").alias("pieces"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
+
+
+@query("f15_scatter_labels", "select o_orderkey, array_to_string(list_transform(range(8), lambda i: case when i = o_orderkey % 8 then 2 when i = o_orderkey % 5 then 1 else -100 end), ',') as labels from orders")
+def f15(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array((k % 5).cast("int"), (k % 8).cast("int")).alias("at"), F.array(F.lit(1), F.lit(2)).alias("is"))
+    return rows.select("o_orderkey", F.array_join(X.scattered_labels(F.col("at"), F.col("is"), 8).cast("array<string>"), ",").alias("labels"))
+
+
+@query("f16_box_corners", "select o_orderkey, k % 50 / 100.0 as x0, k % 40 / 80.0 as y0, (k % 50 + k % 7 + 1) / 100.0 as x1, (k % 40 + k % 9 + 1) / 80.0 as y1 from (select o_orderkey, o_orderkey as k from orders)")
+def f16(spark, sf_dir):
+    k = F.col("o_orderkey")
+    box = table(spark, sf_dir, "orders").select("o_orderkey", F.array(k % 50, k % 40, k % 7 + 1, k % 9 + 1).alias("b"))
+    left, top, width, height = (F.get("b", F.lit(i)) for i in range(4))
+    return box.select("o_orderkey", (left / 100).alias("x0"), (top / 80).alias("y0"), ((left + width) / 100).alias("x1"), ((top + height) / 80).alias("y1"))
+
+
+@query("f17_cut_or_fill", "with w as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, md5(array_to_string(list_concat(w, list_transform(range(256), lambda i: '[PAD]'))[1:256], '|')) as tokens from w")
+def f17(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(X.cut_or_fill(F.split("text", " "), 256), "|")).alias("tokens"))
+
+
+@query("f19_relative_similarity", "select l_returnflag, round(1 - avg(abs(l_extendedprice - l_quantity * 1000) / greatest(l_extendedprice, l_quantity * 1000)), 9) as similarity from lineitem group by 1")
+def f19(spark, sf_dir):
+    a, b = F.col("l_extendedprice"), F.col("l_quantity") * 1000
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(1 - F.avg(F.abs(a - b) / F.greatest(a, b)), 9).alias("similarity"))
+
+
+@query("k4_hashes", "select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents")
+def k4(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+
+
+# Row generators
+
+_LINES = "l as (select page_id, unnest(string_split(html, '>')) as line, generate_subscripts(string_split(html, '>'), 1) - 1 as i from pages)"
+
+
+@query("t1_documents_from_lines", f"with {_LINES}, p as (select page_id, line, sum(case when trim(line) = '' then 1 else 0 end) over (partition by page_id order by i) as part from l) select page_id, part, count(*) as lines from p where trim(line) <> '' group by all")
+def t1(spark, sf_dir):
+    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("i", "line"))
+    return X.paragraphs(lines, ["page_id"], "i", "line").groupBy("page_id", "part").agg(F.count("*").alias("lines"))
+
+
+@query("t2_segment_pairs")
+def t2(spark, sf_dir):
+    from epochweave.operators.bert import instances
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", r"(?<=\.)\s"), lambda s: X.basic_tokens(s)).alias("sentences"))
+    return instances(docs, ["the", "of", "and", "in"], [["to", "be"], ["that", "is", "it"]]).select("doc_id", "copy", "number", F.size("tokens").alias("n_tokens"), F.size("labels").alias("n_labels"), "next_is_random")
+
+
+@query("t3_masked_count", "select doc_id, least(20, greatest(1, cast(round(len(string_split(text, ' ')) * 0.15) as integer))) as masked from documents")
+def t3(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.masked_count(F.size(F.split("text", " ")), 0.15, 20).alias("masked"))
+
+
+@query("t5_duplication", f"select doc_id, copy, {hexkey('copy', 'doc_id', 'copy')} as seed from documents, (select unnest(range(5)) as copy)")
+def t5(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("copy"))
+    return rows.withColumn("seed", key("copy", "doc_id", "copy"))
+
+
+@query("t6_pad_and_mask", "select doc_id, least(n, 128) as filled, 128 - least(n, 128) as padding from (select doc_id, len(string_split(text, ' ')) as n from documents)")
+def t6(spark, sf_dir):
+    tokens = X.cut_or_fill(F.split("text", " "), 128, "\x00")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(tokens, lambda t: t != "\x00")).cast("long").alias("filled"), F.size(F.filter(tokens, lambda t: t == "\x00")).cast("long").alias("padding"))
+
+
+@query("t8_input_ranges", "select i as cpu, i * 1003 // 16 as first, (i + 1) * 1003 // 16 as stop from (select unnest(range(16)) as i)")
+def t8(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(16).select(i.alias("cpu"), F.floor(i * 1003 / 16).alias("first"), F.floor((i + 1) * 1003 / 16).alias("stop"))
+
+
+@query("t9_rows_per_file", "select 'documents' as file, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'total', (select count(*) from documents) + (select count(*) from pages)")
+def t9(spark, sf_dir):
+    files = [table(spark, sf_dir, n).select(F.lit(n).alias("file")) for n in ("documents", "pages")]
+    return files[0].unionAll(files[1]).groupBy("file").agg(F.count("*").alias("n")).unionAll(files[0].unionAll(files[1]).select(F.lit("total").alias("file")).groupBy("file").agg(F.count("*").alias("n")))
+
+
+@query("c1_converted_rows", "select text, '2024-01-01T00:00:00Z' as timestamp, 'doc://' || source || '/' || doc_id as url from documents")
+def c1(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("text", F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.concat(F.lit("doc://"), "source", F.lit("/"), "doc_id").alias("url"))
+
+
+# Extensions on events that only Spark's engine brings: windows of event time
+
+
+@query("ext_tumbling_counts", "select time_bucket(interval '1 hour', ts) as begin, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
+def ext_tumbling(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("begin"), "event_type", "n", "total")
