@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
 #: The ranges of ideographs that are each a token.
@@ -23,7 +24,7 @@ def apart(c: Column) -> Column:
     return F.regexp_replace(c, f"({IDEOGRAPHS})", " $1 ")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def without_accents(text: pa.Array) -> pa.Array:
     """Decomposed, without combining marks."""
     return pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in text.to_pylist()], pa.string())

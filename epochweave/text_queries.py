@@ -58,11 +58,12 @@ def p9(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("j4_grouped_annotations", "select o_orderkey as image_id, o_totalprice as size, list(struct_pack(line := l_linenumber, part := l_partkey) order by l_linenumber, l_partkey) as annotations from orders join lineitem on o_orderkey = l_orderkey group by all")
+@query("j4_grouped_annotations", "select o_orderkey as image_id, o_totalprice as size, string_agg(l_linenumber || ':' || l_partkey, ',' order by l_linenumber, l_partkey) as annotations from orders join lineitem on o_orderkey = l_orderkey group by all")
 def j4(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")))).alias("annotations"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_totalprice").alias("size"))
-    return orders.join(lines, F.col("image_id") == F.col("l_orderkey")).drop("l_orderkey")
+    flat = F.array_join(F.transform("annotations", lambda a: F.concat_ws(":", a["line"], a["part"])), ",")
+    return orders.join(lines, F.col("image_id") == F.col("l_orderkey")).select("image_id", "size", flat.alias("annotations"))
 
 
 _WORDS = "words as (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents)"
