@@ -42,7 +42,8 @@ def as_matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
+    """Between unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
 def farthest_first(x: np.ndarray, most: int, radius: float = 0.0) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -66,19 +67,24 @@ class Node:
 
 
 def cover_tree(x: np.ndarray, rows: np.ndarray, whole: float) -> Node:
-    """Children cover their node at half its radius, or as far as FANOUT of them do. Nodes within `whole` aren't split."""
+    """Children cover their node at half its radius, or as far as FANOUT of them do.
+
+    Nodes within `whole` aren't split, nor those whose points stay about as far from the children's centres as they were.
+    """
     centre = x[rows[0]]
     out = Node(centre, float(distances(x[rows], centre[None])[:, 0].max()) + SLACK, rows)
     if len(rows) > LEAF and 2 * out.radius > whole:
-        _, nearest, _ = farthest_first(x[rows], FANOUT, out.radius / 2)
-        parts = [rows[nearest == k] for k in range(nearest.max() + 1)]
-        out.children = [cover_tree(x, p, whole) for p in parts if len(p)] if max(map(len, parts)) < len(rows) else []
+        _, nearest, far = farthest_first(x[rows], FANOUT, out.radius / 2)
+        if far.mean() < 0.6 * out.radius:
+            parts = [rows[nearest == k] for k in range(nearest.max() + 1)]
+            out.children = [cover_tree(x, p, whole) for p in parts if len(p)] if max(map(len, parts)) < len(rows) else []
     return out
 
 
 def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """How many others each row links with, and a forest of the links; rows of side 0 with side 1 if there is one, else all with all."""
     theta, counts, forest, edges = math.sqrt(2 - 2 * least), np.zeros(len(x), np.int64), Forest(), []
+    low = x.astype(np.float32)
 
     def join(a: int, b: int) -> None:
         if forest.join(a, b):
@@ -88,15 +94,25 @@ def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarr
         for i in range(0, len(p), 4 * LEAF):
             for j in range(i if same else 0, len(q), 4 * LEAF):
                 a, b = p[i : i + 4 * LEAF], q[j : j + 4 * LEAF]
-                r, c = np.nonzero(x[a] @ x[b].T >= least)
+                r, c = np.nonzero(low[a] @ low[b].T >= least - 1e-4)  # in single precision, with room for its error
                 r, c = a[r], b[c]
                 keep = (ids[r] != ids[c]) & (dims[r] == dims[c])
+                for k in range(0, len(r), 1 << 16):
+                    keep[k : k + (1 << 16)] &= np.einsum("ij,ij->i", x[r[k : k + (1 << 16)]], x[c[k : k + (1 << 16)]]) >= least
                 if same and i == j:
                     keep &= r < c
                 r, c = r[keep], c[keep]
                 np.add.at(counts, r, 1)
                 np.add.at(counts, c, 1)
-                for k, m in zip(r.tolist(), c.tolist(), strict=True):
+                for one in (r, c):  # each row with one partner first: then few pairs are still apart
+                    _, first = np.unique(one, return_index=True)
+                    for k, m in zip(r[first].tolist(), c[first].tolist(), strict=True):
+                        join(k, m)
+                top = np.arange(len(x))
+                for k in np.unique(np.concatenate([r, c])).tolist():
+                    top[k] = forest.root(k)
+                apart = top[r] != top[c]
+                for k, m in zip(r[apart].tolist(), c[apart].tolist(), strict=True):
                     join(k, m)
 
     def uniform(rows: np.ndarray) -> bool:
@@ -135,6 +151,24 @@ def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarr
     return counts, edges
 
 
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length one; without those that can't have it. They're scaled first, so that no square overflows."""
+    for batch in batches:
+        batch = batch.filter(batch.column(1).is_valid())
+        lengths = batch.column(1).value_lengths().to_numpy()
+        batch, lengths = batch.filter(pa.array(lengths > 0)), lengths[lengths > 0]
+        if not batch.num_rows:
+            continue
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        with np.errstate(all="ignore"):
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), first), lengths)
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, first)), lengths)
+        fine = np.logical_and.reduceat(np.isfinite(flat), first)
+        unit = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(flat)]]), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), unit], ["vec_id", "unit"]).filter(pa.array(fine))
+
+
 def _assigned(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +220,7 @@ def _linked(width: int, least: float):
     return run
 
 
-def embedding_near_dedup(embeddings: DataFrame, least: float = 0.9, block: int = 4096, sample: int = 2048, cells: int = 512) -> DataFrame:
+def embedding_near_dedup(embeddings: DataFrame, least: float = 0.9, block: int = 8192, sample: int = 2048, cells: int = 512) -> DataFrame:
     """Columns vec_id, n_links, component_id, kept: one row for each row of embeddings (vec_id, embedding).
 
     Vectors link whose cosine, in double precision, is at least `least` (0.5 at least). Null, empty and zero vectors, and those with
@@ -198,11 +232,8 @@ def embedding_near_dedup(embeddings: DataFrame, least: float = 0.9, block: int =
         raise ValueError("least must be within 0.5 and 1")
     spark = embeddings.sparkSession
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    top = F.array_max(F.transform("e", F.abs))  # scaled first, so that no square overflows
-    fine = ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (top > 0)
-    unit = every.where("vec_id is not null and size(e) > 0").where(fine).withColumn("e", F.transform("e", lambda v: v / top))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))
-    unit = written(unit.withColumn("norm", norm).select("vec_id", F.transform("e", lambda v: v / F.col("norm")).alias("unit"), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int").alias("part")), "units")
+    unit = every.where("vec_id is not null").mapInArrow(_normalised, "vec_id long, unit array<double>")
+    unit = written(unit.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int")), "units")
     n, width = unit.agg(F.count("*"), F.coalesce(F.max(F.size("unit")), F.lit(0))).first()
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
