@@ -1,0 +1,99 @@
+"""Streams: an epoch's samples as an unbounded feed, files taken in once each, and windows of event time."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+from epochweave.sources.shards import decode_row, load_shard, read_index
+
+
+class EpochFeedReader(SimpleDataSourceStreamReader):
+    """Rows of epoch after epoch in the order of their shards. The offset is {epoch, sample_in_epoch}, so a restart goes on exactly there."""
+
+    def __init__(self, options: dict) -> None:
+        self.folder, self.step = options["path"], int(options.get("samples_per_batch", "1000"))
+        self.shards = read_index(self.folder)
+        self.total = sum(s["samples"] for s in self.shards)
+        self.epochs = int(options.get("epochs", "1"))
+
+    def initialOffset(self) -> dict:
+        return {"epoch": 0, "sample_in_epoch": 0}
+
+    def _next(self, start: dict) -> dict:
+        stop = min(self.total, start["sample_in_epoch"] + self.step)
+        return {"epoch": start["epoch"], "sample_in_epoch": stop} if stop < self.total else {"epoch": start["epoch"] + 1, "sample_in_epoch": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if start["epoch"] >= self.epochs:
+            return iter([]), start
+        end = self._next(start)
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        rows, now = [], start
+        while now != end:
+            after = self._next(now)
+            stop = after["sample_in_epoch"] or self.total
+            first = 0
+            for shard in self.shards:
+                lo, hi = max(now["sample_in_epoch"], first), min(stop, first + shard["samples"])
+                if lo < hi:
+                    data = load_shard(self.folder, shard)
+                    rows += [(now["epoch"], i, json.dumps(decode_row(shard, data, i - first), default=str, sort_keys=True)) for i in range(lo, hi)]
+                first += shard["samples"]
+            now = after
+        return iter(rows)
+
+
+class EpochFeed(DataSource):
+    """Format "epoch_feed": options path, samples_per_batch, epochs."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "epoch_feed"
+
+    def schema(self) -> str:
+        return "epoch long, sample_id long, row string"
+
+    def simpleStreamReader(self, schema: T.StructType) -> EpochFeedReader:
+        return EpochFeedReader(self.options)
+
+
+def epoch_feed(spark: SparkSession, folder: str, samples_per_batch: int = 1000, epochs: int = 1) -> DataFrame:
+    spark.dataSource.register(EpochFeed)
+    return spark.readStream.format("epoch_feed").option("samples_per_batch", samples_per_batch).option("epochs", epochs).load(folder)
+
+
+def ingest(spark: SparkSession, source: str, schema: T.StructType | str, checkpoint: str, sink: Callable[[DataFrame, int], None], kind: str = "parquet"):
+    """Every file of a folder that hasn't been taken in yet, once: sink(rows, batch number). Returns the finished query."""
+    stream = spark.readStream.schema(schema).format(kind).load(source)
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """With a watermark; times without a zone count as the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts by window of event time and type; events later than `late` are left out when streaming."""
+    window = F.window("ts", size, slide) if slide else F.window("ts", size)
+    return _timed(events, late).groupBy(window.alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
+    """Each user's sessions: runs of events with no pause longer than the gap."""
+    return _timed(events, late).groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count("*").alias("n"))
+
+
+def without_repeats(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The first of events with one id within the watermark."""
+    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])

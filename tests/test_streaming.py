@@ -1,0 +1,75 @@
+"""Feeds, ingestion and windows of event time, and the other extension points."""
+
+import pytest
+
+from epochweave.operators.convert import as_layout, images_with_boxes, write_converted
+from epochweave.sources.registry import build, retry, source
+from epochweave.sources.shards import read_shards, write_shards
+from epochweave.streaming.feed import epoch_feed, ingest, sessions, windowed_counts, without_repeats
+
+EVENTS = "/root/testdata/sf0.001/events.parquet"
+
+
+def test_feed_gives_each_sample_once_an_epoch(spark, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    write_shards(spark.range(25).withColumnRenamed("id", "n").coalesce(1), folder, size_limit="1kb")
+    query = epoch_feed(spark, folder, samples_per_batch=10, epochs=2).writeStream.format("memory").queryName("feed").option("checkpointLocation", f"{tmp_path}/c").start()
+    query.processAllAvailable()
+    for _ in range(60):
+        if spark.table("feed").count() >= 50:
+            break
+        query.processAllAvailable()
+    query.stop()
+    rows = spark.table("feed").collect()
+    assert sorted((r.epoch, r.sample_id) for r in rows) == [(e, i) for e in range(2) for i in range(25)]
+
+
+def test_ingest_takes_each_file_once(spark, tmp_path):
+    source_dir, out, seen = f"{tmp_path}/in", f"{tmp_path}/out", []
+    take = lambda: ingest(spark, source_dir, "id long", f"{tmp_path}/c", lambda df, n: seen.append(df.count()) or df.write.mode("append").parquet(out))
+    spark.range(10).write.parquet(source_dir)
+    take()
+    spark.range(10, 14).write.mode("append").parquet(source_dir)
+    take()
+    take()
+    assert spark.read.parquet(out).count() == 14 and sum(seen) == 14
+
+
+def test_event_windows(spark):
+    events = spark.read.parquet(EVENTS)
+    n = events.count()
+    assert sum(r.n for r in windowed_counts(events).collect()) == n == sum(r.n for r in sessions(events).collect())
+    assert sum(r.n for r in windowed_counts(events, slide="30 minutes").collect()) == 2 * n
+    stream = spark.readStream.schema(events.schema).parquet(EVENTS.rsplit("/", 1)[0] + "/event*.parquet")
+    query = without_repeats(stream).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("once").count() == events.dropDuplicates(["event_id"]).count()
+
+
+def test_extension_points(spark, tmp_path):
+    @source("numbers")
+    def numbers(spark, n):
+        return spark.range(n)
+
+    assert build("numbers", spark, n=3).count() == 3
+    with pytest.raises(KeyError):
+        build("none", spark)
+    calls = []
+
+    @retry((ValueError,), 3, 0, 0)
+    def late():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ValueError
+        return 7
+
+    assert late() == 7
+    docs = spark.createDataFrame([("a", "x"), (None, "y")], "body string, url string")
+    assert [tuple(r) for r in as_layout(docs, "plain_text", text="body").collect()] == [("a",), ("",)]
+    folder = f"file://{tmp_path}/converted"
+    write_converted(spark.range(4), folder, {"n": "int", "s": "str"}, lambda pdf: [{"n": int(i), "s": "x" * i} for i in pdf["id"] if i], "n long, s string")
+    assert sorted((r.n, r.s) for r in read_shards(spark, folder).collect()) == [(1, "x"), (2, "xx"), (3, "xxx")]
+    images = spark.createDataFrame([(1, b"a", 10, 20), (2, b"b", 10, 20)], "img_id long, img binary, htot int, wtot int")
+    boxes = spark.createDataFrame([(1, "cat", 2.0, 1.0, 4.0, 5.0)], "img_id long, class_name string, left double, top double, width double, height double")
+    out = images_with_boxes(images, boxes, spark.createDataFrame([("cat", 3)], "class_name string, class_id int")).collect()
+    assert len(out) == 1 and out[0].bbox_sizes == [[0.1, 0.1, 0.3, 0.6]] and out[0].bbox_labels == [3]
