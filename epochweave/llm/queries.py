@@ -68,6 +68,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op9_secret_scan, op10_chat_formatting)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), shingles as (
+            select distinct doc_id, array_to_string(w[i : i + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from words where len(w) > 0)
+        ), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as o from shingles a join shingles b using (g) where a.doc_id <> b.doc_id group by all),
+        links as (
+            select a, b from shared join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * o >= 90 * (x.n + y.n - o)
+        ), reach as (select a as node, b as other from links union select r.node, l.b from reach r join links l on r.other = l.a)
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+        from documents left join sizes using (doc_id) left join (select node as doc_id, min(other) as m from reach group by node) using (doc_id)
+    """,
     "op3_embedding_near_dedup": """
         with recursive v as (
             select vec_id, cast(embedding as double[]) as e from embeddings
