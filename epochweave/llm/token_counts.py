@@ -91,4 +91,5 @@ def document_token_counts(docs: DataFrame, vocabulary: str, end: int, dtype: str
     if not places.take(1):
         return places.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
     counts = count_tokens(docs.sparkSession, folder, end, dtype, block_tokens)
-    return places.join(counts, ["file", "place"]).select("doc_id", "n_tokens")
+    # both grow with the documents; a table of few bytes on disk may be large in memory, so neither is broadcast
+    return places.join(counts.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens")
