@@ -123,3 +123,12 @@ def test_units():
 def test_cache_lets_the_oldest_go():
     c = Cache(100)
     assert [c.use(1, 50), c.use(2, 50), c.use(1, 50), c.use(3, 50), c.use(1, 50), c.use(2, 50)] == [50, 50, 0, 50, 0, 50]
+
+
+def test_arrays_as_bytes(spark):
+    from epochweave.functions.binary import KINDS, pack, unpack
+
+    for dtype in KINDS:
+        df = spark.createDataFrame([([1, 2, 300],), ([],), (None,)], "v array<int>").select(pack("v", dtype).alias("b"))
+        assert [r.v for r in df.select(unpack("b", dtype).alias("v")).collect()] == [[1, 2, 300], [], None]
+    assert bytes(spark.createDataFrame([([1],)], "v array<int>").select(pack("v", "int32").alias("b")).first().b) == b"\1\0\0\0"
