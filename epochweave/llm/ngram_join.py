@@ -2,15 +2,20 @@
 
 The join is a sparse matrix product of the document by n-gram incidence matrix with its transpose, done in blocks:
 
-1. Sizes fall into bands, each reaching from n to n / threshold, so linked documents lie in one band or in two neighbours. Two
-   sets of at most n and m n-grams that link differ in at most (n + m)(1 - t)/(1 + t) of them. With more buckets of n-grams than
-   that, one bucket is the same in both: its hash is a key they share. (Where buckets may be empty, some spare ones are added, and
-   documents with more empty buckets than spare ones share a key of their own.) So no link is lost, and unlike texts rarely meet.
-2. Documents that share keys, directly or over others, are a block. A block of over BLOCK n-grams is cut by band and hash, and
-   only those pairs of parts are multiplied whose sizes can link.
-3. In a pair of parts, columns are ordered by how rare they are; overlap counts accumulate over the rows' prefixes that the size
-   bound leaves, then in full for the pairs that are left, and pairs below the bound of their sizes are dropped. Pairs already
-   joined through others aren't looked at, so a block of n like documents returns n - 1 links, not all pairs.
+1. Each set gives out keys so that any two sets that link share one, in one of two ways. Both work within bands of sizes, each from n
+   to n / t, so that partners are in one band or two neighbours.
+   At a threshold t of WHOLE_PARTS percent or more: sets that link differ in at most (n + m)(1 - t)/(1 + t) n-grams. With more parts
+   of the columns than that, one part is the same in both, and its hash is the key. (Where parts may be empty, some spare ones are
+   added, and sets with more empty parts than spare ones share a key of their own.) Parts hold 9 n-grams or more, so that neither a
+   chance n-gram nor a passage that many documents share makes unlike sets meet.
+   Below that, parts would be too small for this. Then columns are put in one order for all, by how common they are, then by hash. Two
+   sets that link share one of the first n - ceil(t n) + 1 of each, so these are the keys, and n-grams that many documents share come
+   last. How common an n-gram is, is counted over all documents in 2**SLOTS counters by hash, a table of fixed size; where n-grams
+   share a counter only the order changes, not the links.
+2. Documents that meet, directly or over others, are a block. A block of over BLOCK n-grams is cut by band and hash, and only pairs of parts are multiplied whose sizes can link.
+3. In a pair of parts overlap counts accumulate over the rows' first columns, then in full for the pairs that are left, and pairs
+   below the bound of their sizes are dropped. Pairs already joined through others aren't looked at, so a block of n like documents
+   returns n - 1 links, not all pairs.
 
 Equal sets are one row of the matrix. Nothing is sampled or capped. Sets are recomputed from text where they're needed, since
 text is smaller than its hashes.
@@ -19,19 +24,24 @@ text is smaller than its hashes.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochweave.llm.components import Forest, connected_components
-from epochweave.llm.shared import discard, grouped, id_and_text, written
+from epochweave.llm.shared import discard, grouped, id_and_text, small_batches, written
 from epochweave.llm.words import mix, shingle_sets, signature, signed, slices
 
 BLOCK = 1 << 19
+WHOLE_PARTS = 90
+SLOTS = 22
+PARTS = 64
 
 
 def bands(percent: int, upto: int = 1 << 40) -> list[int]:
@@ -51,7 +61,11 @@ def buckets(percent: int, band: int) -> tuple[int, int]:
     for spare in range(most + 2):
         k = most + 1 + spare
         mean = k * math.exp(-edges[band] / k)
-        if 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(spare + 1)) < 1e-3:
+        chance, upto = math.exp(-mean), 0.0
+        for i in range(spare + 1):
+            upto += chance
+            chance *= mean / (i + 1)
+        if upto > 1 - 1e-3:
             break
     return k, spare
 
@@ -67,6 +81,44 @@ def keys(s: np.ndarray, band: int, percent: int) -> np.ndarray:
     return mix(out)
 
 
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The columns of a set that meet all its partners: its rarest, as many as its size asks for."""
+    n = len(s) - -(-percent * len(s) // 100) + 1
+    rarity = counts[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]
+    return s[np.lexsort((s, rarity))[:n]]
+
+
+def _counted(n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOTS, np.uint32)
+        for batch in slices(batches):
+            for s in shingle_sets(batch.column(1), n_words):
+                np.add.at(counts, (s >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
+        parts = counts.reshape(PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[part] = sums.get(part, np.zeros(1, np.uint32)) + np.frombuffer(zlib.decompress(counts), np.uint32)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
+
+
+def column_counts(docs: DataFrame, n_words: int) -> np.ndarray:
+    """How many documents have a column, by the first bits of its hash: 2**SLOTS numbers, whatever the input."""
+    kind = "part int, counts binary"
+    rows = docs.mapInArrow(_counted(n_words), kind).repartition(PARTS, "part").mapInArrow(_summed, kind).collect()  # 4 bytes for each of 2**SLOTS
+    out = np.zeros((PARTS, (1 << SLOTS) // PARTS), np.uint32)
+    for r in rows:
+        out[r.part] = np.frombuffer(r.counts, np.uint32)
+    return out.ravel()
+
+
 def _summaries(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -77,7 +129,7 @@ def _summaries(n_words: int):
     return run
 
 
-def _entries(n_words: int, percent: int):
+def _entries(n_words: int, percent: int, counts: Broadcast | None):
     edges = np.array(bands(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +139,12 @@ def _entries(n_words: int, percent: int):
             for doc, s in zip(ids.tolist(), shingle_sets(batch.column(1), n_words), strict=True):
                 if len(s):
                     band = int(np.searchsorted(edges, len(s), "right")) - 1
-                    own = [mix(np.array([x & (2**64 - 1) for x in signature(s)], np.uint64)).sum(keepdims=True)]
-                    own += [keys(s, x, percent) for x in ((band, band - 1) if band else (band,)) if len(s) >= 100 // (100 - percent) - 1]
+                    if counts is None:
+                        own = [mix(np.array(signature(s), np.int64).view(np.uint64)).sum(keepdims=True)]  # equal sets, which are all that small ones link with
+                        own += [keys(s, b, percent) for b in ((band, band - 1) if band else (band,)) if len(s) >= 100 // (100 - percent) - 1]
+                    else:
+                        first = prefix(s, counts.value, percent)
+                        own = [mix(first ^ mix(np.array([b + 1], np.uint64))) for b in (band, band - 1)]
                     all_keys += own
                     owners.append(np.full(sum(map(len, own)), doc))
             if not owners:
@@ -189,7 +245,7 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
     row = lambda task, side: F.struct(task.alias("task"), side.cast("int").alias("side"))
     tasks = F.concat(
         F.transform(upto(in_band(0)), lambda j: row(name(band, F.least(part, j), band, F.greatest(part, j)), F.when(j < part, 1).otherwise(0))),
-        F.transform(upto(in_band(1)), lambda j: row(name(band, part, band + 1, j), F.lit(0))),
+        F.transform(upto(F.when(in_band(0) > 0, in_band(1)).otherwise(0)), lambda j: row(name(band, part, band + 1, j), F.lit(0))),
         F.transform(upto(in_band(-1)), lambda j: row(name(band - 1, j, band, part), F.lit(1))),
     )
     cut = cut.select("doc_id", F.explode(tasks).alias("t")).select("t.task", "doc_id", "t.side")
@@ -204,10 +260,15 @@ def ngram_jaccard_join(docs: DataFrame, n_words: int = 3, percent: int = 90, blo
     without words has none and links with nothing. A null doc_id gets a row with its count and no component. Rows that repeat an
     id are one document that links by any of their texts. Other columns are left aside.
     """
-    docs = id_and_text(docs)
+    with small_batches(docs.sparkSession):  # every pass over texts ends within
+        return _joined(id_and_text(docs), n_words, percent, block)
+
+
+def _joined(docs: DataFrame, n_words: int, percent: int, block: int) -> DataFrame:
     summaries = written(docs.mapInArrow(_summaries(n_words), "doc_id long, n_shingles long, sign1 long, sign2 long"), "sets")
     known = docs.where("doc_id is not null")
-    near = known.mapInArrow(_entries(n_words, percent), "key long, doc long")
+    counts = docs.sparkSession.sparkContext.broadcast(column_counts(known, n_words)) if percent < WHOLE_PARTS else None
+    near = known.mapInArrow(_entries(n_words, percent, counts), "key long, doc long")
     star = near.select(F.col("doc").alias("a"), F.min("doc").over(Window.partitionBy("key")).alias("b")).where("a <> b")
     clusters = written(connected_components(star).toDF("doc_id", "cluster"), "clusters")
 
