@@ -1,17 +1,18 @@
 """Benchmark decontamination: passages of benchmark items in documents, by edit distance.
 
-A CGK embedding reads a sequence by a random walk: each step gives out the word it stands on and goes on by that word's random bit
-for the step. Sequences at a small edit distance soon walk in step, so that their embeddings differ in few places (a small Hamming
-distance). An LSH key is a sample of the embedding's steps. Every word of a document begins a window of an item's size; keys of
-windows are compared with keys of the items (embedded from each of their words, so that samples cover the whole item), for several
-independent walks. Walks whose first sampled steps are no item's aren't walked on. Each candidate's place is then verified: the
-smallest edit distance, in characters of normalised text, between the item and any part of the window around that place.
+Every filter is exact, so that no passage within the distance is lost. An item that may differ in k characters is cut into k // 2 + 1
+pieces: in any such passage one piece at least has one edit or none. All strings at most one edit from a piece are listed (an index of
+keys and a bit table), and every place of a document is looked up in it, by characters of normalised text. What is found is checked
+upwards: g pieces side by side may have 2g - 1 edits, and if an item is within k, then so are some piece, a pair and a group of pieces
+that each hold the one before (bit-parallel, for all places at once). Places that are left are verified: the smallest edit distance,
+in characters, between the item and any part of the window around that place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,127 +20,205 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochweave.llm.shared import id_and_text
-from epochweave.llm.words import Words, lower_table, mix, slices
+from epochweave.llm.words import Words, classes, lower_table, slices
 
 HITS = "array<struct<item_id:long,distance:int,item_chars:int,begin_word:long>>"
-STEPS = 18
-BITS = 22
+BITS = 26
+LONGEST = 10
+BUCKET = 32
+LEVELS = (2, 6)
+AT_ONCE = 1 << 16
+LETTERS = 39
+SPACE, OTHER = 1, 38
 
 
 @dataclass
-class Walk:
-    """One random walk: its seed, the sampled steps, and for each depth the items' keys so far and what they lead to."""
+class Items:
+    ids: list[int]
+    texts: list[str]
+
+
+@dataclass
+class Groups:
+    """Pieces side by side: where each begins in its item, its length and edits, and for each code the bits of where it stands."""
 
-    seed: int
-    steps: list[int]
-    filters: list[np.ndarray] = field(default_factory=list)
-    ends: list[dict[int, list[tuple[int, int]]]] = field(default_factory=list)
+    begin: np.ndarray
+    length: np.ndarray
+    edits: np.ndarray
+    stands: np.ndarray
 
 
 @dataclass
-class Items:
-    ids: list[int]
-    texts: list[str]
-    n_words: list[int]
-    walks: list[Walk]
-
-
-def sampled(seed: int, n: int = 6) -> list[int]:
-    """n of STEPS steps, one from each equal part."""
-    rng, width = np.random.default_rng(seed), STEPS // n
-    return [int(i * width + (rng.integers(width) if i else 0)) for i in range(n)]
-
-
-def _fold(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (key ^ word) * np.uint64(0x9E3779B97F4A7C15) ^ (key >> np.uint64(29))
-
-
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _bits(hashes: np.ndarray, seed: int) -> np.ndarray:
-    return mix(hashes ^ np.uint64((seed + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
-
-
-def _normal(words: Words, a: int, b: int) -> str:
-    low = lower_table()
-    return b" ".join(low[words.raw[s:e]].tobytes() for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True)).decode("utf-8", "replace")
-
-
-def prepare(item_ids: list[int], texts: list[str | None], repeats: int = 3) -> Items:
-    """The items' keys. A walk that would leave its item ends there; only items too short for any whole walk get such shorter keys."""
-    words = Words(pa.array(texts, pa.string()), "punctuation")
-    spans = list(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True))
-    out = Items(item_ids, [_normal(words, a, b) for a, b in spans], [b - a for a, b in spans], [])
-    for r in range(repeats):
-        walk = Walk(r, sampled(r))
-        bits = _bits(words.hashes, r)
-        keys: list[dict[int, set]] = [{} for _ in walk.steps]
-        for item, (a, b) in enumerate(spans):
-            found = []
-            for start in range(a, b):
-                at, key, chain = start, np.zeros(1, np.uint64), []
-                for t in range(STEPS):
-                    if at >= b:
-                        break
-                    if t in walk.steps:
-                        key = _fold(key, words.hashes[at : at + 1])
-                        chain.append(int(key[0]))
-                    at += int(bits[at] >> np.uint64(t)) & 1
-                found.append((start - a, chain))
-            deepest = max((len(c) for _, c in found), default=0)
-            for offset, chain in found:
-                if len(chain) == deepest:
-                    for depth, key in enumerate(chain):
-                        keys[depth].setdefault(key, set()).update([(item, offset)] if depth == deepest - 1 else [])
-        for level in keys:
-            table = np.zeros(1 << BITS, bool)
-            if level:
-                table[_slot(np.array(list(level), np.uint64))] = True
-            walk.filters.append(np.packbits(table))
-            walk.ends.append({k: sorted(v) for k, v in level.items() if v})
-        out.walks.append(walk)
-    return out
+class Index:
+    """Pieces (item, offset, group at each level) and, by length, strings near them: keys, sorted, the piece of each, and the bits of all."""
 
+    item: np.ndarray
+    offset: np.ndarray
+    group: list[np.ndarray]
+    groups: list[Groups]
+    keys: dict[int, np.ndarray]
+    pieces: dict[int, np.ndarray]
+    bits: np.ndarray
 
-def candidates(hashes: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
-    """(place, item, offset): the window at a place of a text's words has a key of the item's window at an offset."""
-    n = len(hashes)
-    padded = np.concatenate([hashes, np.zeros(STEPS + 1, np.uint64)])
-    for walk in items.walks:
-        bits = np.concatenate([_bits(hashes, walk.seed), np.zeros(STEPS + 1, np.uint64)])
-        start = np.arange(n)
-        at, key, depth = start, np.zeros(n, np.uint64), 0
-        for t in range(walk.steps[-1] + 1):
-            if t == walk.steps[depth]:
-                key = _fold(key, padded[at])
-                slot = _slot(key)
-                table = walk.filters[depth]
-                live = (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
-                live = np.flatnonzero(live)
-                start, at, key = start[live], at[live], key[live]
-                if ends := walk.ends[depth]:
-                    for place, k in zip(start.tolist(), key.tolist(), strict=True):
-                        for item, offset in ends.get(k, ()):
-                            yield place, item, offset
-                depth += 1
-                if depth == len(walk.steps) or not len(start):
-                    break
-            at = at + ((bits[at] >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
 
+def normal(column: pa.Array) -> tuple[str, np.ndarray]:
+    """All rows' words, lower case, each with a space behind it, or a line feed behind a row's last; for each row and one more, its first word."""
+    words = Words(column, "punctuation")
+    out = np.full(int((words.ends - words.starts + 1).sum()), 32, np.uint8)
+    behind = np.cumsum(words.ends - words.starts + 1) - 1
+    letters = np.ones(len(out), bool)
+    letters[behind] = False
+    out[letters] = lower_table()[words.raw[classes("punctuation")[words.raw]]]
+    last = words.first[1:][words.first[1:] > words.first[:-1]] - 1
+    out[behind[last]] = 10
+    return out.tobytes().decode("utf-8", "replace"), words.first
+
+
+def codes(text: str) -> np.ndarray:
+    """Six bits a character: 0 between rows, the space, letters, digits, and one code for all characters beyond ASCII."""
+    table = np.full(129, OTHER, np.uint8)
+    table[10], table[32], table[97:123], table[48:58] = 0, SPACE, np.arange(2, 28), np.arange(28, 38)
+    return table[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 128)]
+
+
+def grams(code: np.ndarray) -> np.ndarray:
+    """The LONGEST characters from each place on that has them, six bits each."""
+    out, have = code.astype(np.uint64), 1
+    while have < LONGEST:
+        step = min(have, LONGEST - have)
+        out, have = out[:-step] | (out[step:] << np.uint64(6 * step)), have + step
+    return out
 
-def edit_distance_within(pattern: str, text: str) -> int:
-    """The smallest edit distance between the pattern and any part of the text (bit-parallel, column by column)."""
+
+def _slot(key: np.ndarray, length: int) -> np.ndarray:
+    return ((key + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * length & (1 << 64) - 1) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def prepare(item_ids: list[int], texts: list[str | None]) -> Items:
+    """The items with words, and their normalised texts."""
+    text, first = normal(pa.array(texts, pa.string()))
+    rows = iter(text.split("\n"))
+    found = [(i, next(rows)) for i, a, b in zip(item_ids, first[:-1], first[1:], strict=True) if b > a]
+    return Items([i for i, _ in found], [t for _, t in found])
+
+
+def _near(piece: np.ndarray, n: int, edits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, keys of that length, one for each piece): one at least is in every string with at most so many edits (0 or 1) to a piece of n."""
+    low = lambda j: piece & np.uint64((1 << 6 * j) - 1)
+    high = lambda j: piece >> np.uint64(6 * j) << np.uint64(6 * j)
+    if not edits:
+        yield n, piece
+        return
+    for j in range(n):  # edits of the first or last character are in these
+        yield n - 1, low(j) | (high(j + 1) >> np.uint64(6))
+    for c in range(1, LETTERS):
+        for j in range(1, n - 1):
+            yield n, low(j) | np.uint64(c << 6 * j) | high(j + 1)
+        for j in range(1, n):
+            yield min(n + 1, LONGEST), (low(j) | np.uint64(c << 6 * j) | (high(j) << np.uint64(6))) & np.uint64((1 << 6 * LONGEST) - 1)
+
+
+@lru_cache(maxsize=1)
+def index(texts: tuple[str, ...], share: float) -> Index:
+    item, offset, group, whole, kinds = [], [], [[] for _ in LEVELS], [[] for _ in LEVELS], {}
+    for i, text in enumerate(texts):
+        code, k = codes(text), int(share * len(text))
+        n = k // 2 + 1
+        bounds = [len(text) * j // n for j in range(n + 1)]
+        for level, size in enumerate(LEVELS):
+            for j in range(n):
+                if j % size == 0:
+                    upto = min(j + size, n)
+                    whole[level].append((bounds[j], code[bounds[j] : bounds[upto]], min(2 * (upto - j) - 1, k)))
+                group[level].append(len(whole[level]) - 1)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            b = min(b, a + LONGEST)  # of a longer piece its beginning
+            kinds.setdefault((b - a, min(k, 1)), []).append((len(item), sum(int(c) << 6 * j for j, c in enumerate(code[a:b].tolist()))))
+            item.append(i)
+            offset.append(a)
+    found: dict[int, list] = {}
+    for (n, edits), rows in kinds.items():
+        which = np.array([r for r, _ in rows], np.int32)
+        for length, key in _near(np.array([r for _, r in rows], np.uint64), n, edits):
+            found.setdefault(length, []).append((key, which))
+    keys, pieces, bits = {}, {}, np.zeros(1 << BITS, bool)
+    for length, parts in found.items():
+        key, piece = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort([piece, key])
+        key, piece = key[order], piece[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
+        keys[length], pieces[length] = key[new], piece[new]
+        bits[_slot(keys[length], length)] = True
+    groups = []
+    for own in whole:
+        stands = np.zeros((len(own), LETTERS), np.uint64)
+        for g, (_, code, _) in enumerate(own):
+            for j, c in enumerate(code[:64].tolist()):
+                stands[g, c] |= np.uint64(1 << j)
+        groups.append(Groups(*(np.array(x, np.int64) for x in ([b for b, _, _ in own], [len(c) for _, c, _ in own], [e for _, _, e in own])), stands))
+    return Index(np.array(item, np.int64), np.array(offset, np.int64), [np.array(g, np.int64) for g in group], groups, keys, pieces, np.packbits(bits))
+
+
+def _within(code: np.ndarray, place: np.ndarray, group: np.ndarray, groups: Groups) -> np.ndarray:
+    """Whether the text has the group within its edits, if it begins at the place, give or take these; groups of over 64 characters pass."""
+    length, edits, one = groups.length[group], groups.edits[group], np.uint64(1)
+    top = np.minimum(length - 1, 63).astype(np.uint64)
+    up, down, score, best = np.full(len(place), 2**64 - 1, np.uint64), np.zeros(len(place), np.uint64), length.astype(np.int32), length.astype(np.int32)
+    stands, row, where = groups.stands.ravel(), group * LETTERS, place - edits
+    for t in range(int((length + 2 * edits).max(initial=0))):
+        x = stands[row + code.take(where + t, mode="clip")] | down
+        d0 = (((x & up) + up) ^ up) | x
+        hp, hn = down | ~(d0 | up), up & d0
+        score += ((hp >> top) & one).astype(np.int32)
+        score -= ((hn >> top) & one).astype(np.int32)
+        hp, hn = hp << one, hn << one
+        up, down = hn | ~(d0 | hp), hp & d0
+        np.minimum(best, score, out=best)
+    return (best <= edits) | (length > 64)
+
+
+def _looked_up(code: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pieces, where in the text their items might begin)."""
+    code = np.concatenate([code, np.zeros(LONGEST - 1, np.uint8)])
+    for at in range(0, len(code), AT_ONCE):
+        full = grams(code[at : at + AT_ONCE + LONGEST - 1])
+        for length, keys in index.keys.items():
+            key = full & np.uint64((1 << 6 * length) - 1)
+            slot = _slot(key, length)
+            place = np.flatnonzero((index.bits[slot >> 3] << (slot & 7).astype(np.uint8)) & 128)
+            key = key[place]
+            low = np.searchsorted(keys, key)
+            real = keys.take(low, mode="clip") == key
+            place, low, key = place[real], low[real], key[real]
+            n = np.searchsorted(keys, key, "right") - low
+            piece = index.pieces[length][np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            yield piece, np.repeat(place + at, n) - index.offset[piece]
+
+
+def candidates(code: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(items, places): where in the text each item might begin, give or take its edits."""
+    found = [(piece.astype(np.int64) << 40) + place + (1 << 38) for piece, place in _looked_up(code, index)]
+    found = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+    piece, place = found >> 40, (found & ((1 << 40) - 1)) - (1 << 38)
+    for group, groups in zip(index.group, index.groups, strict=True):
+        some = [slice(a, a + (1 << 14)) for a in range(0, len(piece), 1 << 14)]
+        left = np.concatenate([np.zeros(0, bool), *(_within(code, place[c] + groups.begin[group[piece[c]]], group[piece[c]], groups) for c in some)])
+        piece, place = piece[left], place[left]
+    return index.item[piece], place
+
+
+def _search(pattern: str, text: str) -> tuple[int, int]:
+    """The smallest edit distance between the pattern and any part of the text, and where such a part ends (bit-parallel, column by column)."""
     m = len(pattern)
     if not m:
-        return 0
+        return 0, 0
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
-    for c in text:
+    up, down, score, best, end = full, 0, m, m, 0
+    for at, c in enumerate(text, 1):
         eq = peq.get(c, 0)
         x = eq | down
         d0 = (((x & up) + up) ^ up) | x
@@ -152,31 +231,50 @@ def edit_distance_within(pattern: str, text: str) -> int:
         hp, hn = (hp << 1) & full, (hn << 1) & full
         up, down = hn | (full & ~(d0 | hp)), hp & d0
         if score < best:
-            best = score
-    return best
+            best, end = score, at
+    return best, end
+
+
+def edit_distance_within(pattern: str, text: str) -> int:
+    """The smallest edit distance between the pattern and any part of the text."""
+    return _search(pattern, text)[0]
+
+
+def _likely(code: np.ndarray, index: Index) -> Iterator[tuple[int, int]]:
+    """(item, place): each item with where it might begin, in steps of BUCKET."""
+    item, place = candidates(code, index)
+    found = np.unique(item << 40 | (place + (1 << 38)) // BUCKET)
+    yield from zip((found >> 40).tolist(), ((found & ((1 << 40) - 1)) * BUCKET - (1 << 38)).tolist(), strict=True)
 
 
 def find(column: pa.Array, items: Items, share: float) -> list[list[dict]]:
-    """For each text the items of which it has a passage, with the smallest distance found."""
-    words = Words(column, "punctuation")
-    near: dict[tuple[int, int], set[int]] = {}
-    row_of = np.searchsorted(words.first, np.arange(len(words.hashes)), "right") - 1
-    for place, item, offset in candidates(words.hashes, items):
-        near.setdefault((int(row_of[place]), item), set()).add((place - offset) >> 2)
+    """For each text the items of which it has a passage, with the smallest distance and where that passage begins."""
     out: list[list[dict]] = [[] for _ in range(len(column))]
-    for (row, item), places in sorted(near.items()):
-        n, text, best = items.n_words[item], items.texts[item], None
-        slack = 4 + int(n * share)
-        for place in sorted(places):
-            a = max(int(words.first[row]), (place << 2) - slack)
-            b = min(int(words.first[row + 1]), (place << 2) + 4 + n + slack)
-            d = edit_distance_within(text, _normal(words, a, b))
-            if d <= share * len(text) and (best is None or d < best[0]):
-                best = (d, max(a, min(place << 2, b)) - int(words.first[row]))
-                if not d:
-                    break
-        if best:
-            out[row].append({"item_id": items.ids[item], "distance": best[0], "item_chars": len(text), "begin_word": best[1]})
+    text, first_word = normal(column)
+    if not text or not items.ids:
+        return out
+    code = codes(text)
+    behind = np.flatnonzero(code <= SPACE)  # behind each word
+    last = first_word[1:][first_word[1:] > first_word[:-1]] - 1
+    rows, ends = np.flatnonzero(first_word[1:] > first_word[:-1]), behind[last]
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for item, place in _likely(code, index(tuple(items.texts), share)):
+        pattern = items.texts[item]
+        k = int(share * len(pattern))
+        low, high = place - k, place + len(pattern) + k + BUCKET
+        for n in range(int(np.searchsorted(ends, low)), int(np.searchsorted(starts, high))):
+            old = best.get((int(rows[n]), item))
+            if old and not old[0]:
+                continue
+            a = max(int(starts[n]), low)
+            window = text[a : min(int(ends[n]), high)]
+            d, end = _search(pattern, window)
+            if d <= k and (old is None or d < old[0]):
+                begin = a + end - _search(pattern[::-1], window[:end][::-1])[1]
+                best[int(rows[n]), item] = d, int(np.searchsorted(behind, begin)) - int(first_word[rows[n]])
+    for (row, item), (d, begin) in sorted(best.items()):
+        out[row].append({"item_id": items.ids[item], "distance": d, "item_chars": len(items.texts[item]), "begin_word": begin})
     return out
 
 
@@ -192,7 +290,7 @@ def passages(text: Column, items: Items, share: float = 0.2) -> Column:
     return hits(text)
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = 1 << 20) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, block_chars: int = 1 << 17) -> Iterator[Items]:
     """The benchmark in blocks of about block_chars characters, each small enough to go to every task."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

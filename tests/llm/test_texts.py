@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from epochweave.llm.chat import escape, format_chats, read_chats, unescape
-from epochweave.llm.decontaminate import contaminated_passages, edit_distance_within, prepare, without_contaminated
+from epochweave.llm.decontaminate import contaminated_passages, edit_distance_within, find, prepare, without_contaminated
 from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.packing import best_fit, best_fit_packing
 from epochweave.llm.quality import classify_quality
@@ -112,6 +112,24 @@ def test_decontamination_finds_edited_passages(spark):
     assert contaminated_passages(frame, bench.limit(0)).count() == 0 and contaminated_passages(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.19, 0.2])
+def test_decontamination_finds_character_edits(rate):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeéñ1") for _ in range(rng.randrange(2, 9)))
+    items = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    texts = []
+    for item in items:
+        chars = list(item)
+        for at in sorted(rng.sample(range(len(chars)), int(rate * len(chars))), reverse=True):
+            chars[at : at + 1] = rng.choice([[], ["q"], ["q", chars[at]], ["q"]])  # letters only, also in place of spaces
+        texts.append(" ".join(word() for _ in range(rng.randrange(3))) + " " + "".join(chars) + " " + word())
+    texts += [None, "", " ".join(word() for _ in range(300))]
+    norm = [" ".join(re.findall(r"[^\W_]+", t or "")) for t in texts]
+    want = {(i, k): edit_distance_within(item, t) for i, t in enumerate(norm) for k, item in enumerate(items) if t and plain_distance_bound(item, t)}
+    got = {(i, h["item_id"]): h["distance"] for i, hits in enumerate(find(pa.array(texts), prepare(list(range(60)), items), 0.2)) for h in hits}
+    assert got == want and {(k, k) for k in range(60)} <= want.keys()
+
+
 def plain_distance_bound(item, text):
     return edit_distance_within(item, text) <= 0.2 * len(item)  # itself held against plain_distance above
 
