@@ -81,8 +81,8 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, whole: float) -> Node:
     return out
 
 
-def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """How many others each row links with, and a forest of the links; rows of side 0 with side 1 if there is one, else all with all."""
+def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarray, least: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many others each row links with, and a forest of the links; in a cross task rows of side 0 with side 1 (with none, no pairs), else all with all."""
     theta, counts, forest, edges = math.sqrt(2 - 2 * least), np.zeros(len(x), np.int64), Forest(), []
     low = x.astype(np.float32)
 
@@ -143,9 +143,9 @@ def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarr
             base(a.rows, b.rows, same)
 
     left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    if len(left) and len(right):
+    if cross and len(left) and len(right):
         visit(cover_tree(x, left, theta), cover_tree(x, right, theta))
-    elif not sides.any() and len(left) > 1:
+    elif not cross and len(left) > 1:
         tree = cover_tree(x, left, theta)
         visit(tree, tree)
     return counts, edges
@@ -206,12 +206,12 @@ def _dealt(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray, theta: fl
     return run
 
 
-def _linked(width: int, least: float):
+def _linked(width: int, least: float, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches):
+        for task, rows in grouped(batches):
             unit = rows.column("unit").combine_chunks()
             ids, dims = rows.column("vec_id").to_numpy(), np.diff(unit.offsets.to_numpy())
-            counts, edges = near_pairs(as_matrix(unit, width), ids, dims, rows.column("side").to_numpy(), least)
+            counts, edges = near_pairs(as_matrix(unit, width), ids, dims, rows.column("side").to_numpy(), least, task // total != task % total)
             some = np.flatnonzero(counts)
             a = np.concatenate([ids[some], np.array([e[0] for e in edges], np.int64)])
             b = pa.array([None] * len(some) + [e[1] for e in edges], pa.int64())
@@ -249,7 +249,7 @@ def embedding_near_dedup(embeddings: DataFrame, least: float = 0.9, block: int =
     dealt = unit.mapInArrow(_dealt(centres, radius, parts, theta), "task long, side int, vec_id long, unit array<double>")
     total = int(parts.sum())
     tasks = max(spark.sparkContext.defaultParallelism, min(total * (total + 1) // 2, 100_000))
-    linked = written(dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(_linked(width, least), "a long, b long, n long"), "links")
+    linked = written(dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(_linked(width, least, total), "a long, b long, n long"), "links")
     counts = linked.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     found = connected_components(linked.where("b is not null")).toDF("vec_id", "component_id")
     out = every.select("vec_id").join(counts, "vec_id", "left").join(found, "vec_id", "left")

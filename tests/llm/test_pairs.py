@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from epochweave.llm import components
 from epochweave.llm.components import Forest, connected_components
@@ -109,3 +110,15 @@ def test_cover_tree_finds_what_all_pairs_find(spark):
         assert got[90005] == (1, 90005, True) and got[90006] == (1, 90005, False) and got[None] == (0, None, False)
         assert all(got[i] == (0, i, True) for i in (90001, 90002, 90003, 90004, 90007, 90008, 90009))
     assert embedding_near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_cover_tree_counts_links_once_where_one_cell_alone_opens_a_task(spark):
+    rng = np.random.default_rng(0)
+    angle = np.radians(np.concatenate([[0, 46], rng.uniform(-1, 6, 199), rng.uniform(40, 80, 199)]))
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    ids = [r.id for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]  # the first two are the centres
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_near_dedup(frame, 0.9, 200, sample=2).collect()}
+    assert got == dict(zip(ids, links.sum(1).tolist(), strict=True))
