@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame and SQL functions only.
 
-A candidate is a run of 16 or more letters, digits and _ + / = - with a digit. The forest looks at its length, changes between classes
+A candidate is a run of 16 or more letters, digits and _ + / - with a digit or a known prefix, and = as padding at its end, or whatever is assigned to a
+name with a keyword, of any length and any signs, up to a space or quote. The forest looks at its length, changes between classes
 of characters, cover by dictionary words, the path (source) and the words beside it. It is trained from labelled findings, by default
 those that labelled_findings() makes by rule, and becomes SQL conditions, one for each tree.
 """
@@ -14,11 +15,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/=\-]{16,}+"
 #: Words that real secrets don't hold, in the candidate or its path.
 DICTIONARY = "example sample dummy test fake mock placeholder your here insert change token secret password user name data file image page article version build release config default local host http index item value table model train batch report month summer winter title".split()
 PATHS = "test|example|sample|fixture|mock|spec|docs"
 KEYWORDS = "token|secret|passw|api[_-]?key|access[_-]?key|auth|credential|private"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|glpat-"
+RUN = rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|{PREFIXES})[A-Za-z0-9_+/\-]{{16,}}+(?:={{1,2}}(?![\"']?[A-Za-z0-9_+/=\-]))?"
+ASSIGNED = rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=(?i:{KEYWORDS})[A-Za-z0-9_\-]{{0,24}}[\"']?\s{{0,3}}[=:]{{1,2}}\s{{0,3}}[\"']?)(?![=:])"
+#: Within quotes up to the closing one; else without the signs that end a clause, or the next parameter of a URL.
+VALUE = r"(?:[^\s\"'`]++(?=[\"'`])|(?:(?!&\w{1,40}=)[^\s\"'`])*(?<![,;.)\]}>])(?<=[^\s\"'`=:]={0,2}))"
+CANDIDATE = f"{ASSIGNED}(?=[^\\s\"'`]){VALUE}|{RUN}"
 HASHES = "commit|sha1|sha256|md5|checksum|digest|etag|revision|uuid|guid|build|order|card|invoice"
 
 
@@ -41,10 +47,10 @@ def features() -> dict[str, Column]:
         "vowels": F.regexp_count(low, F.lit("[aeiou]")) / F.length("candidate"),
         "hex": F.expr("candidate").rlike("^[0-9a-fA-F]+$").cast("double"),
         "uuid": low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$").cast("double"),
-        "prefix": F.col("candidate").rlike("^(AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|glpat-)").cast("double"),
+        "prefix": F.col("candidate").rlike(f"^({PREFIXES})").cast("double"),
         "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(DICTIONARY), "")) / F.length("candidate"),
         "path": F.lower("path").rlike(PATHS).cast("double"),
-        "keyword": F.lower("before").rlike(rf"({KEYWORDS})[a-z_]*[\"']?\s*[=:]+\s*[\"']?$").cast("double"),
+        "keyword": F.lower("before").rlike(rf"({KEYWORDS})[a-z0-9_\-]*[\"']?\s*[=:]+\s*[\"']?$").cast("double"),
         "hashed": F.lower("before").rlike(rf"({HASHES})[a-z_]*[\"']?[\s=:#]+[\"']?$").cast("double"),
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double"),
@@ -64,7 +70,12 @@ def labelled_findings(spark: SparkSession, seed: int = 0, rows: int = 4000) -> D
     plain = pick("p", ["src0", "src7", "site/blog", "app/main.py", "web"])
     hash_name = pick("h", ["commit ", "sha1: ", "checksum=", "etag: \"", "revision ", "build ", "order ", "card "])
     n_word = pick("x", DICTIONARY)
+    spread = F.concat(F.substr(mixed("r"), F.lit(1), F.lit(3)), pick("s", ["!", "@", "#", "$", "."]), F.substr(mixed("r"), F.lit(5), n % 7 + 3), pick("t", ["!", "%", "*", "7", "x"]))
+    letters = F.substr(F.regexp_replace(mixed("v"), "[0-9]", ""), F.lit(1), n % 12 + 18)
+    common = pick("c", ["required", "John", "the", "string", "None", "null", "str", "request.headers", "get_token(", "os.environ", "Wilson", "session", "invalid", "expired", "Optional[str]", "under", "and", "thereof", "resolution", "on"])
     kinds = [
+        (1, spread, F.concat(words, F.lit(" "), name, is_to), plain), (1, letters, F.concat(name, is_to), plain),
+        (0, common, F.concat(words, F.lit(" "), name, is_to), plain), (0, F.concat(common, pick("d", ["-", "_", "."]), pick("b", DICTIONARY)), F.concat(name, is_to), plain),
         (1, hexed("a"), F.concat(words, F.lit(" "), name, is_to), plain), (1, hexed("b"), F.concat(name, F.lit(' = "')), plain), (1, F.substr(mixed("c"), F.lit(1), F.lit(40)), F.concat(words, F.lit("\n"), name, is_to), plain),
         (1, F.concat(F.lit("AKIA"), F.upper(F.substr(mixed("d"), F.lit(1), F.lit(16)))), F.concat(words, F.lit(" ")), plain), (1, F.concat(F.lit("ghp_"), F.substr(mixed("e"), F.lit(1), F.lit(36))), F.concat(words, is_to), plain), (1, F.substr(mixed("f"), F.lit(1), F.lit(24)), F.concat(name, is_to), plain),
         (0, hexed("g"), F.concat(words, F.lit(" "), hash_name), plain), (0, hexed("h"), F.concat(words, F.lit(" ")), plain),
@@ -100,12 +111,14 @@ def forest(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 9)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, begin (in characters), candidate, before, after, path: every run of CANDIDATE in the whole text."""
+    """Columns doc_id, begin (in characters), candidate, before, after, path: every match of CANDIDATE in the whole text."""
     text = F.col("text").cast("string")
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"), text.alias("text")).where(F.size("found") > 0)
-    of = of.withColumn("between", F.split("text", CANDIDATE, -1)).select("doc_id", "path", "found", "between", F.posexplode("found").alias("i", "candidate"))
-    before = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda s, k: s + F.length(F.get("between", k)) + F.when(k < F.col("i"), F.length(F.get("found", k))).otherwise(0))
-    return of.select("doc_id", before.alias("begin"), "candidate", F.right(F.get("between", F.col("i")), F.lit(48)).alias("before"), F.left(F.get("between", F.col("i") + 1), F.lit(24)).alias("after"), "path")
+    of = of.withColumn("between", F.split("text", CANDIDATE, -1)).select("doc_id", "path", "text", "found", "between", F.posexplode("found").alias("i", "candidate"))
+    begin = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda s, k: s + F.length(F.get("between", k)) + F.when(k < F.col("i"), F.length(F.get("found", k))).otherwise(0))
+    of = of.select("doc_id", "path", "text", "candidate", begin.cast("int").alias("begin"))
+    before = F.substr("text", F.greatest(F.col("begin") - 47, F.lit(1)), F.least(F.col("begin"), F.lit(48)))
+    return of.select("doc_id", F.col("begin").cast("long").alias("begin"), "candidate", before.alias("before"), F.substr("text", F.col("begin") + F.length("candidate") + 1, F.lit(24)).alias("after"), "path")
 
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:

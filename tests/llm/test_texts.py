@@ -266,6 +266,17 @@ def test_forest_on_other_findings(spark):
     assert sum((r.score >= 0.5) == (r.label == 1) for r in rows) / len(rows) > 0.93
 
 
+def test_labelled_findings_are_candidates_of_their_texts(spark):
+    held = [r for r in labelled_findings(spark, seed=6, rows=1000).collect() if r.label]
+    more = [("API_KEY=", "0f3a" * 8), ("see client_secret=", "QmFzZTY0" * 3 + "Zg=="), ("password: ", "Tr0ub4!"), ('"passwd": "', "a.b#c$d@e!"), ("AWS_SECRET_KEY_NUMBER_2=", "k9" * 20), ("/?token=", "k9" * 20)]
+    rows = [(r.before, r.candidate, r.after) for r in held] + [(b, c, '"' if b.endswith('"') else "&x=1" if "?" in b else ", so") for b, c in more]
+    docs = spark.createDataFrame([(i, b + c + a, "web") for i, (b, c, a) in enumerate(rows)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.begin, r.candidate, r.before) for r in candidates(docs).collect()}
+    assert not [row for i, row in enumerate(rows) if (i, len(row[0]), row[1], row[0][-48:]) not in found]
+    reported = {(r.doc_id, r.begin) for r in secret_scan(docs).collect()}
+    assert sum((i, len(b)) in reported for i, (b, _, _) in enumerate(rows)) > 0.93 * len(rows)
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     text = f'Words of a page.\ntoken = "{key}" and so on. See commit {hashlib.sha1(b"c").hexdigest()} or 4412473014894482 there.'
