@@ -1,32 +1,29 @@
 """N-gram Jaccard join: which documents share almost all of their word n-grams.
 
-The join is a sparse matrix product of the document by n-gram incidence matrix with its transpose, done in blocks:
-
-1. Each set gives out keys so that any two sets that link share one, in one of two ways. Both work within bands of sizes, each from n
-   to n / t, so that partners are in one band or two neighbours.
-   At a threshold t of WHOLE_PARTS percent or more: sets that link differ in at most (n + m)(1 - t)/(1 + t) n-grams. With more parts
-   of the columns than that, one part is the same in both, and its hash is the key. (Where parts may be empty, some spare ones are
-   added, and sets with more empty parts than spare ones share a key of their own.) Parts hold 9 n-grams or more, so that neither a
-   chance n-gram nor a passage that many documents share makes unlike sets meet.
-   Below that, parts would be too small for this. Then columns are put in one order for all, by how common they are, then by hash. Two
-   sets that link share one of the first n - ceil(t n) + 1 of each, so these are the keys, and n-grams that many documents share come
-   last. How common an n-gram is, is counted over all documents in 2**SLOTS counters by hash, a table of fixed size; where n-grams
-   share a counter only the order changes, not the links.
-2. Documents that meet, directly or over others, are a block. A block of over BLOCK n-grams is cut by band and hash, and only pairs of parts are multiplied whose sizes can link.
-3. In a pair of parts overlap counts accumulate over the rows' first columns, then in full for the pairs that are left, and pairs
-   below the bound of their sizes are dropped. Pairs already joined through others aren't looked at, so a block of n like documents
-   returns n - 1 links, not all pairs.
-
-Equal sets are one row of the matrix. Nothing is sampled or capped. Sets are recomputed from text where they're needed, since
-text is smaller than its hashes.
+The join is a sparse matrix product of the document by n-gram incidence matrix with its transpose, done in blocks. Equal sets are one
+row of the matrix. What could link is narrowed down by bounds that follow from the sizes, none of which loses a link:
+
+1. Columns are put in one order for all, by how common they are, then by hash. Two sets that link share one of the first
+   n - ceil(t n) + 1 columns of each, so these are a row's keys; n-grams that many documents share come last. How common an n-gram is,
+   is counted over all documents in 2**SLOTS counters by hash; where n-grams share a counter only the order changes, not the links.
+2. The smallest row of a key is its hub. Rows that have a key in common are in the block of its hub, so a row is in as many blocks as
+   it has hubs, and blocks don't grow by chance meetings from row to row. A counter is at least the number of rows that have its
+   keys: keys of up to HOT rows are grouped in one shuffle, others aggregated before it and joined, so that Spark can split them.
+3. A row stays in a block if others there are in its band of sizes or a neighbouring one. Each row has a bitmap of about as many bits
+   as columns: the parity of the columns that fall on a bit. Two bitmaps differ in no more bits than the sets do in columns, so a pair
+   of rows in a block whose bitmaps differ in more than its sizes allow is dropped.
+4. Rows that are left, directly or over others, are a block of the product. A block of over `block` n-grams is cut by size and hash,
+   and only pairs of parts are multiplied whose sizes can link. Overlap counts accumulate over the rows' first columns, then in full
+   for the pairs that are left, and pairs below the bound of their sizes are dropped. Pairs already joined through others aren't
+   looked at, so a block of n like documents returns n - 1 links, not all pairs.
+
+Nothing is sampled or capped. Sets are recomputed from text where they're needed, since text is smaller than its hashes.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,48 +36,21 @@ from epochweave.llm.shared import discard, grouped, id_and_text, small_batches,
 from epochweave.llm.words import mix, shingle_sets, signature, signed, slices
 
 BLOCK = 1 << 19
-WHOLE_PARTS = 90
 SLOTS = 22
+HOT = 1 << 17
 PARTS = 64
+NARROW, WIDE = 128, 1 << 15
+SETS = "doc_id long, n_shingles long, sign1 long, sign2 long, bits binary, part int, counts binary"
 
 
 def bands(percent: int, upto: int = 1 << 40) -> list[int]:
-    """Where each band of sizes begins."""
+    """Where each band of sizes begins: partners are in one band or two neighbours."""
     out = [1]
     while out[-1] < upto:
         out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
     return out
 
 
-@cache
-def buckets(percent: int, band: int) -> tuple[int, int]:
-    """How many buckets tell apart documents whose smaller is of this band, and how many of these are spare."""
-    edges = bands(percent)
-    small = edges[band + 1] - 1
-    most = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-    for spare in range(most + 2):
-        k = most + 1 + spare
-        mean = k * math.exp(-edges[band] / k)
-        chance, upto = math.exp(-mean), 0.0
-        for i in range(spare + 1):
-            upto += chance
-            chance *= mean / (i + 1)
-        if upto > 1 - 1e-3:
-            break
-    return k, spare
-
-
-def keys(s: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """The keys of a set among documents whose smaller is of this band."""
-    k, spare = buckets(percent, band)
-    bucket = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # s is sorted, and so are its buckets
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    out = np.add.reduceat(mix(s), first) ^ mix(bucket[first] + (np.uint64(band + 1) << np.uint64(40)))
-    if k - len(first) > spare:
-        out = np.append(out, mix(np.array([band + 1], np.uint64)))
-    return mix(out)
-
-
 def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The columns of a set that meet all its partners: its rarest, as many as its size asks for."""
     n = len(s) - -(-percent * len(s) // 100) + 1
@@ -88,14 +58,70 @@ def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, rarity))[:n]]
 
 
-def _counted(n_words: int):
+def parity(s: np.ndarray) -> bytes:
+    """The bitmap of a set, of a power of two bits that is at least its size, from NARROW to WIDE."""
+    width = min(max(NARROW, 1 << (len(s) - 1).bit_length() if len(s) else 0), WIDE)
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_different(n, m, percent: int):
+    """In how many columns sets of these sizes may differ that link."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs whose bitmaps allow a link, among rows of sides 0 and 1; all sides 0: all rows with all."""
+    order = np.lexsort((ids, sizes))
+    ids, sizes, sides, bits = ids[order], sizes[order], sides[order], [bits[i] for i in order.tolist()]
+    widths, two = np.array([len(b) for b in bits]), bool(sides.any())
+    rows, full, half = {}, {}, {}
+    for w in np.unique(widths).tolist():
+        rows[w] = np.flatnonzero(widths == w)  # in order of size, like all rows
+        full[w] = np.frombuffer(b"".join(bits[i] for i in rows[w].tolist()), np.uint64).reshape(len(rows[w]), -1)
+        half[w] = full[w][:, : full[w].shape[1] // 2] ^ full[w][:, full[w].shape[1] // 2 :]
+    at = np.concatenate([np.arange(len(r)) for r in rows.values()])[np.argsort(np.concatenate(list(rows.values())))]
+    fresh, out = np.ones(len(ids), bool), []
+    for first in range(len(ids)):
+        if not fresh[first]:
+            continue
+        fresh[first], waiting = False, [first]
+        while waiting:
+            i = waiting.pop()
+            n, w = int(sizes[i]), int(widths[i])
+            low, high = np.searchsorted(sizes, [-(-percent * n // 100), 100 * n // percent + 1])
+            if not fresh[low:high].any():
+                continue
+            for other, mine, theirs in ((w, full[w], full), (2 * w, full[w], half), (w // 2, half[w], full)):
+                if other not in rows:
+                    continue
+                a, b = np.searchsorted(rows[other], [low, high])
+                place = np.arange(a, b)[fresh[rows[other][a:b]]]
+                if two:
+                    place = place[sides[rows[other][place]] != sides[i]]
+                if len(place):
+                    differ = np.bitwise_count(theirs[other][place] ^ mine[at[i]]).sum(1, dtype=np.int64)
+                    found = rows[other][place[differ <= most_different(n, sizes[rows[other][place]], percent)]].tolist()
+                    fresh[found] = False
+                    out += [(int(ids[i]), int(ids[j])) for j in found]
+                    waiting += found
+    return out
+
+
+def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOTS, np.uint32)
+        names, counts, some = [c.split()[0] for c in SETS.split(", ")], np.zeros(1 << SLOTS, np.uint32), False
         for batch in slices(batches):
-            for s in shingle_sets(batch.column(1), n_words):
-                np.add.at(counts, (s >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
-        parts = counts.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
+            sets = shingle_sets(batch.column(1), n_words)
+            signs = [signature(s) for s in sets]
+            np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
+            none, some = [None] * len(sets), True
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [x[0] for x in signs], [x[1] for x in signs])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([parity(s) for s in sets], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+        if some:
+            none = pa.array([None] * PARTS, pa.int64())
+            planes = [zlib.compress(p.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for p in counts.reshape(PARTS, -1)]
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([None] * PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(planes, pa.binary())], names)
 
     return run
 
@@ -103,71 +129,55 @@ def _counted(n_words: int):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[part] = sums.get(part, np.zeros(1, np.uint32)) + np.frombuffer(zlib.decompress(counts), np.uint32)
+        for part, planes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            one = np.frombuffer(zlib.decompress(planes.as_buffer()), np.uint8).reshape(4, -1).T
+            sums[part] = sums.get(part, np.zeros(1, np.uint32)) + np.ascontiguousarray(one).view(np.uint32).ravel()
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
 
 
-def column_counts(docs: DataFrame, n_words: int) -> np.ndarray:
-    """How many documents have a column, by the first bits of its hash: 2**SLOTS numbers, whatever the input."""
-    kind = "part int, counts binary"
-    rows = docs.mapInArrow(_counted(n_words), kind).repartition(PARTS, "part").mapInArrow(_summed, kind).collect()  # 4 bytes for each of 2**SLOTS
+def column_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have a column, by the first bits of its hash: 2**SLOTS numbers, whatever the input."""
+    rows = sets.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()  # 4 bytes for each of 2**SLOTS
     out = np.zeros((PARTS, (1 << SLOTS) // PARTS), np.uint32)
     for r in rows:
         out[r.part] = np.frombuffer(r.counts, np.uint32)
     return out.ravel()
 
 
-def _summaries(n_words: int):
+def _entries(n_words: int, percent: int, counts: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = shingle_sets(batch.column(1), n_words)
-            signs = [signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in signs], pa.int64()), pa.array([x[1] for x in signs], pa.int64())], ["doc_id", "n_shingles", "sign1", "sign2"])
+            known = {}  # equal sets of a batch once
+            for s in shingle_sets(batch.column(1), n_words):
+                if len(s):
+                    known.setdefault(signature(s)[0], s)
+            if known:
+                keys = [prefix(s, counts.value, percent) for s in known.values()]
+                key, sign1 = np.concatenate(keys), np.repeat(np.array(list(known), np.int64), [len(k) for k in keys])
+                hot = counts.value[(key >> np.uint64(64 - SLOTS)).astype(np.int64)] > HOT
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(sign1), pa.array(hot)], ["key", "sign1", "hot"])
 
     return run
 
 
-def _entries(n_words: int, percent: int, counts: Broadcast | None):
-    edges = np.array(bands(percent))
+def _blocks(entries: DataFrame) -> DataFrame:
+    """Columns cluster (the hub), sign1: each row with the hub of each of its keys that others have too."""
+    key = Window.partitionBy("key")
+    cold = entries.where("not hot").select("sign1", F.min("sign1").over(key).alias("cluster"), F.max("sign1").over(key).alias("top"))
+    hot = entries.where("hot")
+    hubs = hot.groupBy("key").agg(F.min("sign1").alias("cluster"), F.max("sign1").alias("top"))
+    hot = hot.join(hubs.hint("merge"), "key").select("sign1", "cluster", "top")
+    return cold.unionByName(hot).where("cluster <> top").select("cluster", "sign1").distinct()
 
+
+def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 23):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            all_keys, owners = [], []
-            for doc, s in zip(ids.tolist(), shingle_sets(batch.column(1), n_words), strict=True):
-                if len(s):
-                    band = int(np.searchsorted(edges, len(s), "right")) - 1
-                    if counts is None:
-                        own = [mix(np.array(signature(s), np.int64).view(np.uint64)).sum(keepdims=True)]  # equal sets, which are all that small ones link with
-                        own += [keys(s, b, percent) for b in ((band, band - 1) if band else (band,)) if len(s) >= 100 // (100 - percent) - 1]
-                    else:
-                        first = prefix(s, counts.value, percent)
-                        own = [mix(first ^ mix(np.array([b + 1], np.uint64))) for b in (band, band - 1)]
-                    all_keys += own
-                    owners.append(np.full(sum(map(len, own)), doc))
-            if not owners:
-                continue
-            key, doc = np.concatenate(all_keys), np.concatenate(owners)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            forest, rep = Forest(), doc[first][np.cumsum(first) - 1]
-            for a, b in np.unique(np.stack([doc, rep])[:, ~first], axis=1).T.tolist():
-                forest.join(a, b)
-            # documents that this batch has joined already stand behind the smallest of them: one row for each key
-            stand = doc[first].copy()
-            if forest.up:
-                high = np.array(sorted(forest.up))
-                low = np.array([forest.root(x) for x in high.tolist()])
-                at = np.minimum(np.searchsorted(high, stand), len(high) - 1)
-                stand = np.where(high[at] == stand, low[at], stand)
-                link = mix(mix(low.astype(np.uint64)) + np.uint64(7))
-                key, stand = np.concatenate([key[first], link, link]), np.concatenate([stand, low, high])
-            else:
-                key = key[first]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(stand, pa.int64())], ["key", "doc"])
+        for _, rows in grouped(batches):
+            if rows.num_rows > 1:
+                found = near(*(rows.column(c).to_numpy() for c in ("doc_id", "n_shingles")), rows.column("bits").to_pylist(), rows.column("side").to_numpy(), percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -227,16 +237,17 @@ def _products(n_words: int, percent: int):
 
 
 def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Columns task, doc_id, side: which documents of a block are multiplied with which."""
+    """Columns task, doc_id, side: which documents of a block (cluster, doc_id, n_shingles) are compared with which."""
     edges = F.array(*[F.lit(x) for x in bands(percent)])
     members = members.withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n_shingles"))) - 1)
     sums = members.groupBy("cluster", "band").agg(F.sum("n_shingles").alias("n"), F.count("*").alias("docs"))
-    parts = sums.groupBy("cluster").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / F.lit(block // 2)).cast("int")))).alias("parts")
-    )
-    parts = parts.where("docs > 1")
-    small = members.join(parts.where(F.col("n") <= block), "cluster").select(F.xxhash64("cluster").alias("task"), "doc_id", F.lit(0).alias("side"))
-    cut = members.join(parts.where(F.col("n") > block), "cluster")
+    each = F.map_from_entries(F.collect_list(F.struct("band", F.struct(F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("parts"), "docs"))))
+    sums = sums.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("docs").alias("all"), each.alias("bands")).where("all > 1")
+    members = members.join(sums, "cluster")
+    docs = lambda x: F.coalesce(F.element_at("bands", F.col("band") + x)["docs"], F.lit(0))
+    members = members.where(docs(-1) + docs(0) + docs(1) > 1).withColumn("parts", F.transform_values("bands", lambda k, x: x["parts"]))
+    small = members.where(F.col("n") <= block).select(F.xxhash64("cluster").alias("task"), "doc_id", F.lit(0).alias("side"))
+    cut = members.where(F.col("n") > block)
     in_band = lambda x: F.coalesce(F.element_at("parts", F.col("band") + x), F.lit(0))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id"), in_band(0).cast("long")).cast("int"))
     name = lambda b, i, c, j: F.xxhash64("cluster", b, i, c, j)
@@ -255,30 +266,41 @@ def _tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, n_words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """Columns doc_id, n_shingles, component_id: one row for each row of docs.
 
-    Documents link whose sets of n_words-word shingles have 100 * intersection >= percent * union. A text is lower-cased (A-Z)
-    and cut into runs without white space; with fewer than n_words words it has one shingle, the whole; a null text or one
-    without words has none and links with nothing. A null doc_id gets a row with its count and no component. Rows that repeat an
+    Documents link whose sets of n_words-word shingles have 100 * intersection >= percent * union (percent: 50 to 99). A text is
+    lower-cased (A-Z) and cut into runs without white space; with fewer than n_words words it has one shingle, the whole; a null text
+    or one without words has none and links with nothing. A null doc_id gets a row with its count and no component. Rows that repeat an
     id are one document that links by any of their texts. Other columns are left aside.
     """
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be at least 50 and below 100")
     with small_batches(docs.sparkSession):  # every pass over texts ends within
         return _joined(id_and_text(docs), n_words, percent, block)
 
 
 def _joined(docs: DataFrame, n_words: int, percent: int, block: int) -> DataFrame:
-    summaries = written(docs.mapInArrow(_summaries(n_words), "doc_id long, n_shingles long, sign1 long, sign2 long"), "sets")
-    known = docs.where("doc_id is not null")
-    counts = docs.sparkSession.sparkContext.broadcast(column_counts(known, n_words)) if percent < WHOLE_PARTS else None
-    near = known.mapInArrow(_entries(n_words, percent, counts), "key long, doc long")
-    star = near.select(F.col("doc").alias("a"), F.min("doc").over(Window.partitionBy("key")).alias("b")).where("a <> b")
-    clusters = written(connected_components(star).toDF("doc_id", "cluster"), "clusters")
-
-    full = summaries.where("n_shingles > 0").join(clusters, "doc_id")
-    alike = ["cluster", "n_shingles", "sign1", "sign2"]
-    one = full.groupBy(*alike).agg(F.min("doc_id").alias("doc_id"))
-    tasks = written(_tasks(one, percent, block), "tasks")
+    every = written(docs.mapInArrow(_sets(n_words), SETS), "sets")
+    sets, known = every.where("part is null").drop("part", "counts"), docs.where("doc_id is not null")
+    alike = ["n_shingles", "sign1", "sign2"]
+    some = sets.where("n_shingles > 0 and doc_id is not null")
+    one = written(some.groupBy(*alike).agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), "rows")
+
+    counts = docs.sparkSession.sparkContext.broadcast(column_counts(every))
+    entries = written(known.mapInArrow(_entries(n_words, percent, counts), "key long, sign1 long, hot boolean"), "keys")
+    members = written(_blocks(entries).join(one.select("sign1", "doc_id", "n_shingles"), "sign1").select("cluster", "doc_id", "n_shingles"), "members")
+    meeting = written(_tasks(members, percent, 8 * block), "meetings")
+    pairs = meeting.join(one.select("doc_id", "n_shingles", "bits"), "doc_id").repartition("task").sortWithinPartitions("task").select("task", "doc_id", "side", "n_shingles", "bits")
+    pairs = pairs.mapInArrow(_near(percent), "a long, b long")
+    clusters = written(connected_components(pairs).toDF("doc_id", "cluster"), "clusters")
+
+    tasks = written(_tasks(one.select("doc_id", "n_shingles").join(clusters, "doc_id"), percent, block), "tasks")
     held = known.join(tasks, "doc_id").select("task", "doc_id", "side", "text")
     links = held.repartition("task").sortWithinPartitions("task").mapInArrow(_products(n_words, percent), "a long, b long")
-    same = full.join(one.withColumnRenamed("doc_id", "first"), alike).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    found = connected_components(links.unionByName(same.where("a <> b"))).toDF("doc_id", "component_id")
-    discard(tasks)
-    return summaries.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    rows = some.join(one.select(*alike, F.col("doc_id").alias("row")), alike).select("doc_id", "row")
+    twice = rows.groupBy("doc_id").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("doc_id", "low")
+    twice = rows.join(twice, "doc_id").select(F.col("row").alias("a"), F.col("low").alias("b"))
+    found = connected_components(links.unionByName(twice)).toDF("row", "component")
+    of = rows.join(found, "row", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "row")).alias("component_id"))
+    for old in (entries, members, meeting, tasks):
+        discard(old)
+    return sets.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
