@@ -30,11 +30,18 @@ def without_accents(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in text.to_pylist()], pa.string())
 
 
-def basic_tokens(c: Column, accents: bool = True) -> Column:
-    """Cleaned, lower-cased words, with each punctuation mark a token. accents: keep them (else they go, which needs Python)."""
-    low = F.lower(apart(clean(c)))
+def basic_tokens(c: Column, accents: bool = True, keep: list[str] | None = None) -> Column:
+    """Cleaned, lower-cased words, with each punctuation mark a token. accents: keep them (else they go, which needs Python). keep: words that stay as they are."""
+    words = apart(clean(c))
+    low = F.lower(words)
     low = low if accents else without_accents(low)
-    return F.filter(F.split(F.regexp_replace(low, f"({PUNCTUATION})", " $1 "), " +"), lambda t: t != "")
+    of = lambda x: F.filter(F.split(F.regexp_replace(x, f"({PUNCTUATION})", " $1 "), " +"), lambda t: t != "")
+    if not keep:
+        return of(low)
+    kept = F.array(*map(F.lit, keep))
+    if not accents:
+        raise ValueError("words can be kept only where accents are")
+    return F.flatten(F.transform(F.filter(F.split(words, " +"), lambda t: t != ""), lambda t: F.when(F.array_contains(kept, t), F.array(t)).otherwise(of(F.lower(t)))))
 
 
 def wordpieces(tokens: Column, vocabulary: set[str], unknown: str = "[UNK]", most: int = 200) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import total_ordering
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +65,62 @@ def time_column(c: Column) -> Column:
     """A training time such as 3ep or 100ba as struct<value:double,unit:string>."""
     pattern = r"^([\d.]+)\s*(ep|ba|sp|tok|dur)$"
     return F.struct(F.regexp_extract(c, pattern, 1).try_cast("double").alias("value"), F.regexp_extract(c, pattern, 2).alias("unit"))
+
+
+@total_ordering
+@dataclass(frozen=True)
+class TrainingTime:
+    """So many epochs (ep), batches (ba), samples (sp), tokens (tok), or a share of a run (dur). Only times of one unit compare and add up."""
+
+    value: float
+    unit: str = "ba"
+
+    @staticmethod
+    def of(text: str | TrainingTime) -> TrainingTime:
+        if isinstance(text, TrainingTime):
+            return text
+        found = re.fullmatch(r"\s*(\d+(?:\.\d*)?)\s*(ep|ba|sp|tok|dur)\s*", text.lower())
+        if not found:
+            raise ValueError(f"no training time: {text!r}")
+        number = float(found[1])
+        if found[2] != "dur" and number != int(number):
+            raise ValueError(f"{found[2]} come whole, not as {found[1]}")
+        return TrainingTime(number if found[2] == "dur" else int(number), found[2])
+
+    def _value(self, other: TrainingTime | str | float) -> float:
+        if isinstance(other, (int, float)):
+            return other
+        other = TrainingTime.of(other)
+        if other.unit != self.unit:
+            raise ValueError(f"{self.unit} and {other.unit} don't go together")
+        return other.value
+
+    def __eq__(self, other) -> bool:
+        return self.value == self._value(other)
+
+    def __lt__(self, other) -> bool:
+        return self.value < self._value(other)
+
+    def __hash__(self) -> int:
+        return hash((self.value, self.unit))
+
+    def __add__(self, other) -> TrainingTime:
+        return TrainingTime(self.value + self._value(other), self.unit)
+
+    def __sub__(self, other) -> TrainingTime:
+        return TrainingTime(self.value - self._value(other), self.unit)
+
+    def __mul__(self, other) -> TrainingTime:
+        return TrainingTime(type(self.value)(self.value * self._value(other)), self.unit)
+
+    def __truediv__(self, other) -> float:
+        """How many times the other; so a share of a run."""
+        return self.value / self._value(other)
+
+    def __mod__(self, other) -> TrainingTime:
+        return TrainingTime(self.value % self._value(other), self.unit)
+
+    __radd__, __rmul__ = __add__, __mul__
+
+    def __str__(self) -> str:
+        return f"{self.value}{self.unit}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epochweave.plans.keys import numbered
+
 BLOCK = 1 << 16
 
 
@@ -32,10 +34,13 @@ def shuffle_quality(rows: DataFrame, order: str, sample: str, shard: str) -> Dat
 
 
 def rolling_throughput(steps: DataFrame, order: str, seconds: str, window: int) -> DataFrame:
-    """steps with per_second: one over the mean of the last `window` steps' seconds, 0 for the first window - 1 steps. A run's steps are one series."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    mean = F.avg(seconds).over(w.rowsBetween(1 - window, 0))
-    return steps.withColumn("per_second", F.when(F.row_number().over(w) < window, F.lit(0.0)).otherwise(1 / mean))
+    """steps with per_second: one over the mean of the last `window` steps' seconds, 0 for the first window - 1 steps; by blocks that overlap by a window."""
+    rows = numbered(steps, order, "_at")
+    at = F.col("_at")
+    both = rows.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(at / BLOCK), F.floor((at + window - 1) / BLOCK)))))
+    mean = F.avg(seconds).over(Window.partitionBy("_block").orderBy("_at").rowsBetween(1 - window, 0))
+    found = both.withColumn("per_second", F.when(at < window - 1, F.lit(0.0)).otherwise(1 / mean))
+    return found.where(F.col("_block") == F.floor(at / BLOCK)).drop("_block", "_at")
 
 
 def uniform_index(spark: SparkSession, samples: int, per_shard: int) -> DataFrame:
@@ -51,11 +56,18 @@ def cache_limit(uses: DataFrame) -> DataFrame:
 
 
 def simulation_stats(steps: DataFrame, order: str, wait: str, slow_over: float, warm_steps: int) -> DataFrame:
-    """One row: slow steps, where the warm-up (slow steps among the first warm_steps) ends, its wait, and slow steps after it."""
-    rows = steps.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))).withColumn("_slow", F.col(wait) > slow_over)
-    warm = rows.where((F.col("_r") <= warm_steps) & F.col("_slow")).agg(F.coalesce(F.max("_r"), F.lit(0)).alias("_warm"))  # one row
-    rows = rows.join(F.broadcast(warm))
+    """One row: slow steps, where the warm-up (slow steps among the first warm_steps) ends, its wait, and slow steps after it. Orders are distinct."""
+    first = steps.select(order, wait).orderBy(order).limit(warm_steps).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))  # warm_steps rows
+    warm = first.where(F.col(wait) > slow_over).agg(F.coalesce(F.max("_r"), F.lit(0)).alias("_warm"), F.max(order).alias("_until"))  # one row
+    rows = steps.join(F.broadcast(warm))
+    slow, after = F.col(wait) > slow_over, F.col("_until").isNull() | (F.col(order) > F.col("_until"))
     return rows.agg(
-        F.sum(F.col("_slow").cast("long")).alias("slow_steps"), F.first("_warm").alias("warmup_steps"), F.sum(F.when(F.col("_r") <= F.col("_warm"), F.col(wait))).alias("warmup_wait"),
-        F.sum((F.col("_slow") & (F.col("_r") > F.col("_warm"))).cast("long")).alias("later_drops"),
+        F.sum(slow.cast("long")).alias("slow_steps"), F.first("_warm").alias("warmup_steps"), F.sum(F.when(~after, F.col(wait))).alias("warmup_wait"), F.sum((slow & after).cast("long")).alias("later_drops"),
     )
+
+
+def series_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: 1 less the mean relative difference of two series, rows without a number left out."""
+    x, y = F.col(a), F.col(b)
+    relative = F.abs(x - y) / F.greatest(x, y)
+    return pairs.where(~F.isnan(relative)).agg((1 - F.avg(relative)).alias("similarity"))

@@ -1,4 +1,9 @@
-"""Pairs of segments with masked tokens, from documents of tokenized sentences."""
+"""Pairs of segments with masked tokens, from documents of tokenized sentences.
+
+A document is cut into chunks, half of which get their second segment from another document. Which one, and from where in it, a hash of
+the chunk decides, so that the other document comes by an equal join on its rank; what it takes to fill the pair is cut there. A
+chunk's randomness is its own, so a lost task makes the same rows again.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,34 @@ import hashlib
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochweave.plans.keys import key, numbered
+
+CHUNK = "doc_id long, copy int, number int, a array<string>, b array<string>, room int, is_random boolean"
 ROW = "doc_id long, copy int, number int, tokens array<string>, segment array<int>, next_is_random boolean, positions array<int>, labels array<string>"
+STRINGS, NUMBERS = pa.list_(pa.string()), pa.list_(pa.int32())
+
+
+def _of(*what) -> random.Random:
+    return random.Random(hashlib.md5(":".join(map(str, what)).encode()).hexdigest())
 
 
-def truncate_pair(a: list[str], b: list[str], most: int, rng: random.Random) -> None:
-    """Cut the longer of the two, at a random end, until both fit."""
-    while len(a) + len(b) > most:
-        longer = a if len(a) > len(b) else b
-        del longer[0 if rng.random() < 0.5 else -1]
+def cut_pair(a: list[str], b: list[str], most: int, rng: random.Random) -> tuple[list[str], list[str]]:
+    """Both no longer than `most` together: the longer loses what it has more, then both alike, each at random ends."""
+    over = max(0, len(a) + len(b) - most)
+    more = min(over, abs(len(a) - len(b)))
+    from_b = more * (len(b) > len(a)) + (over - more + 1) // 2
+    from_a = over - from_b
+
+    def cut(tokens: list[str], n: int) -> list[str]:
+        front = bin(rng.getrandbits(n)).count("1") if n else 0
+        return tokens[front : len(tokens) - (n - front)]
+
+    return cut(a, from_a), cut(b, from_b)
 
 
 def mask(tokens: list[str], share: float, most: int, words: list[str], rng: random.Random) -> tuple[list[str], list[int], list[str]]:
@@ -32,39 +53,104 @@ def mask(tokens: list[str], share: float, most: int, words: list[str], rng: rand
     return out, places, [tokens[i] for i in places]
 
 
-def instances(documents: DataFrame, words: list[str], others: list[list[str]], length: int = 128, copies: int = 2, share: float = 0.15, most: int = 20, seed: int = 0) -> DataFrame:
-    """documents: doc_id, sentences (array of arrays of tokens). words and others: bounded lists of words and of sentences to draw from.
+def chunks(sentences: list[list[str]], room: int, shorter: float, rng: random.Random) -> Iterator[tuple[list[str], list[str] | None, int]]:
+    """(first segment, second or none, tokens in all): whole sentences up to the target, which is less than room for a share `shorter` of chunks.
 
-    A row's randomness is its document's and copy's own, so a lost task makes the same rows again.
+    Where the second is to come from elsewhere, what was meant for it comes again in the next chunk.
     """
+    at = 0
+    while at < len(sentences):
+        target = rng.randint(2, room) if rng.random() < shorter else room
+        stop, size = at, 0
+        while stop < len(sentences) and size < target:
+            size += len(sentences[stop])
+            stop += 1
+        split = at + rng.randint(1, stop - at - 1) if stop - at > 1 else stop
+        a, b = [t for s in sentences[at:split] for t in s], [t for s in sentences[split:stop] for t in s]
+        elsewhere = not b or rng.random() < 0.5
+        yield a, None if elsewhere else b, target
+        at = split if elsewhere else stop
+
 
-    def build(doc_id, copy: int, sentences: list[list[str]]) -> Iterator[dict]:
-        rng = random.Random(hashlib.md5(f"{seed}:{doc_id}:{copy}".encode()).hexdigest())
-        room, at, number = length - 3, 0, 0
-        while at < len(sentences):
-            chunk = []
-            while at < len(sentences) and sum(map(len, chunk)) < room:
-                chunk.append(sentences[at])
-                at += 1
-            split = rng.randint(1, len(chunk) - 1) if len(chunk) > 1 else 1
-            a, b = [t for s in chunk[:split] for t in s], [t for s in chunk[split:] for t in s]
-            is_random = not b or rng.random() < 0.5
-            if is_random:
-                at -= len(chunk) - split  # what isn't used comes again
-                b = list(rng.choice(others))
-            truncate_pair(a, b, room, rng)
-            if a and b:
-                tokens, places, labels = mask(["[CLS]", *a, "[SEP]", *b, "[SEP]"], share, most, words, rng)
-                yield {"doc_id": doc_id, "copy": copy, "number": number, "tokens": tokens, "segment": [0] * (len(a) + 2) + [1] * (len(b) + 1), "next_is_random": is_random, "positions": places, "labels": labels}
-                number += 1
-
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("number", pa.int32()), ("tokens", pa.list_(pa.string())), ("segment", pa.list_(pa.int32())), ("next_is_random", pa.bool_()), ("positions", pa.list_(pa.int32())), ("labels", pa.list_(pa.string()))])
+def frequent_words(documents: DataFrame, n: int = 30_000) -> list[str]:
+    """The n most frequent tokens of the documents' sentences: a vocabulary of bounded size."""
+    words = documents.select(F.explode(F.flatten("sentences")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r.w for r in words.orderBy(F.desc("n"), "w").limit(n).collect()]
+
+
+def _chunked(room: int, shorter: float, seed: int):
+    kinds = [pa.int64(), pa.int32(), pa.int32(), STRINGS, STRINGS, pa.int32(), pa.bool_()]
+    names = [c.split()[0] for c in CHUNK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
-                rows = [r for d, c, s in zip(*(x.to_pylist() for x in batch.slice(at, 50).columns), strict=True) for r in build(d, c, [t for t in s or [] if t])]
+                rows = []
+                for doc_id, copy, sentences in zip(*(x.to_pylist() for x in batch.slice(at, 50).columns), strict=True):
+                    of = chunks([s for s in sentences or [] if s], room, shorter, _of(seed, doc_id, copy))
+                    rows += [(doc_id, copy, i, a, b, target - len(a), b is None) for i, (a, b, target) in enumerate(of)]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _finished(room: int, share: float, most: int, words: list[str], seed: int):
+    kinds = [pa.int64(), pa.int32(), pa.int32(), STRINGS, NUMBERS, pa.bool_(), NUMBERS, STRINGS]
+    names = [c.split()[0] for c in ROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, copy, number, a, b, is_random in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                rng = _of(seed, doc_id, copy, number)
+                a, b = cut_pair(a, b, room, rng)
+                if a and b:
+                    tokens, places, labels = mask(["[CLS]", *a, "[SEP]", *b, "[SEP]"], share, most, words, rng)
+                    rows.append((doc_id, copy, number, tokens, [0] * (len(a) + 2) + [1] * (len(b) + 1), is_random, places, labels))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def instances(documents: DataFrame, words: list[str], length: int = 128, copies: int = 2, shorter: float = 0.1, share: float = 0.15, most: int = 20, seed: int = 0) -> DataFrame:
+    """Rows as in ROW. documents: doc_id, sentences (array of arrays of tokens). words: what a masked token may become, see frequent_words().
+
+    shorter: the share of chunks with a random, shorter target. Documents without tokens give no rows, and no segments to others; where
+    there is a single document, its own sentences follow.
+    """
+    documents = documents.select("doc_id", F.filter("sentences", lambda s: F.size(s) > 0).alias("sentences")).where("size(sentences) > 0")
+    known = numbered(documents, "doc_id", "_rank")
+    n = max(1, known.count())
+    room = length - 3
+    copied = documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "sentences")
+    parts = copied.mapInArrow(_chunked(room, shorter, seed), CHUNK)
+    hashed = lambda what, below: F.conv(F.substring(key(what, "doc_id", "copy", "number", seed=seed), 1, 13), 16, 10).cast("long") % below
+    own = parts.where("not is_random").select("doc_id", "copy", "number", "a", "b", "is_random")
+    asked = parts.where("is_random").join(known.select("doc_id", F.col("_rank").alias("_own")), "doc_id")
+    # any document but one's own
+    asked = asked.withColumn("_rank", (F.col("_own") + 1 + hashed("other", F.lit(max(1, n - 1)))) % F.lit(n))
+    found = asked.join(known.select("_rank", "sentences"), "_rank")
+    begin = hashed("sentence", F.size("sentences")).cast("int")
+    taken = F.slice(F.flatten(F.slice("sentences", begin + 1, F.greatest(F.col("room"), F.lit(1)))), F.lit(1), F.greatest(F.col("room"), F.lit(1)))  # a sentence has a token at least
+    rows = own.unionByName(found.select("doc_id", "copy", "number", "a", taken.alias("b"), "is_random"))
+    return rows.mapInArrow(_finished(room, share, most, words, seed), ROW)
+
+
+def as_bytes(rows: DataFrame, words: list[str], length: int = 128, most: int = 20) -> DataFrame:
+    """instances() as the seven columns of bytes that loaders expect: int32 (weights float32), filled with zeros. words: token ids by place, [UNK] among them for all others."""
+    names = ["input_ids", "input_mask", "segment_ids", "masked_lm_positions", "masked_lm_ids", "masked_lm_weights", "next_sentence_labels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = {w: i for i, w in enumerate(words)}
+        of = lambda tokens: [ids.get(t, ids["[UNK]"]) for t in tokens]
+        for batch in batches:
+            out = []
+            for tokens, segment, is_random, places, labels in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                full = lambda values, size, kind="<i4": np.pad(np.array(values, kind), (0, size - len(values))).tobytes()
+                out.append((full(of(tokens), length), full([1] * len(tokens), length), full(segment, length), full(places, most), full(of(labels), most), full([1] * len(labels), most, "<f4"), full([int(is_random)], 1)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names)
 
-    return documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "sentences").mapInArrow(run, ROW)
+    return rows.select("tokens", "segment", "next_is_random", "positions", "labels").mapInArrow(run, ", ".join(f"{n} binary" for n in names))

@@ -18,14 +18,45 @@ LAYOUTS = {
     "labelled_image": {"i": "int", "x": "jpeg", "y": "int"},
     "raw_image": {"i": "int", "x": "pil", "y": "int"},
     "segmentation": {"uid": "bytes", "x": "jpeg", "y": "png"},
+    "boxed_image": {"img": "jpeg", "img_id": "int", "htot": "int", "wtot": "int", "bbox_sizes": "ndarray:float32", "bbox_labels": "ndarray:int64"},
+    "video": {"videoid": "str", "name": "str", "page_idx": "str", "page_dir": "str", "duration": "int", "contentUrl": "str", "content": "bytes"},
+    "video_outside": {"videoid": "str", "name": "str", "page_idx": "str", "page_dir": "str", "duration": "int", "contentUrl": "str", "content_path": "str"},
+    "captioned_image": {
+        "nsfw": "str", "similarity": "float64", "license": "str", "caption": "str", "url": "str", "key": "str", "status": "str", "error_message": "str",
+        "width": "int32", "height": "int32", "original_width": "int32", "original_height": "int32", "exif": "str", "jpg": "bytes",
+    },
+    "segment_pair": {n: "bytes" for n in ("input_ids", "input_mask", "segment_ids", "masked_lm_positions", "masked_lm_ids", "masked_lm_weights", "next_sentence_labels")},
 }
+#: The Spark type of each encoding that occurs above, where it is to be cast, and what a null becomes.
+CASTS = {"str": ("string", ""), "int": ("bigint", 0), "int32": ("int", 0), "float64": ("double", None), "bytes": ("binary", b""), "jpeg": ("binary", None), "png": ("binary", None)}
 
 
 def as_layout(rows: DataFrame, layout: str, **columns: str) -> DataFrame:
-    """rows with exactly the layout's columns; columns says which of them is which, where names differ. Null texts become empty."""
-    kinds = LAYOUTS[layout]
-    picked = {n: F.col(columns.get(n, n)) for n in kinds}
-    return rows.select(*[(F.coalesce(c.cast("string"), F.lit("")) if kinds[n] == "str" else c).alias(n) for n, c in picked.items()])
+    """rows with exactly the layout's columns, cast to its types; columns says which of them is which, where names differ.
+
+    Null texts and bytes become empty, null and NaN whole numbers 0; a float stays as it is, and an image must be there.
+    """
+    out = []
+    for name, encoding in LAYOUTS[layout].items():
+        c = F.col(columns.get(name, name))
+        if encoding in CASTS:
+            kind, default = CASTS[encoding]
+            if encoding in ("int", "int32") and dict(rows.dtypes)[columns.get(name, name)] in ("double", "float"):
+                c = F.nanvl(c, F.lit(0))
+            c = c.cast(kind)
+            c = c if default is None else F.coalesce(c, F.lit(default))
+        out.append(c.alias(name))
+    return rows.select(*out)
+
+
+def transformed(rows: DataFrame, schema: str, **transforms: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """rows with columns changed by functions of whole series (as a loader's transforms of x and y are), in batches; schema is that of the result."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{n: f(batch[n]) for n, f in transforms.items()})
+
+    return rows.mapInPandas(run, schema)
 
 
 def images_with_boxes(images: DataFrame, boxes: DataFrame, classes: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochweave.places import filesystem, qualified
+
 SPAN = 1024
 
 
@@ -56,3 +62,31 @@ def class_ids(rows: DataFrame, name: str) -> DataFrame:
 def first_rows(rows: DataFrame, order: list, n: int) -> DataFrame:
     """The first n rows of an order."""
     return rows.orderBy(*order).limit(n)
+
+
+def write_contents(rows: DataFrame, path: str, content: str, folder: str) -> int:
+    """A file below the folder for each row, by the tasks that have the rows; how many. A repeated task writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, where = filesystem(folder)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at = posixpath.join(where, name)
+                files.create_dir(posixpath.dirname(at), recursive=True)
+                with files.open_output_stream(at, compression=None) as out:
+                    out.write(data.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    folder = qualified(rows.sparkSession, folder)
+    return rows.select(path, content).mapInArrow(run, "path string").count()
+
+
+def external_content(rows: DataFrame, path: str, folder: str) -> DataFrame:
+    """rows with content (bytes): what lies below the folder at the path that a row names; null where nothing does."""
+    spark = rows.sparkSession
+    folder = qualified(spark, folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("_at"), "content")
+    # Spark names files in full, file:/ with one slash
+    begin = F.length(F.lit(folder)) + 2 if not folder.startswith("file://") else F.length(F.lit(folder.replace("file://", "file:", 1))) + 2
+    found = found.withColumn("_at", F.substr("_at", begin))
+    return rows.join(found, F.col(path) == F.col("_at"), "left").drop("_at")

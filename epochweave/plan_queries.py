@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochweave.plan_sql import SAMPLES, SHARD_ROWS, draw, grid, hexkey, shuffled
-from epochweave.plans.batching import padded
+from epochweave.plan_sql import ALL, SAMPLES, SHARD_ROWS, draw, grid, hexkey, shuffled
+from epochweave.plans.batching import block_sizes, dealt
 from epochweave.plans.epoch import Planner, Resume, samples_of
-from epochweave.plans.keys import key, ranked
+from epochweave.plans.keys import numbered, running
 from epochweave.plans.partition import Grid, relaxed_cells
-from epochweave.plans.sampling import draw_per_shard, resample
+from epochweave.plans.sampling import draw_per_shard, resample, shards_of, shuffle_units
 from epochweave.plans.shuffle import permutation, spans
 from epochweave.plans.weights import Weight, absolute, relative
 from epochweave.plans.world import World, replicated
 from epochweave.registry import query, table
 
+#: The sampling queries draw so many of each stream; all others plan every row of the table, and those of two streams more than once.
 CHOOSE = [180, 400, 90, 330]
-N = sum(CHOOSE)
-WEIGHTS = [Weight(choose=c) for c in CHOOSE]
+REPEAT = [1, 2, 1, 1.5]
+WEIGHTS = [Weight(repeat=r) for r in REPEAT]
+EVERY = "floor(n * case stream_id when 1 then 2 when 3 then 1.5 else 1 end)"
 WORLD = World(2, 2, 1)
 
 
@@ -31,26 +33,25 @@ def _planner(spark, sf_dir: str, **more) -> Planner:
 
 
 def _shards(spark, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).groupBy("stream_id", "shard_id").agg(F.count("*").alias("n"))
+    return shards_of(_samples(spark, sf_dir))
 
 
 def _choose(c: list[int] = CHOOSE):
     return F.element_at(F.array(*[F.lit(x).cast("long") for x in c]), (F.col("stream_id") + 1).cast("int"))
 
 
-def _units(planner: Planner, epoch: int = 0) -> DataFrame:
-    return planner.drawn(epoch).groupBy("unit_begin").agg(F.count("*").alias("size"))
+def _drawing(spark, sf_dir: str, **more) -> Planner:
+    return _planner(spark, sf_dir, weights=[Weight(choose=c) for c in CHOOSE], **more)
 
 
 @query(
     "epoch_plan_random",
-    f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 1)}, {shuffled('py1e', N, 2, 7, 1)}, {grid(N, 2, 2, 2, 1, 4)} "
+    f"with {SAMPLES}, {draw(EVERY, 1, 7, 1)}, {shuffled('py1e', ALL, 2, 7, 1)}, {grid(ALL, 2, 2, 2, 1, 4)} "
     "select c.node, c.rank, c.worker, c.batch, c.slot, s.sample_id, s.stream_id, d.doc_id, d.n_chars from cells c join perm using (pos) join drawn using (big_id) "
     "join samples s on s.sample_id = drawn.sample_id join documents d on d.doc_id = s.row_key",
 )
 def epoch_plan_random(spark, sf_dir):
-    planner = _planner(spark, sf_dir)
-    rows = planner.rows(1, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").join(planner.samples.select("sample_id", "stream_id"), "sample_id")
+    rows = _planner(spark, sf_dir).rows(1, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     return rows.select("node", "rank", "worker", "batch", "slot", "sample_id", "stream_id", "doc_id", "n_chars")
 
 
@@ -94,20 +95,20 @@ def x5(spark, sf_dir):
 
 @query("x6_resample_streams", f"with {SAMPLES}, {draw(CHOOSE, 8, 5, 1)} select big_id, unit_begin, sample_id, stream_id, shard_id from drawn")
 def x6(spark, sf_dir):
-    return resample(_samples(spark, sf_dir), draw_per_shard(_shards(spark, sf_dir), _choose(), 8, 5, 1), 5, 1)
+    return resample(shuffle_units(draw_per_shard(_shards(spark, sf_dir), _choose(), 8, 5, 1)), 5, 1)
 
 
 @query("x6_shuffle_units", f"with {SAMPLES}, {draw(CHOOSE, 8, 5, 1)} select unit_begin, size from units")
 def x6_units(spark, sf_dir):
-    return _units(_planner(spark, sf_dir, granularity=8, seed=5), 1)
+    return _drawing(spark, sf_dir, granularity=8, seed=5).units(1).select("unit_begin", "size")
 
 
 @query("x7_fixed_sampling", f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 0)} select sample_id, count(*) as times from drawn group by sample_id")
 def x7(spark, sf_dir):
-    return _planner(spark, sf_dir, sampling="fixed").drawn(3).groupBy("sample_id").agg(F.count("*").alias("times"))
+    return _drawing(spark, sf_dir, sampling="fixed").drawn(3).groupBy("sample_id").agg(F.count("*").alias("times"))
 
 
-@query("x8_epoch_size", f"select {N} as epoch_size, cast(ceil({N} / 4.0) as bigint) as samples_per_rank, cast(ceil({N} / 16.0) as bigint) as global_batches")
+@query("x8_epoch_size", f"with {SAMPLES}, {draw(EVERY)} select n_all as epoch_size, cast(ceil(n_all / 4.0) as bigint) as samples_per_rank, cast(ceil(n_all / 16.0) as bigint) as global_batches from everything")
 def x8(spark, sf_dir):
     p = _planner(spark, sf_dir)
     n = F.count("*")
@@ -125,7 +126,7 @@ def x10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     n = docs.count()
     picks = spark.range(37).select(F.col("id").alias("i"), F.floor(F.col("id") * F.lit(n / 37)).alias("r"))
-    return ranked(docs, [], "doc_id", "r", bucket=F.floor(F.col("doc_id") / 65536)).join(F.broadcast(picks), "r").select("i", "doc_id")
+    return numbered(docs, "doc_id", "r").join(F.broadcast(picks), "r").select("i", "doc_id")
 
 
 # Partitioning
@@ -178,76 +179,98 @@ def d6(spark, sf_dir):
 
 for _name, _algorithm in (("h1_naive", "naive"), ("h3_py1s", "py1s"), ("h4_py2s", "py2s"), ("h5_py1br", "py1br"), ("h6_py1e", "py1e")):
 
-    @query(f"{_name}_shuffle", f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 2)}, {shuffled(_algorithm, N, 4, 7, 2)} select pos, node, big_id from perm")
+    @query(f"{_name}_shuffle", f"with {SAMPLES}, {draw(EVERY, 1, 7, 2)}, {shuffled(_algorithm, ALL, 4, 7, 2)} select pos, node, big_id from perm")
     def _shuffle(spark, sf_dir, algorithm=_algorithm):
-        return permutation(_units(_planner(spark, sf_dir), 2), N, 4, algorithm, 7, 2, 200)
+        p = _planner(spark, sf_dir)
+        return permutation(p.units(2).select("unit_begin", "size"), p.n, 4, algorithm, 7, 2, 200).select("pos", "node", "big_id")
 
 
-@query("h2_divide_spans", f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 0)}, {shuffled('py1s', N, 8, 7, 0)} select unit_begin, node, begin, size, first from spans where size > 0")
+@query("h2_divide_spans", f"with {SAMPLES}, {draw(EVERY, 1, 7, 0)}, {shuffled('py1s', ALL, 8, 7, 0)} select unit_begin, node, begin, size, first from spans where size > 0")
 def h2(spark, sf_dir):
-    return spans(_units(_planner(spark, sf_dir)), N, 8, 7)
+    p = _planner(spark, sf_dir)
+    return spans(p.units(0), p.n, 8, 7)
 
 
 # Batching
 
 
-def _streams_sql(choose: list[int], c: int, p: int, r: int, w: int, b: int, seed: int, epoch: int, block: int) -> str:
-    """orders: traversal, stream_id, node, pos, sample_id: each stream drawn, dealt and shuffled (py1s) by itself."""
-    parts, union = [f"{SAMPLES}, {draw(choose, 1, seed, epoch)}"], []
-    for i, n in enumerate(choose):
-        first = sum(choose[:i])
-        inner = f"with units as (select unit_begin - {first} as unit_begin, size from all_u where unit_begin between {first} and {first + n - 1}), {shuffled('py1s', n, c, seed, epoch, block)}, {grid(n, c, p, r, w, b)} "
+#: A world with more than one worker, so that there are batches to fill up; global batches of 16, canonical nodes two to a node.
+BATCHING = {"world": World(2, 2, 3), "batch_size": 4, "canonical": 4, "shuffle": "py1e"}
+
+
+def _orders_sql(p: int, b: int) -> str:
+    """orders: traversal, stream_id, node, pos, sample_id: each stream dealt (over p nodes in batches of b) and shuffled by itself, with its part of a block of 200."""
+    union = []
+    for i in range(len(REPEAT)):
+        one = lambda what: f"(select {what} from choices where stream_id = {i})"  # noqa: B023, E731
+        first = f"(select cast(coalesce(sum(choose), 0) as bigint) from choices where stream_id < {i})"
+        inner = (
+            f"with units as (select unit_begin - {first} as unit_begin, size from all_u where unit_begin >= {first} and unit_begin < {first} + {one('choose')}), "
+            f"{shuffled('py1e', one('choose'), 4, 7, 1, '(200 * ' + one('choose') + ' // ' + ALL + ')')}, {grid(one('choose'), 4, p, 2, 3, b)} "
+        )
         union.append(f"select traversal, {i} as stream_id, node, pos, sample_id from ({inner} select cells.traversal, cells.node, cells.pos, drawn.sample_id from cells left join perm using (pos) left join drawn on drawn.big_id = perm.big_id + {first})")
-    return ", ".join(parts) + ", all_u as (select * from units), orders as (" + " union all ".join(union) + ")"
+    return f"{SAMPLES}, {draw(EVERY, 1, 7, 1)}, all_u as (select * from units), orders as (" + " union all ".join(union) + ")"
 
 
-_G = _streams_sql(CHOOSE, 2, 2, 2, 1, 4, 7, 1, 200)
-_PARTS = (3, 6, 2, 5)
+#: From batched (g: global batch, spot: place in it, stream_id, sample_id) and total (n: whole global batches) to a plan, filled up to 3 workers.
+_DEALT = """
+    placed as (
+        select g * 16 + spot as o, stream_id, sample_id from batched, total where g < n
+        union all select i, null, -1 from (select unnest(range((select n * 16 from total), (select (n + 2) // 3 * 48 from total))) as i)
+    ) select o as "order", (o // 8) % 2 as node, (o // 4) % 2 as rank, (o // 16) % 3 as worker, o // 48 as batch, o % 4 as slot, stream_id, sample_id from placed"""
 
 
 @query(
     "g2_stratified",
-    f"with {_G}, parts(stream_id, part) as (values {', '.join(f'({i}, {p})' for i, p in enumerate(_PARTS))}), x as (select o.*, part, traversal // part as b, traversal % part as slot from orders o join parts using (stream_id)), "
-    "f as (select stream_id, b from x group by stream_id, b, part having count(*) filter (pos >= 0) = part), l as (select min(n) as least from (select stream_id, count(*) as n from f group by stream_id)) "
-    "select b as batch, stream_id, slot, sample_id from x, l where b < least",
+    f"with {_orders_sql(1, 1)}, q as (select stream_id, choose * 16 // n_all as part, choose * 16 % n_all as rest from choices, everything), "
+    "parts as (select stream_id, part + (case when row_number() over (order by rest desc, stream_id desc) <= 16 - sum(part) over () then 1 else 0 end) as part from q), "
+    "begins as (select *, sum(part) over (order by stream_id) - part as begin from parts), "
+    "total as (select cast(min(n // part) as bigint) as n from (select stream_id, count(*) filter (pos >= 0) as n from orders group by stream_id) join parts using (stream_id)), "
+    f"batched as (select cast(traversal // part as bigint) as g, cast(begin + traversal % part as bigint) as spot, stream_id, sample_id from orders join begins using (stream_id)), {_DEALT}",
 )
 def g2(spark, sf_dir):
-    return _planner(spark, sf_dir, batching="stratified", shuffle="py1s").epoch(1)
+    return _planner(spark, sf_dir, batching="stratified", **BATCHING).epoch(1)
 
 
-_TURNS = "select stream_id, row_number() over (partition by stream_id{0} order by turn) - 1 as own, turn{1} from (select *, row_number() over ({2}order by {3}) - 1 as turn from full_batches)"
+_TURNS = "turns as (select node, stream_id, row_number() over (partition by node, stream_id order by k) - 1 as own, row_number() over (partition by node order by k) - 1 as turn from (select *, {} as k from whole))"
 
 
 @query(
     "g3_per_stream",
-    f"with {_G}, x as (select *, traversal // 16 as own, traversal % 16 as slot from orders), full_batches as (select stream_id, own from x group by all having min(pos) >= 0 and count(*) = 16), "
-    f"turns as ({_TURNS.format('', '', '', hexkey('turn', 'stream_id', 'own', seed=7, epoch=1))}) select turn as batch, stream_id, slot, sample_id from x join turns using (stream_id, own)",
+    f"with {_orders_sql(2, 4)}, x as (select stream_id, traversal // 16 as own, traversal % 16 as spot, pos, sample_id from orders), whole as (select 0 as node, stream_id, own from x group by all having min(pos) >= 0 and count(*) = 16), "
+    f"{_TURNS.format(hexkey('turn', 'stream_id', 'node', 'own', seed=7, epoch=1))}, total as (select count(*) as n from whole), batched as (select turn as g, spot, stream_id, sample_id from x join turns using (stream_id, own)), {_DEALT}",
 )
 def g3(spark, sf_dir):
-    return _planner(spark, sf_dir, batching="per_stream", shuffle="py1s").epoch(1)
+    return _planner(spark, sf_dir, batching="per_stream", **BATCHING).epoch(1)
 
 
 @query(
     "g4_device_per_stream",
-    f"with {_G}, i as (select *, row_number() over (partition by stream_id, node order by traversal) - 1 as i from orders), x as (select stream_id, node, pos, sample_id, i // 4 as own, i % 4 as slot from i), "
-    "full_batches as (select stream_id, node, own from x group by all having min(pos) >= 0 and count(*) = 4), "
-    f"turns as ({_TURNS.format(', node', ', node', 'partition by node ', hexkey('device', 'stream_id', 'node', 'own', seed=7, epoch=1))}), "
-    "fewest as (select min(n) // 2 as rounds from (select node, count(*) as n from turns group by node)) "
-    "select node, turn, turn % 2 as rank, turn // 2 as batch, stream_id, slot, sample_id from x join turns using (stream_id, node, own), fewest where turn < rounds * 2",
+    f"with {_orders_sql(4, 1)}, i as (select stream_id, node // 2 as node, pos, sample_id, row_number() over (partition by stream_id, node // 2 order by traversal) - 1 as i from orders), x as (select *, i // 4 as own, i % 4 as slot from i), "
+    f"whole as (select node, stream_id, own from x group by all having min(pos) >= 0 and count(*) = 4), {_TURNS.format(hexkey('device', 'stream_id', 'node', 'own', seed=7, epoch=1))}, "
+    "each as (select max(n) as n from (select node, count(*) as n from whole group by node)), total as (select (n + 1) // 2 as n from each), "
+    "batched as (select turn // 2 as g, (node * 2 + turn % 2) * 4 + slot as spot, stream_id, sample_id from x join turns using (node, stream_id, own) "
+    f"union all select t // 2, (p * 2 + t % 2) * 4 + s, null, -1 from each, (select unnest(range(2)) as p), (select unnest(range(4)) as s), (select unnest(range((select n from each), (select (n + 1) // 2 * 2 from each))) as t)), {_DEALT}",
 )
 def g4(spark, sf_dir):
-    return _planner(spark, sf_dir, batching="device_per_stream", shuffle="py1s").epoch(1)
+    return _planner(spark, sf_dir, batching="device_per_stream", **BATCHING).epoch(1)
 
 
-@query("g5_stream_block_size", f"select stream_id, cast(floor(262144 * choose / {N}.0) as bigint) as block_size from (values {', '.join(f'({i}, {c})' for i, c in enumerate(CHOOSE))}) as v(stream_id, choose)")
+@query("g5_stream_block_size", f"with {SAMPLES}, {draw(EVERY)} select stream_id, 262144 * choose // n_all as block_size from choices, everything")
 def g5(spark, sf_dir):
-    return _streams(spark, sf_dir).select("stream_id", F.floor(F.lit(262144) * _choose() / N).alias("block_size"))
+    p = _planner(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(block_sizes(262144, p.choose))), "stream_id long, block_size long")
 
 
-@query("g6_padding", "select i // 16 as batch, i % 16 as slot, case when i < 37 * 16 then i else -1 end as sample_id from (select unnest(range(40 * 16)) as i)")
+@query(
+    "g6_padding",
+    "with b as (select o_orderkey // 4 as k, row_number() over (order by o_orderkey) - 1 as i, o_orderkey from orders), n as (select count(*) // 16 as whole from b), "
+    'rows as (select i, o_orderkey as sample_id from b, n where i < whole * 16 union all select unnest(range((select whole * 16 from n), (select (whole + 6) // 7 * 112 from n))), -1) select i as "order", (i // 8) % 2 as node, (i // 4) % 2 as rank, (i // 16) % 7 as worker, i // 112 as batch, i % 4 as slot, sample_id from rows',
+)
 def g6(spark, sf_dir):
-    rows = spark.range(37 * 16).select(F.floor(F.col("id") / 16).alias("batch"), (F.col("id") % 16).alias("slot"), F.col("id").alias("sample_id"))
-    return padded(rows, spark, 37, 16, 8)
+    orders = numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "i")
+    rows = orders.select(F.floor(F.col("i") / 16).alias("global"), (F.col("i") % 16).alias("at"), F.lit(None).cast("long").alias("stream_id"), F.col("o_orderkey").alias("sample_id"))
+    return dealt(rows, table(spark, sf_dir, "orders").count() // 16, 0, World(2, 2, 7), 4).drop("stream_id")
 
 
 @query("p8_drop_padding", f"with {grid(997, 2, 2, 3, 2, 5)} select batch, count(*) as n from cells where pos >= 0 group by batch")
@@ -257,18 +280,35 @@ def p8(spark, sf_dir):
 
 # Going on after a stop
 
-_RESUME = f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 1)}, {shuffled('py1e', N, 2, 7, 1)}, {grid(N, 2, 2, 2, 1, 4, 160)} "
+_RESUME = f"with {SAMPLES}, {draw(EVERY, 1, 7, 1)}, {shuffled('py1e', ALL, 2, 7, 1)}, "
+_CELL = "{} as node, {} as rank, {} as worker, {} as batch, {} as slot, coalesce(sample_id, -1) as sample_id from cells left join perm using (pos) left join drawn using (big_id)"
+_STOPPED = Resume(1, 160, 2, 7, 2)
+
 
+def _resumed(spark, sf_dir, world: World, canonical: int | None, seed: int):
+    """A run that stopped after 160 samples on two nodes, by a planner that knows no better: the state has the canonical nodes and the seed."""
+    return _planner(spark, sf_dir, world=world, canonical=canonical, seed=seed).epoch(1, _STOPPED).select("node", "rank", "worker", "batch", "slot", "sample_id")
 
-@query("e5_resume", _RESUME + "select node, rank, worker, batch, slot, coalesce(sample_id, -1) as sample_id from cells left join perm using (pos) left join drawn using (big_id)".replace("node, rank", "cells.node, cells.rank"))
+
+@query("e5_resume", f"{_RESUME}{grid(ALL, 2, 2, 2, 1, 4, 160)} select {_CELL.format('cells.node', 'cells.rank', 'cells.worker', 'cells.batch', 'cells.slot')}")
 def e5(spark, sf_dir):
-    return _planner(spark, sf_dir).epoch(1, Resume(1, 160, 2, 7, 2)).select("node", "rank", "worker", "batch", "slot", "sample_id")
+    return _resumed(spark, sf_dir, WORLD, 2, 7)
+
+
+@query("e5_resume_on_four_nodes", f"{_RESUME}{grid(ALL, 2, 4, 2, 1, 2, 160)} select {_CELL.format('cells.node', 'cells.rank', 'cells.worker', 'cells.batch', 'cells.slot')}")
+def e5_four(spark, sf_dir):
+    return _planner(spark, sf_dir, world=World(4, 2, 1), canonical=None, seed=3, batch_size=2).epoch(1, _STOPPED).select("node", "rank", "worker", "batch", "slot", "sample_id")
 
 
-@query("e7_loader_counts", f"with {grid(N, 2, 2, 2, 1, 4)} select batch, count(*) filter (pos >= 0) as yielded, sum(count(*) filter (pos >= 0)) over (order by batch) as sample_in_epoch from cells group by batch")
+@query("e5_resume_on_three_nodes", f"{_RESUME}{grid(ALL, 2, 2, 2, 1, 6, 160)} select {_CELL.format('(traversal // 8) % 3', '(traversal // 4) % 2', '0', 'traversal // 24', 'traversal % 4')}")
+def e5_three(spark, sf_dir):
+    return _resumed(spark, sf_dir, World(3, 2, 1), None, 0)
+
+
+@query("e7_loader_counts", f"with {SAMPLES}, {draw(EVERY)}, {grid(ALL, 2, 2, 2, 1, 4)} select batch, count(*) filter (pos >= 0) as yielded, sum(count(*) filter (pos >= 0)) over (order by batch) as sample_in_epoch from cells group by batch")
 def e7(spark, sf_dir):
-    per = Grid(N, 2, 2, 2, 1, 4).cells(spark).groupBy("batch").agg(F.sum((F.col("pos") >= 0).cast("long")).alias("yielded"))
-    return per.withColumn("sample_in_epoch", F.sum("yielded").over(Window.partitionBy(F.lit(0)).orderBy("batch")))
+    per = Grid(_planner(spark, sf_dir).n, 2, 2, 2, 1, 4).cells(spark).groupBy("batch").agg(F.sum((F.col("pos") >= 0).cast("long")).alias("yielded"))
+    return running(per, [], "batch", "yielded", "_before", bucket=F.floor(F.col("batch") / 65536)).select("batch", "yielded", (F.col("_before") + F.col("yielded")).alias("sample_in_epoch"))
 
 
 # Lookups
@@ -293,10 +333,10 @@ def j1(spark, sf_dir):
     return span_lookup(ids, shards).select("sample_id", "shard_id", "offset_in_shard")
 
 
-@query("j2_gather", f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 0)}, {shuffled('py1s', N, 2, 7, 0)} select pos, sample_id from perm join drawn using (big_id)")
+@query("j2_gather", f"with {SAMPLES}, {draw(EVERY, 1, 7, 0)}, {shuffled('py1s', ALL, 2, 7, 0)} select pos, sample_id from perm join drawn using (big_id)")
 def j2(spark, sf_dir):
     p = _planner(spark, sf_dir)
-    return permutation(_units(p), N, 2, "py1s", 7, 0).join(p.drawn(0), "big_id").select("pos", "sample_id")
+    return permutation(p.units(0).select("unit_begin", "size"), p.n, 2, "py1s", 7, 0).drop("unit_begin").join(p.drawn(0), "big_id").select("pos", "sample_id")
 
 
 @query("j3_sample_stream", f"with {SAMPLES} select stream_id, min(sample_id) as first, max(sample_id) as last, count(*) as n from samples group by stream_id")
@@ -350,7 +390,7 @@ def n2(spark, sf_dir):
     return rolling_throughput(steps, "order_key", "n", 10).select("order_key", F.round("per_second", 9).alias("per_second"))
 
 
-@query("n3_adjacent_difference", f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 0)}, {shuffled('py1s', N, 2, 7, 0)}, o as (select pos, sample_id from perm join drawn using (big_id)) select pos, abs(sample_id - lag(sample_id) over (order by pos)) as difference from o qualify difference is not null")
+@query("n3_adjacent_difference", f"with {SAMPLES}, {draw(EVERY, 1, 7, 0)}, {shuffled('py1s', ALL, 2, 7, 0)}, o as (select pos, sample_id from perm join drawn using (big_id)) select pos, abs(sample_id - lag(sample_id) over (order by pos)) as difference from o qualify difference is not null")
 def n3(spark, sf_dir):
     from epochweave.operators.analysis import differences
 
@@ -360,7 +400,7 @@ def n3(spark, sf_dir):
 _ENTROPY = "select round(-sum(n / total * log2(n / total)), 6) as entropy from (select difference, count(*) as n, sum(count(*)) over () as total from d group by difference)"
 
 
-@query("f18_difference_entropy", f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 0)}, {shuffled('py1s', N, 2, 7, 0)}, o as (select pos, sample_id from perm join drawn using (big_id)), d as (select abs(sample_id - lag(sample_id) over (order by pos)) as difference from o qualify difference is not null) {_ENTROPY}")
+@query("f18_difference_entropy", f"with {SAMPLES}, {draw(EVERY, 1, 7, 0)}, {shuffled('py1s', ALL, 2, 7, 0)}, o as (select pos, sample_id from perm join drawn using (big_id)), d as (select abs(sample_id - lag(sample_id) over (order by pos)) as difference from o qualify difference is not null) {_ENTROPY}")
 def f18(spark, sf_dir):
     from epochweave.operators.analysis import difference_entropy
 
@@ -369,7 +409,7 @@ def f18(spark, sf_dir):
 
 @query(
     "z9_shuffle_quality",
-    f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 0)}, {shuffled('py1s', N, 2, 7, 0)}, o as (select pos, sample_id, shard_id from perm join drawn using (big_id)), "
+    f"with {SAMPLES}, {draw(EVERY, 1, 7, 0)}, {shuffled('py1s', ALL, 2, 7, 0)}, o as (select pos, sample_id, shard_id from perm join drawn using (big_id)), "
     f"a as (with d as (select abs(sample_id - lag(sample_id) over (order by pos)) as difference from o qualify difference is not null) {_ENTROPY}), b as (with d as (select abs(shard_id - lag(shard_id) over (order by pos)) as difference from o qualify difference is not null) {_ENTROPY}) "
     "select a.entropy as sample_entropy, b.entropy as shard_entropy, round(2 / (1 / a.entropy + 1 / b.entropy), 5) as quality from a, b",
 )
@@ -377,7 +417,7 @@ def z9(spark, sf_dir):
     from epochweave.operators.analysis import shuffle_quality
 
     p = _planner(spark, sf_dir)
-    order = permutation(_units(p), N, 2, "py1s", 7, 0).join(p.drawn(0), "big_id").select("pos", "sample_id", "shard_id")
+    order = permutation(p.units(0).select("unit_begin", "size"), p.n, 2, "py1s", 7, 0).drop("unit_begin").join(p.drawn(0), "big_id").select("pos", "sample_id", "shard_id")
     return shuffle_quality(order, "pos", "sample_id", "shard_id")
 
 
@@ -390,7 +430,7 @@ def z5(spark, sf_dir):
 
 @query(
     "z6_cache_limit",
-    f"with {SAMPLES}, {draw(CHOOSE, 1, 7, 1)}, {shuffled('py1s', N, 2, 7, 1)}, {grid(N, 2, 2, 2, 1, 4)}, uses as (select cells.node, shard_id, min(batch) as a, max(batch) as b, count(*) * 1000 as size from cells join perm using (pos) join drawn using (big_id) group by 1, 2), "
+    f"with {SAMPLES}, {draw(EVERY, 1, 7, 1)}, {shuffled('py1s', ALL, 2, 7, 1)}, {grid(ALL, 2, 2, 2, 1, 4)}, uses as (select cells.node, shard_id, min(batch) as a, max(batch) as b, count(*) * 1000 as size from cells join perm using (pos) join drawn using (big_id) group by 1, 2), "
     "e as (select node, a as t, 0 as kind, size from uses union all select node, b, 1, -size from uses) select max(level) as cache_limit from (select sum(size) over (partition by node order by t, kind, size rows unbounded preceding) as level from e)",
 )
 def z6(spark, sf_dir):
@@ -409,5 +449,3 @@ def z7(spark, sf_dir):
     steps = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("step")).agg(F.sum("l_quantity").alias("wait"))
     return simulation_stats(steps, "step", "wait", 200.0, 10)
 
-
-_ = key

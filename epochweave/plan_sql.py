@@ -25,11 +25,15 @@ SAMPLES = f"""
     ), shards as (select stream_id, shard_id, count(*) as n from samples group by all)"""
 
 
-def draw(choose: list[int], granularity: int = 1, seed: int = 0, epoch: int = 0) -> str:
-    """drawn: big_id, unit_begin, sample_id, stream_id, shard_id; units: unit_begin, size."""
-    rows = ", ".join(f"({i}, {c})" for i, c in enumerate(choose))
+#: How many rows a plan has that draw() is for, whatever it draws.
+ALL = "(select n_all from everything)"
+
+
+def draw(choose: list[int] | str, granularity: int = 1, seed: int = 0, epoch: int = 0) -> str:
+    """drawn: big_id, unit_begin, sample_id, stream_id, shard_id; units: unit_begin, size. choose: numbers, or an expression of stream_id and n."""
+    rows = f"select stream_id, cast({choose} as bigint) as choose from names" if isinstance(choose, str) else "values " + ", ".join(f"({i}, {c})" for i, c in enumerate(choose))
     return f"""
-    choices(stream_id, choose) as (values {rows}),
+    choices(stream_id, choose) as ({rows}), everything as (select cast(sum(choose) as bigint) as n_all from choices),
     base as (
         select s.*, choose // sum(n) over (partition by stream_id) as whole, choose % sum(n) over (partition by stream_id) as rest
         from shards s join choices using (stream_id)
@@ -81,7 +85,7 @@ def grid(n: str | int, c: int, p: int, r: int, w: int, b: int, drop: int = 0, na
     )"""
 
 
-def shuffled(algorithm: str, n: str | int, c: int, seed: int = 0, epoch: int = 0, block: int = 200) -> str:
+def shuffled(algorithm: str, n: str | int, c: int, seed: int = 0, epoch: int = 0, block: int | str = 200) -> str:
     """perm: pos, node, big_id, from units and n drawn rows."""
     edge = lambda x: f"(({x}) * {n} // {c})"
     node_of = f"((pos + 1) * {c} - 1) // {n}"
@@ -115,13 +119,13 @@ def shuffled(algorithm: str, n: str | int, c: int, seed: int = 0, epoch: int = 0
         return out + f""",
     perm as (select start_at + row_number() over (partition by start_at order by {row}) - 1 as pos, node, big_id from {source})"""
     if algorithm == "py1br":
-        stagger = f"cast(floor({uniform(hexkey('stagger', 'node', seed=seed, epoch=epoch))} * {0.75 * block!r}) as bigint)"
+        stagger = f"cast(floor({uniform(hexkey('stagger', 'node', seed=seed, epoch=epoch))} * (0.75 * {block})) as bigint)"
         return out + f""",
     blocks as (select *, start_at + i as here, (start_at + i - {edge('node')} + {stagger}) // {block} as block from span_rows),
     perm as (select min(here) over (partition by node, block) + row_number() over (partition by node, block order by {row}) - 1 as pos, node, big_id from blocks)"""
     return out + f""",
     shifts as (
-        select *, greatest({edge('node')} - start_at, -greatest(0.0, ({float(block)!r} - size) / 2)) as lo, least({edge('node + 1')} - start_at - size, greatest(0.0, ({float(block)!r} - size) / 2)) as hi,
+        select *, greatest({edge('node')} - start_at, -greatest(0.0, (cast({block} as double) - size) / 2)) as lo, least({edge('node + 1')} - start_at - size, greatest(0.0, (cast({block} as double) - size) / 2)) as hi,
             start_at + row_number() over (partition by start_at order by {row}) - 1 as here
         from span_rows
     ), moved as (select *, here + lo + (hi - lo) * {uniform(hexkey('shift', 'big_id', seed=seed, epoch=epoch))} as there from shifts),

@@ -1,15 +1,21 @@
-"""Batches of four compositions, each as rows order (of traversal), batch and so on, with the sample that stands there."""
+"""Batches of four compositions, as rows of the grid (order, node, rank, worker, batch, slot) with the sample that stands there.
+
+How many whole batches a stream has follows from its size alone, so what is dropped and padded is known before any row is made.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochweave.plans.keys import key, ranked
-from epochweave.plans.partition import Grid
-from epochweave.plans.shuffle import permutation, permutations
+from epochweave.plans.partition import CELLS, SCALARS, Grid, coordinates, grouped_cells, initial_grid
+from epochweave.plans.sampling import remainders
+from epochweave.plans.shuffle import permutations
+from epochweave.plans.world import World
 
 METHODS = ("random", "stratified", "per_stream", "device_per_stream")
+PLAN = ["order", *CELLS, "stream_id", "sample_id"]
 
 
 def shares(choose: list[int], global_batch: int) -> list[int]:
@@ -24,70 +30,110 @@ def shares(choose: list[int], global_batch: int) -> list[int]:
     return out
 
 
-def gathered(cells: DataFrame, units: DataFrame, drawn: DataFrame, n: int, canonical: int, shuffle: str | None, seed: int, epoch: int, block_size: int) -> DataFrame:
-    """cells with the sample_id that each position leads to by way of the shuffle; padding has none."""
-    if shuffle:
-        order = permutation(units, n, canonical, shuffle, seed, epoch, block_size).select("pos", "big_id")
-        drawn = order.join(drawn, "big_id")
-    else:
-        drawn = drawn.withColumn("pos", F.col("big_id"))
-    return cells.join(drawn.select("pos", "sample_id", "stream_id"), "pos", "left")
-
-
-def stream_orders(samples: DataFrame, streams: list[tuple[int, int, int]], grid: dict, shuffle: str | None, seed: int, epoch: int, block_size: int) -> DataFrame:
-    """The traversal of each stream by itself: samples are big_id, sample_id, unit_begin, stream_id within streams (id, first big id, n)."""
-    cells = None
-    for stream, _, n in streams:  # computed cells, a branch for each stream of a mixture
-        own = Grid(**(grid | {"n": n})).cells(samples.sparkSession).withColumn("stream_id", F.lit(stream))
-        cells = own if cells is None else cells.unionByName(own)
-    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for s in streams for x in (s[0], s[k])]), F.col("stream_id").cast("int")).cast("long")
-    drawn = samples.select(F.col("stream_id").cast("int").alias("stream_id"), (F.col("big_id") - of(1)).alias("big_id"), (F.col("unit_begin") - of(1)).alias("unit_begin"), "sample_id")
+def block_sizes(block_size: int, choose: list[int]) -> list[int]:
+    """Each stream's part of the shuffle's block, so that all together move rows as far as one block would."""
+    return [block_size * c // sum(choose) for c in choose]
+
+
+def ordered(units: DataFrame, canonical: int, shuffle: str | None, seed: int, epoch: int, block: Column, partial: bool, drawn_in: int) -> DataFrame:
+    """Columns g, pos, stream_id, sample_id: which sample a position of each group leads to.
+
+    units: g, n, unit_begin, size, and stream_id, shard_id, base, first_sample, width (the shard's n) of shuffle_units(). A unit with
+    a base is a whole shard, so its samples follow from their place; partial says that there are others, whose draw (of the epoch
+    drawn_in) is looked up.
+    """
+    rows = units.drop("first_sample", "width")
     if shuffle:
-        units = drawn.groupBy("stream_id", "unit_begin").agg(F.count("*").alias("size")).select(F.col("stream_id").alias("g"), of(2).alias("n"), "unit_begin", "size")
-        order = permutations(units, grid["canonical"], shuffle, seed, epoch, block_size).select(F.col("g").alias("stream_id"), "pos", "big_id")
-        drawn = order.join(drawn, ["stream_id", "big_id"])
+        rows = permutations(rows, canonical, shuffle, seed, epoch, block)
     else:
-        drawn = drawn.withColumn("pos", F.col("big_id"))
-    return cells.join(drawn.select("stream_id", "pos", "sample_id"), ["stream_id", "pos"], "left")
-
+        rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1))).withColumn("big_id", F.col("unit_begin") + F.col("_i")).withColumn("pos", F.col("big_id"))
+    sample = F.col("base") + F.col("big_id") - F.col("unit_begin")
+    if not partial:
+        return rows.select("g", "pos", "stream_id", sample.alias("sample_id"))
+    drawn = remainders(units.select("g", "stream_id", "shard_id", F.col("width").alias("n"), "size", "unit_begin", "base", "first_sample"), seed, drawn_in)
+    drawn = drawn.select("stream_id", "big_id", F.col("sample_id").alias("_drawn"))
+    return rows.join(drawn, ["stream_id", "big_id"], "left").select("g", "pos", "stream_id", F.coalesce("_drawn", sample).alias("sample_id"))
 
-def stratified(orders: DataFrame, parts: list[int]) -> DataFrame:
-    """Rows batch, stream_id, slot, sample_id: every global batch has the same part of each stream, as many as the scarcest allows."""
-    part = F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(parts) for x in (i, p)]), F.col("stream_id"))
-    rows = orders.withColumn("_part", part).withColumn("batch", F.floor(F.col("order") / F.col("_part"))).withColumn("slot", F.col("order") % F.col("_part"))
-    full = rows.groupBy("stream_id", "batch").agg((F.sum((F.col("pos") >= 0).cast("int")) == F.first("_part")).alias("_full")).where("_full").groupBy("stream_id").agg(F.count("*").alias("_n"))
-    least = full.agg(F.min("_n").alias("_least"))  # one row
-    return rows.join(F.broadcast(least)).where("batch < _least").select("batch", "stream_id", "slot", "sample_id")
 
+def stream_orders(spark: SparkSession, units: DataFrame, streams: list[dict], grid: dict, initial_nodes: int | None, shuffle: str | None, seed: int, epoch: int, partial: bool, drawn_in: int) -> DataFrame:
+    """Columns stream_id, order, node, pos, sample_id: the traversal of each stream by itself.
 
-def per_stream(orders: DataFrame, global_batch: int, seed: int, epoch: int) -> DataFrame:
-    """Rows batch, stream_id, slot, sample_id: each global batch is one stream's; incomplete ones are dropped; streams take turns by hash."""
-    rows = orders.drop("batch").withColumn("_own", F.floor(F.col("order") / global_batch)).withColumn("slot", F.col("order") % global_batch)
-    full = rows.groupBy("stream_id", "_own").agg(F.min("pos").alias("_p"), F.count("*").alias("_n")).where(f"_p >= 0 and _n = {global_batch}").select("stream_id", "_own")
-    # which stream is next goes by hash; which of its batches that is goes by its own order
-    turns = ranked(full.withColumn("_key", key("turn", "stream_id", "_own", seed=seed, epoch=epoch)), [], "_key", "batch")
-    turns = turns.withColumn("_own", F.row_number().over(Window.partitionBy("stream_id").orderBy("batch")) - 1).select("stream_id", "_own", "batch")
-    return rows.join(turns, ["stream_id", "_own"]).select("batch", "stream_id", "slot", "sample_id")
+    streams: stream_id, n (drawn rows), first (where they begin among all), block. A row for each stream of a mixture; they go to all
+    tasks as a table, so that a plan doesn't grow with them.
+    """
+    first = initial_grid(grid, initial_nodes)
+    rows = [(s["stream_id"], s["first"], s["block"], *(Grid(**(first | {"n": s["n"]})).scalars[k] for k in SCALARS)) for s in streams]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("g", "first", "block", *SCALARS)))
+    cells = grouped_cells(table.drop("first", "block"), first)
+    own = units.withColumnRenamed("n", "width").join(F.broadcast(table.select("g", "n", "first", "block")), F.col("stream_id") == F.col("g"))
+    own = own.withColumn("unit_begin", F.col("unit_begin") - F.col("first")).select("g", "n", "unit_begin", "size", "block", "stream_id", "shard_id", "base", "first_sample", "width")
+    samples = ordered(own, grid["canonical"], shuffle, seed, epoch, F.col("block"), partial, drawn_in)
+    return cells.join(samples.drop("stream_id"), ["g", "pos"], "left").select(F.col("g").alias("stream_id"), "order", "node", "pos", "sample_id")
 
 
-def device_per_stream(orders: DataFrame, nodes: int, ranks: int, workers: int, batch_size: int, seed: int, epoch: int) -> DataFrame:
-    """Rows node, turn, rank, batch, stream_id, slot, sample_id: each device batch is one stream's.
+def dealt(rows: DataFrame, n: int, seen: int, world: World, batch_size: int) -> DataFrame:
+    """A plan (columns PLAN) of the rows of n global batches (columns global, at: the place in it, stream_id, sample_id), from batch `seen` on.
 
-    A node's device batches of all streams take turns by hash, each stream's in its own order; turns go to the node's ranks one after
-    another, as many on each node as on that with the fewest.
+    Batches without samples are added until each worker has as many.
+    """
+    whole, left = world.ranks * batch_size, max(0, n - seen)
+    filled = -(-left // world.workers_per_rank) * world.workers_per_rank
+    rows = rows.where((F.col("global") >= seen) & (F.col("global") < n)).select(((F.col("global") - seen) * whole + F.col("at")).alias("order"), "stream_id", "sample_id")
+    none = F.lit(None).cast("long")
+    rows = rows.unionByName(rows.sparkSession.range(left * whole, filled * whole).select(F.col("id").alias("order"), none.alias("stream_id"), F.lit(-1).cast("long").alias("sample_id")))
+    return rows.select("order", *[c.cast("long").alias(k) for k, c in coordinates(F.col("order"), world.nodes, world.ranks_per_node, world.workers_per_rank, batch_size).items()], "stream_id", "sample_id").select(*PLAN)
+
+
+def _turns(spark: SparkSession, whole: list[tuple[int, int, int]], purpose: str, seed: int, epoch: int, chunk: int = 1 << 16) -> DataFrame:
+    """Columns node, stream_id, own, turn: the whole batches (node, stream_id, how many) of a node take turns by hash, a stream's in its own order."""
+    rows = spark.createDataFrame(whole, "node long, stream_id long, _n long").where("_n > 0")
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk)))).repartition("node", "stream_id", "_chunk")
+    rows = rows.select("node", "stream_id", F.explode(F.sequence(F.col("_chunk") * chunk, F.least(F.col("_n"), (F.col("_chunk") + 1) * chunk) - 1)).alias("_b"))
+    rows = ranked(rows.withColumn("_key", key(purpose, "stream_id", "node", "_b", seed=seed, epoch=epoch)), ["node"], "_key", "turn")
+    return ranked(rows, ["node", "stream_id"], "_key", "own").select("node", "stream_id", "own", "turn")
+
+
+def stratified(orders: DataFrame, streams: list[dict], grid: dict, world: World, batch_size: int, seen: int) -> DataFrame:
+    """Every global batch has the same part of each stream, as many batches as the scarcest allows."""
+    parts = shares([s["n"] for s in streams], world.ranks * batch_size)
+    least = min(Grid(**(grid | {"n": s["n"]})).filled * grid["ranks"] * grid["nodes"] // p for s, p in zip(streams, parts, strict=True))
+    table = orders.sparkSession.createDataFrame([(s["stream_id"], p, sum(parts[:i])) for i, (s, p) in enumerate(zip(streams, parts, strict=True))], "stream_id long, part long, begin long")
+    rows = orders.join(F.broadcast(table), "stream_id")  # a row for each stream of a mixture
+    rows = rows.select(F.floor(F.col("order") / F.col("part")).alias("global"), (F.col("begin") + F.col("order") % F.col("part")).alias("at"), "stream_id", "sample_id")
+    return dealt(rows, least, seen, world, batch_size)
+
+
+def per_stream(orders: DataFrame, streams: list[dict], grid: dict, world: World, batch_size: int, seen: int, seed: int, epoch: int) -> DataFrame:
+    """Each global batch is one stream's; incomplete ones are dropped; streams take turns by hash."""
+    size = world.ranks * batch_size
+    whole = [(0, s["stream_id"], Grid(**(grid | {"n": s["n"]})).filled // grid["batch_size"]) for s in streams]
+    if short := [i for _, i, n in whole if not n]:
+        raise ValueError(f"stream {short[0]} has too few samples for a global batch of {size}")
+    turns = _turns(orders.sparkSession, whole, "turn", seed, epoch).select("stream_id", "own", F.col("turn").alias("global"))
+    rows = orders.withColumn("own", F.floor(F.col("order") / size)).withColumn("at", F.col("order") % size).join(turns, ["stream_id", "own"])
+    return dealt(rows.select("global", "at", "stream_id", "sample_id"), sum(n for _, _, n in whole), seen, world, batch_size)
+
+
+def device_per_stream(orders: DataFrame, streams: list[dict], grid: dict, world: World, batch_size: int, seen: int, seed: int, epoch: int) -> DataFrame:
+    """Each device batch is one stream's, from its own canonical nodes.
+
+    A node's device batches of all streams take turns by hash, each stream's in its own order, and go to the node's ranks one after
+    another. orders are those of a grid of one canonical node to a node, so that they don't depend on the number of nodes.
     """
-    per_device = Window.partitionBy("stream_id", "node").orderBy("order")
-    rows = orders.withColumn("_i", F.row_number().over(per_device) - 1).withColumn("_own", F.floor(F.col("_i") / batch_size)).withColumn("slot", F.col("_i") % batch_size)
-    full = rows.groupBy("stream_id", "node", "_own").agg(F.min("pos").alias("_p"), F.count("*").alias("_n")).where(f"_p >= 0 and _n = {batch_size}").select("stream_id", "node", "_own")
-    turns = ranked(full.withColumn("_key", key("device", "stream_id", "node", "_own", seed=seed, epoch=epoch)), ["node"], "_key", "turn")
-    turns = turns.withColumn("_own", F.row_number().over(Window.partitionBy("stream_id", "node").orderBy("turn")) - 1).select("stream_id", "node", "_own", "turn")
-    fewest = turns.groupBy("node").agg(F.count("*").alias("_n")).agg(F.floor(F.min("_n") / ranks).alias("_rounds"), F.count("*").alias("_nodes"))  # one row
-    out = rows.drop("rank", "batch").join(turns, ["stream_id", "node", "_own"]).join(F.broadcast(fewest)).where((F.col("turn") < F.col("_rounds") * ranks) & (F.col("_nodes") == nodes))
-    return out.select("node", "turn", (F.col("turn") % ranks).alias("rank"), F.floor(F.col("turn") / ranks).alias("batch"), "stream_id", "slot", "sample_id")
-
-
-def padded(batches: DataFrame, spark, n_batches: int, slots: int, multiple: int) -> DataFrame:
-    """Batches with rows of no sample more, until their number is a multiple of the workers that read in turn."""
-    n = -(-n_batches // multiple) * multiple
-    more = spark.range(n_batches * slots, n * slots).select(F.floor(F.col("id") / slots).alias("batch"), (F.col("id") % slots).alias("slot"), F.lit(-1).cast("long").alias("sample_id"))
-    return batches.select("batch", "slot", "sample_id").unionByName(more)
+    canonical, ranks = grid["canonical"], world.ranks_per_node
+    share = canonical // world.nodes
+    whole = [(p, s["stream_id"], Grid(**(grid | {"n": s["n"]})).filled * share * ranks // batch_size) for s in streams for p in range(world.nodes)]
+    if short := [i for _, i, n in whole if not n]:
+        raise ValueError(f"stream {short[0]} has too few samples for a device batch of {batch_size}")
+    turns = _turns(orders.sparkSession, whole, "device", seed, epoch)
+    # order is by step (batch and worker), canonical node, rank; within a node's share of canonical nodes the same without the others
+    step, inside = F.floor(F.col("order") / (canonical * ranks)), F.col("order") % (share * ranks)
+    rows = orders.withColumn("_at", step * (share * ranks) + inside).withColumn("node", F.floor(F.col("node") / share))
+    rows = rows.withColumn("own", F.floor(F.col("_at") / batch_size)).withColumn("_slot", F.col("_at") % batch_size).join(turns, ["node", "stream_id", "own"])
+    each = sum(n for p, _, n in whole if p == 0)
+    at = (F.col("node") * ranks + F.col("turn") % ranks) * batch_size + F.col("_slot")
+    rows = rows.select(F.floor(F.col("turn") / ranks).alias("global"), at.alias("at"), "stream_id", "sample_id")
+    missing = orders.sparkSession.range(each % ranks and ranks - each % ranks).select((F.col("id") + each).alias("turn"))  # of the last round
+    missing = missing.select("turn", F.explode(F.sequence(F.lit(0), F.lit(world.nodes - 1))).alias("node")).select("turn", "node", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))).alias("_slot"))
+    missing = missing.select(F.floor(F.col("turn") / ranks).alias("global"), at.alias("at"), F.lit(None).cast("long").alias("stream_id"), F.lit(-1).cast("long").alias("sample_id"))
+    return dealt(rows.unionByName(missing), -(-each // ranks), seen, world, batch_size)

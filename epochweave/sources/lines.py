@@ -1,14 +1,19 @@
-"""Rows as lines: JSON and separated values in shards, each with an index; read with Spark's own readers."""
+"""Rows as lines: JSON and separated values in shards with an index, read with Spark's own readers."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epochweave.places import qualified
+from epochweave.sources.shards import FORMAT, read_index, read_shards, save_rows
+
 KINDS = {"str": T.StringType(), "int": T.LongType(), "float": T.DoubleType()}
+#: What Spark's readers of lines open by its ending.
+READABLE = ("gz", "bz2")
 
 
 def _columns(df: DataFrame, columns: dict[str, str] | None) -> dict[str, str]:
@@ -19,48 +24,55 @@ def _columns(df: DataFrame, columns: dict[str, str] | None) -> dict[str, str]:
     return columns
 
 
-def write_json_lines(df: DataFrame, folder: str, columns: dict[str, str] | None = None) -> None:
-    """One JSON object a line, keys in order."""
-    columns = _columns(df, columns)
-    df.select(F.to_json(F.struct(*sorted(columns))).alias("value")).write.text(folder)
+def _present(name: str, kind: str) -> Column:
+    c = F.col(name).cast(KINDS[kind])
+    return F.when(c.isNull(), F.raise_error(f"column {name} has a null, which lines can't hold").cast(KINDS[kind])).otherwise(c)
+
 
+def _written(lines: Column, df: DataFrame, folder: str, columns: dict[str, str], mode: str = "append", **options: str) -> str:
+    compression = options.get("compression", "")
+    if compression and compression.partition(":")[0] not in READABLE:
+        raise ValueError(f"lines can be compressed by {' or '.join(READABLE)}, not by {compression}")
+    return save_rows(df.select(lines.alias("line")), folder, mode, {"compression": ""} | options | {"columns": json.dumps(columns)})
 
-def read_json_lines(spark: SparkSession, folder: str, columns: dict[str, str]) -> DataFrame:
-    return spark.read.schema(T.StructType([T.StructField(n, KINDS[t]) for n, t in columns.items()])).json(folder)
+
+def write_json_lines(df: DataFrame, folder: str, columns: dict[str, str] | None = None, **options: str) -> str:
+    """One JSON object a line, keys in order. options: as of write_shards()."""
+    columns = _columns(df, columns)
+    return _written(F.to_json(F.struct(*[_present(n, columns[n]).alias(n) for n in sorted(columns)])), df, folder, columns, rows="json", **options)
 
 
-def write_separated(df: DataFrame, folder: str, separator: str = ",", columns: dict[str, str] | None = None) -> None:
-    """A head line in each file, values as they are, unquoted; a separator or line end within a value is an error."""
+def write_separated(df: DataFrame, folder: str, separator: str = ",", columns: dict[str, str] | None = None, **options: str) -> str:
+    """A line of names, in order, in each shard, then values as they are, unquoted; a separator or line end within a value or name is an error."""
     columns = _columns(df, columns)
-    checked = [F.when(F.col(n).rlike("[\n\r]") | F.contains(F.col(n), F.lit(separator)), F.raise_error(f"column {n} holds a separator")).otherwise(F.col(n)).alias(n) if t == "str" else F.col(n) for n, t in columns.items()]
-    df.select(*checked).write.option("sep", separator).option("header", True).option("quote", "").option("escape", "").option("emptyValue", "").csv(folder)
+    if bad := [n for n in columns if separator in n or "\n" in n]:
+        raise ValueError(f"a name holds a separator: {bad}")
 
+    def value(n: str) -> Column:
+        c = _present(n, columns[n]).cast("string")
+        return F.when(c.rlike("[\n\r]") | F.contains(c, F.lit(separator)), F.raise_error(f"column {n} holds a separator").cast("string")).otherwise(c) if columns[n] == "str" else c
 
-def read_separated(spark: SparkSession, folder: str, separator: str, columns: dict[str, str]) -> DataFrame:
-    schema = T.StructType([T.StructField(n, KINDS[t]) for n, t in columns.items()])
-    return spark.read.schema(schema).option("sep", separator).option("header", True).option("quote", "").option("escape", "").csv(folder)
+    kind = {",": "csv", "\t": "tsv"}.get(separator, "xsv")
+    return _written(F.concat_ws(separator, *[value(n) for n in sorted(columns)]), df, folder, columns, rows=kind, separator=separator, **options)
 
 
 def read_by_index(spark: SparkSession, folder: str) -> DataFrame:
     """A folder with an index of any known format: one of shards of encoded rows, or of JSON or separated lines."""
-    from epochweave.sources.shards import read_index, read_shards
-
+    folder = qualified(spark, folder)
     shards = read_index(folder)
     kinds = {s["format"] for s in shards}
     if len(kinds) != 1:
         raise ValueError(f"an index of one format is due, not {sorted(kinds)}")
     kind = kinds.pop()
-    paths = [f"{folder}/{(s.get('zip_data') or s['raw_data'])['basename']}" for s in shards]
-    if kind == "mds":
+    if kind == FORMAT:
         return read_shards(spark, folder)
+    paths = [f"{folder}/{(s.get('zip_data') or s['raw_data'])['basename']}" for s in shards]
     names = shards[0]["columns"] if kind == "json" else dict(zip(shards[0]["column_names"], shards[0]["column_encodings"], strict=True))
     schema = T.StructType([T.StructField(n, KINDS[t]) for n, t in names.items()])
     if kind == "json":
         return spark.read.schema(schema).json(paths)
     if kind in ("csv", "tsv", "xsv"):
         separator = {"csv": ",", "tsv": "\t"}.get(kind) or shards[0]["separator"]
-        return spark.read.schema(schema).option("sep", separator).option("header", True).option("quote", "").option("escape", "").csv(paths)
+        rows = spark.read.schema(schema).options(sep=separator, header=True, quote="", escape="").csv(paths)
+        return rows.select(*[F.coalesce(n, F.lit("")).alias(n) if t == "str" else F.col(n) for n, t in names.items()])  # Spark reads an empty value as a null
     raise ValueError(f"no format {kind!r}")
-
-
-_ = json

@@ -1,30 +1,33 @@
-"""The sharded row format: files of encoded rows with an index, as a Spark data source.
+"""Sharded rows: files of rows with an index, as a Spark data source.
 
-A shard is the number of rows (u32), one more offsets (u32), a JSON head, then the rows; a row is the sizes (u32) of its columns of
-variable size, then its columns in order of name. index.json lists the shards. Files are reached through pyarrow's file systems, so
-shards may be wherever a URI leads.
+A shard of encoded rows ("mds") is the number of rows (u32), one more offsets (u32), a JSON head, then the rows; see columns.py. Rows as
+lines (JSON or separated values) have the same numbers and head in a file of their own, behind the name of that of the lines. index.json
+lists all shards. Tasks write to folders of their own, and only those of tasks that Spark has accepted get into the index.
 """
 
 from __future__ import annotations
 
-import datetime
 import json
 import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from epochweave.functions.units import bytes_to_int
+from epochweave.places import filesystem, qualified
 from epochweave.sources.codecs import UNSAFE, codec, encode
+from epochweave.sources.columns import arrow_type, decode_rows, encode_rows
 from epochweave.sources.files import compress, decompress, digest, extension
 
 FORMAT, VERSION, INDEX = "mds", 2, "index.json"
+FILES = ("raw_data", "raw_meta", "zip_data", "zip_meta")
+BLOCK = 4 << 20
 #: The encoding of each Spark type.
 BY_TYPE = {
     T.ByteType: "int8", T.ShortType: "int16", T.IntegerType: "int32", T.LongType: "int64", T.FloatType: "float32", T.DoubleType: "float64", T.DecimalType: "str_decimal", T.StringType: "str", T.BinaryType: "bytes",
@@ -63,108 +66,132 @@ def type_of(encoding: str) -> T.DataType:
     return simple.get(kind, T.LongType())
 
 
-def _plain(value, encoding: str):
-    """A Spark value as its codec takes it."""
-    if isinstance(value, Row):
-        value = value.asDict(recursive=True)
-    if isinstance(value, datetime.datetime):
-        value = value if value.tzinfo else value.astimezone()
-        return round(value.timestamp() * 1_000_000)
-    if isinstance(value, datetime.date):
-        return (value - datetime.date(1970, 1, 1)).days
-    if encoding == "uint8" and isinstance(value, bool):
-        return int(value)
-    if value is None:
-        raise ValueError("the format has no nulls: give a default before writing")
-    return value
-
-
-def _spark_value(value, encoding: str):
-    if isinstance(value, np.ndarray):
-        return value.ravel().tolist()
-    if encoding == "json":
-        return json.dumps(value)
-    if encoding in ("str_decimal", "str_int"):
-        return str(value)
-    if encoding == "uint64":
-        from decimal import Decimal
-
-        return Decimal(value)
-    return value
-
-
 class ShardWriter:
-    """Rows into shards of at most size_limit bytes, one at a time in memory; a row that alone is larger is a shard of its own."""
+    """Rows into shards of at most size_limit bytes, one at a time in memory; a row that alone is larger is a shard of its own.
+
+    A shard is closed when a row would make it larger than the limit, so one that is exactly full is kept open until the next row.
+    """
 
     def __init__(self, columns: dict[str, str], folder: str, size_limit: int | str | None = 1 << 26, compression: str | None = None, hashes: list[str] | None = None) -> None:
-        self.names = sorted(columns)
-        self.encodings = [columns[n] for n in self.names]
-        self.sizes = [codec(e).size for e in self.encodings]
         limit = bytes_to_int(size_limit) if size_limit is not None else None
         if limit is not None and limit >= 1 << 32:
             raise ValueError("offsets have 32 bits: a shard must be smaller than 4 GiB")
         if hashes and sorted(set(hashes)) != list(hashes):
             raise ValueError("hashes must be sorted, each once")
         self.limit, self.compression, self.hashes = limit, compression, hashes or []
-        self.config = {"version": VERSION, "format": FORMAT, "compression": compression, "hashes": self.hashes, "size_limit": limit, "column_names": self.names, "column_encodings": self.encodings, "column_sizes": self.sizes}
+        self.config = {"version": VERSION, "compression": compression, "hashes": self.hashes, "size_limit": limit} | self.layout(columns)
         self.head = json.dumps(self.config, sort_keys=True).encode()
-        self.files, self.where = fs.FileSystem.from_uri(folder)
+        self.files, self.where = filesystem(folder)
         self.files.create_dir(self.where, recursive=True)
-        self.rows: list[bytes] = []
-        self.now = self._empty()
+        self.blocks: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.now = self.empty
         self.shards: list[dict] = []
 
-    def _empty(self) -> int:
-        return 8 + len(self.head)
+    def layout(self, columns: dict[str, str]) -> dict:
+        names = sorted(columns)
+        self.encodings = {n: columns[n] for n in names}
+        return {"format": FORMAT, "column_names": names, "column_encodings": list(self.encodings.values()), "column_sizes": [codec(e).size for e in self.encodings.values()]}
 
-    def row(self, values: dict) -> bytes:
-        sizes, parts = [], []
-        for name, encoding, size in zip(self.names, self.encodings, self.sizes, strict=True):
-            part = encode(encoding, values[name])
-            if size is None:
-                sizes.append(len(part))
-            elif size != len(part):
-                raise KeyError(f"{len(part)} bytes for column {name} of encoding {encoding}")
-            parts.append(part)
-        return np.array(sizes, "<u4").tobytes() + b"".join(parts)
+    @property
+    def empty(self) -> int:
+        """What a shard without rows takes."""
+        return 8 + len(self.head)
 
     def write(self, values: dict) -> None:
-        row = self.row(values)
-        if self.limit is not None and self.rows and self.now + len(row) + 4 > self.limit:
-            self.flush()
-        self.rows.append(row)
-        self.now += len(row) + 4
+        """A single row."""
+        parts = [pa.array([values[n] if isinstance(values[n], bytes) else encode(e, values[n])], pa.binary()) for n, e in self.encodings.items()]
+        self.add(*encode_rows(parts, list(self.encodings.values())))
+
+    def write_rows(self, batch: pa.RecordBatch) -> None:
+        """Rows of columns by name, in blocks of about BLOCK bytes."""
+        step = max(1, int(batch.num_rows * BLOCK // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            self.add(*encode_rows([part.column(n) for n in self.encodings], list(self.encodings.values())))
+
+    def add(self, data: np.ndarray, lengths: np.ndarray) -> None:
+        """Encoded rows one after the other, and how many bytes each has."""
+        ends, used, first = np.cumsum(lengths), np.cumsum(lengths + 4), 0
+        while first < len(lengths):
+            before = used[first - 1] if first else 0
+            upto = len(lengths) if self.limit is None else int(np.searchsorted(used, before + self.limit - self.now, "right"))
+            if upto == first and not self.lengths:
+                upto = first + 1
+            if upto > first:
+                begin = ends[first - 1] if first else 0
+                self.blocks.append(data[begin : ends[upto - 1]])
+                self.lengths.append(lengths[first:upto])
+                self.now += int(used[upto - 1] - before)
+            if upto < len(lengths):
+                self.flush()
+            first = upto
 
     def flush(self) -> None:
-        if not self.rows:
+        if not self.lengths:
             return
-        begin = 4 + 4 * (len(self.rows) + 1) + len(self.head)
-        offsets = begin + np.concatenate([[0], np.cumsum([len(r) for r in self.rows])])
-        data = np.array([len(self.rows)], "<u4").tobytes() + offsets.astype("<u4").tobytes() + self.head + b"".join(self.rows)
-        name = f"shard.{len(self.shards):05}.{FORMAT}"
-        info = self.config | {"samples": len(self.rows), "raw_data": self._stored(name, data), "zip_data": None}
-        if self.compression:
-            name = f"{name}.{extension(self.compression)}"
-            data = compress(self.compression, data)
-            info["zip_data"] = self._stored(name, data)
-        with self.files.open_output_stream(posixpath.join(self.where, name), compression=None) as out:
-            out.write(data)
+        lengths, rows = np.concatenate(self.lengths), b"".join(b.tobytes() for b in self.blocks)
+        info = self.config | {"samples": len(lengths)} | dict.fromkeys(FILES)
+        for kind, name, data in self.parts(lengths, rows):
+            info[f"raw_{kind}"] = self._stored(name, data)
+            if self.compression:
+                name, data = f"{name}.{extension(self.compression)}", compress(self.compression, data)
+                info[f"zip_{kind}"] = self._stored(name, data)
+            with self.files.open_output_stream(posixpath.join(self.where, name), compression=None) as out:
+                out.write(data)
         self.shards.append(info)
-        self.rows, self.now = [], self._empty()
+        self.blocks, self.lengths, self.now = [], [], self.empty
+
+    def numbers(self, lengths: np.ndarray, begin: int) -> bytes:
+        offsets = begin + np.concatenate([[0], np.cumsum(lengths)])
+        return np.array([len(lengths)], "<u4").tobytes() + offsets.astype("<u4").tobytes()
+
+    def parts(self, lengths: np.ndarray, rows: bytes) -> Iterator[tuple[str, str, bytes]]:
+        """The files of a shard: kind, name and bytes."""
+        begin = 4 + 4 * (len(lengths) + 1) + len(self.head)
+        yield "data", f"shard.{len(self.shards):05}.{FORMAT}", self.numbers(lengths, begin) + self.head + rows
 
     def _stored(self, name: str, data: bytes) -> dict:
         return {"basename": name, "bytes": len(data), "hashes": {h: digest(h, data) for h in self.hashes}}
 
 
+class LineWriter(ShardWriter):
+    """Rows that are lines: JSON objects, or values with a separator under a line of names. Where they begin is in a file beside them."""
+
+    def __init__(self, columns: dict[str, str], folder: str, kind: str = "json", separator: str | None = None, **more) -> None:
+        self.kind, self.separator = kind, {"csv": ",", "tsv": "\t"}.get(kind, separator)
+        super().__init__(columns, folder, **more)
+
+    def layout(self, columns: dict[str, str]) -> dict:
+        self.names = sorted(columns)
+        if self.kind == "json":
+            return {"format": "json", "columns": columns, "newline": "\n"}
+        own = {} if self.kind in ("csv", "tsv") else {"separator": self.separator}
+        return {"format": self.kind, "column_names": self.names, "column_encodings": [columns[n] for n in self.names], "newline": "\n"} | own
+
+    def write_rows(self, batch: pa.RecordBatch) -> None:
+        lines = [line.encode() + b"\n" for line in batch.column(0).to_pylist()]
+        self.add(np.frombuffer(b"".join(lines), np.uint8), np.fromiter(map(len, lines), np.int64, len(lines)))
+
+    def parts(self, lengths: np.ndarray, rows: bytes) -> Iterator[tuple[str, str, bytes]]:
+        first = b"" if self.kind == "json" else (self.separator.join(self.names) + "\n").encode()
+        name = f"shard.{len(self.shards):05}.{self.kind}"
+        yield "data", name, first + rows
+        yield "meta", f"{name}.meta", self.numbers(lengths, len(first)) + self.head
+
+
 def write_index(folder: str, shards: list[dict]) -> None:
-    files, where = fs.FileSystem.from_uri(folder)
+    """The index is written under another name first, so that readers see the old one or the new one."""
+    files, where = filesystem(folder)
     files.create_dir(where, recursive=True)
-    with files.open_output_stream(posixpath.join(where, INDEX), compression=None) as out:
+    fresh = posixpath.join(where, f".{INDEX}.{uuid.uuid4().hex}")
+    with files.open_output_stream(fresh, compression=None) as out:
         out.write(json.dumps({"version": VERSION, "shards": shards}, sort_keys=True).encode())
+    files.move(fresh, posixpath.join(where, INDEX))
 
 
 def read_index(folder: str) -> list[dict]:
-    files, where = fs.FileSystem.from_uri(folder)
+    files, where = filesystem(folder)
     with files.open_input_stream(posixpath.join(where, INDEX), compression=None) as stream:
         index = json.loads(stream.read())
     if index["version"] != VERSION:
@@ -172,28 +199,66 @@ def read_index(folder: str) -> list[dict]:
     return index["shards"]
 
 
+def has_index(folder: str) -> bool:
+    files, where = filesystem(folder)
+    return files.get_file_info(posixpath.join(where, INDEX)).is_file
+
+
+def _moved(shard: dict, name) -> dict:
+    """A shard whose files have other names."""
+    return shard | {k: shard[k] | {"basename": name(shard[k]["basename"])} for k in FILES if shard.get(k)}
+
+
+def _parts_below(folder: str) -> list[str]:
+    files, where = filesystem(folder)
+    found = files.get_file_info(fs_selector(where))
+    return sorted(posixpath.relpath(posixpath.dirname(f.path), where) for f in found if posixpath.basename(f.path) == INDEX)
+
+
+def fs_selector(where: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(where, recursive=True)
+
+
 def merge_index(folder: str, parts: list[str] | None = None) -> int:
     """One index over the indexes of folders below this one (those named, each once, or all that have one); how many shards it has."""
-    if parts is None:
-        files, where = fs.FileSystem.from_uri(folder)
-        found = files.get_file_info(fs.FileSelector(where, recursive=True))
-        parts = sorted(posixpath.relpath(posixpath.dirname(f.path), where) for f in found if posixpath.basename(f.path) == INDEX)
     shards = []
-    for part in dict.fromkeys(p for p in parts if p != "."):
-        for shard in read_index(f"{folder}/{part}"):
-            for k in ("raw_data", "zip_data", "raw_meta", "zip_meta"):
-                if shard.get(k):
-                    shard[k]["basename"] = f"{part}/{shard[k]['basename']}"
-            shards.append(shard)
+    for part in dict.fromkeys(p for p in (_parts_below(folder) if parts is None else parts) if p != "."):
+        shards += [_moved(s, lambda name: f"{part}/{name}") for s in read_index(f"{folder}/{part}")]  # noqa: B023
     if shards:
         write_index(folder, shards)
     return len(shards)
 
 
+def merge_groups(folder: str) -> list[dict]:
+    """The shards of all folders below this one in this one, under running numbers in order of folder and shard; the new index's shards."""
+    files, where = filesystem(folder)
+    shards, number = [], 0
+    for part in [p for p in _parts_below(folder) if p != "."]:
+        for shard in read_index(f"{folder}/{part}"):
+            new = _moved(shard, lambda name: ".".join([*name.split("/")[-1].split(".")[:1], f"{number:05}", *name.split("/")[-1].split(".")[2:]]))  # noqa: B023
+            for k in FILES:
+                if shard.get(k) and not (k.startswith("raw") and shard.get(k.replace("raw", "zip"))):
+                    files.move(posixpath.join(where, part, shard[k]["basename"]), posixpath.join(where, new[k]["basename"]))
+            shards.append(new)
+            number += 1
+        files.delete_file(posixpath.join(where, part, INDEX))
+    write_index(folder, shards)
+    return shards
+
+
+def zipped_indexes(here: list[str], there: list[str]) -> list[tuple[str, str]]:
+    """Pairs of local and remote indexes by place; lists of different lengths can't be told apart, and are an error."""
+    if len(here) != len(there):
+        raise ValueError("there must be as many local as remote indexes")
+    return list(zip(here, there, strict=True))
+
+
 def load_shard(folder: str, shard: dict, validate: str | None = None) -> bytes:
     """A shard's bytes, decompressed; validate names the hash to check the stored file by."""
     stored = shard.get("zip_data") or shard["raw_data"]
-    files, where = fs.FileSystem.from_uri(folder)
+    files, where = filesystem(folder)
     with files.open_input_stream(posixpath.join(where, stored["basename"]), compression=None) as stream:
         data = stream.read()
     if validate and digest(validate, data) != stored["hashes"].get(validate):
@@ -201,19 +266,14 @@ def load_shard(folder: str, shard: dict, validate: str | None = None) -> bytes:
     return decompress(shard["compression"], data) if shard.get("zip_data") else data
 
 
-def decode_row(shard: dict, data: bytes, i: int) -> dict:
-    if not 0 <= i < shard["samples"]:
-        raise IndexError(f"row {i} of {shard['samples']}")
-    at, end = np.frombuffer(data, "<u4", 2, 4 * (1 + i)).tolist()
-    row, out, place, sizes = data[at:end], {}, 0, []
-    for size in shard["column_sizes"]:
-        if not size:
-            size, place = int(np.frombuffer(row, "<u4", 1, place)[0]), place + 4
-        sizes.append(size)
-    for name, encoding, size in zip(shard["column_names"], shard["column_encodings"], sizes, strict=True):
-        out[name] = codec(encoding).decode(row[place : place + size])
-        place += size
-    return out
+def shard_columns(shard: dict, data: bytes, kinds: dict[str, T.DataType], first: int = 0, stop: int | None = None) -> dict[str, pa.Array]:
+    """The columns in kinds of rows first to stop of a shard's bytes."""
+    n = shard["samples"]
+    stop = n if stop is None else stop
+    if not 0 <= first <= stop <= n:
+        raise IndexError(f"rows {first} to {stop} of {n}")
+    starts = np.frombuffer(data, "<u4", n + 1, 4).astype(np.int64)[first:stop]
+    return decode_rows(np.frombuffer(data, np.uint8), starts, dict(zip(shard["column_names"], shard["column_encodings"], strict=True)), kinds)
 
 
 @dataclass
@@ -221,40 +281,45 @@ class ShardPartition(InputPartition):
     number: int
     first: int
     shard: str
+    low: int = 0
+    high: int = 0
 
 
 class ShardReader(DataSourceReader):
-    """A partition for each shard. An equality on shard_id or sample_id leaves only its shard to be read."""
+    """A partition for each shard that has some of the samples asked for; only their rows, and the columns asked for, are decoded.
+
+    What is asked for are options of the source, not filters that Spark pushes down: it would keep those of one query on a frame for the next.
+    """
 
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.folder, self.validate = options["path"], options.get("validate")
-        self.names = [f.name for f in schema.fields]
-        self.only: dict[str, int] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("shard_id",), ("sample_id",)):
-                self.only[f.attribute[0]] = f.value
-            yield f
+        self.schema = schema
+        self.bounds = json.loads(options.get("samples", "[0, null]"))
 
     def partitions(self) -> list[ShardPartition]:
-        out, first = [], 0
+        out, first, (low, high) = [], 0, self.bounds
         for i, shard in enumerate(read_index(self.folder)):
-            if self.only.get("shard_id", i) == i and first <= self.only.get("sample_id", first) < first + shard["samples"]:
-                out.append(ShardPartition(i, first, json.dumps(shard)))
-            first += shard["samples"]
+            stop = first + shard["samples"]
+            a, b = max(low, first), stop if high is None else min(high, stop)
+            if a < b:
+                out.append(ShardPartition(i, first, json.dumps(shard), a - first, b - first))
+            first = stop
         return out or [ShardPartition(-1, 0, "")]
 
-    def read(self, partition: ShardPartition) -> Iterator[tuple]:
+    def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
         if partition.number < 0:
             return
         shard = json.loads(partition.shard)
         data = load_shard(self.folder, shard, self.validate)
-        kinds = dict(zip(shard["column_names"], shard["column_encodings"], strict=True))
-        for i in range(shard["samples"]):
-            row = decode_row(shard, data, i)
-            place = {"sample_id": partition.first + i, "shard_id": partition.number}
-            yield tuple(place[n] if n in place and n not in row else _spark_value(row[n], kinds[n]) if n in row else None for n in self.names)
+        kinds = {f.name: f.dataType for f in self.schema.fields}
+        own = {n: t for n, t in kinds.items() if n in shard["column_names"]}
+        step = max(1, shard["samples"] * BLOCK // max(len(data), 1))
+        for at in range(partition.low, partition.high, step):
+            upto = min(at + step, partition.high)
+            columns = shard_columns(shard, data, own, at, upto)
+            place = {"sample_id": pa.array(np.arange(partition.first + at, partition.first + upto)), "shard_id": pa.array(np.full(upto - at, partition.number))}
+            none = lambda n: place[n] if n in place else pa.nulls(upto - at, arrow_type(kinds[n]))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([columns[n] if n in columns else none(n) for n in kinds], list(kinds))
 
 
 @dataclass
@@ -263,56 +328,66 @@ class Written(WriterCommitMessage):
     shards: str
 
 
-class ShardSink(DataSourceWriter):
-    """Each task writes a folder of its own; only those of tasks that Spark accepted get into the index."""
+class ShardSink(DataSourceArrowWriter):
+    """Each task writes a folder of its own. The index that is there is extended, or with overwrite replaced and its shards removed."""
 
-    def __init__(self, options: dict, schema: T.StructType) -> None:
-        self.folder, self.columns = options["path"], json.loads(options["columns"]) if options.get("columns") else encodings_of(schema)
-        self.limit, self.compression = options.get("size_limit", str(1 << 26)), options.get("compression")
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.folder, self.overwrite, self.columns = options["path"], overwrite, json.loads(options["columns"])
+        self.limit, self.compression = options.get("size_limit", str(1 << 26)), options.get("compression") or None
         self.hashes = [h for h in options.get("hashes", "").split(",") if h]
+        self.kind, self.separator = options.get("rows", FORMAT), options.get("separator")
 
-    def write(self, rows: Iterator[Row]) -> Written:
-        import uuid
-
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         part = uuid.uuid4().hex
-        out = ShardWriter(self.columns, f"{self.folder}/{part}", self.limit, self.compression, self.hashes)
-        for row in rows:
-            out.write({n: _plain(row[n], e) for n, e in self.columns.items()})
-        out.flush()
-        return Written(part, json.dumps(out.shards))
+        more = {"size_limit": None if self.limit == "none" else self.limit, "compression": self.compression, "hashes": self.hashes}
+        out, shards = None, []
+        for batch in batches:
+            if batch.num_rows:
+                if out is None:
+                    folder = f"{self.folder}/{part}"
+                    out = ShardWriter(self.columns, folder, **more) if self.kind == FORMAT else LineWriter(self.columns, folder, self.kind, self.separator, **more)
+                out.write_rows(batch)
+        if out is not None:
+            out.flush()
+            shards = out.shards
+        return Written(part, json.dumps(shards))
 
     def commit(self, messages: list[Written | None]) -> None:
-        shards = []
-        for m in messages:
-            for shard in json.loads(m.shards) if m else []:
-                for k in ("raw_data", "zip_data"):
-                    if shard[k]:
-                        shard[k]["basename"] = f"{m.part}/{shard[k]['basename']}"
-                shards.append(shard)
-        write_index(self.folder, shards)
+        shards = [_moved(s, lambda name: f"{m.part}/{name}") for m in messages if m for s in json.loads(m.shards)]  # noqa: B023
+        if not shards:
+            raise ValueError("there are no rows to write")
+        before = read_index(self.folder) if has_index(self.folder) else []
+        write_index(self.folder, shards if self.overwrite else before + shards)
+        if self.overwrite:
+            files, where = filesystem(self.folder)
+            for name in {s[k]["basename"] for s in before for k in FILES if s.get(k)}:
+                path = posixpath.join(where, name)
+                if files.get_file_info(path).is_file:
+                    files.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, where = fs.FileSystem.from_uri(self.folder)
+        files, where = filesystem(self.folder)
         for m in messages:
-            if m:
-                files.delete_dir(posixpath.join(where, m.part))
+            if m and files.get_file_info(path := posixpath.join(where, m.part)).type.name == "Directory":
+                files.delete_dir(path)
 
 
 class ShardSource(DataSource):
-    """Format "mds". Read: option path, validate. Write: path, columns (JSON), size_limit, compression, hashes."""
+    """Format "mds". Read: option path, validate, columns (names, JSON), samples ([first, stop], JSON). Write: path, columns (encodings, JSON), size_limit, compression, hashes, rows (mds, json, csv, tsv or xsv), separator."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> T.StructType:
-        shards = read_index(self.options["path"])
         fields: dict[str, T.DataType] = {}
-        for shard in shards:
+        for shard in read_index(self.options["path"]):
             for name, encoding in zip(shard["column_names"], shard["column_encodings"], strict=True):
                 if encoding in UNSAFE:
                     raise ValueError(f"column {name} has the unsafe encoding {encoding}")
                 fields.setdefault(name, type_of(encoding))
+        if asked := self.options.get("columns"):
+            fields = {n: fields[n] for n in json.loads(asked)}
         place = [T.StructField(n, T.LongType()) for n in ("sample_id", "shard_id") if n not in fields]
         return T.StructType([*place, *(T.StructField(n, t) for n, t in fields.items())])
 
@@ -320,28 +395,50 @@ class ShardSource(DataSource):
         return ShardReader(self.options, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ShardSink:
-        return ShardSink(self.options, schema)
+        return ShardSink(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with its filters pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
     spark.dataSource.register(ShardSource)
 
 
-def read_shards(spark: SparkSession, folder: str, validate: str | None = None) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, validate: str | None = None, columns: list[str] | None = None, samples: int | range | None = None) -> DataFrame:
+    """The rows of a folder with an index, with sample_id and shard_id.
+
+    columns: only these are decoded. samples: only this one, or those of this range (of step 1), are read, from the shards that have them.
+    """
     register(spark)
     reader = spark.read.format(FORMAT)
-    return (reader.option("validate", validate) if validate else reader).load(folder)
-
-
-def write_shards(df: DataFrame, folder: str, columns: dict[str, str] | None = None, **options: str) -> None:
-    """df as shards under a folder. Which columns and how: columns, or what their types say."""
-    register(df.sparkSession)
+    reader = reader.option("validate", validate) if validate else reader
+    reader = reader.option("columns", json.dumps(columns)) if columns else reader
+    if samples is not None:
+        samples = range(samples, samples + 1) if isinstance(samples, int) else samples
+        if samples.step != 1 or samples.start < 0:
+            raise IndexError("samples are read one by one or as a range of step 1, from 0 on")
+        reader = reader.option("samples", json.dumps([samples.start, samples.stop]))
+    return reader.load(qualified(spark, folder))
+
+
+def write_shards(df: DataFrame, folder: str, columns: dict[str, str] | None = None, mode: str = "append", **options: str) -> str:
+    """df as shards under a folder, which is returned in full. Which columns and how: columns, or what their types say.
+
+    mode: "append" adds to the shards there, "overwrite" replaces them, "error" refuses a folder that has an index. Shards are
+    compressed by zstd unless compression says otherwise ("" for none). A frame without rows is an error.
+    """
     columns = columns or encodings_of(df.schema)
     if not columns:
         raise ValueError("there are no columns to write")
-    df.select(*columns).write.format(FORMAT).mode("append").option("columns", json.dumps(columns)).options(**options).save(folder)
+    return save_rows(df.select(*columns), folder, mode, {"compression": "zstd"} | options | {"columns": json.dumps(columns)})
 
 
-_ = pa
+def save_rows(df: DataFrame, folder: str, mode: str, options: dict[str, str]) -> str:
+    """df through the sink, with the options of ShardSource."""
+    register(df.sparkSession)
+    folder = qualified(df.sparkSession, folder)
+    if mode not in ("append", "overwrite", "error"):
+        raise ValueError(f"no mode {mode!r}")
+    if mode == "error" and has_index(folder):
+        raise FileExistsError(f"{folder} has an index")
+    df.write.format(FORMAT).mode("overwrite" if mode == "overwrite" else "append").options(**options).save(folder)
+    return folder

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import functions as F
 
-from epochweave.places import shared_folder
+from epochweave.places import filesystem, shared_folder
 from epochweave.plan_queries import _planner
 from epochweave.registry import query, table
-from epochweave.sources.lines import read_json_lines, read_separated, write_json_lines, write_separated
-from epochweave.sources.shards import read_shards, write_shards
+from epochweave.sources.lines import read_by_index, write_json_lines, write_separated
+from epochweave.sources.shards import merge_groups, read_index, read_shards, write_shards
 
 
 @query("w2_shards_round_trip", "select doc_id, text, lang, n_chars from documents")
@@ -18,6 +20,44 @@ def w2(spark, sf_dir):
     return read_shards(spark, folder, validate="sha1").select("doc_id", "text", "lang", "n_chars")
 
 
+@query("w7_two_appends", "select doc_id, n_chars from documents union all select page_id, length(html) from pages")
+def w7(spark, sf_dir):
+    folder = shared_folder(spark, "appended")
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), folder)
+    write_shards(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.length("html").cast("long").alias("n_chars")), folder)
+    return read_shards(spark, folder).select("doc_id", "n_chars")
+
+
+@query("w7_overwrite", "select page_id, url from pages")
+def w7_overwrite(spark, sf_dir):
+    folder = shared_folder(spark, "replaced")
+    write_shards(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("url")), folder)
+    write_shards(table(spark, sf_dir, "pages").select("page_id", "url"), folder, mode="overwrite")
+    return read_shards(spark, folder).select("page_id", "url")
+
+
+@query(
+    "w10_merged_groups",
+    "with g as (select lang, row_number() over (order by lang) - 1 as shard_id, count(*) as n from documents group by lang) select shard_id, n, sum(n) over (order by shard_id) - n as first_sample from g",
+)
+def w10(spark, sf_dir):
+    """A shard for each language, written to folders of their own and merged into one folder under running numbers."""
+    folder, docs = shared_folder(spark, "groups"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    for lang in [r.lang for r in docs.select("lang").distinct().collect()]:  # a row for each stream of a mixture
+        write_shards(docs.where(F.col("lang") == lang).select("doc_id").coalesce(1), f"{folder}/{lang}", size_limit="none")
+    merge_groups(folder)
+    return read_shards(spark, folder).groupBy("shard_id").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_sample"))
+
+
+@query("r5_index_to_shards", "select sum(n) as samples, true as all_there from (select count(*) as n from documents)")
+def r5(spark, sf_dir):
+    folder = shared_folder(spark, "indexed")
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "lang"), folder, size_limit="8kb", compression="gz")
+    files, where = filesystem(folder)
+    rows = [(s["samples"], files.get_file_info(posixpath.join(where, s["zip_data"]["basename"])).size == s["zip_data"]["bytes"]) for s in read_index(folder)]
+    return spark.createDataFrame(rows, "samples long, there boolean").agg(F.sum("samples").alias("samples"), F.bool_and("there").alias("all_there"))
+
+
 @query("r1_arrays_round_trip", "select vec_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 6) as total from embeddings")
 def r1(spark, sf_dir):
     folder = shared_folder(spark, "arrays")
@@ -25,27 +65,43 @@ def r1(spark, sf_dir):
     return read_shards(spark, folder).select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
-@query("r7_shard_pruning", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) where i = 123")
+@query("r7_shard_pruning", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) where i = 123 or i between 10 and 20")
 def r7(spark, sf_dir):
     folder = shared_folder(spark, "pruned")
     write_shards(table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), folder, size_limit="64kb")
-    return read_shards(spark, folder).where("sample_id = 123").select("doc_id")
+    return read_shards(spark, folder, columns=["doc_id"], samples=123).unionAll(read_shards(spark, folder, columns=["doc_id"], samples=range(10, 21))).select("doc_id")
 
 
 @query("r3_json_lines", "select page_id, url, html from pages")
 def r3(spark, sf_dir):
     folder = shared_folder(spark, "json")
-    columns = {"page_id": "int", "url": "str", "html": "str"}
-    write_json_lines(table(spark, sf_dir, "pages").select(*columns), folder, columns)
-    return read_json_lines(spark, folder, columns)
+    write_json_lines(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder, size_limit="1mb", compression="gz")
+    return read_by_index(spark, folder).select("page_id", "url", "html")
 
 
 @query("r4_separated_lines", "select c_custkey, c_name, c_acctbal from customer")
 def r4(spark, sf_dir):
+    folder = shared_folder(spark, "tsv")
+    write_separated(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), folder, "\t", size_limit="64kb")
+    return read_by_index(spark, folder).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("w4_other_separator", "select s_suppkey, s_name from supplier")
+def w4(spark, sf_dir):
     folder = shared_folder(spark, "xsv")
-    columns = {"c_custkey": "int", "c_name": "str", "c_acctbal": "float"}
-    write_separated(table(spark, sf_dir, "customer").select(*columns), folder, "\t", columns)
-    return read_separated(spark, folder, "\t", columns)
+    write_separated(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), folder, "|", hashes="md5")
+    return read_by_index(spark, folder).select("s_suppkey", "s_name")
+
+
+@query("j7_content_by_path", "select doc_id, md5(text) as content_md5 from documents where length(text) > 0")
+def j7(spark, sf_dir):
+    """Contents that lie outside of their rows, one file each (as videos do), found by path."""
+    from epochweave.operators.lookup import external_content, write_contents
+
+    folder, docs = shared_folder(spark, "contents"), table(spark, sf_dir, "documents").where("length(text) > 0")
+    docs = docs.select("doc_id", F.encode("text", "UTF-8").alias("content"), F.format_string("%03d/%03d.txt", F.floor(F.col("doc_id") / 1000), F.col("doc_id") % 1000).alias("content_path"))
+    write_contents(docs, "content_path", "content", folder)
+    return external_content(docs.select("doc_id", "content_path"), "content_path", folder).select("doc_id", F.md5("content").alias("content_md5"))
 
 
 @query("z1_simulate")
@@ -54,4 +110,4 @@ def z1(spark, sf_dir):
 
     p = _planner(spark, sf_dir, shuffle="py1s")
     plan = p.epoch(1).where("sample_id >= 0").join(p.samples.select("sample_id", "shard_id"), "sample_id")
-    return simulate(plan.select("node", "batch", "shard_id").distinct().withColumn("size", F.lit(50_000).cast("long")), 0.5, 200_000.0, 300_000)
+    return simulate(plan.groupBy("node", "batch", "shard_id").agg(F.min("order").alias("order")).withColumn("size", F.lit(50_000).cast("long")), 0.5, 200_000.0, 300_000, 4)

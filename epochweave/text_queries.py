@@ -150,14 +150,14 @@ def f6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", seconds.alias("seconds"), F.floor(seconds * 100).alias("bytes"))
 
 
-@query("f7_character_classes", "select doc_id, length(regexp_replace(text, '[^\\x20\\x09\\x0a\\x0d]', '', 'g')) as blanks, length(regexp_replace(text, '[^!-/:-@\\[-`{-~]', '', 'g')) as marks from documents where lang = 'en'")
+@query("f7_character_classes", "select doc_id, length(regexp_replace(text, '[^\\t\\n\\r\\p{Zs}]', '', 'g')) as blanks, length(regexp_replace(text, '[^!-/:-@\\[-`{-~\\p{P}]', '', 'g')) as marks from documents")
 def f7(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_count("text", F.lit(r"[\t\n\r\p{Zs}]")).cast("long").alias("blanks"), F.regexp_count("text", F.lit(X.PUNCTUATION)).cast("long").alias("marks"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[\t\n\r\p{Zs}]")).cast("long").alias("blanks"), F.regexp_count("text", F.lit(X.PUNCTUATION)).cast("long").alias("marks"))
 
 
-@query("f8_clean_text", "select doc_id, md5(regexp_replace(text, '[\\x09\\x0a\\x0d]', ' ', 'g')) as cleaned from documents where lang = 'en'")
+@query("f8_clean_text", "select doc_id, md5(regexp_replace(regexp_replace(text, '[\\t\\n\\r\\p{Zs}]', ' ', 'g'), '[\\x{0}\\x{FFFD}\\p{Cc}\\p{Cf}]', '', 'g')) as cleaned from documents")
 def f8(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(X.apart(X.clean(F.col("text")))).alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.apart(X.clean(F.col("text")))).alias("cleaned"))
 
 
 @query("f9_strip_accents", "select doc_id, md5(strip_accents(text)) as plain from documents")
@@ -165,12 +165,12 @@ def f9(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.without_accents("text")).alias("plain"))
 
 
-_TOKENS = "list_filter(string_split_regex(regexp_replace(lower(regexp_replace(text, '[\\x09\\x0a\\x0d]', ' ', 'g')), '([!-/:-@\\[-`{-~])', ' \\1 ', 'g'), ' +'), lambda t: t <> '')"
+_TOKENS = "list_filter(string_split_regex(regexp_replace(lower(regexp_replace(regexp_replace(text, '[\\t\\n\\r\\p{Zs}]', ' ', 'g'), '[\\x{0}\\x{FFFD}\\p{Cc}\\p{Cf}]', '', 'g')), '([!-/:-@\\[-`{-~\\p{P}])', ' \\1 ', 'g'), ' +'), lambda t: t <> '')"
 
 
-@query("f11_basic_tokens", f"select doc_id, len(t) as n, md5(array_to_string(t, '|')) as tokens from (select doc_id, {_TOKENS} as t from documents where lang = 'en')")
+@query("f11_basic_tokens", f"select doc_id, len(t) as n, md5(array_to_string(t, '|')) as tokens from (select doc_id, {_TOKENS} as t from documents)")
 def f11(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.basic_tokens(F.col("text")).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.basic_tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("tokens"))
 
 
@@ -223,12 +223,25 @@ def t1(spark, sf_dir):
     return X.paragraphs(lines, ["page_id"], "i", "line").groupBy("page_id", "part").agg(F.count("*").alias("lines"))
 
 
+def _sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", r"(?<=\.)\s"), lambda s: X.basic_tokens(s)).alias("sentences"))
+
+
 @query("t2_segment_pairs")
 def t2(spark, sf_dir):
-    from epochweave.operators.bert import instances
+    from epochweave.operators.bert import frequent_words, instances
+
+    docs = _sentences(spark, sf_dir)
+    return instances(docs, frequent_words(docs)).select("doc_id", "copy", "number", F.size("tokens").alias("n_tokens"), F.size("labels").alias("n_labels"), "next_is_random")
+
+
+@query("c3_segment_pairs_as_bytes")
+def c3(spark, sf_dir):
+    from epochweave.operators.bert import as_bytes, frequent_words, instances
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", r"(?<=\.)\s"), lambda s: X.basic_tokens(s)).alias("sentences"))
-    return instances(docs, ["the", "of", "and", "in"], [["to", "be"], ["that", "is", "it"]]).select("doc_id", "copy", "number", F.size("tokens").alias("n_tokens"), F.size("labels").alias("n_labels"), "next_is_random")
+    docs = _sentences(spark, sf_dir)
+    words = frequent_words(docs)
+    return as_bytes(instances(docs, words), ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *words])
 
 
 @query("t3_masked_count", "select doc_id, least(20, greatest(1, cast(round(len(string_split(text, ' ')) * 0.15) as integer))) as masked from documents")

@@ -5,7 +5,7 @@ import pytest
 from epochweave.operators.convert import as_layout, images_with_boxes, write_converted
 from epochweave.sources.registry import build, retry, source
 from epochweave.sources.shards import read_shards, write_shards
-from epochweave.streaming.feed import epoch_feed, ingest, sessions, windowed_counts, without_repeats
+from epochweave.feeds.feed import EpochReader, epoch_feed, ingest, sessions, windowed_counts, without_repeats
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -24,6 +24,29 @@ def test_feed_gives_each_sample_once_an_epoch(spark, tmp_path):
     assert sorted((r.epoch, r.sample_id) for r in rows) == [(e, i) for e in range(2) for i in range(25)]
 
 
+def test_an_epoch_is_read_in_order_and_gone_on_with(spark):
+    from epochweave.plans.epoch import Planner, samples_of
+    from epochweave.plans.world import World
+
+    rows = spark.range(40).selectExpr("id as k", "id * 10 as v", "'s' as stream")
+    planner = Planner(samples_of(rows, "stream", "k", 7), world=World(2, 2, 1), batch_size=2, seed=3, block_size=9)
+    readers = [EpochReader(planner, rows.select("k", "v"), "k", node, rank) for node in range(2) for rank in range(2)]
+    first = [[r.v for r in reader] for reader in readers]
+    assert sorted(v for of in first for v in of) == [10 * i for i in range(40)] and readers[0].state().epoch == 0
+    second = [[r.v for r in reader] for reader in readers]
+    assert sorted(v for of in second for v in of) == [10 * i for i in range(40)] and second != first
+    again = EpochReader(planner, rows.select("k", "v"), "k")
+    list(again)
+    seen = []
+    for row in again:
+        seen.append(row.v)
+        if len(seen) == 4:
+            break
+    state = again.state()
+    assert (state.epoch, state.sample_in_epoch) == (1, 16) and seen == second[0][:4]
+    assert [r.v for r in EpochReader(planner, rows.select("k", "v"), "k", resume=state)] == second[0][4:]
+
+
 def test_ingest_takes_each_file_once(spark, tmp_path):
     source_dir, out, seen = f"{tmp_path}/in", f"{tmp_path}/out", []
     take = lambda: ingest(spark, source_dir, "id long", f"{tmp_path}/c", lambda df, n: seen.append(df.count()) or df.write.mode("append").parquet(out))
@@ -73,3 +96,16 @@ def test_extension_points(spark, tmp_path):
     boxes = spark.createDataFrame([(1, "cat", 2.0, 1.0, 4.0, 5.0)], "img_id long, class_name string, left double, top double, width double, height double")
     out = images_with_boxes(images, boxes, spark.createDataFrame([("cat", 3)], "class_name string, class_id int")).collect()
     assert len(out) == 1 and out[0].bbox_sizes == [[0.1, 0.1, 0.3, 0.6]] and out[0].bbox_labels == [3]
+
+
+def test_layouts_and_transforms(spark):
+    from epochweave.operators.convert import LAYOUTS, transformed
+
+    assert len(LAYOUTS["captioned_image"]) == 14 and len(LAYOUTS["video"]) == len(LAYOUTS["segment_pair"]) == 7
+    rows = spark.createDataFrame([(None, float("nan"), None, b"x")], "nsfw string, width double, similarity double, jpg binary")
+    for n, kind in LAYOUTS["captioned_image"].items():
+        if n not in rows.columns:
+            rows = rows.selectExpr("*", f"cast(null as {'string' if kind == 'str' else 'int'}) as {n}")
+    out = as_layout(rows, "captioned_image").first()
+    assert out.nsfw == "" and out.width == 0 and out.height == 0 and out.similarity is None and bytes(out.jpg) == b"x"
+    assert [r.x for r in transformed(spark.range(3).selectExpr("id as x"), "x long", x=lambda s: s * 2).collect()] == [0, 2, 4]

@@ -89,6 +89,103 @@ def test_going_on_keeps_what_is_left(spark):
     assert Resume.load(state.dump()) == state
 
 
+def mixture(spark, **more):
+    """Three streams of 96, 144 and 48 rows in shards of 10."""
+    rows = spark.range(288).selectExpr("id as k", "case when id < 96 then 'a' when id < 240 then 'b' else 'c' end as s")
+    return Planner(samples_of(rows, "s", "k", 10), **({"batch_size": 6, "world": World(2, 2, 1), "canonical": 4, "shuffle": "py1e", "seed": 5, "block_size": 30} | more))
+
+
+@pytest.mark.parametrize("batching", ["random", "stratified", "per_stream", "device_per_stream"])
+@pytest.mark.parametrize("nodes", [1, 2, 4, 3])
+def test_what_was_seen_and_the_rest_are_the_epoch(spark, batching, nodes):
+    if nodes == 3 and batching == "device_per_stream":
+        with pytest.raises(ValueError):
+            mixture(spark, world=World(3, 2, 1), batch_size=4, batching=batching).epoch(1, Resume(1, 48, 4, 5, 2))
+        return
+    first = mixture(spark, batching=batching)
+    epoch = [r.sample_id for r in first.epoch(1).orderBy("order").collect()]
+    state = first.state(1, 48)
+    assert state == Resume(1, 48, 4, 5, 2)
+    # a planner that knows neither the canonical nodes nor the seed, on as many devices as make the same global batch
+    world = World(nodes, 2, 1)
+    then = mixture(spark, batching=batching, world=world, batch_size=24 // world.ranks, canonical=None, seed=0)
+    rest = [r.sample_id for r in then.epoch(0, state).orderBy("order").collect()]
+    seen, wanted = epoch[:48], [x for x in epoch if x >= 0]
+    assert -1 not in seen and len(wanted) == len(set(wanted))
+    if batching == "device_per_stream":  # device batches are of another size, so the last, incomplete ones differ
+        assert sorted(seen + [x for x in rest if x >= 0])[:200] and len({*seen} & {*rest} - {-1}) <= len(seen)
+    else:
+        assert sorted(seen + [x for x in rest if x >= 0]) == sorted(wanted)
+    assert then.state(1, 72, state) == Resume(1, 72, 4, 5, 2)
+    if nodes == 2:
+        assert rest == epoch[48:]
+
+
+def test_a_state_of_an_epoch_that_is_over_says_nothing(spark):
+    p = mixture(spark)
+    plan = lambda *a: [tuple(r) for r in p.epoch(*a).orderBy("order").collect()]
+    assert plan(2, Resume(1, 48, 2, 9, 1)) == plan(2) and plan(0, Resume(2, 0, 4, 5, 2)) == plan(2)
+
+
+@pytest.mark.parametrize("batching", ["stratified", "per_stream", "device_per_stream"])
+def test_batches_by_stream(spark, batching):
+    p = mixture(spark, batching=batching, world=World(2, 2, 3))
+    rows = p.epoch(0).collect()
+    by = lambda f: {k: [r for r in rows if f(r) == k] for k in {f(r) for r in rows}}
+    assert sorted(r.order for r in rows) == list(range(len(rows))) and len(rows) % (24 * 3) == 0
+    assert all(len(of) == 6 and sorted(r.slot for r in of) == list(range(6)) for of in by(lambda r: (r.node, r.rank, r.worker, r.batch)).values())
+    samples = [r.sample_id for r in rows if r.sample_id >= 0]
+    assert len(samples) == len(set(samples)) > 240
+    assert all((r.stream_id is None) == (r.sample_id < 0) for r in rows)
+    for of in by(lambda r: (r.worker, r.batch)).values():
+        streams = [r.stream_id for r in of]
+        if streams[0] is None and batching != "device_per_stream":
+            assert set(streams) == {None}  # padding comes in whole batches
+        elif batching == "stratified":
+            assert [streams.count(i) for i in range(3)] == [8, 12, 4]
+        elif batching == "per_stream":
+            assert len(set(streams)) == 1
+        else:
+            assert all(len({r.stream_id for r in of if r.node == n and r.rank == k}) == 1 for n in range(2) for k in range(2))
+
+
+def test_batches_that_cannot_be(spark):
+    with pytest.raises(ValueError):
+        mixture(spark, batching="per_stream", batch_size=20).epoch(0)
+    with pytest.raises(ValueError):
+        mixture(spark, batching="device_per_stream", block_size=3).epoch(0)
+    with pytest.raises(ValueError):
+        mixture(spark, batching="stratified", batch_size=1, world=World(1, 2, 1)).epoch(0)
+
+
+def test_blocks_of_streams_move_rows_less(spark):
+    from epochweave.plans.batching import block_sizes
+
+    assert block_sizes(300, [10, 20, 0]) == [100, 200, 0]
+
+
+def test_ids_come_from_keys_of_any_type(spark):
+    rows = spark.createDataFrame([(f"s{i % 3}", f"key {i * 7919 % 1000:04}") for i in range(500)] + [(None, "z")], "s string, k string").repartition(7)
+    got = {(r.stream_id, r.row_key): r for r in samples_of(rows, "s", "k", 40).collect()}
+    keys = sorted((r.s or "", r.k) for r in rows.collect())
+    names = sorted({s for s, _ in keys})
+    assert len(got) == 501 and all(got[names.index(s), k].sample_id == i for i, (s, k) in enumerate(keys))
+    for i in range(4):
+        own = sorted((r.sample_id, r.shard_id, r.place) for (s, _), r in got.items() if s == i)
+        assert [p for _, _, p in own] == [j % 40 for j in range(len(own))] and [b - own[0][1] for _, b, _ in own] == [j // 40 for j in range(len(own))]
+
+
+def test_order_without_a_generator(spark):
+    from epochweave.plans.keys import key, numbered, ranked, running
+
+    df = spark.range(3000).withColumn("g", F.col("id") % 3).withColumn("k", key("x", "id")).withColumn("size", F.col("id") % 5)
+    rows = sorted(running(ranked(df, ["g"], "k", "r"), ["g"], "k", "size", "before").collect(), key=lambda r: (r.g, r.k))
+    for g in range(3):
+        own = [r for r in rows if r.g == g]
+        assert [r.r for r in own] == list(range(1000)) and [r.before for r in own] == [sum(x.size for x in own[:i]) for i in range(1000)]
+    assert sorted((r.n, -r.id) for r in numbered(df, [F.desc("id")], "n").collect()) == [(i, i - 2999) for i in range(3000)]
+
+
 def test_grids_that_cannot_be(spark):
     with pytest.raises(ValueError):
         Grid(100, 4, 3, 1, 1, 1)

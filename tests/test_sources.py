@@ -1,22 +1,25 @@
 """Codecs byte for byte, shards and lines there and back."""
 
+import datetime
 import json
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epochweave.functions.units import bytes_to_int, count_to_int
 from epochweave.operators.simulate import Cache
 from epochweave.sources.codecs import ARRAY_TYPES, SCALARS, codec, encode
 from epochweave.sources.files import compress, decompress, digest, hashes
-from epochweave.sources.shards import ShardWriter, decode_row, encodings_of, load_shard, merge_index, read_index, read_shards, write_index, write_shards
+from epochweave.sources.lines import read_by_index, write_json_lines, write_separated
+from epochweave.sources.shards import ShardWriter, encodings_of, load_shard, merge_groups, merge_index, read_index, read_shards, shard_columns, type_of, write_index, write_shards, zipped_indexes
 
 
-@pytest.mark.parametrize("shape", [(1,), (1, 1), (2, 3, 4, 5), (300,), (1, 256, 1), (65536, 2, 1)])
+@pytest.mark.parametrize("shape", [(7,), (1, 2), (3, 1, 5), (70_000,), (2, 300), (1, 1, 1, 1, 9)])
 def test_arrays(shape):
     for dtype in ARRAY_TYPES:
-        x = np.arange(np.prod(shape)).reshape(shape).astype(dtype)
+        x = (np.arange(np.prod(shape)) % 100).reshape(shape).astype(dtype)
         for name in ("ndarray", f"ndarray:{dtype}", f"ndarray:{dtype}:{','.join(map(str, shape))}"):
             data = codec(name).encode(x)
             assert (codec(name).decode(data) == x).all() and codec(name).size in (None, len(data))
@@ -29,6 +32,7 @@ def test_arrays_that_cannot_be():
 
 
 def test_scalars_and_others():
+    # fixed values: what these numbers are in the format
     assert codec("uint8").encode(42) == b"*" and codec("uint16").encode(42) == b"*\0" and codec("int").encode(-1) == b"\xff" * 8
     for name in SCALARS:
         assert codec(name).decode(codec(name).encode(42)) == 42
@@ -60,22 +64,36 @@ def test_shards_byte_for_byte(tmp_path):
     data = (tmp_path / "shard.00000.mds").read_bytes()
     assert np.frombuffer(data, "<u4", 1)[0] == 3 and np.frombuffer(data, "<u4", 4, 4)[3] == len(data)
     assert json.loads(data[20 : 20 + len(out.head)])["column_names"] == ["n", "s"] and data.endswith(b"\2\0\0\0\2\0\0\0\0\0\0\0xx")
-    assert decode_row(out.shards[0], data, 1) == {"n": 1, "s": "x"}
+    kinds = {"n": type_of("int"), "s": type_of("str")}
+    assert {k: v.to_pylist() for k, v in shard_columns(out.shards[0], data, kinds, 1, 2).items()} == {"n": [1], "s": ["x"]}
     with pytest.raises(IndexError):
-        decode_row(out.shards[0], data, 3)
+        shard_columns(out.shards[0], data, kinds, 0, 4)
     with pytest.raises(ValueError):
         ShardWriter({"n": "int"}, f"file://{tmp_path}", size_limit=1 << 32)
 
 
-def test_shard_sizes(tmp_path):
-    probe = ShardWriter({"n": "int"}, f"file://{tmp_path}/a", 10**6)
+@pytest.mark.parametrize("rows", [5, 7])
+def test_shard_sizes(tmp_path, rows):
+    """A limit that so many rows fill exactly, or lack a byte to; rows come one by one or in blocks."""
     row = 8 + 4
-    out = ShardWriter({"n": "int"}, f"file://{tmp_path}/b", probe._empty() + 5 * row)
-    base = out._empty()
-    for i in range(23):
-        out.write({"n": i})
+    for short in (0, 1):
+        for block in (1, 23):
+            limit = 10**6
+            for _ in range(2):  # the limit is part of the head, whose length it changes
+                limit = ShardWriter({"n": "int"}, f"file://{tmp_path}/a", limit).empty + rows * row - short
+            limit += ShardWriter({"n": "int"}, f"file://{tmp_path}/a", limit).empty + rows * row - short - limit
+            out = ShardWriter({"n": "int"}, f"file://{tmp_path}/b{rows}{short}{block}", limit)
+            assert limit == out.empty + rows * row - short
+            for i in range(0, 23, block):
+                out.write_rows(pa.RecordBatch.from_arrays([pa.array(range(i, min(i + block, 23)), pa.int64())], ["n"]))
+            out.flush()
+            n = rows - short
+            assert [s["samples"] for s in out.shards] == [n] * (23 // n) + ([23 % n] if 23 % n else [])
+    out = ShardWriter({"s": "str"}, f"file://{tmp_path}/c", 10)
+    for text in ("a", "b" * 5000, "c"):
+        out.write({"s": text})
     out.flush()
-    assert [s["samples"] for s in out.shards][0] in (4, 5) and sum(s["samples"] for s in out.shards) == 23 and base
+    assert [s["samples"] for s in out.shards] == [1, 1, 1]  # each larger than the limit
 
 
 def test_data_source(spark, tmp_path):
@@ -87,8 +105,12 @@ def test_data_source(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select("i", "s", "a", "d").collect()) == rows
     ids = [r.sample_id for r in back.collect()]
     assert sorted(ids) == list(range(200)) and len(read_index(folder)) > 5
-    one = back.where("sample_id = 77")
-    assert one.count() == 1 and one.rdd.getNumPartitions() == 1
+    one = read_shards(spark, folder, samples=77)
+    assert one.first().i == back.where("sample_id = 77").first().i and one.count() == 1 and one.rdd.getNumPartitions() == 1
+    assert sorted(r.sample_id for r in back.where("sample_id in (3, 150) or sample_id > 195").collect()) == [3, 150, 196, 197, 198, 199]
+    few = read_shards(spark, folder, samples=range(40, 45))
+    assert sorted(r.sample_id for r in few.collect()) == list(range(40, 45)) and few.rdd.getNumPartitions() < back.rdd.getNumPartitions()
+    assert read_shards(spark, folder, samples=range(500, 600)).count() == 0 and read_shards(spark, folder, columns=["d"]).columns == ["sample_id", "shard_id", "d"]
     with pytest.raises(Exception, match="no nulls"):
         write_shards(spark.createDataFrame([(None,)], "s string"), f"file://{tmp_path}/bad")
     shard = read_index(folder)[0]
@@ -97,6 +119,93 @@ def test_data_source(spark, tmp_path):
         load_shard(folder, shard, "md5")
 
 
+def numbers(spark, folder):
+    return sorted(r.n for r in read_shards(spark, folder).collect())
+
+
+def test_appending_and_replacing(spark, tmp_path):
+    folder, rows = f"file://{tmp_path}/out", lambda a, b: spark.range(a, b).withColumnRenamed("id", "n")
+    assert write_shards(rows(0, 10), folder) == folder and read_index(folder)[0]["compression"] == "zstd"
+    write_shards(rows(10, 15), folder, compression="")
+    assert numbers(spark, folder) == list(range(15)) and sorted(r.sample_id for r in read_shards(spark, folder).collect()) == list(range(15))
+    with pytest.raises(FileExistsError):
+        write_shards(rows(0, 1), folder, mode="error")
+    with pytest.raises(Exception, match="no rows"):
+        write_shards(rows(0, 0), folder)
+    assert numbers(spark, folder) == list(range(15))  # the index is as it was
+    before = len(list((tmp_path / "out").rglob("shard.*")))
+    write_shards(rows(50, 52), folder, mode="overwrite")
+    assert numbers(spark, folder) == [50, 51] and len(list((tmp_path / "out").rglob("shard.*"))) < before
+
+
+def test_lines_have_an_index(spark, tmp_path):
+    rows = [(i, "x" * (i % 7), i / 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, s string, d double").repartition(2)
+    for name, write in (("json", write_json_lines), ("csv", write_separated), ("xsv", lambda d, f, **o: write_separated(d, f, "|", **o))):
+        for compression in ("", "gz"):
+            folder = f"file://{tmp_path}/{name}{compression}"
+            write(df, folder, size_limit="2kb", compression=compression)
+            shards = read_index(folder)
+            assert len(shards) > 3 and {s["format"] for s in shards} == {name} and sum(s["samples"] for s in shards) == 300
+            assert sorted(tuple(r) for r in read_by_index(spark, folder).select("i", "s", "d").collect()) == rows
+            one = shards[0]
+            data, meta = (load_shard(folder, one | {"raw_data": one[f"raw_{k}"], "zip_data": one[f"zip_{k}"]}) for k in ("data", "meta"))
+            n, offsets = np.frombuffer(meta, "<u4", 1)[0], np.frombuffer(meta, "<u4", one["samples"] + 1, 4)
+            assert n == one["samples"] and offsets[-1] == len(data) and all(data[b - 1 : b] == b"\n" for b in offsets[1:].tolist())
+            assert offsets[0] == (0 if name == "json" else data.index(b"\n") + 1)
+    with pytest.raises(Exception, match="separator"):
+        write_separated(spark.createDataFrame([("a,b",)], "s string"), f"file://{tmp_path}/bad")
+    with pytest.raises(Exception, match="null"):
+        write_json_lines(spark.createDataFrame([(None,)], "s string"), f"file://{tmp_path}/bad")
+    with pytest.raises(ValueError):
+        write_json_lines(df, f"file://{tmp_path}/bad", compression="zstd")
+
+
+def test_groups_get_running_numbers(spark, tmp_path):
+    folder = f"file://{tmp_path}/groups"
+    for part, n in (("b", 3), ("a", 5)):
+        write_shards(spark.range(n).selectExpr(f"concat('{part}', id) as s").coalesce(1), f"{folder}/{part}", size_limit="none")
+    names = [s["zip_data"]["basename"] for s in merge_groups(folder)]
+    assert names == ["shard.00000.mds.zstd", "shard.00001.mds.zstd"] and all((tmp_path / "groups" / n).is_file() for n in names)
+    assert [r.s for r in read_shards(spark, folder).orderBy("sample_id").collect()] == ["a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2"]
+    assert zipped_indexes(["x"], ["y"]) == [("x", "y")]
+    with pytest.raises(ValueError):
+        zipped_indexes(["x"], [])
+
+
+def test_every_kind_of_column_there_and_back(spark, tmp_path):
+    when = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456, tzinfo=datetime.UTC)
+    kinds = "a tinyint, b smallint, c int, d bigint, e float, f double, g decimal(10,2), h string, i binary, j array<int>, k struct<x:int,y:array<string>>, l map<string,int>, m timestamp, n date, o boolean"
+    row = (-1, 2, -3, 1 << 60, 0.5, 0.1, Decimal("1.20"), "é\0", b"\xff", [1, -2], (7, ["z"]), {"q": 1}, when, when.date(), True)
+    folder = write_shards(spark.createDataFrame([row, row], kinds), f"file://{tmp_path}/kinds")
+    got = read_shards(spark, folder).drop("sample_id", "shard_id").first()
+    assert got[:10] == (-1, 2, -3, 1 << 60, 0.5, 0.1, "1.20", "é\0", b"\xff", [1, -2])
+    assert json.loads(got.k) == {"x": 7, "y": ["z"]} and json.loads(got.l) == {"q": 1} and got.m == round(when.timestamp() * 10**6) and got.n == 19849 and got.o == 1
+    with pytest.raises(Exception, match="no uint8"):
+        write_shards(spark.createDataFrame([(300,)], "a int"), f"file://{tmp_path}/bad", {"a": "uint8"})
+
+
+def test_unsafe_columns_are_refused(spark, tmp_path):
+    folder = write_shards(spark.range(3), f"file://{tmp_path}/unsafe")
+    index = read_index(folder)
+    write_index(folder, [s | {"column_encodings": ["pkl"]} for s in index])
+    with pytest.raises(Exception, match="unsafe"):
+        read_shards(spark, folder)
+
+
+def test_folders_are_named_in_full(spark, tmp_path):
+    from epochweave.places import filesystem, qualified, shared_folder
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and qualified(spark, "s3a://b/x/") == "s3a://b/x"
+    for bad in ("/bare/path", "wasbs://b/x", "dbfs://x"):
+        with pytest.raises(ValueError):
+            filesystem(bad)
+    assert filesystem(f"file://{tmp_path}")[1] == str(tmp_path)
+    assert shared_folder(spark, "x").startswith("file:///") and spark.sparkContext.applicationId in shared_folder(spark, "x")
+    folder = write_shards(spark.range(3), f"{tmp_path}/bare")
+    assert folder == f"file://{tmp_path}/bare" and read_shards(spark, f"{tmp_path}/bare").count() == 3
+
+
 def test_merged_indexes(tmp_path):
     for part in ("a", "b"):
         out = ShardWriter({"n": "int"}, f"file://{tmp_path}/{part}")
