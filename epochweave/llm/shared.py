@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a session in local mode may go without: it then gets a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="epochweave-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from epochweave.places import remove, shared_folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/epochweave/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,9 +42,12 @@ def small_batches(spark: SparkSession, rows: int = 1000):
 def discard(df: DataFrame) -> None:
     """Remove what written() kept; only when nothing lazy reads it any more."""
     if path := getattr(df, "_kept_at", None):
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        remove(df.sparkSession, path)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for a row: a column of its own might be put into use's lambdas, and be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
