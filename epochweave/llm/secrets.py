@@ -15,6 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochweave.llm.shared import once
+
 #: Words that real secrets don't hold, in the candidate or its path.
 DICTIONARY = "example sample dummy test fake mock placeholder your here insert change token secret password user name data file image page article version build release config default local host http index item value table model train batch report month summer winter title".split()
 PATHS = "test|example|sample|fixture|mock|spec|docs"
@@ -28,6 +30,10 @@ CANDIDATE = f"{ASSIGNED}(?=[^\\s\"'`]){VALUE}|{RUN}"
 HASHES = "commit|sha1|sha256|md5|checksum|digest|etag|revision|uuid|guid|build|order|card|invoice"
 
 
+#: How many pieces of a text on either side a candidate looks at, and how many pieces a block of lengths has.
+NEAR, NEARBY = 8, 256
+
+
 def _share(pattern: str) -> Column:
     return F.regexp_count("candidate", F.lit(pattern)) / F.length("candidate")
 
@@ -111,14 +117,32 @@ def forest(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 9)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, begin (in characters), candidate, before, after, path: every match of CANDIDATE in the whole text."""
-    text = F.col("text").cast("string")
-    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"), text.alias("text")).where(F.size("found") > 0)
-    of = of.withColumn("between", F.split("text", CANDIDATE, -1)).select("doc_id", "path", "text", "found", "between", F.posexplode("found").alias("i", "candidate"))
-    begin = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("long"), lambda s, k: s + F.length(F.get("between", k)) + F.when(k < F.col("i"), F.length(F.get("found", k))).otherwise(0))
-    of = of.select("doc_id", "path", "text", "candidate", begin.cast("int").alias("begin"))
-    before = F.substr("text", F.greatest(F.col("begin") - 47, F.lit(1)), F.least(F.col("begin"), F.lit(48)))
-    return of.select("doc_id", F.col("begin").cast("long").alias("begin"), "candidate", before.alias("before"), F.substr("text", F.col("begin") + F.length("candidate") + 1, F.lit(24)).alias("after"), "path")
+    """Columns doc_id, begin (in characters), candidate, before, after, path: every match of CANDIDATE in the whole text.
+
+    before and after are up to 48 and 24 characters around it, as far as NEAR pieces of the text reach. One search of a text marks
+    its candidates, and the marks cut it into pieces; a candidate looks at the pieces beside it alone, and at sums of lengths by
+    blocks, so that many candidates in one text don't cost its length each.
+    """
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", "  ")
+    # the first piece comes before all candidates, any other is a candidate, its end mark and what follows
+    pieces = F.split(F.regexp_replace(text, CANDIDATE, "\x01$0\x02"), "\x01", -1)
+    total = lambda of, first, n: F.aggregate(F.slice(of, first, n), F.lit(0).cast("long"), lambda s, x: s + x)
+    some = lambda p, first, n, cut: F.translate(F.array_join(F.transform(F.slice(p, first, n), cut), ""), "\x02", "")
+
+    def found(p: Column, n: Column, sums: Column, i: Column) -> Column:
+        block, first = F.floor(i / NEARBY).cast("int"), F.greatest(i - NEAR, F.lit(0))
+        begin = total(sums, F.lit(1), block) + total(n, block * NEARBY + 1, i % NEARBY)
+        parts = F.split(F.get(p, i), "\x02", 2)
+        before = F.right(some(p, first + 1, i - first, lambda x: F.right(x, F.lit(49))), F.lit(48))
+        after = F.left(F.concat(F.left(parts[1], F.lit(24)), some(p, i + 2, F.lit(NEAR), lambda x: F.left(x, F.lit(25)))), F.lit(24))
+        return F.struct(begin.alias("begin"), parts[0].alias("candidate"), before.alias("before"), after.alias("after"))
+
+    lengths = lambda p: F.transform(p, lambda x: F.length(F.translate(x, "\x02", "")).cast("long"))
+    sums_of = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / NEARBY).cast("int")), lambda b: total(n, b * NEARBY + 1, F.lit(NEARBY)))
+    each = lambda p, n, sums: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: found(p, n, sums, i))
+    every = once(pieces, lambda p: F.when(F.size(p) > 1, once(lengths(p), lambda n: once(sums_of(n), lambda sums: each(p, n, sums)))))
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.explode(every).alias("f"))
+    return of.select("doc_id", "f.*", "path")
 
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
