@@ -52,16 +52,22 @@ class Windows:
         self.new.append((role, text, tokens))
         self.sums.append(self.sums[-1] + tokens)
         while len(self.new) > 1 and self.sums[-1] > self.room():
-            yield self.cut(max(1, bisect_right(self.sums, self.room()) - 1))
+            yield self.cut()
 
     def room(self) -> int:
         return self.budget - sum(t[2] for t in self.head())
 
     def head(self) -> list[tuple]:
-        """What a later window repeats: the system turn, then the last turns within the history's share."""
-        return ([self.system] if self.system and self.number else []) + self.past
-
-    def cut(self, n: int) -> tuple:
+        """What a later window repeats: the system turn, then the last turns within the history's share, as far as the first new turn leaves room."""
+        room = self.budget - self.new[0][2] if self.new else 0
+        system = [self.system] if self.system and self.number and self.system[2] <= room else []
+        room -= sum(t[2] for t in system)
+        keep = bisect_right(list(accumulate(t[2] for t in reversed(self.past))), room)
+        return system + self.past[len(self.past) - keep :]
+
+    def cut(self) -> tuple:
+        """The next window: as many new turns as fit behind its head, but one at least."""
+        n = max(1, bisect_right(self.sums, self.room()) - 1)
         head, span = self.head(), self.new[:n]
         text, loss, at = [], [], 0
         for i, (role, said, _) in enumerate(head + span):
@@ -83,7 +89,7 @@ class Windows:
 
     def end(self) -> Iterator[tuple]:
         while self.new:
-            yield self.cut(max(1, bisect_right(self.sums, self.room()) - 1))
+            yield self.cut()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
