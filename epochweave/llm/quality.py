@@ -19,6 +19,7 @@ from epochweave.llm.shared import id_and_text
 from epochweave.llm.words import Words, shingle_hashes, slices
 
 CUT = 0.3
+SIDE = 8
 SPECIAL = "\n .,;:!?'\"-_|/\\()[]{}<>=+*#$%&@~^`"
 
 
@@ -86,7 +87,8 @@ class Ranking:
     at: float = 0.0
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.centre) / self.scale) @ self.weights
+        """Features further than SIDE deviations from the centre count as SIDE, as in training: so odd a text is outside of what was learnt."""
+        return np.clip((x - self.centre) / self.scale, -SIDE, SIDE) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (self.strength(x) - self.at) + np.log(CUT / (1 - CUT))
@@ -103,7 +105,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = 30_000, ridge: float = 3.0
     if not len(high) or not len(low):
         return flat
     rng = np.random.default_rng(4)
-    z = np.clip((x - centre) / scale, -8, 8)
+    z = np.clip((x - centre) / scale, -SIDE, SIDE)
     each = lambda of: np.concatenate([rng.permutation(of) for _ in range(-(-pairs // len(of)))])[:pairs]
     d = z[each(high)] - z[each(low)]
     w = np.zeros(x.shape[1])
