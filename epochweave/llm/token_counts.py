@@ -12,24 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochweave.llm.shared import fresh_path, id_and_text, written
 from epochweave.llm.vocabulary import encoder, shared_vocabulary
 from epochweave.llm.words import slices
+from epochweave.places import filesystem
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end: int, folder: str, dtype: str = "uint16") -> DataFrame:
     """Columns file, place, doc_id: which document is where. One flat file for each task; a null text has no tokens.
 
-    Files of tasks that were lost or repeated may stay in the folder, but aren't in the table.
+    Files of tasks that were lost or repeated may stay in the folder, but aren't in the table. An `end` that is a token of the
+    vocabulary is an error.
     """
-    known = shared_vocabulary(docs.sparkSession, vocabulary)
+    known = shared_vocabulary(docs.sparkSession, vocabulary, apart=end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, where = fs.FileSystem.from_uri(folder)
+        files, where = filesystem(folder)
         encode, name, place, out = encoder(known), f"{uuid.uuid4().hex}.tokens", 0, None
         for batch in slices(batches, most=1 << 19):
             if out is None:
@@ -48,7 +49,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int, folder: str, d
 
 def _separators(folder: str, end: int, dtype: str, step: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, where = fs.FileSystem.from_uri(folder)
+        files, where = filesystem(folder)
         width = np.dtype(dtype).itemsize
         for batch in batches:
             for name, block, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -79,9 +80,8 @@ def count_tokens(spark: SparkSession, folder: str, end: int, dtype: str = "uint1
     )
     open_end = F.col("final") & (F.coalesce(F.array_max("ends"), F.col("carry")) < F.col("stop") - 1)
     ends = F.when(open_end, F.array_append("ends", F.col("stop"))).otherwise(F.col("ends"))
-    rows = scan.withColumn("ends", ends).select("file", "earlier", "carry", "ends", F.posexplode("ends").alias("i", "at"))
-    previous = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(F.col("carry"))
-    return rows.select("file", (F.col("earlier") + F.col("i")).alias("place"), (F.col("at") - previous - 1).alias("n_tokens"))
+    one = lambda at, i: F.struct((F.col("earlier") + i).alias("place"), (at - F.coalesce(F.get("ends", i - 1), F.col("carry")) - 1).alias("n_tokens"))
+    return scan.withColumn("ends", ends).select("file", F.explode(F.transform("ends", one)).alias("d")).select("file", "d.place", "d.n_tokens")
 
 
 def document_token_counts(docs: DataFrame, vocabulary: str, end: int, dtype: str = "uint16", block_tokens: int = 1 << 20) -> DataFrame:

@@ -12,12 +12,14 @@ MOST_BYTES = 32 << 20
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
-    """The file's bytes for all executors; its size is bounded by MOST_BYTES."""
+def shared_vocabulary(spark: SparkSession, path: str, apart: int | None = None) -> Broadcast:
+    """The file's bytes for all executors; its size is bounded by MOST_BYTES. apart: an id that no token may have."""
     with open(path, "rb") as file:
         data = file.read(MOST_BYTES + 1)
     if len(data) > MOST_BYTES:
         raise ValueError(f"{path} has over {MOST_BYTES} bytes")
+    if apart is not None and any(int(line.split()[1]) == apart for line in data.splitlines()):
+        raise ValueError(f"{apart} is a token of {path}, so it can't stand for something else")
     return spark.sparkContext.broadcast((path, data))
 
 
