@@ -14,11 +14,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochweave.llm.shared import fresh_path, written
+from epochweave.places import filesystem
 
 PIECE = 1 << 16
 CHUNKS = "archive string, record long, chunk long, record_id string, record_type string, refers_to_id string, target string, header_digest string, header_bytes long, data binary, n_bytes long, digest binary"
@@ -36,7 +36,7 @@ def _clean(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers_to) -> Iterator[bytes]:
+def _record(page_id, url, payload, digest: str, refers_to) -> Iterator[bytes]:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_identifier(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
@@ -54,14 +54,15 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to) -> Iterator[by
 
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, where = fs.FileSystem.from_uri(folder)
+        files, where = filesystem(folder)
         path, records, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
                     files.create_dir(where, recursive=True)
                     out = files.open_output_stream(f"{where}/{path}", compression=None)
-                page_id, url, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
+                page_id, url, digest, refers_to = (batch.column(c)[i].as_py() for c in ("page_id", "url", "digest", "refers_to"))
+                payload = batch.column("payload")[i].as_buffer() or b""  # a view, not a copy
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
                 for piece in _record(page_id, url, payload, base32(bytes.fromhex(digest)), refers_to):
                     out.write(packer.compress(piece))
@@ -85,7 +86,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     last = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last")))
+    # only ids and digests meet by digest, which many pages may share; payloads meet theirs by page
+    known = rows.select("page_id", "digest").where("page_id is not null").distinct().join(last, "digest").where("page_id < last")
+    rows = rows.join(known.select("page_id", "digest", F.col("last").alias("refers_to")), ["page_id", "digest"], "left")
     return written(rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writer(folder), "archive string, records long"), "archives")
 
 
@@ -130,7 +133,7 @@ def _reader(chunk_bytes: int, with_data: bool):
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in CHUNKS.split(", ")]
 
     def chunks(archive: str) -> Iterator[list]:
-        files, where = fs.FileSystem.from_uri(archive)
+        files, where = filesystem(archive)
         with files.open_input_stream(where, compression=None) as stream:
             data, record = _Unpacked(stream, PIECE), 0
             while head := data.until(b"\r\n\r\n"):
