@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from epochweave.llm.chat import escape, format_chats, read_chats, unescape
+from epochweave.llm.chat import Windows, escape, format_chats, read_chats, unescape
 from epochweave.llm.decontaminate import contaminated_passages, edit_distance_within, find, prepare, without_contaminated
 from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.packing import best_fit, best_fit_packing
@@ -65,6 +67,34 @@ def test_line_dedup(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_line_dedup_of_short_lines_takes_more_sites(spark):
+    rows = [(i, f"Menu\nown {i}\n" + ("Les." if i < 31 else "x"), f"s{i}") for i in range(40)]
+    out = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0].startswith("Menu\n") and not any("Menu" in t for i, t in out.items() if i) and all("Les." in out[i] for i in range(31))
+
+
+def test_line_dedup_whatever_columns_are_called(spark):
+    line = "this line stands on very many sites"
+    rows = [(i, f"own {i}\n{line}", f"s{i}", i, 2, 3, 4, 5, 6, 7) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string, gone int, _text int, _doc int, version int, row int, lines int, n_removed int")
+    out = sorted(line_dedup(frame).collect(), key=lambda r: r.doc_id)
+    assert line_dedup(frame).columns == [*frame.columns[:-1], "n_lines", "n_removed"]
+    assert [(r.gone, r._text, r._doc, r.version, r.row, r.lines, r.n_lines, r.n_removed) for r in out] == [(i, 2, 3, 4, 5, 6, 2, int(i > 0)) for i in range(9)]
+    assert [r.text for r in out] == [f"own 0\n{line}"] + [f"own {i}" for i in range(1, 9)]
+
+
+def test_line_dedup_is_linear_in_a_text_and_native(spark):
+    many = [f"boilerplate line number {i} of them all" for i in range(100_000)]
+    rows = [(0, "\n".join(many), "s0")] + [(i, "\n".join(many[i % 2 :: 2]), f"s{i}") for i in range(1, 9)] + [(9, "own line that none else has\n" + "\n".join(many), "s9")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.time()
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(frame, min_sites=5).collect()}
+    assert time.time() - began < 60
+    assert out[9] == ("own line that none else has", 100_001, 100_000) and out[0][2] == 0 and out[3] == ("", 50_000, 50_000)
+    plan = line_dedup(frame)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # Decontamination
 
 
@@ -144,18 +174,60 @@ def test_short_items_match(spark):
 # Packing
 
 
-def test_best_fit_takes_the_tightest_compatible_bin():
-    assert best_fit([6, 5, 4, 3], ["a", "b", "c", "d"], [1, 2, 3, 4], 10) == [0, 1, 0, 1]
-    assert best_fit([6, 5, 4, 3], ["a", "b", "a", "d"], [1, 2, 3, 4], 10) == [0, 1, 1, 0]  # 4 can't join its source
-    assert best_fit([6, 5, 4], ["a", "b", "c"], [9, 2, 9], 10) == [0, 1, 1]  # nor its cluster
-    assert best_fit([5, 5], [None, None], [None, None], 10) == [0, 0]
+def each(of):
+    return [[] if x is None else [x] for x in of]
 
 
-def test_packing_keeps_its_rules(spark):
+def test_best_fit_takes_the_tightest_compatible_bin():
+    assert best_fit([6, 5, 4, 3], each("abcd"), each([1, 2, 3, 4]), 10) == [0, 1, 0, 1]
+    assert best_fit([6, 5, 4, 3], each("abad"), each([1, 2, 3, 4]), 10) == [0, 1, 1, 0]  # 4 can't join its source
+    assert best_fit([6, 5, 4], each("abc"), each([9, 2, 9]), 10) == [0, 1, 1]  # nor its cluster
+    assert best_fit([5, 5], each([None, None]), each([None, None]), 10) == [0, 0]
+    assert best_fit([5, 3, 2], [["a", "b"], ["c", "b"], ["c"]], [[], [], []], 10) == [0, 1, 0]
+
+
+def plain_best_fit(sizes, sources, clusters, capacity):
+    """Every bin looked at for every piece."""
+    bins, out = [], []
+    for size, s, c in zip(sizes, sources, clusters, strict=True):
+        fits = [(capacity - sum(b["n"]) - size, k) for k, b in enumerate(bins) if sum(b["n"]) + size <= capacity and not set(s) & b["s"] and not set(c) & b["c"]]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"n": [], "s": set(), "c": set()})
+        bins[k]["n"].append(size)
+        bins[k]["s"] |= set(s)
+        bins[k]["c"] |= set(c)
+        out.append(k)
+    return out
+
+
+def test_best_fit_is_what_looking_at_every_bin_gives():
+    rng = random.Random(8)
+    for _ in range(40):
+        n = rng.randrange(1, 200)
+        sizes = sorted((rng.randrange(1, 60) for _ in range(n)), reverse=True)
+        of = lambda k, most: [rng.sample(range(k), rng.randrange(most)) for _ in range(n)]
+        args = (sizes, of(rng.choice([3, 50]), 3), of(40, 2), 100)
+        assert best_fit(*args) == plain_best_fit(*args)
+
+
+def test_packing_of_one_pack_is_best_fit_over_all(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(["w%d" % i] * rng.randrange(1, 100)), f"s{rng.randrange(30)}") for i in range(200)]
+    docs += [(500 + i, docs[i][1].upper(), "s31") for i in range(5)]
+    rows = best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3), capacity=100).collect()
+    got = {r.doc_id: r.bin_id for r in rows}
+    order = sorted(docs, key=lambda d: (-len(d[1].split()), d[0]))
+    want = plain_best_fit([len(d[1].split()) for d in order], [[d[2]] for d in order], [[d[1].lower()] for d in order], 100)
+    assert [got[d[0]] for d in order] == want
+
+
+@pytest.mark.parametrize("pack_rows", [120, 16, 4096])
+def test_packing_keeps_its_rules(spark, pack_rows):
     rng = random.Random(2)
     docs = [(i, " ".join(["w%d" % rng.randrange(50)] * rng.randrange(1, 90)), f"s{rng.randrange(3) if rng.random() < 0.5 else i % 40}") for i in range(400)]
     docs += [(1000, None, "s1"), (1001, " ", "s1"), (1002, " ".join(["long"] * 250), None), (1003, " ".join(["LONG"] * 250), "s2"), (1003, "twice", "s9"), (None, "no id", "s4")]
-    rows = best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string, source string"), capacity=100, pack_rows=120).collect()
+    rows = best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string, source string"), capacity=100, pack_rows=pack_rows).collect()
     words = {}
     for i, text, source in docs:
         words.setdefault(i, []).append((len((text or "").split()), source, (text or "").lower()))
@@ -171,6 +243,8 @@ def test_packing_keeps_its_rules(spark):
         known = [words[r.doc_id][0] for r in own if len(words[r.doc_id]) == 1]
         sources = [s for _, s, _ in known if s]
         assert len(sources) == len(set(sources)) and len({t for _, _, t in known}) == len(known)
+    least = len({r.bin_id for r in best_fit_packing(spark.createDataFrame(docs, "doc_id long, text string, source string"), capacity=100).collect()})
+    assert len(bins) <= 1.15 * least  # open bins of many packs are joined
     assert [(r.piece, r.begin_word, r.n_words) for r in sorted(rows, key=lambda r: r.piece) if r.doc_id == 1002] == [(0, 0, 100), (1, 100, 100), (2, 200, 50)]
     assert best_fit_packing(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
@@ -251,11 +325,26 @@ def test_chats_read_back(spark):
         want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
         assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == want
     shown = windows.where("conv_id is not null").orderBy("conv_id", "window").collect()
-    assert any(w.n_repeated for w in shown) and all(w.window == 0 or "system" in w.text.split("\n")[0] for w in shown if w.conv_id in (1, 3, 5))
-    assert all(w.tokens <= 100 or w.text.count("<|im_start|>") == w.n_repeated + 1 for w in shown)
+    assert any(w.n_repeated for w in shown) and all(w.window == 0 or not w.n_repeated or "system" in w.text.split("\n")[0] for w in shown if w.conv_id in (1, 3, 5))
+    assert all(w.tokens <= 100 or w.text.count("<|im_start|>") == 1 for w in shown)  # only a turn alone may have more
     assert read_chats(format_chats(frame.limit(0), VOCABULARY)).count() == 0
 
 
+def test_windows_keep_within_their_budget():
+    rng = random.Random(3)
+    for _ in range(300):
+        budget, history = rng.randrange(20, 100), rng.randrange(0, 60)
+        turns = [("system" if i == 0 and rng.random() < 0.5 else ("user", "assistant")[i % 2], f"t{i}", rng.randrange(1, budget + 1)) for i in range(rng.randrange(1, 40))]
+        windows = Windows(1, budget, history)
+        rows = [w for t in turns for w in windows.add(*t)] + list(windows.end())
+        assert all(tokens <= budget for *_, tokens in rows)
+        texts = [re.findall(r"<\|im_start\|>(\w+)\n(\w+)<", text) for _, _, _, text, _, _ in rows]
+        assert [t for of, row in zip(texts, rows, strict=True) for t in of[row[2] :]] == [t[:2] for t in turns]
+        for of, row in zip(texts[1:], rows[1:], strict=True):
+            first = next(t[2] for t in turns if t[:2] == of[row[2]])
+            assert turns[0][0] != "system" or of[0] == turns[0][:2] or turns[0][2] + first > budget
+
+
 # Secrets
 
 
@@ -291,4 +380,49 @@ def test_secret_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-_ = pa
+
+def test_candidates_stand_where_they_say(spark):
+    rng = random.Random(11)
+    bit = lambda: rng.choice(["token=", "password: ", '"api_key": "', "é ", "\n", "word ", "x" * 60, hashlib.sha1(str(rng.random()).encode()).hexdigest(), "a1B2" * 5, "Tr0ub4!", '" '])
+    texts = ["".join(bit() for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["a\x01b\x02 token=" + "k9" * 12]
+    got = {}
+    for r in candidates(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got) > 40
+    for i, rows in got.items():
+        text = texts[i].translate({1: " ", 2: " "})
+        rows.sort(key=lambda r: r.begin)
+        assert all(text[r.begin : r.begin + len(r.candidate)] == r.candidate for r in rows)
+        ends = [r.begin + len(r.candidate) for r in rows]
+        assert all(a <= r.begin for a, r in zip(ends, rows[1:], strict=False))
+        for k, r in enumerate(rows):
+            back = rows[k - 8].begin + len(rows[k - 8].candidate) if k >= 8 else 0
+            assert r.before == text[max(0, r.begin - 48) : r.begin] or (len(r.before) < 48 and text[: r.begin].endswith(r.before) and r.begin - back < 48)
+            assert text[ends[k] :].startswith(r.after) and (len(r.after) == min(24, len(text) - ends[k]) or k + 8 < len(rows))
+
+
+def test_many_candidates_in_one_text_take_seconds(spark):
+    text = " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(50_000))
+    began = time.time()
+    rows = candidates(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, source string")).agg({"begin": "max", "candidate": "count"}).first()
+    assert rows["count(candidate)"] == 50_000 and rows["max(begin)"] == 41 * 49_999 and time.time() - began < 60
+
+
+def test_forest_learns_from_findings_of_other_rules(spark):
+    """Findings whose values, names and surroundings come from other rules than labelled_findings(): half teach, half are held out."""
+    rng = random.Random(12)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secret = lambda: ("".join(rng.choice(chars) for _ in range(rng.randrange(20, 50))), f"export {rng.choice(['SERVICE', 'DB', 'MAIL'])}_{rng.choice(['AUTH', 'SECRET', 'PASSWD'])}=", "\n", "deploy/env")
+    harmless = lambda: rng.choice([
+        ("-".join(rng.choice(["layer", "block", "norm", "head", "proj"]) for _ in range(4)) + f"-{rng.randrange(10, 99)}", "loading ", " done", "logs/run"),
+        ("".join(rng.choice("0123456789") for _ in range(20)), "invoice ", ".", "mail"),
+        ("".join(rng.choice("0123456789abcdef") for _ in range(64)), "sha256: ", "\n", "pkg/lock"),
+    ])
+    rows = [(*secret(), 1) if i % 2 else (*harmless(), 0) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int").withColumn("n", F.monotonically_increasing_id())
+    score = forest(frame.where("n % 4 < 2").drop("n"))
+    held = frame.where("n % 4 >= 2").select("label", *[c.alias(k) for k, c in features().items()]).select("label", score.alias("score")).collect()
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in held) / len(held) > 0.95
+    default = forest(labelled_findings(spark))
+    every = frame.select("label", *[c.alias(k) for k, c in features().items()]).select("label", default.alias("score")).collect()
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in every) / len(every) > 0.8  # rules that it never saw
