@@ -134,18 +134,22 @@ def x10(spark, sf_dir):
 _CELLS = "node, rank, worker, batch, slot, pos"
 
 
-def _grid_query(name: str, sql_n: int, *args, **more) -> None:
-    g = Grid(sql_n, *args, **more)
+def _rows_of(name: str) -> str:
+    return f"(select count(*) from {name})"
 
-    @query(name, f"with {grid(sql_n, *args, **more)} select {_CELLS} from cells")
+
+def _grid_query(name: str, rows: str, *args, **more) -> None:
+    """As many positions as a table has rows."""
+
+    @query(name, f"with {grid(_rows_of(rows), *args, **more)} select {_CELLS} from cells")
     def run(spark, sf_dir):
-        return g.cells(spark).select(*_CELLS.split(", "))
+        return Grid(table(spark, sf_dir, rows).count(), *args, **more).cells(spark).select(*_CELLS.split(", "))
 
 
-_grid_query("d2_partition_orig", 1003, 4, 2, 3, 2, 5)
-_grid_query("d2_partition_more_nodes", 997, 2, 6, 2, 2, 4)
-_grid_query("d2_partition_drop_first", 1003, 4, 2, 3, 2, 5, drop=101)
-_grid_query("d3_partition_few_samples", 7, 16, 2, 2, 1, 3)
+_grid_query("d2_partition_orig", "orders", 4, 2, 3, 2, 5)
+_grid_query("d2_partition_more_nodes", "customer", 2, 6, 2, 2, 4)
+_grid_query("d2_partition_drop_first", "orders", 4, 2, 3, 2, 5, drop=101)
+_grid_query("d3_partition_few_samples", "nation", 64, 2, 2, 1, 3)
 
 
 @query("d1_partition_by_table", f"with {grid('(select count(*) from lineitem)', 8, 4, 8, 2, 16)} select node, rank, count(*) as cells, count(*) filter (pos >= 0) as filled, sum(pos) as total from cells group by all")
@@ -156,16 +160,16 @@ def d1(spark, sf_dir):
 
 @query(
     "d4_partition_relaxed",
-    f"with {grid(1000, 4, 4, 2, 1, 6, 96)} select (traversal // 16) % 3 as node, (traversal // 8) % 2 as rank, 0 as worker, traversal // 48 as batch, traversal % 8 as slot, pos from cells",
+    f"with {grid(_rows_of('customer'), 4, 4, 2, 1, 6, 96)} select (traversal // 16) % 3 as node, (traversal // 8) % 2 as rank, 0 as worker, traversal // 48 as batch, traversal % 8 as slot, pos from cells",
 )
 def d4(spark, sf_dir):
-    return relaxed_cells(spark, {"n": 1000, "canonical": 4, "nodes": 3, "ranks": 2, "workers": 1, "batch_size": 8, "drop": 96}, 4).select(*_CELLS.split(", "))
+    return relaxed_cells(spark, {"n": table(spark, sf_dir, "customer").count(), "canonical": 4, "nodes": 3, "ranks": 2, "workers": 1, "batch_size": 8, "drop": 96}, 4).select(*_CELLS.split(", "))
 
 
-@query("d5_replication", f"with {grid(500, 2, 2, 2, 1, 4)} select (node * 2 + rank) * 3 + copy as rank, batch, slot, pos from cells, (select unnest(range(3)) as copy)")
+@query("d5_replication", f"with {grid(_rows_of('part'), 2, 2, 2, 1, 4)} select (node * 2 + rank) * 3 + copy as rank, batch, slot, pos from cells, (select unnest(range(3)) as copy)")
 def d5(spark, sf_dir):
     world = World(2, 6, 1).replicate(3)
-    cells = Grid(500, 2, world.nodes, world.ranks_per_node, 1, 4).cells(spark)
+    cells = Grid(table(spark, sf_dir, "part").count(), 2, world.nodes, world.ranks_per_node, 1, 4).cells(spark)
     return replicated(cells.withColumn("rank", F.col("node") * world.ranks_per_node + F.col("rank")), 3).select("rank", "batch", "slot", "pos")
 
 
@@ -273,9 +277,9 @@ def g6(spark, sf_dir):
     return dealt(rows, table(spark, sf_dir, "orders").count() // 16, 0, World(2, 2, 7), 4).drop("stream_id")
 
 
-@query("p8_drop_padding", f"with {grid(997, 2, 2, 3, 2, 5)} select batch, count(*) as n from cells where pos >= 0 group by batch")
+@query("p8_drop_padding", f"with {grid(_rows_of('customer'), 2, 2, 3, 2, 5)} select batch, count(*) as n from cells where pos >= 0 group by batch")
 def p8(spark, sf_dir):
-    return Grid(997, 2, 2, 3, 2, 5).cells(spark).where("pos >= 0").groupBy("batch").agg(F.count("*").alias("n"))
+    return Grid(table(spark, sf_dir, "customer").count(), 2, 2, 3, 2, 5).cells(spark).where("pos >= 0").groupBy("batch").agg(F.count("*").alias("n"))
 
 
 # Going on after a stop
@@ -421,11 +425,11 @@ def z9(spark, sf_dir):
     return shuffle_quality(order, "pos", "sample_id", "shard_id")
 
 
-@query("z5_uniform_index", "select i as shard_id, case when i = 13 then 37 else 100 end as n, i * 100 as begin from (select unnest(range(14)) as i)")
+@query("z5_uniform_index", "with n as (select count(*) as n from orders) select i as shard_id, least(130, n - i * 130) as n, i * 130 as begin from n, (select unnest(range((select (n + 129) // 130 from n))) as i)")
 def z5(spark, sf_dir):
     from epochweave.operators.analysis import uniform_index
 
-    return uniform_index(spark, 1337, 100)
+    return uniform_index(spark, table(spark, sf_dir, "orders").count(), 130)
 
 
 @query(

@@ -261,10 +261,10 @@ def t6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(tokens, lambda t: t != "\x00")).cast("long").alias("filled"), F.size(F.filter(tokens, lambda t: t == "\x00")).cast("long").alias("padding"))
 
 
-@query("t8_input_ranges", "select i as cpu, i * 1003 // 16 as first, (i + 1) * 1003 // 16 as stop from (select unnest(range(16)) as i)")
+@query("t8_input_ranges", "select i as cpu, i * n // 16 as first, (i + 1) * n // 16 as stop from (select unnest(range(16)) as i), (select count(*) as n from documents)")
 def t8(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(16).select(i.alias("cpu"), F.floor(i * 1003 / 16).alias("first"), F.floor((i + 1) * 1003 / 16).alias("stop"))
+    i, n = F.col("id"), table(spark, sf_dir, "documents").count()
+    return spark.range(16).select(i.alias("cpu"), F.floor(i * n / 16).alias("first"), F.floor((i + 1) * n / 16).alias("stop"))
 
 
 @query("t9_rows_per_file", "select 'documents' as file, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'total', (select count(*) from documents) + (select count(*) from pages)")
