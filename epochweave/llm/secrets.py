@@ -123,7 +123,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     its candidates, and the marks cut it into pieces; a candidate looks at the pieces beside it alone, and at sums of lengths by
     blocks, so that many candidates in one text don't cost its length each.
     """
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02", "  ")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "  ")).otherwise(text)  # few texts have these
     # the first piece comes before all candidates, any other is a candidate, its end mark and what follows
     pieces = F.split(F.regexp_replace(text, CANDIDATE, "\x01$0\x02"), "\x01", -1)
     total = lambda of, first, n: F.aggregate(F.slice(of, first, n), F.lit(0).cast("long"), lambda s, x: s + x)
