@@ -54,32 +54,24 @@ class Part(InputPartition):
 
 
 class EpochFeedReader(DataSourceStreamReader):
-    """Rows of epoch after epoch in the order of their shards, a partition for each shard of a batch.
+    """Rows of epoch after epoch in the order of their shards, a partition for each shard and epoch.
 
-    The offset is {epoch, sample_in_epoch}, so a restart goes on exactly there.
+    The offset is {epoch, sample_in_epoch}. What is there to be read ends with the last of the epochs asked for: a query that is started
+    again goes on from its checkpoint, with nothing or with the epochs that are asked for beyond those.
     """
 
     def __init__(self, options: dict) -> None:
-        self.folder, self.step = options["path"], int(options.get("samples_per_batch", "1000"))
+        self.folder, self.epochs = options["path"], int(options.get("epochs", "1"))
         self.shards = read_index(self.folder)
         self.total = sum(s["samples"] for s in self.shards)
-        self.epochs = int(options.get("epochs", "1"))
-        self.at: dict | None = None
 
     def initialOffset(self) -> dict:
         return {"epoch": 0, "sample_in_epoch": 0}
 
     def latestOffset(self) -> dict:
-        """A step further at each call, until the epochs are over."""
-        now = self.at or self.initialOffset()
-        if now["epoch"] < self.epochs:
-            stop = now["sample_in_epoch"] + self.step
-            now = {"epoch": now["epoch"], "sample_in_epoch": stop} if stop < self.total else {"epoch": now["epoch"] + 1, "sample_in_epoch": 0}
-        self.at = now
-        return now
+        return {"epoch": self.epochs, "sample_in_epoch": 0}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        self.at = self.at or end
         out = []
         for epoch in range(start["epoch"], end["epoch"] + 1):
             low = start["sample_in_epoch"] if epoch == start["epoch"] else 0
@@ -105,7 +97,7 @@ def _text(value) -> str:
 
 
 class EpochFeed(DataSource):
-    """Format "epoch_feed": options path, samples_per_batch, epochs. Rows are JSON objects; bytes are hex digits."""
+    """Format "epoch_feed": options path, epochs. Rows are JSON objects; bytes are hex digits."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,9 +110,9 @@ class EpochFeed(DataSource):
         return EpochFeedReader(self.options)
 
 
-def epoch_feed(spark: SparkSession, folder: str, samples_per_batch: int = 1000, epochs: int = 1) -> DataFrame:
+def epoch_feed(spark: SparkSession, folder: str, epochs: int = 1) -> DataFrame:
     spark.dataSource.register(EpochFeed)
-    return spark.readStream.format("epoch_feed").option("samples_per_batch", samples_per_batch).option("epochs", epochs).load(qualified(spark, folder))
+    return spark.readStream.format("epoch_feed").option("epochs", epochs).load(qualified(spark, folder))
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType | str, checkpoint: str, sink: Callable[[DataFrame, int], None], kind: str = "parquet"):

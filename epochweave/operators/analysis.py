@@ -64,10 +64,3 @@ def simulation_stats(steps: DataFrame, order: str, wait: str, slow_over: float,
     return rows.agg(
         F.sum(slow.cast("long")).alias("slow_steps"), F.first("_warm").alias("warmup_steps"), F.sum(F.when(~after, F.col(wait))).alias("warmup_wait"), F.sum((slow & after).cast("long")).alias("later_drops"),
     )
-
-
-def series_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: 1 less the mean relative difference of two series, rows without a number left out."""
-    x, y = F.col(a), F.col(b)
-    relative = F.abs(x - y) / F.greatest(x, y)
-    return pairs.where(~F.isnan(relative)).agg((1 - F.avg(relative)).alias("similarity"))

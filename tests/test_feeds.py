@@ -13,15 +13,17 @@ EVENTS = "/root/testdata/sf0.001/events.parquet"
 def test_feed_gives_each_sample_once_an_epoch(spark, tmp_path):
     folder = f"file://{tmp_path}/shards"
     write_shards(spark.range(25).withColumnRenamed("id", "n").coalesce(1), folder, size_limit="1kb")
-    query = epoch_feed(spark, folder, samples_per_batch=10, epochs=2).writeStream.format("memory").queryName("feed").option("checkpointLocation", f"{tmp_path}/c").start()
-    query.processAllAvailable()
-    for _ in range(60):
-        if spark.table("feed").count() >= 50:
-            break
-        query.processAllAvailable()
-    query.stop()
-    rows = spark.table("feed").collect()
-    assert sorted((r.epoch, r.sample_id) for r in rows) == [(e, i) for e in range(2) for i in range(25)]
+    seen = []
+    take = lambda df, _: seen.append(sorted((r.epoch, r.sample_id, r.row) for r in df.collect()))
+
+    def run(epochs):
+        epoch_feed(spark, folder, epochs).writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+
+    run(2)
+    run(2)  # again, with nothing new
+    run(3)
+    rows = [r for batch in seen for r in batch]
+    assert [r[:2] for r in rows] == [(e, i) for e in range(3) for i in range(25)] and rows[3][2] == '{"n": 3}'
 
 
 def test_an_epoch_is_read_in_order_and_gone_on_with(spark):
