@@ -111,7 +111,7 @@ def near(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], sides: np.ndarra
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, some = [c.split()[0] for c in SETS.split(", ")], np.zeros(1 << SLOTS, np.uint32), False
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             sets = shingle_sets(batch.column(1), n_words)
             signs = [signature(s) for s in sets]
             np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
@@ -147,7 +147,7 @@ def column_counts(sets: DataFrame) -> np.ndarray:
 
 def _entries(n_words: int, percent: int, counts: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             known = {}  # equal sets of a batch once
             for s in shingle_sets(batch.column(1), n_words):
                 if len(s):
