@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from epochweave.llm.chat import format_chats, read_chats
 from epochweave.llm.cover_tree import embedding_near_dedup
 from epochweave.llm.decontaminate import contaminated_passages
+from epochweave.llm.lexical import ranked_search
 from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.ngram_join import ngram_jaccard_join
 from epochweave.llm.packing import best_fit_packing
 from epochweave.llm.quality import classify_quality
 from epochweave.llm.secrets import secret_scan
 from epochweave.llm.shared import table, written
+from epochweave.llm.spelling import spelling_variants
 from epochweave.llm.token_counts import document_token_counts
+from epochweave.llm.url_filter import judged_urls
 from epochweave.llm.warc import page_records, read_warc, write_warc
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -65,7 +68,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(written(format_chats(chats, VOCABULARY), "windows"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op9_secret_scan, op10_chat_formatting)}
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_embedding_near_dedup, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_warc, op8_line_dedup, op9_secret_scan, op10_chat_formatting, op11_ranked_lexical_search, op12_spelling_variant_grouping, op13_url_filters)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -128,4 +143,54 @@ ORACLE_SQL: dict[str, str] = {
         union all
         select doc_id, 0, 0, null from documents where text is null
     """,
+    "op11_ranked_lexical_search": r"""
+        with terms as (
+            select doc_id, row_number() over () as row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents
+        ), counted as (select row, doc_id, term, count(*) as tf from (select row, doc_id, unnest(t) as term from terms) group by all),
+        totals as (select count(*) as docs, sum(len(t)) as long from terms where len(t) > 0),
+        weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from counted, totals group by term, docs),
+        sizes as (select row, 75 + (25 * len(t) * docs) // long as m from terms, totals where len(t) > 0),
+        wanted as (
+            select item_id, term, count(*) as times from (
+                select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where item_id is not null
+            ) group by all
+        ), scored as (
+            select item_id, doc_id, row, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+            from wanted join counted using (term) join weights using (term) join sizes using (row) group by all
+        )
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last, row) as integer) as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 20
+    """,
+    "op12_spelling_variant_grouping": r"""
+        with recursive runs as (
+            select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as times
+            from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) where length(run) >= 6 group by all
+        ), bytes as (
+            select doc_id, run, times, list_transform(range(1, 2 * strlen(doc_id || ':' || run) + 1), lambda i: cast('0x' || substr(hex(encode(doc_id || ':' || run)), cast(i - 1 + 2 * (i % 2) as bigint), 1) as bigint)) as nibbles from runs
+        ), hashed as (
+            select doc_id, run, times, xor(4294967295, list_reduce(list_prepend(4294967295, nibbles), lambda c, x: xor(c >> 4,
+                [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][cast(1 + (xor(c, x) & 15) as bigint)]))) as h
+            from bytes
+        ), words as (
+            select word, cast(sum(times) as bigint) as n
+            from (select times, case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from hashed)
+            where length(word) >= 6 group by word having sum(times) >= 5
+        ), cut as (
+            select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+        ), near as (
+            select a.word, b.word as other, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+            union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+            union select b.word, a.word, a.n from cut a join words b on a.rest = b.word
+        ), best as (
+            select word, count(*) as n_near, max(n) as form_n, min(other) filter (n = top) as form
+            from (select *, max(n) over (partition by word) as top from near) group by word
+        ), forms as (
+            select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end as form_n
+            from words w left join best using (word)
+        ), follow as (
+            select word, word as reached, 0 as steps from forms
+            union all select f.word, g.form, steps + 1 from follow f join forms g on f.reached = g.word where g.form is not null
+        )
+        select word, form, (select max_by(reached, steps) from follow where follow.word = forms.word) as root, n, n_near, form_n from forms
+    """,
 }

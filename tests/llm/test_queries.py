@@ -28,7 +28,7 @@ def test_query_gives_what_its_sql_gives(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= entry.queries().keys()
 
 
