@@ -4,20 +4,21 @@ A word of n characters has n + Q - 1 q-grams, with ends marked. One edit touches
 at least max(n, m) - 1, each at places that differ by one at most. Ranked from the rarest q-gram of the vocabulary to the commonest,
 such words share at least k of their first Q + k: words meet by each choice of k = 2 of these. Where many words meet at one key, these
 words meet again by k = 3, 4, 5, so that no task holds a group that grows with the vocabulary; what still is too many then is cut into
-parts, and each two parts meet. A block of words that meet gets an inverted index of all its q-grams; the postings of a word's q-grams,
-within the limits of length and place, are merged by a heap and counted. Pairs that reach the bound are verified character by
-character.
+parts, and each two parts meet. A block of words that meet gets an inverted index of all its q-grams; postings within the limits of
+length and place are merged and counted (by sorting whole blocks of them in NumPy, which is what a heap does one by one). Pairs that
+reach the bound are verified character by character.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Codes of characters: the marked end, a to z, À to ÿ. This bounds the number of q-grams.
 ALPHABET = 1 + 26 + 64
 #: Words that meet at one key in one block, and the choices of q-grams by which they meet.
-MOST, LEVELS = 1024, (2, 3, 4, 5)
+MOST, LEVELS = 256, (2, 3, 4, 5)
+#: Rows of blocks that are merged at once, and characters compared at once.
+TOGETHER, CELLS = 2048, 1 << 20
 PAIR = "a string, b string"
 
 
@@ -49,40 +52,60 @@ def vocabulary(docs: DataFrame, one_in: int = 199, min_chars: int = 6, min_count
     return words.where(F.length("word") >= min_chars).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
-def _codes(word: str) -> np.ndarray:
-    """Numbers of its q-grams, in order of place."""
-    x = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
-    x = np.where(x < 128, x - 96, x - 0xC0 + 27)
-    x = np.concatenate([np.zeros(Q - 1, np.int64), x, np.zeros(Q - 1, np.int64)])
-    return (x[:-2] * ALPHABET + x[1:-1]) * ALPHABET + x[2:]
+@dataclass
+class Grams:
+    """Of some words: chars (codes, words one after the other, with Q - 1 ends before and after each), first (where each begins), size (characters), and of every q-gram its word, place and number."""
+
+    chars: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    word: np.ndarray
+    place: np.ndarray
+    code: np.ndarray
+
+
+def grams(words: pa.Array) -> Grams:
+    x = np.frombuffer("".join(words.to_pylist()).encode("latin-1"), np.uint8).astype(np.int64)
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(size + 2 * (Q - 1)) - size - 2 * (Q - 1)
+    chars = np.zeros(int((size + 2 * (Q - 1)).sum()), np.int64)
+    own = np.repeat(first + Q - 1 - np.cumsum(size) + size, size) + np.arange(len(x))
+    chars[own] = np.where(x < 128, x - 96, x - 0xC0 + 27)
+    n = size + Q - 1
+    word = np.repeat(np.arange(len(size)), n)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at, code = first[word] + place, np.zeros(len(word), np.int64)
+    for i in range(Q):
+        code = code * ALPHABET + chars[at + i]
+    return Grams(chars, first, size, word, place, code)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of a task's words have each q-gram: ALPHABET ** Q numbers at most."""
     n = np.zeros(ALPHABET**Q, np.int64)
     for batch in batches:
-        for word in batch.column(0).to_pylist():
-            n[np.unique(_codes(word))] += 1
+        of = grams(batch.column(0))
+        n += np.bincount(np.unique(of.word * ALPHABET**Q + of.code) % ALPHABET**Q, minlength=ALPHABET**Q)
     some = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["gram", "n"])
 
 
 def _keyed(rank, k: int):
-    """A row (key, word) for each choice of k among the first Q + k q-grams of a word, by rank."""
+    """A row (key, word) for each choice of k among the first Q + k q-grams of a word, by rank. Words have that many, being of six characters at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, words = [], []
-            for word in batch.column(0).to_pylist():
-                codes = _codes(word)
-                first = codes[np.lexsort([codes, rank.value[codes]])[: Q + k]].astype(np.uint64)
-                own = np.zeros(math.comb(len(first), k), np.uint64)
-                for column in np.array(list(combinations(range(len(first)), k))).T:
-                    own = mix(own * np.uint64(0x9E3779B97F4A7C15) + first[column] + np.uint64(1))
-                own = np.unique(own)
-                keys.append(own)
-                words += [word] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys)) if keys else [], pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+            of = grams(batch.column(0))
+            order = np.lexsort([of.code, rank.value[of.code], of.word])
+            begins = np.cumsum(of.size + Q - 1) - of.size - Q + 1
+            first = of.code[order][begins[:, None] + np.arange(Q + k)].astype(np.uint64)
+            keys = np.zeros((len(begins), math.comb(Q + k, k)), np.uint64)
+            for column in np.array(list(combinations(range(Q + k), k))).T:
+                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + first[:, column] + np.uint64(1))
+            keys.sort(axis=1)
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[new])), batch.column(0).take(pa.array(np.nonzero(new)[0]))], ["key", "word"])
 
     return run
 
@@ -97,33 +120,74 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def near_pairs(words: list[str], part: list[int] | None = None) -> Iterator[tuple[str, str]]:
-    """Pairs of distinct words one edit apart, the smaller first, by merging postings. part: only pairs of different parts, if given."""
-    index: dict[int, list[tuple[int, int]]] = {}
-    codes = [_codes(w).tolist() for w in words]
-    size = [len(w) for w in words]
-    for i, own in enumerate(codes):
-        # the word's postings come before its own are added: each pair is met once
-        lists = [[(j, at) for j, at in index.get(gram, ()) if abs(at - place) <= 1 and abs(size[j] - size[i]) <= 1] for place, gram in enumerate(own)]
-        last, n = -1, 0
-        for j, _ in [*heapq.merge(*filter(None, lists)), (-1, 0)]:
-            if j == last:
-                n += 1
-                continue
-            if last >= 0 and n >= max(size[i], size[last]) - 1 and (part is None or part[i] != part[last]) and one_edit(words[i], words[last]):
-                yield min(words[i], words[last]), max(words[i], words[last])
-            last, n = j, 1
-        for place, gram in enumerate(own):
-            index.setdefault(gram, []).append((i, place))
+def _verified(of: Grams, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of words, a no longer than b, which are one edit apart: what follows the first difference must agree."""
+    out = np.zeros(len(a), bool)
+    scale = np.ceil(np.log2(of.size[b])).astype(np.int64)  # words of about one length together, so that few long ones don't widen all
+    for k in np.unique(scale).tolist():
+        every, step = np.flatnonzero(scale == k), max(1, CELLS >> k)
+        for at in range(0, len(every), step):
+            some = every[at : at + step]
+            x, y = a[some], b[some]
+            width = int(of.size[y].max()) + 1  # an end mark behind each
+            low = of.chars.take(of.first[x][:, None] + Q - 1 + np.arange(width), mode="clip")
+            high = of.chars.take(of.first[y][:, None] + Q - 1 + np.arange(width), mode="clip")
+            place, inside = np.arange(width), np.arange(width) < of.size[x][:, None]
+            unequal = (low != high) & inside
+            before = np.where(unequal.any(axis=1), unequal.argmax(axis=1), of.size[x])
+            moved = (low[:, :-1] != high[:, 1:]) & inside[:, :-1] & (place[:-1] >= before[:, None])
+            out[some] = np.where(of.size[x] == of.size[y], unequal.sum(axis=1) == 1, ~moved.any(axis=1))
+    return out
+
+
+def near_pairs(words: pa.Array, block: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of words (their places) of one block that are one edit apart. part: in a block of several, only pairs of different parts.
+
+    The blocks' inverted index is the q-grams in order of block, number and place: a posting meets those behind it up to the next place,
+    as far as lengths allow. All that meet are merged in order of their pair, and counted.
+    """
+    of = grams(words)
+    span = int(of.size.max(initial=0)) + Q + 2
+    number = np.cumsum(np.diff(block, prepend=block[:1]) != 0)
+    sort = (number[of.word] * ALPHABET**Q + of.code) * span + of.place
+    order = np.argsort(sort, kind="stable")
+    sort, word = sort[order], of.word[order]
+    behind = np.searchsorted(sort, sort + 1, "right") - np.arange(len(sort)) - 1
+    low, high = np.repeat(word, behind), word[np.repeat(np.arange(len(sort)) + 1 - np.cumsum(behind) + behind, behind) + np.arange(int(behind.sum()))]
+    keep = (np.abs(of.size[low] - of.size[high]) <= 1) & (low != high)
+    if part is not None and len(part):
+        begins = np.flatnonzero(np.diff(number, prepend=-1))
+        mixed = np.minimum.reduceat(part, begins) < np.maximum.reduceat(part, begins)
+        keep &= ~mixed[number[low]] | (part[low] != part[high])
+    low, high = low[keep], high[keep]
+    pair, count = np.unique(np.minimum(low, high) * len(words) + np.maximum(low, high), return_counts=True)
+    low, high = pair // max(len(words), 1), pair % max(len(words), 1)
+    enough = count >= np.maximum(of.size[low], of.size[high]) - 1
+    low, high = low[enough], high[enough]
+    swap = of.size[low] > of.size[high]
+    low, high = np.where(swap, high, low), np.where(swap, low, high)
+    near = _verified(of, low, high)
+    return low[near], high[near]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, word, part, by key: the pairs of each key's words, about TOGETHER rows at once."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        words, part = rows.column("word").combine_chunks(), rows.column("part").to_numpy()
+        low, high = (words.take(pa.array(x)) for x in near_pairs(words, rows.column("key").to_numpy(), part if part.any() else None))
+        first = pc.less(low, high)
+        return pa.RecordBatch.from_arrays([pc.if_else(first, low, high), pc.if_else(first, high, low)], ["a", "b"])
+
+    held, n = [], 0
     for _, rows in grouped(batches):
-        if rows.num_rows > 1:
-            parts = rows.column("part").to_pylist()
-            found = list(near_pairs(rows.column("word").to_pylist(), parts if len(set(parts)) > 1 else None))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], ["a", "b"])
+        if n + rows.num_rows > TOGETHER and held:
+            yield pairs(pa.concat_tables(held))
+            held, n = [], 0
+        held.append(rows)
+        n += rows.num_rows
+    if held:
+        yield pairs(pa.concat_tables(held))
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:

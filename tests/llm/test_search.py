@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from epochweave.llm.lexical import build_index, item_terms, queries_of, ranked_search, search
@@ -122,7 +123,10 @@ def test_near_words_against_all_pairs(spark):
     words |= {f"common{a}{b}" for a in "abcdefghij" for b in "abcdefghij"}  # many that share most of their q-grams
     words = sorted(words)
     want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if one_edit(a, b)}
-    assert set(near_pairs(words)) == want and len(want) > 900
+    column = pa.array(words)
+    assert {(words[min(a, b)], words[max(a, b)]) for a, b in zip(*near_pairs(column, np.zeros(len(words), np.int64)), strict=True)} == want and len(want) > 900
+    block = np.arange(len(words)) // 50
+    assert {(min(a, b), max(a, b)) for a, b in zip(*map(np.ndarray.tolist, near_pairs(column, block)), strict=True)} == {(a, b) for a in range(len(words)) for b in range(a + 1, len(words)) if a // 50 == b // 50 and one_edit(words[a], words[b])}
     frame = spark.createDataFrame([(w,) for w in words], "word string")
     for most in (1024, 16, 2):  # small blocks go on to more q-grams, and to parts
         assert {tuple(r) for r in pairs_one_edit_apart(frame, most).collect()} == want
