@@ -1,4 +1,4 @@
-"""Feeds: an epoch's rows in order, shards as an unbounded stream, files taken in once each, and windows of event time."""
+"""Feeds: an epoch's rows in order, shards as an unbounded stream, and files taken in once each."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from epochweave.places import qualified
 from epochweave.plans.epoch import Planner, Resume
-from epochweave.sources.shards import load_shard, read_index, shard_columns, type_of
+from epochweave.sources.index import read_index
+from epochweave.sources.shards import load_shard, shard_columns, type_of
 
 
 class EpochReader:
@@ -121,24 +122,3 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType | str, checkpo
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
-
-
-def _timed(events: DataFrame, late: str) -> DataFrame:
-    """With a watermark; times without a zone count as the session's."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-
-
-def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Counts by window of event time and type; events later than `late` are left out when they come as a stream."""
-    window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return _timed(events, late).groupBy(window.alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
-def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
-    """Each user's sessions: runs of events with no pause longer than the gap."""
-    return _timed(events, late).groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count("*").alias("n"))
-
-
-def without_repeats(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The first of events with one id within the watermark."""
-    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])

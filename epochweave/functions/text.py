@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
 #: The ranges of ideographs that are each a token.
@@ -24,45 +27,124 @@ def apart(c: Column) -> Column:
     return F.regexp_replace(c, f"({IDEOGRAPHS})", " $1 ")
 
 
-@F.arrow_udf(T.StringType())
-def without_accents(text: pa.Array) -> pa.Array:
-    """Decomposed, without combining marks."""
-    return pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in text.to_pylist()], pa.string())
+@lru_cache(maxsize=1)
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """From Python's own tables: characters with one character left without marks, and these; marks, which go, come last. Then those with several left."""
+    one, several, gone = {}, {}, []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]):
+        left = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if not left:
+            gone.append(c)
+        elif len(left) > 1:
+            several[c] = left
+        elif left != c:
+            one[c] = left
+    return "".join(one) + "".join(gone), "".join(one.values()), several
+
+
+def without_accents(c: Column) -> Column:
+    """Decomposed, without combining marks: characters that leave one character are translated; texts with such as leave more (syllables in blocks, mostly) go character by character."""
+    find, put, several = _decomposed()
+    blocks = [x for x in several if "\uac00" <= x <= "\ud7a3"]
+    rest = {k: v for k, v in several.items() if k not in set(blocks)}
+    short = [x for x in blocks if len(several[x]) == 2]
+    order = "".join([x for x in blocks if len(several[x]) == 3] + short)  # without a third part they come last, and have nothing to be put in their place
+    part = lambda x, i: F.translate(x, order, "".join(several[k][i] for k in order if len(several[k]) > i))
+    others = F.create_map(*[F.lit(x) for kv in rest.items() for x in kv])
+    odd = f"[\uac00-\ud7a3{''.join(rest)}]"
+    one = lambda x: F.when(x.between("\uac00", "\ud7a3"), F.concat(part(x, 0), part(x, 1), part(x, 2))).otherwise(F.coalesce(F.element_at(others, x), x))
+    wide = F.when(c.rlike(odd), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(wide, find, put)).otherwise(c)
 
 
 def basic_tokens(c: Column, accents: bool = True, keep: list[str] | None = None) -> Column:
-    """Cleaned, lower-cased words, with each punctuation mark a token. accents: keep them (else they go, which needs Python). keep: words that stay as they are."""
+    """Cleaned, lower-cased words, with each punctuation mark a token. accents: keep them. keep: words that stay as they are."""
     words = apart(clean(c))
-    low = F.lower(words)
-    low = low if accents else without_accents(low)
+    plain = lambda x: F.lower(x) if accents else without_accents(F.lower(x))
     of = lambda x: F.filter(F.split(F.regexp_replace(x, f"({PUNCTUATION})", " $1 "), " +"), lambda t: t != "")
     if not keep:
-        return of(low)
+        return of(plain(words))
     kept = F.array(*map(F.lit, keep))
-    if not accents:
-        raise ValueError("words can be kept only where accents are")
-    return F.flatten(F.transform(F.filter(F.split(words, " +"), lambda t: t != ""), lambda t: F.when(F.array_contains(kept, t), F.array(t)).otherwise(of(F.lower(t)))))
+    return F.flatten(F.transform(F.filter(F.split(words, " +"), lambda t: t != ""), lambda t: F.when(F.array_contains(kept, t), F.array(t)).otherwise(of(plain(t)))))
 
 
-def wordpieces(tokens: Column, vocabulary: set[str], unknown: str = "[UNK]", most: int = 200) -> Column:
+class Pieces:
+    """A vocabulary as two trees of characters (beginnings of words, and what may follow), for cutting words into longest pieces in one pass.
+
+    Where a node's characters can't go on, the pieces that the longest-first rule cuts off them are known beforehand (`cut`), and what is
+    left of them is another node (`back`), so that no character is looked at twice.
+    """
+
+    def __init__(self, vocabulary: Iterable[str], mark: str = "##") -> None:
+        self.next: list[dict[str, int]] = [{}, {}]
+        ends: dict[int, str] = {}
+        for piece in vocabulary:
+            for root, text in [(0, piece)] + [(1, piece[len(mark) :])] * piece.startswith(mark):
+                node = root
+                for c in text:
+                    if c not in self.next[node]:
+                        self.next[node][c] = len(self.next)
+                        self.next.append({})
+                    node = self.next[node][c]
+                if node > 1:
+                    ends[node] = piece
+        self.cut: list[list[str]] = [[] for _ in self.next]
+        self.back: list[int | None] = [None] * len(self.next)
+        level = [0, 1]
+        while level:
+            below = []
+            for node in level:
+                for c, child in self.next[node].items():
+                    below.append(child)
+                    if child in ends:
+                        self.cut[child], self.back[child] = [ends[child]], 1
+                        continue
+                    cut, at = list(self.cut[node]), self.back[node]
+                    while at is not None and c not in self.next[at]:
+                        cut, at = cut + self.cut[at], self.back[at]
+                    if at is not None:
+                        self.cut[child], self.back[child] = cut, self.next[at][c]
+            level = below
+
+    def split(self, word: str) -> list[str] | None:
+        """The pieces, or None if it can't be cut."""
+        out, node = [], 0
+        for c in word:
+            while c not in self.next[node]:
+                out += self.cut[node]
+                if (node := self.back[node]) is None:
+                    return None
+            node = self.next[node][c]
+        while node != 1:
+            out += self.cut[node]
+            if (node := self.back[node]) is None:
+                return None
+        return out
+
+
+def wordpieces(tokens: Column, vocabulary: Iterable[str], unknown: str = "[UNK]", most: int = 200) -> Column:
     """Each token as the longest pieces of the vocabulary, later ones behind ##; unknown if it can't be or is too long.
 
-    The vocabulary goes to every task with the function; it is bounded like any tokenizer's.
+    The vocabulary goes to every task with the function; it is bounded like any tokenizer's. A batch's distinct tokens are cut once each.
     """
+    vocabulary = tuple(vocabulary)
 
     @F.arrow_udf("array<string>")
-    def run(column: pa.Array) -> pa.Array:
-        def split(token: str) -> list[str]:
-            out, at = [], 0
-            while at < len(token) <= most:
-                end = next((e for e in range(len(token), at, -1) if ("##" if at else "") + token[at:e] in vocabulary), None)
-                if end is None:
-                    return [unknown]
-                out.append(("##" if at else "") + token[at:end])
-                at = end
-            return out or [unknown]
-
-        return pa.array([None if row is None else [p for t in row for p in split(t)] for row in column.to_pylist()], pa.list_(pa.string()))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = Pieces(vocabulary)
+        for column in columns:
+            of = column.flatten().dictionary_encode()  # what null rows hide isn't in it
+            cut = [(pieces.split(w) if 0 < len(w) <= most else None) or [unknown] for w in of.dictionary.to_pylist()]
+            each = np.array([len(c) for c in cut], np.int64)
+            begins = np.concatenate([[0], np.cumsum(each)])
+            which = of.indices.to_numpy(zero_copy_only=False)
+            n = each[which] if len(cut) else np.zeros(0, np.int64)
+            total = np.concatenate([[0], np.cumsum(n)])
+            take = np.repeat(begins[which] - total[:-1], n) + np.arange(total[-1]) if len(cut) else np.zeros(0, np.int64)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            rows = total[np.concatenate([[0], np.cumsum(sizes)])]
+            values = pa.array([p for c in cut for p in c], pa.string()).take(pa.array(take))
+            yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values, mask=column.is_null())
 
     return run(tokens)
 

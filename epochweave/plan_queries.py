@@ -371,6 +371,17 @@ def r8(spark, sf_dir):
     return take_rows(_samples(spark, sf_dir), "sample_id", _IDS, table(spark, sf_dir, "documents").count()).select("pos", F.col("row_key").alias("doc_id"))
 
 
+_NESTED = [[5, [-1, 17]], [], 5, [[0], [[-20, 3]]]]
+
+
+@query("r8_nested_indexing", f"with {SAMPLES}, ids as (select unnest([5, -1, 17, 5, 0, -20, 3]) as given, unnest(['0,0', '0,1,0', '0,1,1', '2', '3,0,0', '3,1,0,0', '3,1,0,1']) as pos), total as (select count(*) as n from samples) select ids.pos, row_key as doc_id from ids, total, samples where sample_id = case when given < 0 then given + n else given end")
+def r8_nested(spark, sf_dir):
+    from epochweave.operators.lookup import take_nested
+
+    found = take_nested(_samples(spark, sf_dir), "sample_id", _NESTED, table(spark, sf_dir, "documents").count())
+    return found.select(F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"), F.col("row_key").alias("doc_id"))
+
+
 @query("r8_array_slice", f"with {SAMPLES} select (sample_id - 10) // 7 as pos, row_key as doc_id from samples where sample_id >= 10 and sample_id < 200 and (sample_id - 10) % 7 = 0")
 def r8_slice(spark, sf_dir):
     from epochweave.operators.lookup import slice_rows

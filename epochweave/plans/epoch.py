@@ -6,7 +6,7 @@ import json
 from copy import copy
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,9 +60,9 @@ def samples_of(rows: DataFrame, stream: str, row_key: str, shard_rows: int) -> D
 
 @dataclass
 class Planner:
-    """samples: as of samples_of(). weights: for each stream in order, or none. block_size: how far shuffling moves a row."""
+    """samples: as of samples_of(), or none, and shards: as of indexed_shards(). weights: for each stream in order, or none. block_size: how far shuffling moves a row."""
 
-    samples: DataFrame
+    samples: DataFrame | None
     weights: list[Weight] | None = None
     epoch_size: int | None = None
     world: World = field(default_factory=World)
@@ -75,6 +75,14 @@ class Planner:
     sampling: str = "balanced"
     batching: str = "random"
     partition: str = "relaxed"
+    shards: DataFrame | None = None
+
+    @staticmethod
+    def of_folders(spark: SparkSession, folders: dict[str, str], **more) -> Planner:
+        """Of folders of shards, each a stream, from their indexes alone: no row is read before gathered() takes it."""
+        from epochweave.operators.gather import indexed_shards
+
+        return Planner(None, shards=indexed_shards(spark, folders), **more)
 
     def __post_init__(self) -> None:
         if self.batching not in ("random", "stratified", "per_stream", "device_per_stream"):
@@ -86,7 +94,8 @@ class Planner:
         self.given_block = self.block_size is not None
         if self.block_size is None:
             self.block_size = _block(self.canonical)
-        self.shards = written(shards_of(self.samples), "shards")  # a row for each shard, which every plan begins with
+        if self.shards is None:
+            self.shards = written(shards_of(self.samples), "shards")  # a row for each shard, which every plan begins with
         sizes = self.shards.groupBy("stream_id").agg(F.sum("n").alias("n")).orderBy("stream_id").collect()  # a row for each stream
         self.sizes = [r.n for r in sizes]
         self.choose = choices(self.sizes, self.weights or [Weight()] * len(self.sizes), self.epoch_size, self.seed)
@@ -97,7 +106,8 @@ class Planner:
         """What is drawn, as whole shards and remainders of shards: see shuffle_units()."""
         own = 0 if self.sampling == "fixed" else epoch
         choose = F.element_at(F.array(*[F.lit(c).cast("long") for c in self.choose]), (F.col("stream_id") + 1).cast("int"))
-        chosen = draw_per_shard(self.shards, choose, self.granularity, self.seed, own) if self.partial else whole_shards(self.shards, choose)
+        shards = self.shards.select("stream_id", "shard_id", "n", "first_sample")
+        chosen = draw_per_shard(shards, choose, self.granularity, self.seed, own) if self.partial else whole_shards(shards, choose)
         return shuffle_units(chosen)
 
     def drawn(self, epoch: int) -> DataFrame:
@@ -135,7 +145,7 @@ class Planner:
             epoch, seen, initial = resume.epoch, resume.sample_in_epoch, resume.initial_physical_nodes
             self = self._at(resume)  # noqa: PLW0642
         initial = initial if self.partition == "relaxed" else None
-        units, spark, own = self.units(epoch), self.samples.sparkSession, 0 if self.sampling == "fixed" else epoch
+        units, spark, own = self.units(epoch), self.shards.sparkSession, 0 if self.sampling == "fixed" else epoch
         if self.batching == "random":
             if self.shuffle and not 1 <= self.canonical <= self.n:
                 raise ValueError("each canonical node must have a row")
@@ -163,3 +173,9 @@ class Planner:
         """The plan with the rows of the source; padding is left out."""
         plan = self.epoch(epoch, resume).where("sample_id >= 0").join(self.samples.select("sample_id", "row_key"), "sample_id")
         return plan.join(source, plan["row_key"] == source[row_key]).drop("row_key")
+
+    def gathered(self, epoch: int, columns: list[str] | None = None, resume: Resume | None = None, validate: str | None = None) -> DataFrame:
+        """The plan with the rows of its shards, of a planner made by of_folders(); padding is left out. Only rows of the plan are shuffled, not those of shards."""
+        from epochweave.operators.gather import gathered
+
+        return gathered(self.epoch(epoch, resume).where("sample_id >= 0"), self.shards, columns, validate)

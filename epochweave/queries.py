@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epochweave import plan_queries, storage_queries, text_queries  # noqa: F401  they register themselves
+from epochweave import plan_queries, storage_queries, stream_queries, text_queries  # noqa: F401  they register themselves
 from epochweave.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -162,7 +162,7 @@ def f8(spark, sf_dir):
 
 @query("f9_strip_accents", "select doc_id, md5(strip_accents(text)) as plain from documents")
 def f9(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.without_accents("text")).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.without_accents(F.col("text"))).alias("plain"))
 
 
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower(regexp_replace(regexp_replace(text, '[\\t\\n\\r\\p{Zs}]', ' ', 'g'), '[\\x{0}\\x{FFFD}\\p{Cc}\\p{Cf}]', '', 'g')), '([!-/:-@\\[-`{-~\\p{P}])', ' \\1 ', 'g'), ' +'), lambda t: t <> '')"
@@ -174,11 +174,24 @@ def f11(spark, sf_dir):
     return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|")).alias("tokens"))
 
 
+#: A public vocabulary of some 49,000 pieces of words.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def _vocabulary(path: str = VOCABULARY) -> list[str]:
+    """Its pieces of letters, as they begin and as they go on a word."""
+    import json
+
+    with open(path) as file:
+        pieces = {k.removesuffix("</w>") for k in json.load(file)["model"]["vocab"]}
+    return sorted(p + k for k in pieces if k for p in ("", "##"))
+
+
 @query("f12_wordpieces")
 def f12(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.basic_tokens(F.col("text"), accents=False).alias("t"))
-    vocabulary = {p + c for c in "abcdefghijklmnopqrstuvwxyz.,!" for p in ("", "##")} | {"the", "tion", "##tion", "th", "##th", "er", "##er", "##in", "in", "on", "##on"}
-    return docs.select("doc_id", X.wordpieces(F.col("t"), vocabulary).alias("p")).select("doc_id", F.size("p").alias("pieces"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
+    """Tests hold it against cutting piece by piece, longest first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.basic_tokens(F.col("text"), accents=False, keep=["[MASK]"]).alias("t"))
+    return docs.select("doc_id", X.wordpieces(F.col("t"), _vocabulary()).alias("p")).select("doc_id", F.size("p").alias("pieces"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"), F.md5(F.array_join("p", " ")).alias("pieces_md5"))
 
 
 @query("f15_scatter_labels", "select o_orderkey, array_to_string(list_transform(range(8), lambda i: case when i = o_orderkey % 8 then 2 when i = o_orderkey % 5 then 1 else -100 end), ',') as labels from orders")
@@ -269,8 +282,11 @@ def t8(spark, sf_dir):
 
 @query("t9_rows_per_file", "select 'documents' as file, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'total', (select count(*) from documents) + (select count(*) from pages)")
 def t9(spark, sf_dir):
-    files = [table(spark, sf_dir, n).select(F.lit(n).alias("file")) for n in ("documents", "pages")]
-    return files[0].unionAll(files[1]).groupBy("file").agg(F.count("*").alias("n")).unionAll(files[0].unionAll(files[1]).select(F.lit("total").alias("file")).groupBy("file").agg(F.count("*").alias("n")))
+    """By the names of the files that were read."""
+    name = F.regexp_extract("_metadata.file_path", r"/(\w+)\.parquet(?:/[^/]*)?$", 1).alias("file")
+    files = table(spark, sf_dir, "documents").select(name).unionAll(table(spark, sf_dir, "pages").select(name))
+    counts = files.groupBy("file").agg(F.count("*").alias("n"))
+    return counts.unionAll(counts.agg(F.lit("total").alias("file"), F.sum("n").alias("n")))
 
 
 @query("c1_converted_rows", "select text, '2024-01-01T00:00:00Z' as timestamp, 'doc://' || source || '/' || doc_id as url from documents")

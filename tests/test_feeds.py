@@ -5,7 +5,8 @@ import pytest
 from epochweave.operators.convert import as_layout, images_with_boxes, write_converted
 from epochweave.sources.registry import build, retry, source
 from epochweave.sources.shards import read_shards, write_shards
-from epochweave.feeds.feed import EpochReader, epoch_feed, ingest, sessions, windowed_counts, without_repeats
+from epochweave.feeds.events import sessions, windowed_counts, without_repeats
+from epochweave.feeds.feed import EpochReader, epoch_feed, ingest
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -108,3 +109,29 @@ def test_layouts_and_transforms(spark):
     out = as_layout(rows, "captioned_image").first()
     assert out.nsfw == "" and out.width == 0 and out.height == 0 and out.similarity is None and bytes(out.jpg) == b"x"
     assert [r.x for r in transformed(spark.range(3).selectExpr("id as x"), "x long", x=lambda s: s * 2).collect()] == [0, 2, 4]
+
+
+def test_table_functions_are_bert_chunks(spark):
+    import random
+
+    from epochweave.functions.tables import register
+    from epochweave.operators.bert import chunks
+
+    docs = [(i, [[f"w{i}"] * (k % 5 + 1) for k in range(i * 3)]) for i in range(12)] + [(90, []), (91, None)]
+    register(spark)
+    frame = spark.createDataFrame(docs, "doc_id long, sentences array<array<string>>").repartition(3)
+    rows = spark.sql("select * from segment_chunks(table({docs}) partition by doc_id, 20, 7)", docs=frame).collect()
+    want = [(i, n, len(a), None if b is None else len(b), t) for i, s in docs for n, (a, b, t) in enumerate(chunks([x for x in s or [] if x], 20, 0.1, random.Random(f"7:{i}")))]
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr) and len(want) > 12
+
+
+def test_nested_ids(spark):
+    from epochweave.operators.lookup import nested, take_nested
+
+    rows = spark.range(10).selectExpr("id as at", "id * 10 as v")
+    for ids in ([[3, -1], [], [[0]], 3], [], range(2, 5), [range(3), [9]], 7):
+        found = [(r.pos, r.v) for r in take_nested(rows, "at", ids, 10).collect()]
+        plain = lambda x: (x + 10 if x < 0 else x) * 10 if isinstance(x, int) else [plain(y) for y in x]  # noqa: B023, E731
+        assert nested(found, ids) == plain(ids)
+    with pytest.raises(IndexError):
+        take_nested(rows, "at", [[10]], 10)

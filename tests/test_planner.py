@@ -95,7 +95,8 @@ def mixture(spark, **more):
     return Planner(samples_of(rows, "s", "k", 10), **({"batch_size": 6, "world": World(2, 2, 1), "canonical": 4, "shuffle": "py1e", "seed": 5, "block_size": 30} | more))
 
 
-@pytest.mark.parametrize(("batching", "nodes"), [("random", 2), ("random", 4), ("random", 3), ("stratified", 3), ("per_stream", 4), ("device_per_stream", 2), ("device_per_stream", 1)])
+@pytest.mark.parametrize("nodes", [1, 2, 3, 4])
+@pytest.mark.parametrize("batching", ["random", "stratified", "per_stream", "device_per_stream"])
 def test_what_was_seen_and_the_rest_are_the_epoch(spark, batching, nodes):
     first = mixture(spark, batching=batching)
     epoch = [r.sample_id for r in first.epoch(1).orderBy("order").collect()]
@@ -104,6 +105,10 @@ def test_what_was_seen_and_the_rest_are_the_epoch(spark, batching, nodes):
     # a planner that knows neither the canonical nodes nor the seed, on as many devices as make the same global batch
     world = World(nodes, 2, 1)
     then = mixture(spark, batching=batching, world=world, batch_size=24 // world.ranks, canonical=None, seed=0)
+    if batching == "device_per_stream" and nodes == 3:  # four canonical nodes can't be dealt to three
+        with pytest.raises(ValueError):
+            then.epoch(0, state)
+        return
     rest = [r.sample_id for r in then.epoch(0, state).orderBy("order").collect()]
     seen, wanted = epoch[:48], [x for x in epoch if x >= 0]
     assert -1 not in seen and len(wanted) == len(set(wanted))

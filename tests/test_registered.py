@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL."""
 
 import math
 from pathlib import Path
@@ -19,10 +19,6 @@ def plain(v):
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
-#: Deep plans whose parts other queries run too; the driver runs all.
-DEEP = {"e5_resume", "f18_difference_entropy", "h4_py2s_shuffle", "n3_adjacent_difference", "z6_cache_limit", "z9_shuffle_quality"}
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -31,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL.keys() - DEEP))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     cur = duck.execute(ORACLE_SQL[name])
     names = [c[0] for c in cur.description]

@@ -13,7 +13,8 @@ from epochweave.operators.simulate import Cache
 from epochweave.sources.codecs import ARRAY_TYPES, SCALARS, codec, encode
 from epochweave.sources.files import compress, decompress, digest, hashes
 from epochweave.sources.lines import read_by_index, write_json_lines, write_separated
-from epochweave.sources.shards import ShardWriter, encodings_of, load_shard, merge_groups, merge_index, read_index, read_shards, shard_columns, type_of, write_index, write_shards, zipped_indexes
+from epochweave.sources.index import merge_groups, merge_index, read_index, write_index, zipped_indexes
+from epochweave.sources.shards import ShardWriter, encodings_of, load_shard, read_shards, shard_columns, type_of, write_shards
 
 
 @pytest.mark.parametrize("shape", [(7,), (1, 2), (3, 1, 5), (70_000,), (2, 300), (1, 1, 1, 1, 9)])
