@@ -3,15 +3,15 @@
 A candidate is a run of 16 or more letters, digits and _ + / - with a digit or a known prefix, and = as padding at its end, or whatever is assigned to a
 name with a keyword, of any length and any signs, up to a space or quote. The forest looks at its length, changes between classes
 of characters, cover by dictionary words, the path (source) and the words beside it. It is trained from labelled findings, by default
-those that labelled_findings() makes by rule, and becomes SQL conditions, one for each tree.
+those that labelled_findings() makes by rule, and is fitted once for an application.
 """
 
 from __future__ import annotations
 
-import re
-
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +24,17 @@ KEYWORDS = "token|secret|passw|api[_-]?key|access[_-]?key|auth|credential|privat
 PREFIXES = "AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|glpat-"
 RUN = rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|{PREFIXES})[A-Za-z0-9_+/\-]{{16,}}+(?:={{1,2}}(?![\"']?[A-Za-z0-9_+/=\-]))?"
 ASSIGNED = rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=(?i:{KEYWORDS})[A-Za-z0-9_\-]{{0,24}}[\"']?\s{{0,3}}[=:]{{1,2}}\s{{0,3}}[\"']?)(?![=:])"
-#: Within quotes up to the closing one; else without the signs that end a clause, or the next parameter of a URL.
-VALUE = r"(?:[^\s\"'`]++(?=[\"'`])|(?:(?!&\w{1,40}=)[^\s\"'`])*(?<![,;.)\]}>])(?<=[^\s\"'`=:]={0,2}))"
+#: Up to a space or quote, or the next parameter of a URL. Nothing in it goes back, so that no text is too long or too odd to be searched.
+VALUE = r"(?:[^\s\"'`]++(?=[\"'`])|(?:[^\s\"'`&]++|&(?!\w{1,40}=))++)"
 CANDIDATE = f"{ASSIGNED}(?=[^\\s\"'`]){VALUE}|{RUN}"
+#: What a candidate doesn't end with, unless a quote follows: signs that end a clause, and more than two signs of equality.
+ENDS = ",;.)]}>:="
 HASHES = "commit|sha1|sha256|md5|checksum|digest|etag|revision|uuid|guid|build|order|card|invoice"
 
 
 #: How many pieces of a text on either side a candidate looks at, and how many pieces a block of lengths has.
 NEAR, NEARBY = 8, 256
+_fitted: dict[str, PipelineModel] = {}
 
 
 def _share(pattern: str) -> Column:
@@ -64,6 +67,11 @@ def features() -> dict[str, Column]:
     }
 
 
+def _columns() -> dict[str, Column]:
+    """The features under names that no other column has."""
+    return {f"_of_{k}": F.coalesce(c, F.lit(0.0)) for k, c in features().items()}
+
+
 def labelled_findings(spark: SparkSession, seed: int = 0, rows: int = 4000) -> DataFrame:
     """Columns candidate, before, after, path, label: made by rule from hashes, half of them secrets (1), half not (0)."""
     n = F.col("id")
@@ -97,23 +105,27 @@ def labelled_findings(spark: SparkSession, seed: int = 0, rows: int = 4000) -> D
     return spark.range(0, rows, 1, 1).select(F.when(n % 2 == 0, one(good)).otherwise(one(bad)).alias("f")).select("f.*")
 
 
-def forest(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 9) -> Column:
-    """The share of trees that call a candidate secret, as SQL conditions on the columns of features()."""
-    names = list(features())
-    rows = findings.select(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in features().items()], F.col("label").cast("double").alias("label"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="6").fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label"))
+def forest(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 9) -> PipelineModel:
+    """A model of the features' columns. findings: columns candidate, before, after, path, label; a bounded number of rows."""
+    assembler = VectorAssembler(inputCols=list(_columns()), outputCol="_features")
+    rows = findings.select(*[c.alias(k) for k, c in _columns().items()], F.col("label").cast("double").alias("label"))
+    fitted = RandomForestClassifier(featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="6").fit(assembler.transform(rows).select("_features", "label"))
+    return PipelineModel([assembler, fitted.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_probability")])
+
+
+def default_forest(spark: SparkSession) -> PipelineModel:
+    """That of labelled_findings(), fitted once for an application."""
+    known = spark.sparkContext.applicationId
+    if known not in _fitted:
+        _fitted.clear()
+        _fitted[known] = forest(labelled_findings(spark))
+    return _fitted[known]
 
-    def condition(lines: list[str]) -> str:
-        line = lines.pop(0)
-        if found := re.match(r"Predict: ([\d.]+)", line):
-            return found[1]
-        of, at = re.match(r"If \(feature (\d+) <= ([-\d.E]+)\)", line).groups()
-        yes = condition(lines)
-        lines.pop(0)
-        return f"if({names[int(of)]} <= {float(at)!r}d, {yes}d, {condition(lines)}d)".replace("dd", "d").replace(")d", ")")
 
-    votes = [condition([x.strip() for x in tree.toDebugString.splitlines()[1:]]) for tree in model.trees]
-    return sum((F.expr(v) for v in votes), F.lit(0.0)) / len(votes)
+def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows (columns candidate, before, after, path) with score, from 0 to 1: the mean over trees of the share of secrets where a candidate ends up."""
+    every = rows.select("*", *[c.alias(k) for k, c in _columns().items()])
+    return model.transform(every).select(*rows.columns, F.get(vector_to_array("_probability"), F.lit(1)).alias("score"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -134,16 +146,19 @@ def candidates(docs: DataFrame) -> DataFrame:
         block, first = F.floor(i / NEARBY).cast("int"), F.greatest(i - NEAR, F.lit(0))
         begin = total(sums, F.lit(1), block) + total(n, block * NEARBY + 1, i % NEARBY)
         parts = F.split(F.get(p, i), "\x02", 2)
+        core = F.length(F.rtrim(parts[0], F.lit(ENDS)))
+        whole = core + F.least(F.length(F.regexp_extract(F.substring(parts[0], core + 1, F.lit(3)), "^=*", 0)), F.lit(2))
+        size = F.when(parts[1].rlike("^[\"'`]"), F.length(parts[0])).otherwise(whole)
         before = F.right(some(p, first + 1, i - first, lambda x: F.right(x, F.lit(49))), F.lit(48))
-        after = F.left(F.concat(F.left(parts[1], F.lit(24)), some(p, i + 2, F.lit(NEAR), lambda x: F.left(x, F.lit(25)))), F.lit(24))
-        return F.struct(begin.alias("begin"), parts[0].alias("candidate"), before.alias("before"), after.alias("after"))
+        after = F.left(F.concat(F.left(F.concat(F.substring(parts[0], size + 1, F.lit(24)), parts[1]), F.lit(24)), some(p, i + 2, F.lit(NEAR), lambda x: F.left(x, F.lit(25)))), F.lit(24))
+        return F.struct(begin.alias("begin"), F.substring(parts[0], F.lit(1), size).alias("candidate"), before.alias("before"), after.alias("after"))
 
     lengths = lambda p: F.transform(p, lambda x: F.length(F.translate(x, "\x02", "")).cast("long"))
     sums_of = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / NEARBY).cast("int")), lambda b: total(n, b * NEARBY + 1, F.lit(NEARBY)))
     each = lambda p, n, sums: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: found(p, n, sums, i))
     every = once(pieces, lambda p: F.when(F.size(p) > 1, once(lengths(p), lambda n: once(sums_of(n), lambda sums: each(p, n, sums)))))
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.explode(every).alias("f"))
-    return of.select("doc_id", "f.*", "path")
+    return of.select("doc_id", "f.*", "path").where("candidate <> ''")  # nothing but signs was assigned
 
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
@@ -152,6 +167,5 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, least: float
     docs: columns doc_id, text, source (the path; null as empty). findings: labelled ones to train on, of bounded number, as from
     labelled_findings(). Null and empty texts have no candidates. Repeated rows are reported each, with null ids too.
     """
-    score = forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    seen = candidates(docs).select("doc_id", "begin", "candidate", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in features().items()])
-    return seen.select("doc_id", "begin", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), score.alias("score")).where(F.col("score") >= least)
+    model = default_forest(docs.sparkSession) if findings is None else forest(findings)
+    return scored(model, candidates(docs)).where(F.col("score") >= least).select("doc_id", "begin", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "score")

@@ -17,7 +17,7 @@ from epochweave.llm.line_dedup import line_dedup
 from epochweave.llm.packing import best_fit, best_fit_packing
 from epochweave.llm.quality import classify_quality
 from epochweave.llm.queries import END_OF_DOCUMENT, VOCABULARY
-from epochweave.llm.secrets import candidates, forest, features, labelled_findings, secret_scan
+from epochweave.llm.secrets import CANDIDATE, ENDS, candidates, default_forest, features, forest, labelled_findings, scored, secret_scan
 from epochweave.llm.shared import fresh_path
 from epochweave.llm.token_counts import count_tokens, document_token_counts
 from epochweave.llm.warc import page_records, read_warc, write_warc
@@ -54,7 +54,7 @@ def test_quality_of_odd_tables(spark):
 
 def test_line_dedup(spark):
     line, rare = "this line stands on very many sites", "this line stands on a few sites only"
-    rows = [(i, f"own {i} words that no other has\n{line}\nshort" + (f"\n{rare}" if i < 7 else ""), f"s{i}", 5) for i in range(12)]
+    rows = [(i, f"own {i} words that no other has\n{line}\nshort {i // 7}" + (f"\n{rare}" if i < 7 else ""), f"s{i}", 5) for i in range(12)]
     rows += [(100, None, "s1", 0), (101, "", None, 0), (None, line, "s3", 1), (5, rows[5][1], "s5", 5)]
     out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")).collect()
     assert len(out) == len(rows)
@@ -67,10 +67,10 @@ def test_line_dedup(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
-def test_line_dedup_of_short_lines_takes_more_sites(spark):
-    rows = [(i, f"Menu\nown {i}\n" + ("Les." if i < 31 else "x"), f"s{i}") for i in range(40)]
+def test_line_dedup_of_short_lines(spark):
+    rows = [(i, f"Menu\nown {i}\n" + ("Les." if i < 7 else "x"), f"s{i}") for i in range(40)]
     out = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert out[0].startswith("Menu\n") and not any("Menu" in t for i, t in out.items() if i) and all("Les." in out[i] for i in range(31))
+    assert out[0] == "Menu\nown 0\nLes." and all(out[i] == f"own {i}\n" + "Les." for i in range(1, 7)) and out[7] == "own 7\nx" and all(out[i] == f"own {i}" for i in range(8, 40))
 
 
 def test_line_dedup_whatever_columns_are_called(spark):
@@ -350,8 +350,7 @@ def test_windows_keep_within_their_budget():
 
 def test_forest_on_other_findings(spark):
     held = labelled_findings(spark, seed=5, rows=1000)
-    score = forest(labelled_findings(spark))
-    rows = held.select("label", *[c.alias(k) for k, c in features().items()]).select("label", score.alias("score")).collect()
+    rows = scored(default_forest(spark), held).collect()
     assert sum((r.score >= 0.5) == (r.label == 1) for r in rows) / len(rows) > 0.93
 
 
@@ -401,6 +400,58 @@ def test_candidates_stand_where_they_say(spark):
             assert text[ends[k] :].startswith(r.after) and (len(r.after) == min(24, len(text) - ends[k]) or k + 8 < len(rows))
 
 
+def plain_candidates(text):
+    """The stated rule, by one search after the other of a text without marks."""
+    import regex
+
+    pattern = CANDIDATE.replace("(?i:", "(?i:")
+    out = []
+    for m in regex.finditer(pattern, text):
+        value = m[0]
+        if text[m.end() : m.end() + 1] not in ("'", '"', "`") or not text[m.end() : m.end() + 1]:
+            core = value.rstrip(ENDS)
+            value = core + "=" * min(2, len(value[len(core) :]) - len(value[len(core) :].lstrip("=")))
+        out += [(m.start(), value)] if value else []
+    return out
+
+
+def test_candidates_are_those_of_a_plain_search(spark):
+    rng = random.Random(21)
+    bit = lambda: rng.choice(["token=", "password: ", '"api_key": "', "secret = '", "auth_x==", "é😀", "\n", "word ", "&x=1", "&", "=", "===", ")", "].", ";", "a1B2" * 5, "QmFz" * 5 + "==", "Tr0ub4!", '"', "'", "`", "ghp_" + "Ab" * 9, hashlib.sha1(str(rng.random()).encode()).hexdigest()])
+    texts = ["".join(bit() for _ in range(rng.randrange(1, 50))) for _ in range(300)]
+    rows = candidates(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.begin, r.candidate) for r in rows) == sorted((i, *c) for i, t in enumerate(texts) for c in plain_candidates(t))
+    assert all(r.candidate for r in rows) and len(rows) > 600
+
+
+def test_no_text_is_too_odd_to_be_searched(spark):
+    mixed = "a😀" * 20_000
+    texts = [f"password={mixed}", "token=" + ")" * 50_000, "secret=" + "&" * 50_000, "token=" + "=" * 50_000, "api_key=" + "&a" * 30_000, "auth: " + "é" * 100_000, "password" * 20_000 + "=", "private" + "=" * 3 + " " * 50_000, "x" * 300_000, "-/" * 100_000 + "1"]
+    rows = {r.doc_id: r for r in candidates(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()}
+    assert rows[0].candidate == mixed and rows[0].begin == 9 and 1 not in rows and rows[2].candidate == "&" * 50_000 and 3 not in rows and len(rows[4].candidate) == 60_000 and len(rows[5].candidate) == 100_000
+    assert secret_scan(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")).count() >= 0
+
+
+def test_scores_are_the_votes_of_the_trees(spark):
+    """Each tree walked by hand, from its printed form."""
+    held = labelled_findings(spark, seed=8, rows=200)
+    model = forest(labelled_findings(spark, rows=600), trees=5, depth=4)
+    names = list(features())
+    rows = held.select(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in features().items()]).collect()
+    got = [r.score for r in scored(model, held).collect()]
+
+    def leaf(node, row):
+        while node.subtreeDepth():
+            split = node.split()
+            node = node.leftChild() if row[names[split.featureIndex()]] <= split.threshold() else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        return stats[1] / sum(stats)
+
+    trees = [t._call_java("rootNode") for t in model.stages[1].trees]
+    for row, score in list(zip(rows, got, strict=True))[:60]:
+        assert abs(sum(leaf(t, row) for t in trees) / len(trees) - score) < 1e-9
+
+
 def test_many_candidates_in_one_text_take_seconds(spark):
     text = " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(50_000))
     began = time.time()
@@ -420,9 +471,7 @@ def test_forest_learns_from_findings_of_other_rules(spark):
     ])
     rows = [(*secret(), 1) if i % 2 else (*harmless(), 0) for i in range(1200)]
     frame = spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int").withColumn("n", F.monotonically_increasing_id())
-    score = forest(frame.where("n % 4 < 2").drop("n"))
-    held = frame.where("n % 4 >= 2").select("label", *[c.alias(k) for k, c in features().items()]).select("label", score.alias("score")).collect()
+    held = scored(forest(frame.where("n % 4 < 2").drop("n")), frame.where("n % 4 >= 2")).collect()
     assert sum((r.score >= 0.5) == (r.label == 1) for r in held) / len(held) > 0.95
-    default = forest(labelled_findings(spark))
-    every = frame.select("label", *[c.alias(k) for k, c in features().items()]).select("label", default.alias("score")).collect()
+    every = scored(default_forest(spark), frame).collect()
     assert sum((r.score >= 0.5) == (r.label == 1) for r in every) / len(every) > 0.8  # rules that it never saw
