@@ -132,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
             from documents where text is not null
         ), bad as (
             select trim(line) as words, min(struct_pack(doc_id := doc_id, pos := pos)) as first
-            from lines where trim(line) <> '' group by 1 having count(distinct site) >= case when length(trim(line)) < 20 then 32 else 8 end
+            from lines where trim(line) <> '' group by 1 having count(distinct site) >= 8
         ), marked as (
             select l.*, b.words is not null and not (b.first.doc_id = l.doc_id and b.first.pos = l.pos) as gone
             from lines l left join bad b on trim(l.line) = b.words

@@ -32,7 +32,7 @@ def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= entry.queries().keys()
 
 
-def plain_lines(docs, min_sites=8, min_chars=20):
+def plain_lines(docs, min_sites=8):
     """Every line's sites counted one by one."""
     sites, first = {}, {}
     for r in docs:
@@ -40,7 +40,7 @@ def plain_lines(docs, min_sites=8, min_chars=20):
             if key := line.strip(" "):
                 sites.setdefault(key, set()).add(r.source or "")
                 first[key] = min(first.get(key, (r.doc_id, at)), (r.doc_id, at))
-    bad = {k for k, of in sites.items() if len(of) >= (min_sites if len(k) >= min_chars else 4 * min_sites)}
+    bad = {k for k, of in sites.items() if len(of) >= min_sites}
     keep = lambda r, at, line: line.strip(" ") not in bad or first[line.strip(" ")] == (r.doc_id, at)
     return [None if r.text is None else r.text if r.doc_id is None else "\n".join(x for at, x in enumerate(r.text.split("\n")) if keep(r, at, x)) for r in docs]
 
