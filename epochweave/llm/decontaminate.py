@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epochweave.llm.shared import id_and_text
+from epochweave.llm.shared import id_and_text, written
 from epochweave.llm.words import Words, classes, lower_table, slices
 
 HITS = "array<struct<item_id:long,distance:int,item_chars:int,begin_word:long>>"
@@ -315,7 +315,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, share: float =
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
-    """The rows of docs that have no passage of any item."""
-    for items in item_blocks(benchmark):
+    """The rows of docs that have no passage of any item. What each block of items but the last leaves is written, so that a task holds one block's index at a time."""
+    for k, items in enumerate(item_blocks(benchmark)):
+        docs = written(docs, "clean") if k else docs
         docs = docs.where(F.size(passages(F.col("text").cast("string"), items, share)) == 0)
     return docs
