@@ -38,7 +38,7 @@ def _put(folder: str, name: str, value: object) -> None:
     fresh, path = posixpath.join(where, f".{name}.new"), posixpath.join(where, name)
     with files.open_output_stream(fresh, compression=None) as out:
         out.write(json.dumps(value, sort_keys=True).encode())
-    if not files.type_name == "local" and files.get_file_info(path).is_file:
+    if files.type_name != "local" and files.get_file_info(path).is_file:
         files.delete_file(path)
     files.move(fresh, path)
 

@@ -21,6 +21,7 @@ def order(p, epoch=0, resume=None):
     return [r.row_key for r in plan.orderBy("order").select("row_key").collect()]
 
 
+# The orders that these mixtures must have.
 @pytest.mark.parametrize(
     ("weights", "size", "want"),
     [
