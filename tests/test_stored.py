@@ -258,12 +258,10 @@ def test_gather_shuffles_numbers_only(spark, tmp_path):
 def test_a_feed_in_plan_order_goes_on_after_a_stop(spark, tmp_path, world):
     planner, texts = stored(spark, tmp_path, world=world, weights=[Weight(repeat=1.5), Weight(repeat=1), Weight(repeat=1)])
     folder = write_plan(planner, f"file://{tmp_path}/plan", [1, 2], chunk=32)
-    seen, batches = [], []
+    batches = {}
 
-    def take(df, _):
-        rows = df.collect()
-        seen.extend((r.epoch, r.order, r.node, r.rank, r.worker, r.sample_id, r.t) for r in rows)
-        batches.append(rows)
+    def take(df, number):
+        batches[number] = df.collect()  # a batch that is under way at the stop comes again
 
     def start():
         return plan_feed(spark, folder, max_samples=50, query="train").writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/check").start()
@@ -275,10 +273,11 @@ def test_a_feed_in_plan_order_goes_on_after_a_stop(spark, tmp_path, world):
     query = start()
     query.processAllAvailable()
     query.stop()
+    seen = [(r.epoch, r.order, r.node, r.rank, r.worker, r.sample_id, r.t) for b in batches.values() for r in b]
     want = [(e, r.order, r.node, r.rank, r.worker, r.sample_id, texts[r.sample_id]) for e in (1, 2) for r in planner.epoch(e).where("sample_id >= 0").orderBy("order").collect()]
     assert sorted(seen) == sorted(want) and len(seen) == len(set(x[:2] for x in seen))
-    assert all(len(b) <= 50 for b in batches) and len(batches) > 4
-    for b in batches:  # within a worker in order
+    assert all(len(b) <= 50 for b in batches.values()) and len(batches) > 4
+    for b in batches.values():  # within a worker in order
         own: dict = {}
         for r in b:
             own.setdefault((r.node, r.rank, r.worker), []).append((r.epoch, r.order))
