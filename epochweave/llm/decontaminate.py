@@ -300,7 +300,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int = 1 << 17) -> Iterator[It
         yield prepare([r.item_id for r in part], [r.text for r in part])
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, block_chars: int = 1 << 17) -> DataFrame:
     """Columns doc_id, item_id, distance, item_chars, begin_word: one row for each document row and item found in it.
 
     Texts are compared as words of letters and digits (bytes beyond ASCII count as letters), A-Z as a-z, joined by single spaces. Items
@@ -308,15 +308,15 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, share: float =
     kept as null. Repeated items are reported each; repeated document rows are, too.
     """
     docs, out = id_and_text(docs), None
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, block_chars):
         found = docs.select("doc_id", F.explode(passages(F.col("text"), items, share)).alias("hit")).select("doc_id", "hit.*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, block_chars: int = 1 << 17) -> DataFrame:
     """The rows of docs that have no passage of any item. What each block of items but the last leaves is written, so that a task holds one block's index at a time."""
-    for k, items in enumerate(item_blocks(benchmark)):
+    for k, items in enumerate(item_blocks(benchmark, block_chars)):
         docs = written(docs, "clean") if k else docs
         docs = docs.where(F.size(passages(F.col("text").cast("string"), items, share)) == 0)
     return docs

@@ -475,3 +475,20 @@ def test_forest_learns_from_findings_of_other_rules(spark):
     assert sum((r.score >= 0.5) == (r.label == 1) for r in held) / len(held) > 0.95
     every = scored(default_forest(spark), frame).collect()
     assert sum((r.score >= 0.5) == (r.label == 1) for r in every) / len(every) > 0.8  # rules that it never saw
+
+
+# Several blocks of items
+
+
+def test_items_in_several_blocks(spark):
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(n))
+    items = [(k, words(20)) for k in range(12)] + [(50, None), (None, words(20))]
+    docs = [(k, f"{words(30)} {items[k % 12][1]} {words(30)}" if k % 3 else words(60)) for k in range(40)] + [(90, None), (None, items[3][1]), (91, words(20_000) + " " + items[5][1])]
+    frame = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "doc_id long, text string, item_id int, hit int, distance int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    one = plain(contaminated_passages(frame, bench))
+    assert one == plain(contaminated_passages(frame, bench, block_chars=300)) and {(r[0], r[1]) for r in one} >= {(k, k % 12) for k in range(40) if k % 3} | {(None, 3), (91, 5)}
+    kept = without_contaminated(frame, bench, block_chars=300)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [*range(0, 40, 3), 90]
