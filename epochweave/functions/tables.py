@@ -58,7 +58,7 @@ class DocumentsOfText:
 
 
 class SegmentChunks:
-    """segment_chunks(TABLE(doc_id, sentences) PARTITION BY doc_id, room, seed): how a document's sentences are cut for pairs of segments, see bert.chunks()."""
+    """segment_chunks(TABLE(doc_id, sentences) PARTITION BY (doc_id), room, seed): how a document's sentences are cut for pairs of segments, see bert.chunks()."""
 
     def __init__(self) -> None:
         self.number = {}

@@ -77,4 +77,4 @@ def q1_chunks(spark, sf_dir):
     from epochweave.text_queries import _sentences
 
     register(spark)
-    return spark.sql("select * from segment_chunks(table(select doc_id, sentences from {docs}) partition by doc_id, 125, 7)", docs=_sentences(spark, sf_dir))
+    return spark.sql("select * from segment_chunks(table(select doc_id, sentences from {docs}) partition by (doc_id), 125, 7)", docs=_sentences(spark, sf_dir))

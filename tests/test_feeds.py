@@ -120,7 +120,7 @@ def test_table_functions_are_bert_chunks(spark):
     docs = [(i, [[f"w{i}"] * (k % 5 + 1) for k in range(i * 3)]) for i in range(12)] + [(90, []), (91, None)]
     register(spark)
     frame = spark.createDataFrame(docs, "doc_id long, sentences array<array<string>>").repartition(3)
-    rows = spark.sql("select * from segment_chunks(table({docs}) partition by doc_id, 20, 7)", docs=frame).collect()
+    rows = spark.sql("select * from segment_chunks(table({docs}) partition by (doc_id), 20, 7)", docs=frame).collect()
     want = [(i, n, len(a), None if b is None else len(b), t) for i, s in docs for n, (a, b, t) in enumerate(chunks([x for x in s or [] if x], 20, 0.1, random.Random(f"7:{i}")))]
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr) and len(want) > 12
 
