@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from epochweave.sources.codecs import SCALARS, codec, encode
 
 RAW = ("bytes", "jpeg", "png")
+#: The fields of a raw image.
+IMAGE = ("width", "height", "mode", "data")
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -47,6 +49,8 @@ def _plain(value, encoding: str):
         return (value - datetime.date(1970, 1, 1)).days
     if isinstance(value, list) and value and isinstance(value[0], tuple) and encoding == "json":
         return dict(value)
+    if isinstance(value, dict) and encoding == "pil":
+        return tuple(value[n] for n in IMAGE)
     return value
 
 
@@ -113,7 +117,7 @@ def _read_as(value, encoding: str):
     if encoding in ("str_decimal", "str_int"):
         return str(value)
     if encoding == "pil":
-        return dict(zip(("width", "height", "mode", "data"), value, strict=True))
+        return dict(zip(IMAGE, value, strict=True))
     return Decimal(value) if encoding == "uint64" else value
 
 
