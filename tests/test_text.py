@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,25 @@ def test_random_segments_come_from_other_documents(spark):
     assert alone and all(t[1:] == "3" for r in alone for t in r.labels)
 
 
+def test_pairs_as_bytes_hold_their_rows(spark):
+    """Each row's bytes, read by NumPy, beside a plain loop over the row that they come from. Rare words have no id of their own."""
+    docs = spark.createDataFrame([(i, [[f"w{(i * j) % 23}" for j in range(k % 6 + 1)] for k in range(25)]) for i in range(12)], "doc_id long, sentences array<array<string>>")
+    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *frequent_words(docs, 12)]
+    pairs = instances(docs, words[5:], length=24, most=4).coalesce(1)
+    number = {w: i for i, w in enumerate(words)}
+    want = []
+    for r in pairs.collect():
+        row = {n: [0] * 24 for n in ("input_ids", "input_mask", "segment_ids")} | {n: [0] * 4 for n in ("masked_lm_positions", "masked_lm_ids", "masked_lm_weights")}
+        for i, t in enumerate(r.tokens):
+            row["input_ids"][i], row["input_mask"][i], row["segment_ids"][i] = number.get(t, 1), 1, r.segment[i]
+        for i, (p, t) in enumerate(zip(r.positions, r.labels, strict=True)):
+            row["masked_lm_positions"][i], row["masked_lm_ids"][i], row["masked_lm_weights"][i] = p, number.get(t, 1), 1
+        want.append(row | {"next_sentence_labels": [int(r.next_is_random)]})
+    got = [{n: np.frombuffer(b, "<f4" if n == "masked_lm_weights" else "<i4").tolist() for n, b in r.asDict().items()} for r in as_bytes(pairs, words, 24, 4).collect()]
+    assert sorted(got, key=str) == sorted(want, key=lambda r: str({n: list(map(float, v)) if n == "masked_lm_weights" else v for n, v in r.items()})) and len(got) > 50
+    assert any(1 in r["input_ids"] for r in got) and any(0 in r["input_mask"] for r in got)
+
+
 def test_training_times():
     t = TrainingTime.of
     assert t("3ep") < t("4ep") and t("2ba") + 3 == t("5ba") and t("10ba") / t("4ba") == 2.5 and t("7ba") % 4 == t("3ba") and t("2ep") * 3 == t("6ep") and str(t("0.5dur")) == "0.5dur"
