@@ -12,6 +12,7 @@ from epochweave.operators.analysis import rolling_throughput, simulation_stats
 from epochweave.operators.bert import as_bytes, chunks, cut_pair, frequent_words, instances, mask
 from epochweave.operators.settings import settings_of
 from epochweave.operators.simulate import Fetching, batches_of, downloads, simulate
+from epochweave.queries import QUERIES
 
 
 def test_wordpieces(spark):
@@ -92,6 +93,22 @@ def test_pairs_as_bytes_hold_their_rows(spark):
     assert any(1 in r["input_ids"] for r in got) and any(0 in r["input_mask"] for r in got)
 
 
+def test_sentences_as_lines(spark):
+    """Beside basic_tokens() of each sentence; pairs from lines are those from arrays, and the queries' plans tokenize nothing a second time."""
+    texts = ["A.  b.\x00 c.\x0bd.\ne", "", None, ". \u4e2d\u6587. x\u00ad\ufffd\u00a0y!", "\x00.", "ΑΣ. ΑΣ.\x00Β \U00020001z", "one two. " * 40 + "three " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    arrays = docs.select("doc_id", F.transform(F.split("text", r"(?<=\.)\s"), lambda s: X.basic_tokens(s)).alias("sentences"))
+    lines = docs.select("doc_id", X.sentence_lines(F.col("text")).alias("sentences"))
+    split = F.transform("sentences", lambda s: F.filter(F.split(s, " "), lambda t: t != ""))
+    assert sorted(lines.select("doc_id", split).collect()) == sorted(arrays.collect())
+    words = frequent_words(arrays)
+    assert frequent_words(lines) == words
+    made = [sorted(map(str, instances(d, words, length=32).collect())) for d in (arrays, lines)]
+    assert made[0] == made[1] and len(made[0]) > 10
+    for name in ("t2_segment_pairs", "c3_segment_pairs_as_bytes"):
+        assert "regexp_replace" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_training_times():
     t = TrainingTime.of
     assert t("3ep") < t("4ep") and t("2ba") + 3 == t("5ba") and t("10ba") / t("4ba") == 2.5 and t("7ba") % 4 == t("3ba") and t("2ep") * 3 == t("6ep") and str(t("0.5dur")) == "0.5dur"
