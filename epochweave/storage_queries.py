@@ -182,7 +182,8 @@ def r1(spark, sf_dir):
 @query("r7_shard_pruning", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) where i = 123 or i between 10 and 20")
 def r7(spark, sf_dir):
     folder = shared_folder(spark, "pruned")
-    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), folder, size_limit="64kb")
+    # ranges of ids, a task each, whose shards follow each other in the index
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id"), folder, size_limit="64kb")
     return read_shards(spark, folder, columns=["doc_id"], samples=123).unionAll(read_shards(spark, folder, columns=["doc_id"], samples=range(10, 21))).select("doc_id")
 
 
@@ -211,14 +212,14 @@ def w4(spark, sf_dir):
 def r3_access(spark, sf_dir):
     """Rows by position: only their bytes are read."""
     folder = shared_folder(spark, "json")
-    write_json_lines(table(spark, sf_dir, "pages").select("page_id", "url").repartitionByRange(1, "page_id").sortWithinPartitions("page_id"), folder, size_limit="4kb")
+    write_json_lines(table(spark, sf_dir, "pages").select("page_id", "url").repartitionByRange("page_id").sortWithinPartitions("page_id"), folder, size_limit="4kb")
     return read_by_index(spark, folder, samples=[3, 77, range(100, 141)]).select("sample_id", "page_id", "url")
 
 
 @query("r4_separated_access", "select c_custkey, c_name from (select *, row_number() over (order by c_custkey) - 1 as i from customer) where i >= 500 and i < 900")
 def r4_access(spark, sf_dir):
     folder = shared_folder(spark, "csv")
-    write_separated(table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey"), folder, ",", size_limit="8kb", compression="gz")
+    write_separated(table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey"), folder, ",", size_limit="8kb", compression="gz")
     return read_by_index(spark, folder, samples=range(500, 900)).select("c_custkey", "c_name")
 
 

@@ -4,6 +4,7 @@ import json
 import random
 import time
 import unicodedata
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -359,3 +360,22 @@ def test_shards_as_rows_of_an_index(spark, tmp_path):
     a = write_shards(spark.range(10).coalesce(1), f"file://{tmp_path}/a", size_limit="600b")
     rows = indexed_shards(spark, {"one": a, "same": a}).orderBy("shard_id").collect()
     assert sum(r.n for r in rows) == 20 and [r.stream_id for r in rows] == sorted(r.stream_id for r in rows) and rows[-1].first_sample + rows[-1].n == 20
+
+
+@pytest.mark.parametrize("name", ["r7_shard_pruning", "r3_json_access", "r4_separated_access"])
+def test_rows_by_position_are_written_by_many_tasks(spark, monkeypatch, tmp_path, name):
+    """Ranges of keys in the index's order, none of which holds all rows."""
+    from epochweave import storage_queries
+    from epochweave.queries import QUERIES
+
+    folder = f"file://{tmp_path}/rows"
+    monkeypatch.setattr(storage_queries, "shared_folder", lambda *_: folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES[name](spark, "/root/testdata/sf0.01").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = Counter()
+    for shard in read_index(folder):
+        tasks[shard["raw_data"]["basename"].split("/")[0]] += shard["samples"]
+    assert len(tasks) == 3 and max(tasks.values()) < sum(tasks.values()) / 2
