@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from epochweave.sources.codecs import SCALARS, codec, encode
+from epochweave.sources.codecs import ARRAY_TYPES, SCALARS, codec, encode
 
 RAW = ("bytes", "jpeg", "png")
 #: The fields of a raw image.
@@ -54,6 +54,56 @@ def _plain(value, encoding: str):
     return value
 
 
+def _array_kind(encoding: str) -> np.dtype | None:
+    """The numbers of arrays of stated type and any shape, which are handled as whole columns; none for other encodings."""
+    kind, _, rest = encoding.partition(":")
+    return np.dtype(rest).newbyteorder("<") if kind == "ndarray" and rest in ARRAY_TYPES else None
+
+
+def _array_column(column: pa.Array, to: np.dtype) -> tuple[np.ndarray, np.ndarray] | None:
+    """column_bytes() of lists, or lists of lists of one length, of numbers; none if something in them needs a look of its own (a null, an empty array, a number that may not fit)."""
+    shapes, flat, n = [], column, np.ones(len(column), np.int64)
+    while pa.types.is_list(flat.type) and len(shapes) < 2:
+        sizes = np.diff(flat.offsets.to_numpy().astype(np.int64))
+        if flat.null_count or not len(sizes) or sizes.min() < 1:
+            return None
+        first = sizes[_starts(n)]
+        if (np.repeat(first, n) != sizes).any():
+            return None
+        shapes.append(first)
+        flat, n = flat.flatten(), n * first
+    if not shapes or flat.null_count or not (pa.types.is_floating(flat.type) or pa.types.is_integer(flat.type)):
+        return None
+    numbers = flat.to_numpy(zero_copy_only=False)
+    if to.kind in "iu" and (numbers.dtype.kind == "f" or numbers.min() < np.iinfo(to).min or numbers.max() > np.iinfo(to).max):
+        return None
+    shapes = np.stack(shapes, axis=1)
+    width = np.searchsorted([1 << 8, 1 << 16], shapes.max(axis=1), "right")
+    head, held = 1 + (shapes.shape[1] << width), n * to.itemsize
+    at, out = _starts(head + held), np.empty(int((head + held).sum()), np.uint8)
+    out[at] = shapes.shape[1] << 2 | width
+    for k in np.unique(width).tolist():
+        rows = np.flatnonzero(width == k)
+        out[(at[rows] + 1)[:, None] + np.arange(shapes.shape[1] << k)] = shapes[rows].astype(f"<u{1 << k}").view(np.uint8).reshape(len(rows), -1)
+    out[_ranges(at + head, held)] = numbers.astype(to).view(np.uint8)
+    return out, head + held
+
+
+def _arrays_of(own: np.ndarray, lengths: np.ndarray, of: np.dtype, kind: pa.DataType) -> pa.Array:
+    """Flat lists of arrays' bytes that follow each other. Heads say how many elements there must be."""
+    at = _starts(lengths)
+    lead = own[at].astype(np.int64) if len(at) else at
+    axes, width = lead >> 2, 1 << (lead & 3)
+    held = lengths - 1 - axes * width
+    n = held // of.itemsize
+    for a, w in {*zip(axes.tolist(), width.tolist(), strict=True)}:
+        rows = np.flatnonzero((axes == a) & (width == w))
+        if held[rows].min() < 0 or (own[(at[rows] + 1)[:, None] + np.arange(a * w)].view(f"<u{w}").astype(np.int64).prod(axis=1) * of.itemsize != held[rows]).any():
+            raise ValueError("an array's bytes aren't as many as its shape says")
+    values = own[_ranges(at + lengths - held, held)].view(of).astype(kind.value_type.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, kind.value_type))
+
+
 def column_bytes(column: pa.Array, encoding: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column's values one after the other, and how many each has. A null is an error."""
     if column.null_count:
@@ -73,6 +123,8 @@ def column_bytes(column: pa.Array, encoding: str) -> tuple[np.ndarray, np.ndarra
             if numbers.dtype.kind == "f" and not np.isfinite(numbers).all() or numbers.min() < least or numbers.max() > most:
                 raise ValueError(f"a value is no {encoding}")
         return numbers.astype(to).view(np.uint8), np.full(len(column), to.itemsize)
+    if (to := _array_kind(encoding)) is not None and (found := _array_column(column, to)) is not None:
+        return found
     parts = [encode(encoding, _plain(x, encoding)) for x in column.to_pylist()]
     return np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
 
@@ -135,6 +187,8 @@ def decode_rows(data: np.ndarray, starts: np.ndarray, encodings: dict[str, str],
                 out[name] = _texts(own, lengths, kind)
             elif encoding in SCALARS and encoding != "uint64" or encoding == "int":
                 out[name] = pa.array(own.view(np.dtype("int64" if encoding == "int" else encoding).newbyteorder("<")).astype(kind.to_pandas_dtype()), kind)
+            elif (of := _array_kind(encoding)) is not None and of != np.dtype("uint64"):  # those may not fit
+                out[name] = _arrays_of(own, lengths, of, kind)
             else:
                 raw, ends = own.tobytes(), np.cumsum(lengths).tolist()
                 decode = codec(encoding).decode

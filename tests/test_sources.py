@@ -7,6 +7,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from epochweave.functions.units import bytes_to_int, count_to_int
 from epochweave.operators.simulate import Cache
@@ -242,3 +243,36 @@ def test_arrays_as_bytes(spark):
         df = spark.createDataFrame([([1, 2, 300],), ([],), (None,)], "v array<int>").select(pack("v", dtype).alias("b"))
         assert [r.v for r in df.select(unpack("b", dtype).alias("v")).collect()] == [[1, 2, 300], [], None]
     assert bytes(spark.createDataFrame([([1],)], "v array<int>").select(pack("v", "int32").alias("b")).first().b) == b"\1\0\0\0"
+
+
+def test_columns_of_arrays_are_their_values_bytes(monkeypatch):
+    """Whole columns beside the codec of each value; no value of ordinary arrays is handled by itself."""
+    from epochweave.sources import columns as C
+    from epochweave.sources.codecs import codec
+
+    doubles, whole = pa.list_(pa.float64()), pa.list_(pa.int64())
+    cases = [
+        ("ndarray:float32", pa.array([[1.5], [float("nan"), 2.0] * 200, [3.0] * 70000], doubles)),
+        ("ndarray:float32", pa.array([[[0.0] * 2] * 3, [[1.0, 2.0, 3.0, 4.0]], [[5.0] * 300]], pa.list_(doubles)).slice(1)),
+        ("ndarray:int64", pa.array([[9], [1, 2], [-(1 << 62)]], whole).slice(1)),
+        ("ndarray:uint8", pa.array([[0, 255]], whole)),
+    ]
+    want = [[codec(e).encode(x) for x in c.to_pylist()] for e, c in cases]
+    monkeypatch.setattr(C, "encode", None)
+    for (e, c), parts in zip(cases, want, strict=True):
+        data, lengths = C.column_bytes(c, e)
+        assert (data.tobytes(), lengths.tolist()) == (b"".join(parts), [*map(len, parts)])
+        starts = np.cumsum(lengths + 4) - lengths - 4
+        rows = np.frombuffer(b"".join(len(p).to_bytes(4, "little") + p for p in parts), np.uint8)
+        monkeypatch.setattr(C, "_read_as", None)
+        kind = T.ArrayType(T.LongType() if "int" in e else T.DoubleType())
+        flat = lambda x: [v for y in x for v in (y if isinstance(y, list) else [y])]
+        assert str(C.decode_rows(rows, starts, {"x": e}, {"x": kind})["x"].to_pylist()) == str([flat(x) for x in c.to_pylist()])
+    monkeypatch.undo()
+    for e, bad in (("ndarray:uint8", [[256]]), ("ndarray:int64", [[]]), ("ndarray:float32", [[1.0], []])):
+        with pytest.raises((ValueError, OverflowError)):
+            C.column_bytes(pa.array(bad), e)
+    cut = np.frombuffer(b"\x09\x00\x00\x00" + codec("ndarray:float32").encode([1.0, 2.0])[:9], np.uint8)
+    with pytest.raises(ValueError):
+        C.decode_rows(cut, np.array([0]), {"x": "ndarray:float32"}, {"x": T.ArrayType(T.FloatType())})
+    assert C.column_bytes(pa.array([[1.0, None]]), "ndarray:float32")[0].tobytes() == codec("ndarray:float32").encode([1.0, None])
