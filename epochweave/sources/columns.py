@@ -138,6 +138,28 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - _starts(lengths), lengths) + np.arange(int(lengths.sum()))
 
 
+#: Mean bytes of values from which each is copied by itself: the places of single bytes would take eight times the bytes, twice.
+LONG = 64
+
+
+def _put(out: np.ndarray, at: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+    """Values that follow each other in data to places of their own."""
+    if len(data) <= LONG * len(lengths):
+        out[_ranges(at, lengths)] = data
+        return
+    to, of = memoryview(out), memoryview(np.ascontiguousarray(data))
+    for a, b, n in zip(at.tolist(), _starts(lengths).tolist(), lengths.tolist(), strict=True):
+        to[a : a + n] = of[b : b + n]
+
+
+def _got(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Values from places of their own, one after the other."""
+    if (total := int(lengths.sum())) <= LONG * len(lengths):
+        return data[_ranges(at, lengths)]
+    of = memoryview(data)
+    return np.frombuffer(b"".join([of[a : a + n] for a, n in zip(at.tolist(), lengths.tolist(), strict=True)]), np.uint8, total)
+
+
 def encode_rows(columns: list[pa.Array], encodings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of rows one after the other, and how many each has; columns in order of name."""
     n = len(columns[0])
@@ -149,7 +171,7 @@ def encode_rows(columns: list[pa.Array], encodings: list[str]) -> tuple[np.ndarr
     out[at[:, None] + np.arange(head.shape[1])] = head
     at = at + head.shape[1]
     for data, lengths in known:
-        out[_ranges(at, lengths)] = data
+        _put(out, at, lengths, data)
         at = at + lengths
     return out, total
 
@@ -181,7 +203,7 @@ def decode_rows(data: np.ndarray, starts: np.ndarray, encodings: dict[str, str],
     for name, encoding in encodings.items():
         lengths = sizes[:, loose.index(name)] if name in loose else np.full(len(starts), codec(encoding).size)
         if name in kinds:
-            own = data[_ranges(at, lengths)]
+            own = _got(data, at, lengths)
             kind = arrow_type(kinds[name])
             if encoding in RAW or encoding == "str":
                 out[name] = _texts(own, lengths, kind)

@@ -34,10 +34,10 @@ def compress(name: str, data: bytes) -> bytes:
     if kind == "br":
         import brotli
 
-        return brotli.compress(data, quality=level)
+        return brotli.compress(bytes(data), quality=level)
     import snappy
 
-    return snappy.compress(data)
+    return snappy.compress(bytes(data))
 
 
 def decompress(name: str, data: bytes) -> bytes:

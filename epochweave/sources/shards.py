@@ -75,6 +75,17 @@ def type_of(encoding: str) -> T.DataType:
     return simple.get(kind, T.LongType())
 
 
+def joined(first: list[bytes], blocks: list[np.ndarray]) -> memoryview:
+    """All bytes, one after the other, in a single copy; the blocks are let go as they are put into it."""
+    out = np.empty(sum(map(len, first)) + sum(b.nbytes for b in blocks), np.uint8)
+    at, blocks[:] = 0, [np.frombuffer(b"".join(first), np.uint8), *blocks][::-1]
+    while blocks:
+        block = blocks.pop()
+        out[at : at + block.nbytes] = block
+        at += block.nbytes
+    return memoryview(out)
+
+
 class ShardWriter:
     """Rows into shards of at most size_limit bytes, one at a time in memory; a row that alone is larger is a shard of its own.
 
@@ -143,7 +154,8 @@ class ShardWriter:
     def flush(self) -> None:
         if not self.lengths:
             return
-        lengths, rows = np.concatenate(self.lengths), b"".join(b.tobytes() for b in self.blocks)
+        lengths, rows = np.concatenate(self.lengths), self.blocks
+        self.blocks = []  # parts() empties them, so that a shard's bytes are held once
         info = self.config | {"samples": len(lengths)} | dict.fromkeys(FILES)
         for kind, name, data in self.parts(lengths, rows):
             info[f"raw_{kind}"] = self._stored(name, data)
@@ -162,10 +174,10 @@ class ShardWriter:
         offsets = begin + np.concatenate([[0], np.cumsum(lengths)])
         return np.array([len(lengths)], "<u4").tobytes() + offsets.astype("<u4").tobytes()
 
-    def parts(self, lengths: np.ndarray, rows: bytes) -> Iterator[tuple[str, str, bytes]]:
+    def parts(self, lengths: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[str, str, bytes]]:
         """The files of a shard: kind, name and bytes."""
         begin = 4 + 4 * (len(lengths) + 1) + len(self.head)
-        yield "data", f"shard.{self.shards_before + len(self.shards):05}.{FORMAT}", self.numbers(lengths, begin) + self.head + rows
+        yield "data", f"shard.{self.shards_before + len(self.shards):05}.{FORMAT}", joined([self.numbers(lengths, begin), self.head], rows)
 
     def _stored(self, name: str, data: bytes) -> dict:
         return {"basename": name, "bytes": len(data), "hashes": {h: digest(h, data) for h in self.hashes}}
@@ -189,10 +201,10 @@ class LineWriter(ShardWriter):
         lines = [line.encode() + b"\n" for line in batch.column(0).to_pylist()]
         self.add(np.frombuffer(b"".join(lines), np.uint8), np.fromiter(map(len, lines), np.int64, len(lines)))
 
-    def parts(self, lengths: np.ndarray, rows: bytes) -> Iterator[tuple[str, str, bytes]]:
+    def parts(self, lengths: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[str, str, bytes]]:
         first = b"" if self.kind == "json" else (self.separator.join(self.names) + "\n").encode()
         name = f"shard.{self.shards_before + len(self.shards):05}.{self.kind}"
-        yield "data", name, first + rows
+        yield "data", name, joined([first], rows)
         yield "meta", f"{name}.meta", self.numbers(lengths, len(first)) + self.head
 
 

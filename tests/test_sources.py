@@ -276,3 +276,29 @@ def test_columns_of_arrays_are_their_values_bytes(monkeypatch):
     with pytest.raises(ValueError):
         C.decode_rows(cut, np.array([0]), {"x": "ndarray:float32"}, {"x": T.ArrayType(T.FloatType())})
     assert C.column_bytes(pa.array([[1.0, None]]), "ndarray:float32")[0].tobytes() == codec("ndarray:float32").encode([1.0, None])
+
+
+def test_a_shard_is_held_about_twice_while_it_is_written(tmp_path):
+    """Its blocks and its bytes, and no index of single bytes beside them; both ways of copying values give the same rows."""
+    import tracemalloc
+
+    from epochweave.sources import columns as C
+
+    folder = f"file://{tmp_path}/one"
+    batch = pa.record_batch({"text": pa.array([str(i % 10) * 2000 for i in range(16_000)]), "n": pa.array(range(16_000))})
+    out = ShardWriter({"text": "str", "n": "int64"}, folder, compression="zstd")
+    tracemalloc.start()
+    out.write_rows(batch)
+    out.flush()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out.shards) == 1 and peak < 2.6 * out.shards[0]["raw_data"]["bytes"]
+    rows = shard_columns(out.shards[0], load_shard(folder, out.shards[0]), {"text": T.StringType(), "n": T.LongType()})
+    assert rows["text"].equals(batch.column("text")) and rows["n"].equals(batch.column("n"))
+    mixed = [pa.array(["", "x" * 5000, "é", "y" * 300])]
+    long = C.encode_rows(mixed, ["str"])[0].tobytes()
+    C.LONG, before = 1 << 40, C.LONG
+    try:
+        assert C.encode_rows(mixed, ["str"])[0].tobytes() == long
+    finally:
+        C.LONG = before
