@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
+#: Tokens that are cut into pieces together: their numbers and places take some 60 bytes each.
+AT_ONCE = 1 << 17
 #: The ranges of ideographs that are each a token.
 IDEOGRAPHS = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
 
@@ -135,26 +137,33 @@ class Pieces:
 def wordpieces(tokens: Column, vocabulary: Iterable[str], unknown: str = "[UNK]", most: int = 200) -> Column:
     """Each token as the longest pieces of the vocabulary, later ones behind ##; unknown if it can't be or is too long.
 
-    The vocabulary goes to every task with the function; it is bounded like any tokenizer's. A batch's distinct tokens are cut once each.
+    The vocabulary goes to every task with the function; it is bounded like any tokenizer's. Rows of about AT_ONCE tokens are handled together, and
+    their distinct tokens cut once each.
     """
-    vocabulary = tuple(vocabulary)
+    vocabulary, at_once = tuple(vocabulary), AT_ONCE
+
+    def cut(pieces: Pieces, column: pa.ListArray) -> pa.ListArray:
+        of = column.flatten().dictionary_encode()  # what null rows hide isn't in it
+        cut = [(pieces.split(w) if 0 < len(w) <= most else None) or [unknown] for w in of.dictionary.to_pylist()]
+        each = np.array([len(c) for c in cut], np.int64)
+        begins = np.concatenate([[0], np.cumsum(each)])
+        which = of.indices.to_numpy(zero_copy_only=False)
+        n = each[which] if len(cut) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        take = np.repeat(begins[which] - total[:-1], n) + np.arange(total[-1]) if len(cut) else np.zeros(0, np.int64)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        rows = total[np.concatenate([[0], np.cumsum(sizes)])]
+        values = pa.array([p for c in cut for p in c], pa.string()).take(pa.array(take))
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values, mask=column.is_null())
 
     @F.arrow_udf("array<string>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(vocabulary)
         for column in columns:
-            of = column.flatten().dictionary_encode()  # what null rows hide isn't in it
-            cut = [(pieces.split(w) if 0 < len(w) <= most else None) or [unknown] for w in of.dictionary.to_pylist()]
-            each = np.array([len(c) for c in cut], np.int64)
-            begins = np.concatenate([[0], np.cumsum(each)])
-            which = of.indices.to_numpy(zero_copy_only=False)
-            n = each[which] if len(cut) else np.zeros(0, np.int64)
-            total = np.concatenate([[0], np.cumsum(n)])
-            take = np.repeat(begins[which] - total[:-1], n) + np.arange(total[-1]) if len(cut) else np.zeros(0, np.int64)
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            rows = total[np.concatenate([[0], np.cumsum(sizes)])]
-            values = pa.array([p for c in cut for p in c], pa.string()).take(pa.array(take))
-            yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values, mask=column.is_null())
+            before = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = np.flatnonzero(np.diff(before // at_once, prepend=0)).tolist()  # rows that reach into the next part
+            parts = [cut(pieces, column.slice(x, y - x)) for x, y in zip([0, *at], [*at, len(column)], strict=True) if y > x]
+            yield pa.concat_arrays(parts) if parts else cut(pieces, column)
 
     return run(tokens)
 

@@ -93,6 +93,17 @@ def test_pairs_as_bytes_hold_their_rows(spark):
     assert any(1 in r["input_ids"] for r in got) and any(0 in r["input_mask"] for r in got)
 
 
+def test_wordpieces_in_parts(spark, monkeypatch):
+    """Rows handled a few tokens at a time, with nulls, empty ones and ones of several parts among them, are as all at once."""
+    rows = [(i, None if i % 7 == 3 else [("seashore", "line", "shs", "")[(i + j) % 4] for j in range(i % 7 * (i % 3))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, t array<string>").coalesce(1)
+    made = []
+    for at_once in (X.AT_ONCE, 5):
+        monkeypatch.setattr(X, "AT_ONCE", at_once)
+        made.append([r.p for r in df.orderBy("i").select(X.wordpieces(F.col("t"), {"sea", "##shore", "line", "s"}).alias("p")).collect()])
+    assert made[0] == made[1] and made[0][3] is None and ["sea", "##shore"] == made[0][4][:2]
+
+
 def test_sentences_as_lines(spark):
     """Beside basic_tokens() of each sentence; pairs from lines are those from arrays, and the queries' plans tokenize nothing a second time."""
     texts = ["A.  b.\x00 c.\x0bd.\ne", "", None, ". \u4e2d\u6587. x\u00ad\ufffd\u00a0y!", "\x00.", "ΑΣ. ΑΣ.\x00Β \U00020001z", "one two. " * 40 + "three " * 300]
