@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,15 +125,22 @@ class PlanFeedReader(DataSourceStreamReader):
         files, where = filesystem(self.folder)
         entries = ds.dataset(posixpath.join(where, "entries"), filesystem=files, format="parquet")
         mine = (ds.field("order") >= part.low) & (ds.field("order") < part.high) & (ds.field("node") == part.node) & (ds.field("rank") == part.rank) & (ds.field("worker") == part.worker)
+        plans = []
         for chunk in range(part.low // self.head["chunk"], (part.high - 1) // self.head["chunk"] + 1):
             path = posixpath.join(where, f"plan/epoch={part.epoch}", f"chunk={chunk}")
             if files.get_file_info(path).type.name != "Directory":
                 continue  # nothing but padding
-            plan = ds.dataset(path, filesystem=files, format="parquet").to_table(filter=mine).sort_by("order")
+            plans.append(ds.dataset(path, filesystem=files, format="parquet"))
+        if not plans:
+            return
+        # one look at the entries for all chunks: there are as many of them as shards, so one for each chunk would grow with the square of the rows
+        asked = pc.unique(pa.concat_tables([p.to_table(columns=["shard_id"], filter=mine) for p in plans]).column("shard_id"))
+        known = {r["shard_id"]: r for r in entries.to_table(filter=ds.field("shard_id").isin(asked)).to_pylist()} if len(asked) else {}
+        for plan in plans:
+            plan = plan.to_table(filter=mine).sort_by("order")
             shard, place = plan.column("shard_id").to_numpy(), plan.column("offset_in_shard").to_numpy()
             order, pieces = np.argsort(shard, kind="stable"), []
             ids, begins = np.unique(shard[order], return_index=True)
-            known = {r["shard_id"]: r for r in entries.to_table(filter=ds.field("shard_id").isin(ids)).to_pylist()} if len(ids) else {}
             for i, a, b in zip(ids.tolist(), begins, np.append(begins, len(order))[1:], strict=True):
                 entry = json.loads(known[i]["entry"])
                 pieces.append(rows_at(entry, load_shard(known[i]["folder"], entry, self.validate), self.kinds, place[order[a:b]]))

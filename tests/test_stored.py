@@ -379,3 +379,27 @@ def test_rows_by_position_are_written_by_many_tasks(spark, monkeypatch, tmp_path
     for shard in read_index(folder):
         tasks[shard["raw_data"]["basename"].split("/")[0]] += shard["samples"]
     assert len(tasks) == 3 and max(tasks.values()) < sum(tasks.values()) / 2
+
+
+def test_a_feed_looks_at_the_entries_once(spark, tmp_path, monkeypatch):
+    """However many chunks of the plan a partition goes through."""
+    from epochweave.feeds import plan_feed as P
+
+    planner, texts = stored(spark, tmp_path, world=World(2, 2, 1))
+    folder = write_plan(planner, f"file://{tmp_path}/plan", [1], chunk=16)
+    looks, dataset = [], P.ds.dataset
+
+    class Seen:
+        def __init__(self, of):
+            self.of = of
+
+        def to_table(self, **more):
+            looks.append(1)
+            return self.of.to_table(**more)
+
+    monkeypatch.setattr(P.ds, "dataset", lambda path, **more: Seen(dataset(path, **more)) if path.endswith("entries") else dataset(path, **more))
+    reader = P.PlanFeedReader({"path": folder})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert len(rows) >= 128 and all(r["t"] == texts[r["sample_id"]] for r in rows)
+    assert len(looks) == len(parts) == 4
