@@ -3,10 +3,12 @@
 On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2t). Points are taken farthest first, so that the first
 few cover all others within a radius, more of them within half of it, and so on: the nested levels of a cover tree. Distributed, the
 upper level comes from a bounded sample; every vector goes to its nearest centre, and each cell's covering radius is taken over
-all its vectors. Cells of over `block` vectors are cut by hash. A pair of cells is a task unless the radii keep them apart, and a
-vector joins only those tasks that the radius of the other cell and the plane between the two centres leave open.
+all its vectors. Cells of over `block` vectors are cut by hash. Every vector is written once, with its block; a task takes the pairs
+of two short runs of blocks and reads these from the shared folder, so that what is shuffled and kept follows the input, however many
+blocks a vector is compared with. A pair of blocks is left out if the radii keep them apart, and a vector joins only those pairs that
+the radius of the other block and the plane between the two centres leave open.
 
-Within a task both sides get trees of their own. A pair of nodes is dropped if its bounds exceed the distance, taken as a whole if
+Within a pair both sides get trees of their own. A pair of nodes is dropped if its bounds exceed the distance, taken as a whole if
 its bounds are within it, split otherwise, and at the leaves multiplied in double precision. A task returns a count for each vector
 and a forest of its links, so that a group of n like vectors costs n rows, not all its pairs.
 
@@ -22,22 +24,38 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochweave.llm.components import Forest, connected_components
-from epochweave.llm.shared import grouped, written
+from epochweave.llm.shared import discard, fresh_path, written
+from epochweave.places import filesystem, remove
 
 LEAF = 256
 FANOUT = 16
 SLACK = 1e-7
+#: Blocks on a side of a task, and bytes of their vectors, at most.
+SIDE = 8
+SIDE_BYTES = 1 << 26
+
+
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that aren't null or empty, scaled to length one, end to end; and how long each is. They're scaled first, so that no square overflows."""
+    flat, lengths = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), column.value_lengths().to_numpy()
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    with np.errstate(all="ignore"):
+        flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), first), lengths)
+        flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, first)), lengths)
+    return flat, lengths
 
 
 def as_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows of doubles, shorter ones filled with zeros."""
-    flat, lengths = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(column.offsets.to_numpy())
+    """Vectors as rows of doubles of length one, shorter ones filled with zeros."""
     out = np.zeros((len(column), width))
-    out[np.arange(width) < lengths[:, None]] = flat
+    if len(column):
+        flat, lengths = _unit(column)
+        out[np.arange(width) < lengths[:, None]] = flat
     return out
 
 
@@ -119,28 +137,27 @@ def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarr
         return len(set(dims[rows].tolist())) == 1 and len(np.unique(ids[rows])) == len(rows)
 
     def visit(a: Node, b: Node) -> None:
-        same = a is b
-        apart = 0.0 if same else float(np.linalg.norm(a.centre - b.centre))
-        if apart - a.radius - b.radius > theta + SLACK:
-            return
-        if apart + a.radius + b.radius < theta - SLACK and uniform(a.rows if same else np.concatenate([a.rows, b.rows])):
-            counts[a.rows] += len(b.rows) - same
-            if not same:
-                counts[b.rows] += len(a.rows)
-            for row in [*a.rows.tolist(), *([] if same else b.rows.tolist())]:
-                join(int(a.rows[0]), row)
-        elif same and a.children:
-            for i, c in enumerate(a.children):
-                for d in a.children[i:]:
-                    visit(c, d)
-        elif a.children and (not b.children or a.radius >= b.radius):
-            for c in a.children:
-                visit(c, b)
-        elif b.children:
-            for d in b.children:
-                visit(a, d)
-        else:
-            base(a.rows, b.rows, same)
+        todo = [(a, b)]  # a function that calls itself would keep x until garbage is collected
+        while todo:
+            a, b = todo.pop()
+            same = a is b
+            apart = 0.0 if same else float(np.linalg.norm(a.centre - b.centre))
+            if apart - a.radius - b.radius > theta + SLACK:
+                continue
+            if apart + a.radius + b.radius < theta - SLACK and uniform(a.rows if same else np.concatenate([a.rows, b.rows])):
+                counts[a.rows] += len(b.rows) - same
+                if not same:
+                    counts[b.rows] += len(a.rows)
+                for row in [*a.rows.tolist(), *([] if same else b.rows.tolist())]:
+                    join(int(a.rows[0]), row)
+            elif same and a.children:
+                todo += [(c, d) for i, c in enumerate(a.children) for d in a.children[i:]]
+            elif a.children and (not b.children or a.radius >= b.radius):
+                todo += [(c, b) for c in a.children]
+            elif b.children:
+                todo += [(a, d) for d in b.children]
+            else:
+                base(a.rows, b.rows, same)
 
     left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     if cross and len(left) and len(right):
@@ -151,71 +168,105 @@ def near_pairs(x: np.ndarray, ids: np.ndarray, dims: np.ndarray, sides: np.ndarr
     return counts, edges
 
 
-def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of length one; without those that can't have it. They're scaled first, so that no square overflows."""
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose vector can be scaled to length one."""
     for batch in batches:
         batch = batch.filter(batch.column(1).is_valid())
-        lengths = batch.column(1).value_lengths().to_numpy()
-        batch, lengths = batch.filter(pa.array(lengths > 0)), lengths[lengths > 0]
-        if not batch.num_rows:
-            continue
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        with np.errstate(all="ignore"):
-            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), first), lengths)
-            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, first)), lengths)
-        fine = np.logical_and.reduceat(np.isfinite(flat), first)
-        unit = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(flat)]]), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), unit], ["vec_id", "unit"]).filter(pa.array(fine))
-
-
-def _assigned(centres: np.ndarray):
+        batch = batch.filter(pa.array(batch.column(1).value_lengths().to_numpy() > 0))
+        if batch.num_rows:
+            flat, lengths = _unit(batch.column(1))
+            yield batch.filter(pa.array(np.logical_and.reduceat(np.isfinite(flat), np.cumsum(lengths) - lengths)))
+
+
+def _nearest(column: pa.Array, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its nearest centre, and how far it is."""
+    parts = [distances(as_matrix(column.slice(at, 1000), centres.shape[1]), centres) for at in range(0, len(column), 1000)]
+    return np.concatenate([d.argmin(1) for d in parts]), np.concatenate([d.min(1) for d in parts])
+
+
+def _cells(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(as_matrix(batch.column(1), centres.shape[1]), centres)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1))], ["vec_id", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nearest(batch.column(0), centres)[0], pa.int32())], ["cell"])
 
     return run
 
 
-def _dealt(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray, theta: float):
-    """Rows task, side, vec_id, unit: each vector with every task that may hold a partner of it."""
-    between, first = distances(centres, centres), np.concatenate([[0], np.cumsum(parts)])
-    total = int(first[-1])
+def _placed(centres: np.ndarray, parts: np.ndarray):
+    """Rows vec_id, e, part with block and cell, and far (from the cell's centre)."""
+    first = np.cumsum(parts) - parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                d = distances(as_matrix(batch.column(1), centres.shape[1]), centres)
-                cell = d.argmin(1)
-                own = d[np.arange(len(d)), cell]
-                open_ = (d <= radius + theta + SLACK) & (d**2 - own[:, None] ** 2 <= 2 * theta * between[cell] + SLACK)
-                open_[np.arange(len(d)), cell] = True
-                row, task, side = [], [], []
-                for i, (c, part) in enumerate(zip(cell.tolist(), batch.column(2).to_pylist(), strict=True)):
-                    mine = int(first[c] + part % parts[c])
-                    other = np.concatenate([np.arange(first[j], first[j + 1]) for j in np.flatnonzero(open_[i] & (parts > 0))])
-                    row.append(np.full(len(other), i))
-                    task.append(np.minimum(mine, other) * total + np.maximum(mine, other))
-                    side.append(mine > other)
-                row = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(task), pa.int64()), pa.array(np.concatenate(side).astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], ["task", "side", "vec_id", "unit"])
+        for batch in batches:
+            if batch.num_rows:
+                cell, far = _nearest(batch.column(1), centres)
+                block = first[cell] + batch.column(2).to_numpy() % parts[cell]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block, pa.int32()), pa.array(cell, pa.int32()), pa.array(far)], ["vec_id", "e", "block", "cell", "far"])
 
     return run
 
 
-def _linked(width: int, least: float, total: int):
+@dataclass
+class Block:
+    """The vectors of one block, how long each is, and how many others each links with as far as is known."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    dims: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def read(cls, folder: str, block: int, width: int) -> Block:
+        files, where = filesystem(folder)
+        rows = ds.dataset(f"{where}/block={block}", filesystem=files, format="parquet").to_table(columns=["vec_id", "e"], use_threads=False)
+        e = rows.column("e").combine_chunks()
+        return cls(as_matrix(e, width), rows.column("vec_id").to_numpy(), e.value_lengths().to_numpy(), np.zeros(len(e), np.int64))
+
+
+def _linked(folder: str, centres: np.ndarray, blocks: np.ndarray, cells: np.ndarray, radius: np.ndarray, side: int, least: float):
+    """Rows a, b, n of each task: its vectors a with links, and how many; or its links a, b that join what was apart. blocks: numbers, with their cells and radii."""
+    theta, between = math.sqrt(2 - 2 * least), distances(centres, centres)
+
+    def facing(x: np.ndarray, i: int, j: int) -> np.ndarray:
+        """Which rows of block i may have a partner in block j."""
+        own, other = distances(x, centres[[cells[i], cells[j]]]).T
+        return np.flatnonzero((other <= radius[j] + theta + SLACK) & (other**2 - own**2 <= 2 * theta * between[cells[i], cells[j]] + SLACK))
+
+    def pair(i: int, j: int, a: Block, b: Block) -> list[tuple[int, int]]:
+        if i == j:
+            counts, edges = near_pairs(a.x, a.ids, a.dims, np.zeros(len(a.x), np.int64), least, False)
+            a.counts += counts
+            return edges
+        p, q = facing(a.x, i, j), facing(b.x, j, i)
+        if not (len(p) and len(q)):
+            return []
+        both = [np.concatenate([u[p], v[q]]) for u, v in ((a.x, b.x), (a.ids, b.ids), (a.dims, b.dims))]
+        counts, edges = near_pairs(*both, np.repeat([0, 1], [len(p), len(q)]), least, True)
+        a.counts[p] += counts[: len(p)]
+        b.counts[q] += counts[len(p) :]
+        return edges
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, rows in grouped(batches):
-            unit = rows.column("unit").combine_chunks()
-            ids, dims = rows.column("vec_id").to_numpy(), np.diff(unit.offsets.to_numpy())
-            counts, edges = near_pairs(as_matrix(unit, width), ids, dims, rows.column("side").to_numpy(), least, task // total != task % total)
-            some = np.flatnonzero(counts)
+        for task in (t for batch in batches for t in batch.column(0).to_pylist()):
+            high = (math.isqrt(8 * task + 1) - 1) // 2  # tasks are numbered along a triangle's rows
+            low = task - high * (high + 1) // 2
+            held, forest, edges = {}, Forest(), []
+
+            def read(k: int, held=held) -> Block:
+                if k not in held:
+                    held[k] = Block.read(folder, int(blocks[k]), centres.shape[1])
+                return held[k]
+
+            for i in range(low * side, min(low * side + side, len(blocks))):
+                for j in range(max(i, high * side), min(high * side + side, len(blocks))):
+                    if i == j or between[cells[i], cells[j]] <= radius[i] + radius[j] + theta + SLACK:
+                        edges += [e for e in pair(i, j, read(i), read(j)) if forest.join(*e)]
+            ids, n = (np.concatenate([getattr(b, c) for b in held.values()] or [np.zeros(0, np.int64)]) for c in ("ids", "counts"))
+            some = np.flatnonzero(n)
             a = np.concatenate([ids[some], np.array([e[0] for e in edges], np.int64)])
             b = pa.array([None] * len(some) + [e[1] for e in edges], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.concatenate([counts[some], np.zeros(len(edges), np.int64)]))], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)]))], ["a", "b", "n"])
 
     return run
 
@@ -231,25 +282,32 @@ def embedding_near_dedup(embeddings: DataFrame, least: float = 0.9, block: int =
     if not 0.5 <= least < 1:
         raise ValueError("least must be within 0.5 and 1")
     spark = embeddings.sparkSession
-    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    unit = every.where("vec_id is not null").mapInArrow(_normalised, "vec_id long, unit array<double>")
-    unit = written(unit.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int")), "units")
-    n, width = unit.agg(F.count("*"), F.coalesce(F.max(F.size("unit")), F.lit(0))).first()
+    kind = "array<float>" if embeddings.select("embedding").dtypes[0][1] == "array<float>" else "array<double>"  # kept as short as they came
+    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"))
+    rows = every.where("vec_id is not null").mapInArrow(_usable, f"vec_id long, e {kind}")
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int")), "vectors")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("e")), F.lit(0))).first()
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    rows = unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("unit").toArrow()
-    some = as_matrix(rows.column("unit").combine_chunks(), width)
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("e").toArrow()
+    some = as_matrix(some.column("e").combine_chunks(), width)
     centres = some[farthest_first(some, max(1, min(cells, n // block)))[0]]
 
-    near = unit.select("vec_id", "unit").mapInArrow(_assigned(centres), "vec_id long, cell int, far double").groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()  # a row for each centre
-    radius, parts = np.full(len(centres), -1.0), np.zeros(len(centres), np.int64)
-    for r in near:
-        radius[r.cell], parts[r.cell] = r.radius, -(-r.n // block)
-    theta = math.sqrt(2 - 2 * least)
-    dealt = unit.mapInArrow(_dealt(centres, radius, parts, theta), "task long, side int, vec_id long, unit array<double>")
-    total = int(parts.sum())
-    tasks = max(spark.sparkContext.defaultParallelism, min(total * (total + 1) // 2, 100_000))
-    linked = written(dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(_linked(width, least, total), "a long, b long, n long"), "links")
+    parts = np.ones(len(centres), np.int64)
+    for r in rows.select("e").mapInArrow(_cells(centres), "cell int").groupBy("cell").count().collect():  # a row for each centre
+        parts[r["cell"]] = -(-r["count"] // block)
+    folder = fresh_path(spark, "blocks")
+    placed = rows.mapInArrow(_placed(centres, parts), f"vec_id long, e {kind}, block int, cell int, far double").repartitionById(int(parts.sum()), "block")
+    placed.write.partitionBy("block").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(folder)
+    discard(rows)
+    known = spark.read.schema("cell int, far double, block int").parquet(folder).groupBy("block").agg(F.max("cell").alias("cell"), F.max("far").alias("radius")).orderBy("block").collect()  # a row for each block
+    # runs of several blocks where there are many, so that each is read less often, but enough tasks for all cores
+    side = max(1, min(SIDE, SIDE_BYTES // (8 * block * width), len(known) // max(16, math.ceil(4 * math.sqrt(spark.sparkContext.defaultParallelism)))))
+    sides = -(-len(known) // side)
+    tasks = spark.range(0, sides * (sides + 1) // 2, 1, min(sides * (sides + 1) // 2, 100_000))
+    run = _linked(folder, centres, *(np.array([r[c] for r in known]) for c in ("block", "cell", "radius")), side, least)
+    linked = written(tasks.mapInArrow(run, "a long, b long, n long"), "links")
+    remove(spark, folder)
     counts = linked.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     found = connected_components(linked.where("b is not null")).toDF("vec_id", "component_id")
     out = every.select("vec_id").join(counts, "vec_id", "left").join(found, "vec_id", "left")

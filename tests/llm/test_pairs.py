@@ -122,3 +122,27 @@ def test_cover_tree_counts_links_once_where_one_cell_alone_opens_a_task(spark):
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in embedding_near_dedup(frame, 0.9, 200, sample=2).collect()}
     assert got == dict(zip(ids, links.sum(1).tolist(), strict=True))
+
+
+def test_cover_tree_writes_each_vector_once_however_many_blocks_it_meets(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))  # none near another, so that no block can be left out
+    x = np.concatenate([x, x[:300] + 0.2 * rng.normal(size=(300, 64)), np.repeat(x[:1], 90, axis=0)]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    forest = Forest()
+    for a, b in np.argwhere(links).tolist():
+        forest.join(a, b)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).localCheckpoint()
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle")}
+
+    before = shuffles()
+    out = embedding_near_dedup(frame, 0.9, 40)
+    shuffled = sum(n for name, n in shuffles().items() if name not in before)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    assert got == {i: (links[i].sum(), forest.root(i)) for i in range(len(x))}
+    assert shuffled < 3 * x.nbytes
